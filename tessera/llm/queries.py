@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash_dedup
+from . import minhash_dedup, mixing, quality_cascade
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,7 +16,17 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup,)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_cascade.judge(_read(spark, sf_dir, "documents"))
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"), F.array("source"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op6_quality_rules, op10_mixing)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -40,4 +51,24 @@ r(doc_id, reach) AS (
 c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept
 FROM c LEFT JOIN n USING (doc_id)""",
+    "op6_quality_rules": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORDS}') AS ws, string_split(text, chr(10)) AS lines FROM t),
+g AS (
+  SELECT doc_id, unnest(range(0, len(ws) - 7)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g
+  FROM w WHERE len(ws) >= 9),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM d, range(0, 8) AS x(k) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(ws) AS n_words,
+    length(text) - len(regexp_extract_all(text, '[ 	-]')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(list_filter(lines, lambda x: regexp_matches(x, '{WORDS}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{WORDS}')))) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals
+  FROM w LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words
+    OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines OR 2 * n_capitals > word_chars) AS kept
+FROM m""",
 }

@@ -9,7 +9,7 @@ counted per pair, pairs whose rest of the signature cannot reach ``T`` are
 skipped, and the survivors are confirmed on the full sets of the whole texts.
 
 No posting list is expanded into all its pairs.  First each list's members meet
-only the list's smallest member; then only members outside the list's largest
+only the list's most central member; then only members outside the list's largest
 class so far meet members of other classes, which leaves nothing in a list of
 copies.  Both steps together examine every pair that could join two classes.
 
@@ -113,7 +113,10 @@ def _token_counts(reps: DataFrame) -> DataFrame:
 
 
 def _postings(reps: DataFrame, counts, prefix: int) -> DataFrame:
-    """token, node, n, pos, s0..s3: each set under its first ``prefix`` tokens, with 8 bits of every coordinate."""
+    """token, apart, node, n, pos, s0..s3: each set under its first ``prefix`` tokens, with 8 bits of every coordinate.
+
+    apart is low for sets whose tokens many sets have: the middle of a group of near copies.
+    """
 
     def run(batches):
         freq = counts.value
@@ -123,16 +126,19 @@ def _postings(reps: DataFrame, counts, prefix: int) -> DataFrame:
             t = _tokens(b.column(2))
             small = (t >> np.uint64(8)).astype(np.uint8)
             packed = np.ascontiguousarray(small).view("<i8")
-            order = np.lexsort((t, freq[(t >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]), axis=1)[:, :prefix]
+            often = freq[(t >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+            order = np.lexsort((t, often), axis=1)[:, :prefix]
+            apart = -often.sum(1)
             rows = np.repeat(np.arange(len(t)), prefix)
             token = np.take_along_axis(t, order, 1).ravel().view(np.int64)
             node, n = (np.asarray(b.column(i))[rows] for i in (0, 1))
+            apart = apart[rows]
             pos = np.tile(np.arange(prefix, dtype=np.int32), len(t))
             for i in range(0, len(token), 50_000):
                 s = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (token, node, n, pos, *(packed[rows, j] for j in range(4)))], ["token", "node", "n", "pos", "s0", "s1", "s2", "s3"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (token, apart, node, n, pos, *(packed[rows, j] for j in range(4)))], ["token", "apart", "node", "n", "pos", "s0", "s1", "s2", "s3"])
 
-    return reps.select("node", "n", "sig").mapInArrow(run, "token long, node long, n long, pos int, s0 long, s1 long, s2 long, s3 long")
+    return reps.select("node", "n", "sig").mapInArrow(run, "token long, apart long, node long, n long, pos int, s0 long, s1 long, s2 long, s3 long")
 
 
 def _agreeing(a: str, b: str) -> F.Column:
@@ -185,12 +191,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         counts[r.bucket] = r.n
     post = s.table(_postings(reps, spark.sparkContext.broadcast(counts), prefix), "postings")
 
-    # Each list's members against its smallest member.
+    # Each list's members against its most central member.
     near = (F.col("n") * den >= F.col("l.n") * num) & (F.col("l.n") * den >= F.col("n") * num)
-    lists = post.groupBy("token").agg(F.min(F.struct("node", "n", "pos", "s0", "s1", "s2", "s3")).alias("l"), F.count("*").alias("m")).where("m > 1")
+    lists = post.groupBy("token").agg(F.min(F.struct("apart", "node", "n", "pos", "s0", "s1", "s2", "s3")).alias("l"), F.count("*").alias("m")).where("m > 1")
     met = post.join(lists, "token").where((F.col("node") != F.col("l.node")) & near & (_agreeing("", "l.") >= need))
-    pairs = met.groupBy(F.col("l.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.max(F.greatest("pos", F.col("l.pos"))).alias("last"))
+    pairs = met.groupBy(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).agg(F.count("*").alias("c"), F.max(F.greatest("pos", F.col("l.pos"))).alias("last"))
     pairs = pairs.where(F.col("c") + (K - 1) - F.col("last") >= need)
+    pairs = s.table(pairs.select("a", "b"), "met")
     links = s.table(confirmed(pairs, docs, width, num, den), "links0")
     comp = components(links, s, "c0")
 
@@ -204,6 +211,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (_agreeing("x.", "y.") >= need))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.greatest("x.pos", "y.pos").alias("p"))
     rest = rest.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("p").alias("last")).where(F.col("c") + (K - 1) - F.col("last") >= need)
+    rest = rest.join(pairs, ["a", "b"], "left_anti")
     more = s.table(confirmed(rest, docs, width, num, den), "links1")
     if not more.isEmpty():
         comp = components(links.unionByName(more), s, "c1")

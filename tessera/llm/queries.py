@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, mixing, quality_cascade
+from . import bitpack, lattice_codec, minhash_dedup, mixing, quality_cascade, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,17 +16,29 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), model="piece_bpe_32k.model")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_cascade.judge(_read(spark, sf_dir, "documents"))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_codec.digests(_read(spark, sf_dir, "documents"))
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.round_trip(_read(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", vocabulary=50_257, end=0)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), F.array("source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op6_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_token_counts, op6_quality_rules, op7_sentencepiece, op9_token_ids, op10_mixing)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -61,7 +73,8 @@ d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM d, range(0, 8) AS x(k) GROUP BY doc_id),
 m AS (
   SELECT doc_id, len(ws) AS n_words,
-    length(text) - len(regexp_extract_all(text, '[ 	-]')) AS word_chars,
+    length(text) - len(regexp_extract_all(text, '[ 	-
+]')) AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
     len(list_filter(lines, lambda x: regexp_matches(x, '{WORDS}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{WORDS}')))) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals

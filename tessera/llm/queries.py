@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, lattice_codec, minhash_dedup, mixing, quality_cascade, token_counts
+from . import bitpack, label_sharding, lattice_codec, minhash_dedup, mixing, quality_cascade, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_sharding.shard(_read(spark, sf_dir, "documents"), shards=40)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), model="piece_bpe_32k.model")
 
@@ -38,7 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), F.array("source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_token_counts, op6_quality_rules, op7_sentencepiece, op9_token_ids, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_sharding, op4_token_counts, op6_quality_rules, op7_sentencepiece, op9_token_ids, op10_mixing)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, label_sharding, lattice_codec, minhash_dedup, mixing, quality_cascade, token_counts
+from . import bitpack, importance, label_sharding, lattice_codec, minhash_dedup, mixing, quality_cascade, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), model="piece_bpe_32k.model")
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.select(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_cascade.judge(_read(spark, sf_dir, "documents"))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -34,6 +38,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_codec.digests(_read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(_read(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", vocabulary=50_257, end=0)
 
@@ -42,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), F.array("source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_sharding, op4_token_counts, op6_quality_rules, op7_sentencepiece, op9_token_ids, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_sharding, op4_token_counts, op5_importance_resampling, op6_quality_rules, op7_sentencepiece, op8_toxicity, op9_token_ids, op10_mixing)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 

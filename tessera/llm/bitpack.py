@@ -24,7 +24,6 @@ import os
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,38 +108,77 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(path(name))
 
 
+#: Never part of a contraction and never joined with a letter or digit before it.
+_MARKS = ".,;:!?*#$%&|<>()"
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, with a memory of words.
 
     A byte-level vocabulary never joins a word with what precedes the single
-    space before it, so a text whose words are parted by single spaces is the
-    sequence of its words' ids.  Words go to the library once and are then
-    remembered, up to ``most`` of them; any other text goes to it whole.
+    space or line break before it, nor a word with marks behind it.  So a text
+    whose words are parted by single spaces or line breaks is the sequence of
+    its words' ids.  New words go to the library together, one a line, and are
+    then remembered as bytes, up to ``most`` of them; a text of any other form
+    goes to it whole.
     """
 
-    def __init__(self, name: str, most: int = 200_000):
+    def __init__(self, name: str, most: int = 500_000):
         self.tokenizer, self.most, self.known = _tokenizer(name), most, {}
+        (line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line, self.line_bytes = line, np.array([line], "<u4").tobytes()
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of each of many words without line breaks, given with what stands before them."""
+        out = []
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            (e,) = self.tokenizer.encode_batch_fast(["\n".join([*part, ""])], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) != len(part):
+                out += map(self.ids, part)
+                continue
+            raw, a = ids.tobytes(), 0
+            for b in (4 * ends).tolist():
+                out.append(raw[a:b])
+                a = b + 4
+        return out
+
+    def learn(self, new: set[str]) -> None:
+        """Remember words that follow a space, or a line break that is their first character; None for any that have other white space at an end."""
+        known, plain, marked = self.known, [], []
+        for w in new:
+            core = w[1:] if w[:1] == "\n" else w
+            if not core or core[0].isspace() or core[-1].isspace():
+                known[w] = None
+            elif core[-1] in _MARKS and not any(x in w for x in self.special) and (stem := w.rstrip(_MARKS)) not in ("", "\n"):
+                marked.append((w, stem, w[len(stem) :]))
+            else:
+                plain.append(w)
+        plain += {x for _, stem, marks in marked for x in (stem, "\n" + marks) if x not in known}.difference(plain)
+        for w, ids in zip(plain, self.together([w[1:] if w[0] == "\n" else " " + w for w in plain])):
+            known[w] = self.line_bytes + ids if w[0] == "\n" else ids
+        for w, stem, marks in marked:
+            known[w] = known[stem] + known["\n" + marks][4:]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
+        # A text counts as following a line break, whose id is then taken off.
+        split = [("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words[1:]}.difference(known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False)):
-                known[w] = None if not w or w[0].isspace() or w[-1].isspace() else e.ids
+        known, new = self.known, set()
+        for words in split:
+            new |= set(words).difference(known)
+        self.learn(new)
         out = []
         for t, words in zip(texts, split):
-            first = words[0]
-            if len(words) > 1 and first and not first[0].isspace() and not first[-1].isspace():
-                got = list(map(known.__getitem__, words[1:]))
-                if None not in got:
-                    head = self.tokenizer.encode(first, add_special_tokens=False).ids
-                    out.append(np.fromiter(chain(head, chain.from_iterable(got)), np.uint32))
-                    continue
-            out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+            got = list(map(known.__getitem__, words))
+            out.append(np.frombuffer(self.ids(t) if None in got else b"".join(got)[4:], "<u4"))
         return out
 
 

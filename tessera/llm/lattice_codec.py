@@ -36,8 +36,8 @@ from .pieces import BAR, SEGMENTS, load
 from .scratch import small_batches
 from .wordhash import mix
 
-#: Remembered segments, and outcomes of each, in one Python worker.
-MOST, MOST_OUTCOMES = 150_000, 24
+#: Remembered segments, outcomes of each, and lattices in one Python worker.
+MOST, MOST_OUTCOMES, MOST_LATTICES = 120_000, 16, 12_000
 #: Beyond this length weights are rescaled on the way.
 SAFE = 80
 LITERAL = "\x00" + BAR
@@ -51,6 +51,7 @@ class Codec:
         self.byte_weight = 2.0**-20 * 24.0
         self.literal = tuple(p.byte_id[b] for b in BAR.encode())
         self.known: dict[str, list] = {}
+        self.lattices: dict[str, list] = {}
         self.trie: dict = {}
         for piece, score in p.score.items():
             rank = -score if score > -1e8 else float(p.size)
@@ -114,15 +115,22 @@ class Codec:
         if seen is None:
             if s == LITERAL:
                 return self.literal
+            if len(s) > SAFE:
+                return self.draw(self.forward(s), u)[2]
             if len(self.known) >= MOST:
                 self.known.clear()
-            seen = [[], [], self.forward(s)]
-            if len(s) <= SAFE:
-                self.known[s] = seen
-        lows, outcomes, to = seen
+            seen = self.known[s] = [[], []]
+        lows, outcomes = seen
         k = bisect_right(lows, u) - 1
         if k >= 0 and u < outcomes[k][1]:
             return outcomes[k][2]
+        to = self.lattices.get(s)
+        if to is None:
+            to = self.forward(s)
+            if lows:  # met before, with another outcome
+                if len(self.lattices) >= MOST_LATTICES:
+                    self.lattices.clear()
+                self.lattices[s] = to
         found = self.draw(to, u)
         if len(lows) < MOST_OUTCOMES:
             lows.insert(k + 1, found[0])

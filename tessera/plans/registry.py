@@ -1,8 +1,554 @@
-"""Every registered query and its equivalent SQL."""
+"""Every registered query and its equivalent SQL.
 
-QUERIES = {}
-ORACLES = {}
+Queries bind the operators to the Parquet tables; parameters are the constants
+below, the same on both sides.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import chunking, enrich, html, text, urls, vectors
+from tessera.operators import analytics, ingest, search
+from tessera.sources import readers, tables
+from tessera.streaming import streams
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+AS_OF = datetime(2024, 1, 31)
+K = 10
+TERMS = ["the", "that", "with"]
+HIT_TERMS = ["the", "and"]
+BASE = "https://example.com"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The vector of vec_id 0 stands for an embedded question."""
+    row = tables.read(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
+    return [float(x) for x in row[0]]
+
+
+# SQL that several oracles share ----------------------------------------------------
+
+_TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
+
+
+def _lex(tokens: str, terms: list[str]) -> str:
+    score = " + ".join(f"(1 - 1 / (1 + len(list_filter({tokens}, lambda t: t = '{w}'))::DOUBLE))" for w in terms)
+    return f"round(({score}) / {len(terms)} / (1 + ln(greatest(len({tokens}), 1)::DOUBLE)), 6)"
+
+
+_COS = "list_cosine_similarity(list_transform({0}, lambda x: x::DOUBLE), list_transform({1}, lambda x: x::DOUBLE))"
+_Q = "q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0)"
+_CORPUS = f"""{_Q}, corpus AS (
+  SELECT doc_id AS document_id, 0 AS chunk_index, text AS content, lang AS category, source AS source_url, embedding,
+    {_TOKENS.format("text")} AS toks, qv
+  FROM documents LEFT JOIN embeddings ON doc_id = vec_id, q)"""
+_CHUNKS = f"chunks AS (SELECT conv_id AS document_id, turn AS chunk_index, text AS content, role AS category, concat('conv/', conv_id) AS source_url, {_TOKENS.format('text')} AS toks FROM conversations)"
+_ALL_HITS = " AND ".join(f"list_contains(toks, '{w}')" for w in HIT_TERMS)
+_HITS = f"""{_CHUNKS}, hits AS (
+  SELECT *, row_number() OVER (ORDER BY score DESC, document_id, chunk_index) AS pos FROM (
+    SELECT document_id, chunk_index, {_lex("toks", HIT_TERMS)} AS score FROM chunks WHERE {_ALL_HITS}
+    ORDER BY score DESC, document_id, chunk_index LIMIT {K}))"""
+_LOGS = """logs AS (
+  SELECT event_id AS id, concat_ws(' ', 'query', event_type, coalesce(json_extract_string(props, '$.k')::INTEGER::VARCHAR, 'none')) AS query_text,
+    CASE WHEN user_id % 3 = 0 THEN 'id' ELSE 'en' END AS detected_language, event_type AS detected_domain,
+    coalesce(json_extract_string(props, '$.k')::INTEGER % 10, 0)::INTEGER AS num_results, value AS search_time_ms, user_id, ts AS created_at
+  FROM events)"""
+
+
+# Search ------------------------------------------------------------------------------
+
+
+@query(f"WITH {_Q} SELECT vec_id AS document_id, 0 AS chunk_index, round({_COS.format('embedding', 'qv')}, 6) AS score FROM embeddings, q ORDER BY score DESC, document_id LIMIT {K}")
+def vector_topk(spark, sf_dir):
+    own = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding")
+    return search.vector_topk(own, _probe(spark, sf_dir), K)
+
+
+@query(f"WITH {_Q} SELECT vec_id AS document_id, 0 AS chunk_index, round({_COS.format('embedding', 'qv')}, 6) AS score FROM embeddings, q WHERE label = 3 ORDER BY score DESC, document_id LIMIT {K}")
+def vector_topk_category(spark, sf_dir):
+    own = tables.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding", F.col("label").alias("category"))
+    return search.vector_topk(own, _probe(spark, sf_dir), K, category=3)
+
+
+@query(f"WITH {_CORPUS} SELECT document_id, chunk_index, {_lex('toks', TERMS)} AS score FROM corpus WHERE {' AND '.join(f'list_contains(toks, {w!r})' for w in TERMS)} ORDER BY score DESC, document_id LIMIT {K}")
+def fulltext_topk(spark, sf_dir):
+    return search.fulltext_topk(tables.corpus(spark, sf_dir), TERMS, K)
+
+
+_HYBRID = f"SELECT document_id, chunk_index, round(0.7 * coalesce({_COS.format('embedding', 'qv')}, 0) + 0.3 * {_lex('toks', TERMS)}, 6) AS score FROM corpus ORDER BY score DESC, document_id LIMIT {K}"
+
+
+@query(f"WITH {_CORPUS} {_HYBRID}")
+def hybrid_topk(spark, sf_dir):
+    return search.hybrid_topk(tables.corpus(spark, sf_dir), _probe(spark, sf_dir), TERMS, K)
+
+
+_RRF = f"""sem AS (SELECT *, row_number() OVER (ORDER BY score DESC, document_id) AS rk FROM (
+  SELECT document_id, round({_COS.format('embedding', 'qv')}, 6) AS score FROM corpus WHERE embedding IS NOT NULL) QUALIFY rk <= 30),
+lex AS (SELECT *, row_number() OVER (ORDER BY score DESC, document_id) AS rk FROM (SELECT document_id, {_lex('toks', TERMS)} AS score FROM corpus) QUALIFY rk <= 30)"""
+
+
+@query(f"WITH {_CORPUS}, {_RRF} SELECT document_id, 0 AS chunk_index, round(sum(1.0::DOUBLE / (60 + rk)), 6) AS score FROM (SELECT * FROM sem UNION ALL SELECT * FROM lex) GROUP BY document_id ORDER BY score DESC, document_id LIMIT {K}")
+def rrf_topk(spark, sf_dir):
+    return search.rrf_topk(tables.corpus(spark, sf_dir), _probe(spark, sf_dir), TERMS, K)
+
+
+def _hits(spark, sf_dir):
+    return search.positioned(search.fulltext_topk(tables.chunks(spark, sf_dir), HIT_TERMS, K))
+
+
+@query(f"WITH {_HITS} SELECT document_id, chunk_index, 1.0::DOUBLE AS score, row_number() OVER (ORDER BY chunk_index, document_id)::INTEGER AS pos FROM chunks WHERE document_id IN (SELECT document_id FROM hits)")
+def expand_list(spark, sf_dir):
+    return search.expand_list(tables.chunks(spark, sf_dir), _hits(spark, sf_dir))
+
+
+@query(f"WITH {_HITS}, two AS (SELECT document_id FROM hits GROUP BY 1 ORDER BY min(pos) LIMIT 2) SELECT document_id, chunk_index, 1.0::DOUBLE AS score, row_number() OVER (ORDER BY document_id, chunk_index)::INTEGER AS pos FROM chunks WHERE document_id IN (FROM two)")
+def expand_comparison(spark, sf_dir):
+    return search.expand_comparison(tables.chunks(spark, sf_dir), _hits(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_HITS}, d AS (SELECT document_id FROM hits GROUP BY 1 HAVING count(*) >= 2 OR max(chunk_index) > 0),
+u AS (SELECT document_id, chunk_index, 1.0::DOUBLE AS score, 0 AS part, 0 AS place FROM chunks WHERE document_id IN (FROM d)
+  UNION ALL SELECT document_id, chunk_index, score, 1, pos FROM hits WHERE document_id NOT IN (FROM d))
+SELECT document_id, chunk_index, score, row_number() OVER (ORDER BY part, place, document_id, chunk_index)::INTEGER AS pos FROM u"""
+)
+def expand_smart(spark, sf_dir):
+    return search.expand_smart(tables.chunks(spark, sf_dir), _hits(spark, sf_dir))
+
+
+_FILTERED = f"""ranked AS (SELECT h.*, source_url, row_number() OVER (ORDER BY score DESC, h.document_id) AS pos FROM ({_HYBRID}) h JOIN corpus USING (document_id)),
+above AS (SELECT *, lag(score) OVER (ORDER BY pos) AS prev FROM ranked WHERE score >= {{0}}),
+cut AS (SELECT min(pos) AS c FROM above WHERE prev > 0 AND (prev - score) / prev > 0.25),
+kept AS (SELECT document_id, score, source_url, pos FROM above, cut WHERE c IS NULL OR pos < c
+  UNION ALL SELECT document_id, score, source_url, pos FROM ranked WHERE pos = 1 AND NOT EXISTS (FROM above)),
+one AS (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY pos) AS n FROM kept)
+SELECT document_id, score, source_url, pos::INTEGER AS pos FROM one WHERE n = 1 ORDER BY pos LIMIT 6"""
+
+
+def _filtered(spark, sf_dir, floor):
+    corpus = tables.corpus(spark, sf_dir)
+    hits = search.positioned(search.hybrid_topk(corpus, _probe(spark, sf_dir), TERMS, K))
+    ranked = hits.join(corpus.select("document_id", "source_url"), "document_id").select("document_id", "score", "source_url", "pos")
+    return search.filter_sources(ranked, "General", floor)
+
+
+@query(f"WITH {_CORPUS}, {_FILTERED.format('0.1')}")
+def filter_sources(spark, sf_dir):
+    return _filtered(spark, sf_dir, 0.1)
+
+
+@query(f"WITH {_CORPUS}, {_FILTERED.format('2')}")
+def filter_sources_none_pass(spark, sf_dir):
+    return _filtered(spark, sf_dir, 2.0)
+
+
+@query()
+def ask_hybrid(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search, smart expansion and source filter in one plan."""
+    return search.ask(tables.corpus(spark, sf_dir), "the that with", "hybrid", K, vector=_probe(spark, sf_dir), min_score=0.1)
+
+
+@query(
+    f"""WITH {_HITS}, r AS (SELECT h.pos, c.* FROM hits h JOIN chunks c USING (document_id, chunk_index))
+SELECT string_agg(concat('[', pos, '] ', 'Conversation ', document_id, ' (hal. ', chunk_index, ')', chr(10), 'Kategori: ', category, ' / —', chr(10), 'Sumber: ', source_url, chr(10), chr(10), content), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY pos) AS context FROM r"""
+)
+def context(spark, sf_dir):
+    rows = _hits(spark, sf_dir).join(tables.chunks(spark, sf_dir), ["document_id", "chunk_index"])
+    rows = rows.withColumns({"title": F.concat(F.lit("Conversation "), "document_id"), "page_number": F.col("chunk_index"), "subcategory": F.lit("—")})
+    return search.context(rows)
+
+
+@query("SELECT list_sort(list(DISTINCT lang)) AS categories, count(DISTINCT lang) >= 3 AS diverse FROM documents")
+def category_diversity(spark, sf_dir):
+    return search.diverse_categories(tables.corpus(spark, sf_dir).select("category"))
+
+
+# Usage statistics ----------------------------------------------------------------------
+
+
+@query(f"WITH {_LOGS} SELECT count(*) AS total, count(DISTINCT query_text) AS distinct_queries, round(coalesce(avg(num_results), 0), 6) AS avg_results, round(coalesce(avg(search_time_ms), 0), 6) AS avg_time_ms, count(*) FILTER (num_results = 0) AS zero_results FROM logs")
+def log_summary(spark, sf_dir):
+    return analytics.summary(tables.query_logs(spark, sf_dir))
+
+
+@query(f"WITH {_LOGS} SELECT detected_language, count(*) AS n FROM logs GROUP BY 1")
+def log_by_language(spark, sf_dir):
+    return analytics.counts_by(tables.query_logs(spark, sf_dir), "detected_language")
+
+
+@query(f"WITH {_LOGS} SELECT detected_domain, count(*) AS n FROM logs GROUP BY 1")
+def log_by_domain(spark, sf_dir):
+    return analytics.counts_by(tables.query_logs(spark, sf_dir), "detected_domain")
+
+
+_PER_DAY = f"WITH {_LOGS} SELECT created_at::DATE AS day, count(*) AS n FROM logs WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAYS GROUP BY 1"
+
+
+@query(_PER_DAY)
+def log_per_day(spark, sf_dir):
+    return analytics.per_day(tables.query_logs(spark, sf_dir), AS_OF)
+
+
+@query(f"SELECT day, n, round(least(100.0::DOUBLE, n * 100.0::DOUBLE / max(n) OVER ()), 6) AS width FROM ({_PER_DAY} ORDER BY day DESC LIMIT 30)")
+def log_bars(spark, sf_dir):
+    return analytics.bars(analytics.per_day(tables.query_logs(spark, sf_dir), AS_OF))
+
+
+@query(f"WITH {_LOGS} SELECT query_text, count(*) AS n FROM logs GROUP BY 1 ORDER BY n DESC, query_text LIMIT 20")
+def log_top_queries(spark, sf_dir):
+    return analytics.top_queries(tables.query_logs(spark, sf_dir))
+
+
+@query(f"WITH {_LOGS} SELECT id, query_text, detected_domain, num_results, created_at FROM logs ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100")
+def log_page(spark, sf_dir):
+    logs = tables.query_logs(spark, sf_dir).select("id", "query_text", "detected_domain", "num_results", "created_at")
+    return analytics.page(logs, [F.desc("created_at"), F.desc("id")], 50, 100)
+
+
+@query(f"WITH {_LOGS} SELECT ceil(count(*) / 50.0)::BIGINT AS pages, count(*) AS total FROM logs")
+def log_pages(spark, sf_dir):
+    return tables.query_logs(spark, sf_dir).agg(F.ceil(F.count("*") / 50).alias("pages"), F.count("*").alias("total"))
+
+
+@query(f"WITH {_LOGS} SELECT query_text, count(*) AS n, max(created_at) AS last_asked FROM logs WHERE length(query_text) BETWEEN 15 AND 200 GROUP BY 1 ORDER BY n DESC, last_asked DESC, query_text LIMIT 30")
+def faq_top(spark, sf_dir):
+    return analytics.faq_top(tables.query_logs(spark, sf_dir))
+
+
+def _pins(spark, sf_dir):
+    asked = analytics.faq_top(tables.query_logs(spark, sf_dir), 3)
+    return asked.select(F.col("query_text").alias("question"), F.row_number().over(Window.orderBy("query_text")).alias("sort_order"))
+
+
+_PINS = """asked AS (SELECT query_text, count(*) AS n, max(created_at) AS last FROM logs WHERE length(query_text) BETWEEN 15 AND 200 GROUP BY 1),
+pins AS (SELECT query_text AS question, row_number() OVER (ORDER BY query_text) AS sort_order FROM (FROM asked ORDER BY n DESC, last DESC, query_text LIMIT 3))"""
+
+
+@query(
+    f"""WITH {_LOGS}, {_PINS}, autos AS (SELECT query_text AS question, false AS pinned, row_number() OVER (ORDER BY n DESC, last DESC, query_text) AS place FROM asked WHERE query_text NOT IN (SELECT question FROM pins)),
+u AS (SELECT question, true AS pinned, sort_order AS place FROM pins UNION ALL FROM autos)
+SELECT question, pinned, row_number() OVER (ORDER BY pinned DESC, place, question)::INTEGER AS pos FROM u QUALIFY pos <= 8"""
+)
+def faq_public(spark, sf_dir):
+    return analytics.faq_public(tables.query_logs(spark, sf_dir), _pins(spark, sf_dir))
+
+
+@query(f"WITH {_LOGS}, {_PINS} SELECT question, sort_order::INTEGER AS sort_order FROM pins UNION ALL SELECT 'a new question', (max(sort_order) + 1)::INTEGER FROM pins")
+def faq_pin(spark, sf_dir):
+    return ingest.pin(_pins(spark, sf_dir), "a new question").select("question", "sort_order")
+
+
+@query("SELECT source AS document_id, min(lang) AS category, min(source) AS source_url, count(*) AS chunks FROM documents GROUP BY 1")
+def document_listing(spark, sf_dir):
+    docs = tables.corpus(spark, sf_dir).select(F.col("source_url").alias("document_id"), "category", "source_url")
+    return analytics.document_listing(docs)
+
+
+@query("SELECT DISTINCT lang AS category FROM documents")
+def categories(spark, sf_dir):
+    return analytics.categories(tables.corpus(spark, sf_dir).select("category"))
+
+
+@query("SELECT lang AS category, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM documents GROUP BY 1")
+def ingest_stats(spark, sf_dir):
+    return analytics.ingest_stats(tables.corpus(spark, sf_dir).select("category", "document_id"))
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS updated_at, coalesce(c_name, '(deleted)') AS user_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey ORDER BY updated_at DESC NULLS LAST, id LIMIT 200")
+def sessions_with_user(spark, sf_dir):
+    sessions = tables.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("updated_at"))
+    users = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("user_name"))
+    return analytics.sessions_with_user(sessions, users)
+
+
+@query("SELECT o_custkey AS user_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS rank FROM orders QUALIFY rank <= 5")
+def latest_sessions_per_user(spark, sf_dir):
+    sessions = tables.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"))
+    return analytics.latest_per_user(sessions, 5).select("user_id", "id", "rank")
+
+
+@query("SELECT conv_id AS id, count(*)::INTEGER AS message_count FROM conversations GROUP BY 1")
+def session_counts(spark, sf_dir):
+    folded = tables.folded_sessions(spark, sf_dir)
+    return analytics.message_counts(folded.select("id", F.to_json("messages").alias("messages")))
+
+
+@query("SELECT conv_id AS id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6")
+def history_window(spark, sf_dir):
+    turns = tables.read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("messages"))
+    return analytics.last_messages(turns).select("id", F.explode("messages").alias("m")).select("id", "m.turn", "m.role")
+
+
+@query("SELECT c_custkey AS id, c_name AS user_name FROM customer WHERE contains(lower(c_name), '00001')")
+def find_users(spark, sf_dir):
+    users = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("user_name"), F.lit("").alias("email"))
+    return analytics.find_users(users, "00001").select("id", "user_name")
+
+
+# Text and pages ---------------------------------------------------------------------------
+
+
+def _rules_sql() -> tuple[str, str]:
+    cases = [(f"contains(u, '{site}') AND regexp_matches(u, '{p}')", c, s) for site, rules in urls.SITE_RULES.items() for p, c, s in rules]
+    cases += [(f"regexp_matches(u, '{p}')", c, s) for p, c, s in urls.GENERAL_RULES]
+    return tuple("CASE " + " ".join(f"WHEN {test} THEN '{r[i]}'" for test, *r in cases) + f" ELSE '{default}' END" for i, default in ((0, "informasi"), (1, "umum")))
+
+
+@query("SELECT page_id, {} AS category, {} AS subcategory FROM (SELECT page_id, lower(url) AS u FROM pages)".format(*_rules_sql()))
+def auto_category(spark, sf_dir):
+    return tables.read(spark, sf_dir, "pages").select("page_id", urls.auto_category(F.col("url")).alias("c")).select("page_id", "c.category", "c.subcategory")
+
+
+@query(
+    rf"""SELECT page_id, CASE WHEN d = '' THEN 'index' ELSE d END AS document_id FROM (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(url, '{BASE}', ''), '^/+|/+$', '', 'g'), '\.(html|qmd)$', ''), '[^\p{{L}}\p{{N}}_/\-]', '_', 'g'), '^[_/]+|[_/]+$', '', 'g') AS d FROM pages)"""
+)
+def doc_id_from_url(spark, sf_dir):
+    return tables.read(spark, sf_dir, "pages").select("page_id", urls.document_id(F.col("url"), BASE).alias("document_id"))
+
+
+_STRIP = "html"
+for _tag in html.BOILERPLATE:
+    _STRIP = f"regexp_replace({_STRIP}, '(?is)<{_tag}.*?</{_tag}>', '', 'g')"
+
+
+@query(rf"SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace({_STRIP}, '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages")
+def html_text(spark, sf_dir):
+    return tables.read(spark, sf_dir, "pages").select("page_id", html.page_text(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return tables.read(spark, sf_dir, "pages").select("page_id", html.page_title(F.col("html"), F.col("url")).alias("title"))
+
+
+@query(
+    "SELECT page_id, "
+    + " OR ".join([*(f"contains(html, '{m}')" for m in html.SCRIPTED), *(f"contains(lower(html), '{m}')" for m in html.SCRIPTED_ANY_CASE)])
+    + " OR (b <> '' AND strlen(trim(b)) < 300) AS needs_script FROM (SELECT *, regexp_extract(html, '(?is)(<tbody.*?)</tbody>', 1) AS b FROM pages)"
+)
+def needs_script(spark, sf_dir):
+    return tables.read(spark, sf_dir, "pages").select("page_id", html.needs_script(F.col("html")).alias("needs_script"))
+
+
+@query()
+def site_markdown(spark, sf_dir):
+    return tables.read(spark, sf_dir, "pages").select("page_id", html.python_column(html.site_markdown_text)("html").alias("markdown"))
+
+
+@query()
+def page_links(spark, sf_dir):
+    return readers.links(tables.read(spark, sf_dir, "pages").select("url", "html"))
+
+
+@query()
+def crawl_frontier(spark, sf_dir):
+    pages = tables.read(spark, sf_dir, "pages").select("url", "html")
+    return readers.next_frontier(readers.links(pages), pages, BASE)
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10)) AS ls FROM documents),
+o AS (SELECT doc_id, ls, list_filter(list_transform(ls, lambda x: trim(x)), lambda x: length(x) > 0 AND length(x) < 60) AS ts FROM l),
+r AS (SELECT doc_id, list(t) AS often FROM (SELECT doc_id, unnest(ts) AS t FROM o) GROUP BY doc_id, t HAVING count(*) >= 3),
+f AS (SELECT doc_id, flatten(list(often)) AS often FROM r GROUP BY 1),
+k AS (SELECT o.doc_id, array_to_string(CASE WHEN often IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(often, trim(x))) END, chr(10)) AS t FROM o LEFT JOIN f USING (doc_id))
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '[\x01-\x08\x0b\x0c\x0e-\x1f\x7f\x{200b}\x{200c}\x{200d}\x{feff}]', '', 'g'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM k"""
+)
+def clean_markdown(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", text.clean_markdown(F.col("text")).alias("cleaned"))
+
+
+@query("SELECT item_id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {m!r})' for m in marks)} THEN '{name}'" for name, marks in text.QUERY_CLASSES) + " ELSE 'General' END AS kind FROM benchmark")
+def classify_query(spark, sf_dir):
+    return tables.read(spark, sf_dir, "benchmark").select("item_id", text.classify_query(F.col("text")).alias("kind"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\r?\n$', ''), chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, greatest(len(ls), 1) AS total, len(list_filter(ls, lambda x: regexp_matches(trim(x), '^[0-9][.)]'))) AS numbered,
+  len(list_filter(ls, lambda x: contains(x, '|'))) AS piped, len(list_filter(ls, lambda x: strlen(trim(x)) < 80 AND contains(x, ':'))) AS labels FROM l)
+SELECT doc_id, CASE WHEN numbered > total // 5 OR piped > total // 4 OR labels > total // 3 THEN 'structural' ELSE 'sentence' END AS strategy FROM n"""
+)
+def detect_strategy(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", text.detect_strategy(F.col("text")).alias("strategy"))
+
+
+@query("SELECT doc_id, CASE WHEN " + " OR ".join(f"contains(substr(trim(text), 1, 200), '{m}')" for m in text.SCRIPT_MARKS) + " THEN '' ELSE trim(text) END AS snippet FROM documents")
+def clean_snippet(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", text.clean_snippet(F.col("text")).alias("snippet"))
+
+
+@query()
+def snippet(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), TERMS).alias("snippet"))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN length(text) <= 400 THEN text WHEN s <> '' THEN regexp_replace(s, '\s+$', '') WHEN contains(h, ' ') THEN regexp_extract(h, '(?s)^(.*) ', 1) || '...' ELSE h || '...' END AS short
+FROM (SELECT doc_id, text, substr(text, 1, 400) AS h, regexp_extract(substr(text, 1, 400), '(?s)^(.{240}.*[.!?\n])', 1) AS s FROM documents)"""
+)
+def truncate_at_sentence(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", text.truncate_at_sentence(F.col("text"), 400).alias("short"))
+
+
+@query(r"SELECT doc_id, regexp_replace('1.' || doc_id || lang, '([0-9.])(\p{L})', '\1 \2', 'g') AS title FROM documents")
+def source_title(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", text.clean_source_title(F.col("source"), F.concat(F.lit("1."), "doc_id", "lang")).alias("title"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '([a-zàáâãäå])\n([a-zàáâãäå])', '\1 \2', 'g') AS repaired FROM documents")
+def repair_sentences(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", enrich.repair_sentences(F.col("text")).alias("repaired"))
+
+
+@query("SELECT doc_id, concat('passage: [', lang, ' > ', source, ']', chr(10), chr(10), text) AS passage FROM documents")
+def passage(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", enrich.passage(F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.col("source")).alias("passage"))
+
+
+@query()
+def enrich_text(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", enrich.enrich_text(F.col("text")).alias("enriched"))
+
+
+@query()
+def tables_to_prose(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", html.python_column(html.tables_to_prose_text)("text").alias("prose"))
+
+
+def _chunked(spark, sf_dir, strategy, **kw):
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.explode_chunks(docs, chunking.chunked(F.col("text"), strategy, **kw)).select("doc_id", "chunk_index", "chunk")
+
+
+@query()
+def chunk_sentence(spark, sf_dir):
+    return _chunked(spark, sf_dir, "sentence")
+
+
+@query()
+def chunk_structural(spark, sf_dir):
+    return _chunked(spark, sf_dir, "structural")
+
+
+@query()
+def chunk_fixed(spark, sf_dir):
+    return _chunked(spark, sf_dir, "fixed")
+
+
+@query()
+def chunk_auto(spark, sf_dir):
+    return _chunked(spark, sf_dir, "auto")
+
+
+@query()
+def chunk_semantic(spark, sf_dir):
+    return _chunked(spark, sf_dir, "semantic", embed=vectors.HashEmbedder(64).embed, threshold=0.2)
+
+
+@query()
+def chunk_offline(spark, sf_dir):
+    embed = vectors.HashEmbedder(64).embed
+    pieces = html.python_column(lambda t: [p for p, _ in chunking.offline(t, embed)], "array<string>")
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.explode_chunks(docs, pieces("text"), min_chars=20).select("doc_id", "chunk_index", "chunk")
+
+
+@query(
+    f"""WITH n AS (SELECT vec_id, label, round({_COS.format('lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)', 'embedding')}, 6) AS near FROM embeddings)
+SELECT vec_id, label, sum(CASE WHEN near < 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM n"""
+)
+def semantic_segments(spark, sf_dir):
+    return chunking.semantic_segments(tables.read(spark, sf_dir, "embeddings"), "label", "vec_id", threshold=0.1).select("vec_id", "label", "segment")
+
+
+# Ingest --------------------------------------------------------------------------------------
+
+
+def _hashed(spark, sf_dir):
+    docs = tables.read(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("document_id"), F.md5("text").alias("file_hash"), F.col("source").alias("title"))
+
+
+@query("SELECT md5(text) AS file_hash, min(doc_id) AS document_id, count(*) AS copies FROM documents GROUP BY 1")
+def dedup_hash(spark, sf_dir):
+    return _hashed(spark, sf_dir).groupBy("file_hash").agg(F.min("document_id").alias("document_id"), F.count("*").alias("copies"))
+
+
+_VERSIONS = """v AS (SELECT doc_id AS document_id, md5(text) AS file_hash, source AS title FROM documents),
+old AS (SELECT document_id, CASE WHEN document_id % 7 = 0 THEN md5('stale') ELSE file_hash END AS file_hash, 'old' AS title, 0 AS chunk_index, 'x' AS category FROM v WHERE document_id % 5 <> 0),
+new AS (SELECT *, 0 AS chunk_index, 'y' AS category FROM v WHERE document_id % 3 <> 0)"""
+
+
+def _versions(spark, sf_dir):
+    v = _hashed(spark, sf_dir)
+    old = v.where("document_id % 5 <> 0").select("document_id", F.when(F.col("document_id") % 7 == 0, F.md5(F.lit("stale"))).otherwise(F.col("file_hash")).alias("file_hash"), F.lit("old").alias("title"), F.lit(0).alias("chunk_index"), F.lit("x").alias("category"))
+    return old, v.where("document_id % 3 <> 0").withColumns({"chunk_index": F.lit(0), "category": F.lit("y")})
+
+
+@query(f"WITH {_VERSIONS} SELECT document_id, CASE WHEN old.file_hash IS NULL THEN 'new' WHEN new.file_hash IS NULL THEN 'gone' WHEN old.file_hash = new.file_hash THEN 'same' ELSE 'changed' END AS status FROM old FULL JOIN new USING (document_id)")
+def incremental_diff(spark, sf_dir):
+    return ingest.diff(*_versions(spark, sf_dir))
+
+
+@query(f"WITH {_VERSIONS} SELECT new.document_id, new.file_hash FROM new WHERE NOT EXISTS (FROM old WHERE old.document_id = new.document_id AND old.file_hash = new.file_hash)")
+def changed_documents(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    return ingest.changed(new, old).select("document_id", "file_hash")
+
+
+@query(f"WITH {_VERSIONS} SELECT document_id, coalesce(old.file_hash, new.file_hash) AS file_hash, coalesce(new.title, old.title) AS title, coalesce(old.category, new.category) AS category FROM old FULL JOIN new USING (document_id)")
+def chunk_upsert(spark, sf_dir):
+    return ingest.chunk_upsert(*_versions(spark, sf_dir)).select("document_id", "file_hash", "title", "category")
+
+
+@query(f"WITH {_VERSIONS} SELECT document_id, file_hash, title FROM old WHERE document_id NOT IN (SELECT document_id FROM new) UNION ALL SELECT document_id, file_hash, title FROM new")
+def replace_documents(spark, sf_dir):
+    return ingest.replace_documents(*_versions(spark, sf_dir)).select("document_id", "file_hash", "title")
+
+
+@query("SELECT event_id AS id, ts AS created_at FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAYS")
+def retention(spark, sf_dir):
+    return ingest.retain(tables.query_logs(spark, sf_dir).select("id", "created_at"), AS_OF, 7)
+
+
+@query("SELECT concat('guest-', user_id) AS guest_token, (count(*) + 1)::INTEGER AS ask_count FROM events GROUP BY 1")
+def guest_counts(spark, sf_dir):
+    asks = tables.query_logs(spark, sf_dir).select(F.concat(F.lit("guest-"), "user_id").alias("guest_token"))
+    return ingest.guest_counts(asks.distinct().withColumn("ask_count", F.lit(1)), asks)
+
+
+# Windows that also run as streams ---------------------------------------------------------------
+
+
+@query("SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1")
+def daily_counts_stream(spark, sf_dir):
+    logs = tables.query_logs(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return streams.daily_counts(logs)
+
+
+@query("SELECT user_id, epoch_ms(epoch_ms(ts) // 3600000 * 3600000) AS window_start, count(*) AS failures FROM events GROUP BY 1, 2 HAVING count(*) >= 2")
+def limiter_windows(spark, sf_dir):
+    return streams.failure_windows(tables.query_logs(spark, sf_dir), "user_id", "created_at", minutes=60, most=2)

@@ -11,8 +11,8 @@ and however often it runs.
 A piece's weight is (rank + 2) ** -theta, by its rank in the vocabulary, and
 2 ** -20 for a byte: high theta samples near the best path.
 
-Each outcome owns an interval of [0, 1); outcomes met before are remembered with
-their intervals, which changes the speed and never the result.
+Segments of up to ``SHORT`` characters, nearly all, go through both passes
+together as numpy arrays, grouped by length; longer ones one by one.
 
 Decoding joins the pieces' bytes and is lossless: U+2581 in a text is
 written as bytes, never as the mark of a space.
@@ -23,7 +23,6 @@ ids; repeated rows are cut alike; other columns are kept.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from itertools import chain
 
 import numpy as np
@@ -36,12 +35,51 @@ from .pieces import BAR, SEGMENTS, load
 from .scratch import small_batches
 from .wordhash import mix
 
-#: Remembered segments, outcomes of each, and lattices in one Python worker.
-MOST, MOST_OUTCOMES, MOST_LATTICES = 120_000, 16, 12_000
+#: Longest segment that takes the array path, and characters of one block of texts.
+SHORT, BLOCK_CHARS = 24, 700_000
 #: Beyond this length weights are rescaled on the way.
 SAFE = 80
-LITERAL = "\x00" + BAR
 _NONE = (None, 0.0, None)
+_P, _M, _SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 20
+
+
+class _Table:
+    """Pieces by a rolling hash of their characters, with open addressing."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        n = 1 << _SLOT_BITS
+        self.hash, self.id, self.weight = np.zeros(n + 64, np.uint64), np.full(n + 64, -1, np.int64), np.zeros(n + 64)
+        self.probes = 1
+        for piece, (i, w) in pieces.items():
+            h = np.zeros(1, np.uint64)
+            for c in piece:
+                h = (h + np.uint64(ord(c) + 1)) * _P
+            at, k = int(self.slot(h)[0]), 1
+            while self.id[at] >= 0:
+                at, k = at + 1, k + 1
+            self.hash[at], self.id[at], self.weight[at] = h[0], i, w
+            self.probes = max(self.probes, k)
+
+    @staticmethod
+    def slot(h: np.ndarray) -> np.ndarray:
+        return ((h * _M) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: no piece) and weights (0)."""
+        at = self.slot(h)
+        held = self.id[at]
+        hit = (self.hash[at] == h) & (held >= 0)
+        ids, weights = np.where(hit, held, -1), np.where(hit, self.weight[at], 0.0)
+        open_ = np.nonzero((held >= 0) & ~hit)
+        for k in range(1, self.probes):
+            if not len(open_[0]):
+                break
+            step, want = at[open_] + k, h[open_]
+            hit = (self.hash[step] == want) & (self.id[step] >= 0)
+            ids[tuple(x[hit] for x in open_)], weights[tuple(x[hit] for x in open_)] = self.id[step[hit]], self.weight[step[hit]]
+            more = (self.id[step] >= 0) & ~hit
+            open_ = tuple(x[more] for x in open_)
+        return ids, weights
 
 
 class Codec:
@@ -50,15 +88,17 @@ class Codec:
         # A factor per character that all paths of a segment share keeps sums near 1.
         self.byte_weight = 2.0**-20 * 24.0
         self.literal = tuple(p.byte_id[b] for b in BAR.encode())
-        self.known: dict[str, list] = {}
-        self.lattices: dict[str, list] = {}
         self.trie: dict = {}
+        weights = {}
         for piece, score in p.score.items():
             rank = -score if score > -1e8 else float(p.size)
             node = self.trie
             for c in piece[:-1]:
                 node = node.setdefault(c, [{}, 0.0, None])[0]
-            node.setdefault(piece[-1], [{}, 0.0, None])[1:] = [(rank + 2.0) ** -theta * 24.0 ** len(piece), (p.id[piece],)]
+            weight = (rank + 2.0) ** -theta * 24.0 ** len(piece)
+            node.setdefault(piece[-1], [{}, 0.0, None])[1:] = [weight, (p.id[piece],)]
+            weights[piece] = (p.id[piece], weight)
+        self.table = _Table(weights)
 
     # One segment
 
@@ -91,67 +131,137 @@ class Codec:
                 to[i + 1].append((total[i + 1], i, tuple(self.pieces.byte_id[b] for b in raw)))
         return to
 
-    def draw(self, to, u: float) -> tuple[float, float, tuple[int, ...]]:
-        """The outcome whose interval holds u: (from, to, ids)."""
-        low, high, at, path = 0.0, 1.0, len(to) - 1, []
+    def draw(self, to, u: float) -> tuple[int, ...]:
+        """One path, by a number in [0, 1) of which each choice uses its share."""
+        at, path = len(to) - 1, []
         while at:
             edges = to[at]
-            if len(edges) > 1:
-                base, scale = low, (high - low) / edges[-1][0]
-                for edge in edges:
-                    bound = base + scale * edge[0] if edge is not edges[-1] else high
-                    if u < bound:
-                        high = bound
-                        break
-                    low = bound
-            else:
-                edge = edges[0]
+            target, low = u * edges[-1][0], 0.0
+            for edge in edges:
+                if target < edge[0] or edge is edges[-1]:
+                    break
+                low = edge[0]
+            u = min(max((target - low) / ((edge[0] - low) or 1.0), 0.0), 1 - 2.0**-53)
             path.append(edge[2])
             at = edge[1]
-        return low, high, tuple(chain.from_iterable(reversed(path)))
-
-    def segment(self, s: str, u: float) -> tuple[int, ...]:
-        seen = self.known.get(s)
-        if seen is None:
-            if s == LITERAL:
-                return self.literal
-            if len(s) > SAFE:
-                return self.draw(self.forward(s), u)[2]
-            if len(self.known) >= MOST:
-                self.known.clear()
-            seen = self.known[s] = [[], []]
-        lows, outcomes = seen
-        k = bisect_right(lows, u) - 1
-        if k >= 0 and u < outcomes[k][1]:
-            return outcomes[k][2]
-        to = self.lattices.get(s)
-        if to is None:
-            to = self.forward(s)
-            if lows:  # met before, with another outcome
-                if len(self.lattices) >= MOST_LATTICES:
-                    self.lattices.clear()
-                self.lattices[s] = to
-        found = self.draw(to, u)
-        if len(lows) < MOST_OUTCOMES:
-            lows.insert(k + 1, found[0])
-            outcomes.insert(k + 1, found)
-        return found[2]
-
-    # Whole texts
-
-    def encode(self, text: str, key: int) -> list[int]:
-        if not text:
-            return []
-        if BAR in text:
-            first, *rest = (x.replace(" ", BAR) for x in text.split(BAR))
-            segments = SEGMENTS.findall(BAR + first)
-            for part in rest:
-                segments += [LITERAL, *SEGMENTS.findall(part)]
-        else:
-            segments = SEGMENTS.findall(BAR + text.replace(" ", BAR))
-        start = np.uint64(key & (2**64 - 1))
-        draws = (mix(mix(np.full(1, start), 5) + np.arange(len(segments), dtype=np.uint64), 6) >> np.uint64(11)) * 2.0**-53
-        return list(chain.from_iterable(map(self.segment, segments, draws.tolist())))
+        return tuple(chain.from_iterable(reversed(path)))
+
+    # Many segments
+
+    def together(self, chars: np.ndarray, which: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Draws for segments of one length n: chars (distinct segments, n), which of them and a number for each draw.
+
+        Returns (draws, n) piece ids from the last piece to the first, and how
+        many there are.  -1 - c stands for the bytes of a character c.
+        """
+        kinds, n = chars.shape
+        most = min(n, self.pieces.longest)
+        ids, cum = np.full((kinds, n + 1, most), -1, np.int64), np.zeros((kinds, n + 1, most))
+        h = np.zeros((kinds, n), np.uint64)
+        code = chars.astype(np.uint64) + np.uint64(1)
+        for size in range(1, most + 1):
+            h = (h[:, : n - size + 1] + code[:, size - 1 :]) * _P
+            found, weight = self.table.find(h)
+            if size == 1:
+                lone = found < 0
+                if lone.any():
+                    c = chars[lone].astype(np.int64)
+                    found[lone] = -1 - c
+                    weight[lone] = self.byte_weight ** (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+            ids[:, size:, size - 1], cum[:, size:, size - 1] = found, weight
+        total = np.zeros((kinds, n + 1))
+        total[:, 0] = 1.0
+        for j in range(1, n + 1):
+            t = np.zeros(kinds)
+            for size in range(1, min(j, most) + 1):
+                t = t + total[:, j - size] * cum[:, j, size - 1]
+                cum[:, j, size - 1] = t
+            cum[:, j, min(j, most) :] = t[:, None]
+            total[:, j] = t
+        out, counts = np.zeros((len(which), n), np.int64), np.zeros(len(which), np.int64)
+        rows, at = np.arange(len(which)), np.full(len(which), n)
+        while len(rows):
+            c = cum[which[rows], at]
+            target = u[rows] * c[:, -1]
+            size = np.minimum((c <= target[:, None]).sum(1), at - 1)
+            high, low = c[np.arange(len(rows)), size], np.where(size > 0, c[np.arange(len(rows)), size - 1], 0.0)
+            u[rows] = np.clip((target - low) / np.where(high > low, high - low, 1.0), 0.0, 1 - 2.0**-53)
+            out[rows, counts[rows]] = ids[which[rows], at, size]
+            counts[rows] += 1
+            at = at - size - 1
+            rows, at = rows[at > 0], at[at > 0]
+        return out, counts
+
+    def encode(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the index of each text's first (one more at the end)."""
+        plain = ["" if not t or BAR in t else BAR + t.replace(" ", BAR) for t in texts]
+        code = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        begins = np.concatenate(([0], np.cumsum([len(t) for t in plain])))
+        bar, line = code == ord(BAR), code == 10
+        cut = np.zeros(len(code) + 1, bool)
+        cut[begins] = True
+        cut[1:-1] |= (bar[1:] & ~bar[:-1]) | line[1:] | line[:-1]
+        starts = np.flatnonzero(cut[:-1])
+        sizes = np.diff(np.append(starts, len(code)))
+        firsts = np.searchsorted(starts, begins)
+        place = np.arange(len(starts)) - np.repeat(firsts[:-1], np.diff(firsts))
+        seed = mix(np.array([k & (2**64 - 1) for k in keys], np.uint64), 5)
+        u = (mix(np.repeat(seed, np.diff(firsts)) + place.astype(np.uint64), 6) >> np.uint64(11)) * 2.0**-53
+        counts, parts = np.zeros(len(starts), np.int64), []
+        for n in range(1, SHORT + 1):
+            at = np.flatnonzero(sizes == n)
+            if not len(at):
+                continue
+            chars = code[starts[at][:, None] + np.arange(n)]
+            h = np.zeros(len(at), np.uint64)
+            for k in range(n):
+                h = (h + chars[:, k].astype(np.uint64) + np.uint64(1)) * _P
+            _, first, which = np.unique(h, return_index=True, return_inverse=True)
+            ids, counts[at] = self.together(chars[first], which, u[at])
+            parts.append((at, ids))
+        longer = np.flatnonzero(sizes > SHORT)
+        whole = [np.array(self.draw(self.forward(code[a : a + n].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")), x), np.int64) for a, n, x in zip(starts[longer].tolist(), sizes[longer].tolist(), u[longer].tolist())]
+        counts[longer] = [len(x) for x in whole]
+        ends = np.cumsum(counts)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        for at, ids in parts:
+            for k in range(ids.shape[1]):
+                some = counts[at] > k
+                flat[ends[at[some]] - 1 - k] = ids[some, k]
+        for a, x in zip((ends - counts)[longer].tolist(), whole):
+            flat[a : a + len(x)] = x
+        offsets = np.concatenate(([0], ends))[firsts]
+        if (flat < 0).any():
+            flat, offsets = self._spell(flat, offsets)
+        other = [i for i, t in enumerate(texts) if t and BAR in t]
+        if not other:
+            return flat, offsets
+        rows = np.split(flat, offsets[1:-1])
+        for i in other:
+            rows[i] = np.array(self.guarded(texts[i], keys[i]), np.int64)
+        return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+
+    def _spell(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte pieces for the characters that have no piece."""
+        at = np.flatnonzero(flat < 0)
+        raw = [chr(-1 - int(c)).encode("utf-8", "surrogatepass") for c in flat[at]]
+        n = np.ones(len(flat), np.int64)
+        n[at] = [len(r) for r in raw]
+        ends = np.cumsum(n)
+        out = np.repeat(flat, n)
+        for a, r in zip((ends - n)[at].tolist(), raw):
+            out[a : a + len(r)] = [self.pieces.byte_id[b] for b in r]
+        return out, np.concatenate(([0], ends))[offsets]
+
+    def guarded(self, text: str, key: int) -> list[int]:
+        """A text that holds U+2581 itself: what lies between goes through the passes, it is spelled in bytes."""
+        first, *rest = (x.replace(" ", BAR) for x in text.split(BAR))
+        segments = [*SEGMENTS.findall(BAR + first)]
+        for part in rest:
+            segments += [None, *SEGMENTS.findall(part)]
+        seed = mix(np.array([key & (2**64 - 1)], np.uint64), 5)
+        u = ((mix(seed + np.arange(len(segments), dtype=np.uint64), 6) >> np.uint64(11)) * 2.0**-53).tolist()
+        return list(chain.from_iterable(self.literal if s is None else self.draw(self.forward(s), x) for s, x in zip(segments, u)))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.pieces.surface.__getitem__, ids)).decode()[1:]
@@ -174,14 +284,19 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", theta: float = 1
     def run(batches):
         codec = _codec(model, theta)
         for b in batches:
-            for i in range(0, b.num_rows, 128):
-                part = b.slice(i, 128)
-                keys, texts = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text"))
-                rows = [None if t is None else codec.encode(t, (k or 0) * 0x100000001B3 + seed) for k, t in zip(keys, texts)]
-                lengths = [len(r or ()) for r in rows]
-                flat = np.fromiter(chain.from_iterable(r for r in rows if r), np.int32, sum(lengths))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(flat), mask=pa.array([r is None for r in rows]))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, column])
+            keys, texts = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text"))
+            a = 0
+            while a < b.num_rows:  # blocks of bounded size
+                z, size, held = a, 0, []
+                while z < b.num_rows and (not held or size < BLOCK_CHARS):
+                    held.append(texts[z].as_py())
+                    size += len(held[-1] or "")
+                    z += 1
+                names = [(k or 0) * 0x100000001B3 + seed for k in keys.slice(a, z - a).to_pylist()]
+                flat, offsets = codec.encode([t or "" for t in held], names)
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([t is None for t in held]))
+                yield pa.RecordBatch.from_arrays([*b.slice(a, z - a).columns, ids], [*b.schema.names, column])
+                a = z
 
     small_batches(docs.sparkSession)
     return base.mapInArrow(run, schema)

@@ -108,6 +108,22 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(path(name))
 
 
+@lru_cache(4)
+def _model(name: str):
+    """The tokenizer's model alone."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer(_tokenizer(name).model)
+
+
+@lru_cache(1)
+def _alphabet() -> dict[int, str]:
+    """The byte alphabet: printable Latin-1 bytes stand for themselves, the others for characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 #: Never part of a contraction and never joined with a letter or digit before it.
 _MARKS = ".,;:!?*#$%&|<>()"
 
@@ -127,6 +143,10 @@ class Encoder:
         self.tokenizer, self.most, self.known = _tokenizer(name), most, {}
         (line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.alphabet = _model(name), _alphabet()
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for w, i in self.tokenizer.get_vocab().items() if w.startswith(self.alphabet[32])]] = True
+        self.joined = {b: c for b, c in self.alphabet.items() if b != 32}
         self.line, self.line_bytes = line, np.array([line], "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
@@ -149,10 +169,29 @@ class Encoder:
                 a = b + 4
         return out
 
+    def letters(self, words: list[str]) -> None:
+        """Remember words of letters only that follow a space.
+
+        The library's pre-tokenizer takes such a word whole, with the space, so
+        its model gets it directly, in the byte alphabet; the space then shows
+        where each word's ids start.
+        """
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            raw = " ".join(part).encode().decode("latin-1").translate(self.joined).split(" ")
+            (e,) = self.model.encode_batch_fast([[self.alphabet[32] + w for w in raw]], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            starts = np.append(4 * np.flatnonzero(self.spaced[ids]), 4 * len(ids)).tolist()
+            if len(starts) != len(part) + 1:
+                self.known.update((w, self.ids(" " + w)) for w in part)
+                continue
+            self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, starts, starts[1:]))))
+
     def learn(self, new: set[str]) -> None:
         """Remember words that follow a space, or a line break that is their first character; None for any that have other white space at an end."""
         known, plain, marked = self.known, [], []
-        for w in new:
+        simple = [w for w in new if w.isalpha()]
+        for w in new.difference(simple):
             core = w[1:] if w[:1] == "\n" else w
             if not core or core[0].isspace() or core[-1].isspace():
                 known[w] = None
@@ -160,7 +199,10 @@ class Encoder:
                 marked.append((w, stem, w[len(stem) :]))
             else:
                 plain.append(w)
-        plain += {x for _, stem, marks in marked for x in (stem, "\n" + marks) if x not in known}.difference(plain)
+        more = {x for _, stem, marks in marked for x in (stem, "\n" + marks) if x not in known and x not in new}
+        simple += [x for x in more if x.isalpha()]
+        plain += [x for x in more if not x.isalpha()]
+        self.letters(simple)
         for w, ids in zip(plain, self.together([w[1:] if w[0] == "\n" else " " + w for w in plain])):
             known[w] = self.line_bytes + ids if w[0] == "\n" else ids
         for w, stem, marks in marked:

@@ -9,9 +9,19 @@ counted per pair, pairs whose rest of the signature cannot reach ``T`` are
 skipped, and the survivors are confirmed on the full sets of the whole texts.
 
 No posting list is expanded into all its pairs.  First each list's members meet
-only the list's most central member; then only members outside the list's largest
-class so far meet members of other classes, which leaves nothing in a list of
-copies.  Both steps together examine every pair that could join two classes.
+only the list's most central member, its hub.  What could still join two classes:
+
+* Two sets that both met one hub.  If they share no deviation from it (no run
+  that both lack, none that both add), their similarity is at most that of
+  either with the hub, so they cannot link unless both link with it.  Otherwise
+  the deviations they must share are so many, compared with those they have,
+  that the first few of them in a common order collide; only such collisions
+  are looked at, added runs (which are rare) before missing ones.
+* Pairs of a list that met no common hub: members outside the list's largest
+  class so far meet members of its other classes.
+
+Both are confirmed on full sets; all steps together examine every pair whose
+signatures match and that could join two classes.
 
 Rows: null, empty or blank texts have an empty set and are linked with nothing.
 Repeated rows of one doc_id and one word-run set count once.  Texts with equal
@@ -152,6 +162,13 @@ def _agreeing(a: str, b: str) -> F.Column:
     return F.lit(K) - differing
 
 
+def _both_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b and their texts x, y."""
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    return sides.join(texts, "node").groupBy("a", "b").agg(F.max(F.when(F.col("node") == F.col("a"), F.col("text"))).alias("x"), F.max(F.when(F.col("node") == F.col("b"), F.col("text"))).alias("y"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have den * intersection >= num * union."""
 
@@ -164,10 +181,58 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
                 keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    both = sides.join(texts, "node").groupBy("a", "b").agg(F.max(F.when(F.col("node") == F.col("a"), F.col("text"))).alias("x"), F.max(F.when(F.col("node") == F.col("b"), F.col("text"))).alias("y"))
-    return both.mapInArrow(run, "a long, b long")
+    return _both_texts(pairs, docs).mapInArrow(run, "a long, b long")
+
+
+def compared(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """For pairs (a: hub, b: node): whether they link, how many runs of the hub b lacks and how many it adds, and all these deviations.
+
+    spare is num * (sizes) - (num + den) * intersection, over 0 where they do not
+    link.  A partner with which b could join classes shares with it
+    s >= (spare of the one that is not linked + w of the other) / (num + den)
+    deviations, w being den * lacking + num * added; the first ``firsts`` of b's
+    are so many that one of the shared is among them.  Added runs (even) come
+    before lacking ones (odd).
+    """
+
+    def run(batches):
+        for b in batches:
+            left, right = text_sets(b.column(2), width), text_sets(b.column(3), width)
+            linked, lack, add, spare, firsts, all_ = [], [], [], [], [], []
+            for x, y in zip(left, right):
+                gone, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                over = num * (len(x) + len(y)) - (num + den) * (len(x) - len(gone))
+                linked.append(over <= 0), lack.append(len(gone)), add.append(len(new)), spare.append(over)
+                must = -(-over // (num + den)) if over > 0 else (den * len(gone) + num * len(new)) // (num + den) + 1
+                all_.append(np.concatenate((new & ~np.uint64(1), gone | np.uint64(1))).view(np.int64))
+                firsts.append(max(0, len(gone) + len(new) - must + 1))
+            at = np.concatenate(([0], np.cumsum([len(f) for f in all_])))
+            flat = pa.array(np.concatenate(all_) if all_ else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in (lack, add, spare, firsts)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["a", "b", "linked", "lack", "add", "spare", "firsts", "runs"])
+
+    return _both_texts(pairs, docs).mapInArrow(run, "a long, b long, linked boolean, lack long, add long, spare long, firsts long, runs array<long>")
+
+
+def _around_hubs(met: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between sets of different classes that met one hub.
+
+    Pairs that collide in a first deviation are decided exactly: two sets have
+    |hub| less what either lacks, plus their shared deviations, in common.
+    """
+    busy = met.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("out")).where("n > 1 AND out > 0").select("a")
+    own = met.join(busy, "a").join(comp.select(F.col("node").alias("b"), "comp"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
+    own = own.select("a", F.col("b").alias("node"), "comp", "linked", "lack", "add", "spare", (F.col("lack") * den + F.col("add") * num).alias("w"), F.explode(F.slice("runs", F.lit(1), F.col("firsts").cast("int"))).alias("run"))
+    x, y = own.where("NOT linked").alias("x"), own.alias("y")
+    share = F.col("x.spare") + F.col("y.w")
+    few, more = F.least("x.lack", "y.lack"), F.least("x.add", "y.add")
+    room = (few + more) * (num + den) >= share
+    # A shared lacking run counts only where the shared ones may all be of that kind.
+    kind = (F.col("x.run").bitwiseAND(F.lit(1)) == 0) | (few * (num + den) >= share)
+    hits = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.run") == F.col("y.run")) & (F.col("x.comp") != F.col("y.comp")) & room & kind)
+    hits = hits.select("x.a", F.col("x.node").alias("x"), F.col("y.node").alias("y"), share.alias("share")).distinct()
+    hits = hits.join(met.select("a", F.col("b").alias("x"), F.col("runs").alias("xs")), ["a", "x"]).join(met.select("a", F.col("b").alias("y"), F.col("runs").alias("ys")), ["a", "y"])
+    hits = hits.where(F.size(F.array_intersect("xs", "ys")) * (num + den) >= F.col("share"))
+    return hits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -195,24 +260,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     near = (F.col("n") * den >= F.col("l.n") * num) & (F.col("l.n") * den >= F.col("n") * num)
     lists = post.groupBy("token").agg(F.min(F.struct("apart", "node", "n", "pos", "s0", "s1", "s2", "s3")).alias("l"), F.count("*").alias("m")).where("m > 1")
     met = post.join(lists, "token").where((F.col("node") != F.col("l.node")) & near & (_agreeing("", "l.") >= need))
-    pairs = met.groupBy(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).agg(F.count("*").alias("c"), F.max(F.greatest("pos", F.col("l.pos"))).alias("last"))
-    pairs = pairs.where(F.col("c") + (K - 1) - F.col("last") >= need)
-    pairs = s.table(pairs.select("a", "b"), "met")
-    links = s.table(confirmed(pairs, docs, width, num, den), "links0")
+    pairs = met.groupBy(F.col("l.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.max(F.greatest("pos", F.col("l.pos"))).alias("last"))
+    pairs = pairs.where(F.col("c") + (K - 1) - F.col("last") >= need).select("a", "b")
+    seen = s.table(compared(pairs, docs, width, num, den), "seen")
+    links = seen.where("linked").select("a", "b")
     comp = components(links, s, "c0")
 
-    # What is left: members outside a list's largest class against members of its other classes.
-    at = post.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    at = s.table(at, "classed")
-    sizes = at.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", "count").alias("main"), F.count("*").alias("classes"), F.sum("count").alias("m"))
-    open_lists = at.join(sizes.where("classes > 1 and m > 2").select("token", "main"), "token")
-    open_lists = s.table(open_lists, "open")
+    # What is left in lists of several classes: pairs that met no common hub.
+    at = post.join(lists.where("m > 2").select("token", F.col("l.node").alias("hub")), "token").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    at = at.join(seen.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("met")), ["hub", "node"], "left")
+    at = s.table(at.withColumn("met", F.coalesce("met", F.col("hub") == F.col("node"))), "classed")
+    sizes = at.groupBy("token", "comp").agg(F.count("*").alias("n"), F.count_if(~F.col("met")).alias("out")).groupBy("token").agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("classes"), F.sum("out").alias("out"))
+    met_hubs = seen.select(F.col("b").alias("node"), "a").union(seen.select("a", "a")).groupBy("node").agg(F.collect_set("a").alias("hubs"))
+    open_lists = at.join(sizes.where("classes > 1 AND out > 0").select("token", "main"), "token").join(met_hubs, "node", "left")
+    open_lists = s.table(open_lists.withColumn("hubs", F.coalesce("hubs", F.array().cast("array<long>"))), "open")
     x, y = open_lists.where("comp != main").alias("x"), open_lists.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (_agreeing("x.", "y.") >= need))
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ~F.arrays_overlap("x.hubs", "y.hubs") & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (_agreeing("x.", "y.") >= need))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.greatest("x.pos", "y.pos").alias("p"))
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("p").alias("last")).where(F.col("c") + (K - 1) - F.col("last") >= need)
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = s.table(confirmed(rest, docs, width, num, den), "links1")
+    rest = rest.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("p").alias("last")).where(F.col("c") + (K - 1) - F.col("last") >= need).select("a", "b")
+    rest = s.table(rest.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    more = s.table(confirmed(rest, docs, width, num, den).unionByName(_around_hubs(seen, comp, num, den)), "links1")
     if not more.isEmpty():
         comp = components(links.unionByName(more), s, "c1")
 

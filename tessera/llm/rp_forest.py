@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Each tree splits the space by hyperplanes halfway between two random vectors of
-a bounded sample, at the sample's median, until leaves hold about ``LEAF`` rows.
+a bounded sample, at the sample's median, until leaves hold about ``LEAF`` rows, or 2 * sqrt(rows) where
+that is more, so that the leaves a query reaches grow slower than the rows.
 Largest inner products become nearest directions by one more coordinate that
 brings every vector to the same length.  All rows are indexed: each falls into
 one leaf of every tree.
@@ -53,6 +54,7 @@ class Forest:
         self.length = length
         x, rng = self.lift(sample), np.random.default_rng(seed)
         width = x.shape[1]
+        leaf = max(leaf, 2 * int(rows**0.5))
         most = max(2, min(rows // leaf + 1, MODEL_BYTES // (4 * width * trees)))
         small = max(2, len(x) // most)
         self.roots, normals, offsets, child, leaves, held = [], [], [], [], 0, []

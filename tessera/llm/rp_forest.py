@@ -179,7 +179,7 @@ def _meet(width: int, k: int):
     def run(batches):
         key, ids, q, low = None, np.zeros(0, np.int64), np.zeros((0, width)), np.zeros(0)
         hits: list = []
-        size = 0
+        size, last = 0, None
 
         def done():
             if hits:
@@ -195,15 +195,18 @@ def _meet(width: int, k: int):
             for a, z in zip([0, *cut], [*cut, len(leaf)]):
                 if key != (leaf[a], part[a]):
                     yield from done()
-                    key, ids, q, low, hits, size = (leaf[a], part[a]), rid[:0], x[:0], bound[:0], [], 0
+                    key, ids, q, low, hits, size, last = (leaf[a], part[a]), rid[:0], x[:0], bound[:0], [], 0, None
+                # Rows come in order of their id; one repeated is met once.
+                fresh = np.concatenate(([rid[a] != last or row[a] == 0], rid[a + 1 : z] != rid[a : z - 1]))
+                last = rid[z - 1] if row[a] else None
                 if not row[a]:
                     ids, q, low = np.concatenate((ids, rid[a:z])), np.concatenate((q, x[a:z])), np.concatenate((low, bound[a:z]))
                     continue
                 for i in range(a, z if len(ids) else a, 512):
-                    block = slice(i, min(z, i + 512))
+                    block = i + np.flatnonzero(fresh[i - a : min(z, i + 512) - a])
                     for c in range(0, len(ids), 2048):
                         s = _products(q[c : c + 2048], x[block])
-                        at, r = np.nonzero((s >= low[c : c + 2048, None]) & (ids[c : c + 2048, None] != rid[None, block]))
+                        at, r = np.nonzero((s >= low[c : c + 2048, None]) & (ids[c : c + 2048, None] != rid[block][None]))
                         if len(at):
                             hits.append((ids[c + at], rid[block][r], s[at, r]))
                             size += len(at)
@@ -231,7 +234,8 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, trees: int = TRE
     sample = sample.select("vec_id", "v").toArrow()
     order = np.argsort(sample["vec_id"].to_numpy(), kind="stable")
     names, sample = sample["vec_id"].to_numpy()[order], _matrix(sample["v"].combine_chunks(), width)[order]
-    chosen = np.random.default_rng(seed).permutation(len(names))[:PILOT]
+    once = np.unique(names, return_index=True)[1]
+    chosen = once[np.random.default_rng(seed).permutation(len(once))[:PILOT]]
     pilot = spark.sparkContext.broadcast((names[chosen], sample[chosen].astype(float)))
     forest = spark.sparkContext.broadcast(Forest(sample, length, rows, trees, leaf, seed))
 

@@ -54,7 +54,7 @@ for _c in range(0x3000):
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Character classes of all words, each with a mark of class 1 in front; starts (at the mark), ends, first word of each text."""
+    """Character classes of all words, each with a mark of class 1 in front and behind; starts (at the mark), ends (at the mark behind), first word of each text."""
     texts = [t.lower() for t in texts]
     code = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "replace"), np.uint32)
     cls = np.where(code < 0x3000, _CLASS[np.minimum(code, 0x2FFF)], (38 + code % 26).astype(np.int16))
@@ -82,11 +82,13 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         starts, ends = spans(cls)
     cls = cls.copy()
     cls[starts - 1] = 1
+    cls[ends] = 1
     return cls, starts - 1, ends, np.searchsorted(starts, bounds)
 
 
 def self_kernel(length: np.ndarray) -> np.ndarray:
-    """Square root of the kernel of a word of so many characters (mark included) with itself, its triples being distinct."""
+    """Square root of the kernel of a word of so many characters (front mark included) with itself, its triples being distinct."""
+    length = length + 1
     total = np.zeros(len(length))
     for _, k in GAPS:
         total += np.maximum(length - k, 0) * DECAY ** (2 * (k + 1))
@@ -96,7 +98,7 @@ def self_kernel(length: np.ndarray) -> np.ndarray:
 def triples(cls: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """For each gap pattern: positions of the first character, the triple, its weight."""
     last = np.zeros(len(cls), np.int64)
-    last[starts] = ends
+    last[starts] = ends + 1
     last = np.maximum.accumulate(last)
     c = cls.astype(np.int64)
     for j, k in GAPS:
@@ -128,9 +130,10 @@ def _features(units: list[bytes]) -> list[dict[int, float]]:
     out = []
     for u in units:
         n, d = len(u), {}
+        u += b"\x01"
         for j, k in GAPS:
             w = DECAY ** (k + 1)
-            for p in range(n - k):
+            for p in range(n + 1 - k):
                 t = (u[p] * CLASSES + u[p + j]) * CLASSES + u[p + k]
                 d[t] = d.get(t, 0.0) + w
         s = float(self_kernel(np.array([n]))[0])
@@ -254,7 +257,7 @@ def _decide(units: list[bytes], table: np.ndarray, bias: float) -> np.ndarray:
     out = []
     for i in range(0, len(units), 20_000):
         part = units[i : i + 20_000]
-        cls = np.frombuffer(b"".join(part), np.uint8)
+        cls = np.frombuffer(b"".join([*part, b"\x01"]), np.uint8)
         ends = np.cumsum([len(u) for u in part])
         starts = ends - [len(u) for u in part]
         value = np.zeros(len(cls))

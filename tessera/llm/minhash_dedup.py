@@ -25,8 +25,9 @@ signatures match and that could join two classes.
 
 Rows: null, empty or blank texts have an empty set and are linked with nothing.
 Repeated rows of one doc_id and one word-run set count once.  Texts with equal
-sets are one class from the start, however many they are.  Other columns of the
-input are ignored.
+sets are one class from the start, however many they are.  A row without doc_id
+takes the class of an equal set, if there is one, and is never kept.  Other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -192,13 +193,14 @@ def compared(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     s >= (spare of the one that is not linked + w of the other) / (num + den)
     deviations, w being den * lacking + num * added; the first ``firsts`` of b's
     are so many that one of the shared is among them.  Added runs (even) come
-    before lacking ones (odd).
+    before lacking ones (odd).  m0..m3 mark each deviation in one of 256 bits,
+    twice counts those that found their bit marked.
     """
 
     def run(batches):
         for b in batches:
             left, right = text_sets(b.column(2), width), text_sets(b.column(3), width)
-            linked, lack, add, spare, firsts, all_ = [], [], [], [], [], []
+            linked, lack, add, spare, firsts, all_, marks, twice = [], [], [], [], [], [], [], []
             for x, y in zip(left, right):
                 gone, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
                 over = num * (len(x) + len(y)) - (num + den) * (len(x) - len(gone))
@@ -206,11 +208,16 @@ def compared(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
                 must = -(-over // (num + den)) if over > 0 else (den * len(gone) + num * len(new)) // (num + den) + 1
                 all_.append(np.concatenate((new & ~np.uint64(1), gone | np.uint64(1))).view(np.int64))
                 firsts.append(max(0, len(gone) + len(new) - must + 1))
+                bits = np.zeros(256, bool)
+                bits[(all_[-1].view(np.uint64) >> np.uint64(56)).astype(np.int64)] = True
+                marks.append(np.packbits(bits).view("<i8"))
+                twice.append(len(all_[-1]) - int(bits.sum()))
             at = np.concatenate(([0], np.cumsum([len(f) for f in all_])))
             flat = pa.array(np.concatenate(all_) if all_ else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in (lack, add, spare, firsts)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["a", "b", "linked", "lack", "add", "spare", "firsts", "runs"])
+            mark = np.array(marks, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in (lack, add, spare, firsts, twice, *mark.T)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["a", "b", "linked", "lack", "add", "spare", "firsts", "twice", "m0", "m1", "m2", "m3", "runs"])
 
-    return _both_texts(pairs, docs).mapInArrow(run, "a long, b long, linked boolean, lack long, add long, spare long, firsts long, runs array<long>")
+    return _both_texts(pairs, docs).mapInArrow(run, "a long, b long, linked boolean, lack long, add long, spare long, firsts long, twice long, m0 long, m1 long, m2 long, m3 long, runs array<long>")
 
 
 def _around_hubs(met: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
@@ -221,13 +228,18 @@ def _around_hubs(met: DataFrame, comp: DataFrame, num: int, den: int) -> DataFra
     """
     busy = met.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("out")).where("n > 1 AND out > 0").select("a")
     own = met.join(busy, "a").join(comp.select(F.col("node").alias("b"), "comp"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
-    own = own.select("a", F.col("b").alias("node"), "comp", "linked", "lack", "add", "spare", (F.col("lack") * den + F.col("add") * num).alias("w"), F.explode(F.slice("runs", F.lit(1), F.col("firsts").cast("int"))).alias("run"))
+    own = own.select("a", F.col("b").alias("node"), "comp", "linked", "lack", "add", "spare", "twice", "m0", "m1", "m2", "m3", (F.col("lack") * den + F.col("add") * num).alias("w"), F.size("runs").alias("n"), F.posexplode(F.slice("runs", F.lit(1), F.col("firsts").cast("int"))).alias("pos", "run"))
     x, y = own.where("NOT linked").alias("x"), own.alias("y")
     share = F.col("x.spare") + F.col("y.w")
     few, more = F.least("x.lack", "y.lack"), F.least("x.add", "y.add")
     room = (few + more) * (num + den) >= share
     # A shared lacking run counts only where the shared ones may all be of that kind.
     kind = (F.col("x.run").bitwiseAND(F.lit(1)) == 0) | (few * (num + den) >= share)
+    # The first shared one leaves room for the others behind it.
+    kind = kind & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (num + den) >= share)
+    # Shared ones have marks in common, but for those that found their bit marked.
+    common = sum((F.bit_count(F.col(f"x.m{j}").bitwiseAND(F.col(f"y.m{j}"))) for j in range(4)), F.least("x.twice", "y.twice"))
+    kind = kind & (common * (num + den) >= share)
     hits = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.run") == F.col("y.run")) & (F.col("x.comp") != F.col("y.comp")) & room & kind)
     hits = hits.select("x.a", F.col("x.node").alias("x"), F.col("y.node").alias("y"), share.alias("share")).distinct()
     hits = hits.join(met.select("a", F.col("b").alias("x"), F.col("runs").alias("xs")), ["a", "x"]).join(met.select("a", F.col("b").alias("y"), F.col("runs").alias("ys")), ["a", "y"])
@@ -249,7 +261,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     prefix = K - need + 1
 
     sig = s.table(signatures(docs, width), "sig")
-    full = sig.where("n_shingles > 0")
+    full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = s.table(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "reps")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     for r in _token_counts(reps).toLocalIterator():
@@ -286,7 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     classes = reps.select("f1", "f2", "node").join(comp, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "f1", "f2").dropDuplicates(["doc_id", "f1", "f2"]).join(classes, ["f1", "f2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = s.table(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "result")
+    out = s.table(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "result")
     s.drop(keep=("result",))
     return out
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, small_batches
+from .wordhash import blocks, mix, span_hashes
 
 MAGIC = b"TBP1"
 BLOCK = 4096
@@ -125,7 +126,8 @@ def _alphabet() -> dict[int, str]:
 
 
 #: Never part of a contraction and never joined with a letter or digit before it.
-_MARKS = ".,;:!?*#$%&|<>()"
+_MARKS = b".,;:!?*#$%&|<>()"
+LINE, SPACE = 0, 1
 
 
 class Encoder:
@@ -134,93 +136,168 @@ class Encoder:
     A byte-level vocabulary never joins a word with what precedes the single
     space or line break before it, nor a word with marks behind it.  So a text
     whose words are parted by single spaces or line breaks is the sequence of
-    its words' ids.  New words go to the library together, one a line, and are
-    then remembered as bytes, up to ``most`` of them; a text of any other form
-    goes to it whole.
+    its words' ids.  Words are found and hashed as arrays; new ones go to the
+    library together and are then remembered, up to ``most`` of them, as runs
+    of one array of ids.  A text of any other form goes to the library whole.
     """
 
-    def __init__(self, name: str, most: int = 500_000):
-        self.tokenizer, self.most, self.known = _tokenizer(name), most, {}
-        (line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.alphabet = _model(name), _alphabet()
+    def __init__(self, name: str, most: int = 1_000_000):
+        self.tokenizer, self.model, self.most = _tokenizer(name), _model(name), most
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        alphabet = _alphabet()
+        self.space, self.letters_of = alphabet[32], {b: c for b, c in alphabet.items() if b != 32}
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.spaced[[i for w, i in self.tokenizer.get_vocab().items() if w.startswith(self.alphabet[32])]] = True
-        self.joined = {b: c for b, c in self.alphabet.items() if b != 32}
-        self.line, self.line_bytes = line, np.array([line], "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def together(self, words: list[str]) -> list[bytes]:
-        """Ids of each of many words without line breaks, given with what stands before them."""
-        out = []
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            (e,) = self.tokenizer.encode_batch_fast(["\n".join([*part, ""])], add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(ids == self.line)
-            if len(ends) != len(part):
-                out += map(self.ids, part)
-                continue
-            raw, a = ids.tobytes(), 0
-            for b in (4 * ends).tolist():
-                out.append(raw[a:b])
-                a = b + 4
-        return out
-
-    def letters(self, words: list[str]) -> None:
-        """Remember words of letters only that follow a space.
+        self.spaced[[i for w, i in self.tokenizer.get_vocab().items() if w.startswith(self.space)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """slot: place of each word by its hash; first, length: its run in ids (length -1: no plain word)."""
+        self.slot: dict[int, int] = {}
+        self.first, self.length, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _keep(self, hashes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember words whose runs stand one after another in ids."""
+        n = len(self.slot)
+        while len(self.first) < n + len(hashes):
+            self.first, self.length = np.resize(self.first, 2 * len(self.first)), np.resize(self.length, 2 * len(self.length))
+        full = np.maximum(lengths, 0)
+        while len(self.pool) < self.used + len(ids):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.first[n : n + len(hashes)] = self.used + np.cumsum(full) - full
+        self.length[n : n + len(hashes)] = lengths
+        self.used += len(ids)
+        self.slot.update(zip(hashes, range(n, n + len(hashes))))
+
+    def _runs(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The remembered ids of runs, one after another."""
+        total = np.cumsum(length)
+        return self.pool[np.repeat(first - (total - length), length) + np.arange(total[-1] if len(total) else 0)]
+
+    @staticmethod
+    def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return mix(span_hashes(data, starts, ends) + kind.astype(np.uint64), 7)
+
+    def _of(self, words: list[tuple[bytes, int]]) -> list[int]:
+        data = np.frombuffer(b"".join(w for w, _ in words), np.uint8)
+        ends = np.cumsum([len(w) for w, _ in words])
+        return self.hashes(data, ends - [len(w) for w, _ in words], ends, np.array([k for _, k in words])).tolist()
+
+    def _letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their numbers, of words of letters only that follow a space.
 
         The library's pre-tokenizer takes such a word whole, with the space, so
         its model gets it directly, in the byte alphabet; the space then shows
         where each word's ids start.
         """
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            raw = " ".join(part).encode().decode("latin-1").translate(self.joined).split(" ")
-            (e,) = self.model.encode_batch_fast([[self.alphabet[32] + w for w in raw]], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            starts = np.append(4 * np.flatnonzero(self.spaced[ids]), 4 * len(ids)).tolist()
-            if len(starts) != len(part) + 1:
-                self.known.update((w, self.ids(" " + w)) for w in part)
-                continue
-            self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, starts, starts[1:]))))
-
-    def learn(self, new: set[str]) -> None:
-        """Remember words that follow a space, or a line break that is their first character; None for any that have other white space at an end."""
-        known, plain, marked = self.known, [], []
-        simple = [w for w in new if w.isalpha()]
-        for w in new.difference(simple):
-            core = w[1:] if w[:1] == "\n" else w
-            if not core or core[0].isspace() or core[-1].isspace():
-                known[w] = None
-            elif core[-1] in _MARKS and not any(x in w for x in self.special) and (stem := w.rstrip(_MARKS)) not in ("", "\n"):
-                marked.append((w, stem, w[len(stem) :]))
+            part = b" ".join(words[i : i + 20_000]).decode("latin-1").translate(self.letters_of).split(" ")
+            (e,) = self.model.encode_batch_fast([[self.space + w for w in part]], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, np.uint32))
+            starts = np.flatnonzero(self.spaced[ids[-1]])
+            lengths.append(np.diff(np.append(starts, len(ids[-1]))))
+            if len(starts) != len(part):
+                each = [self.whole(" " + w.decode()) for w in words[i : i + 20_000]]
+                ids[-1], lengths[-1] = np.concatenate(each), np.array([len(x) for x in each])
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _lines(self, words: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their numbers, of any words, given with what they follow; one a line for the library."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            # After a space a word's line break is behind it, else in front.
+            (e,) = self.tokenizer.encode_batch_fast(["".join([f" {w.decode()}\n" if k else f"\n{w.decode()}\n" for w, k in part])], add_special_tokens=False)
+            got, lead = np.array(e.ids, np.uint32), np.array([1 - k for _, k in part])
+            ends = np.flatnonzero(got == self.line)
+            if len(ends) == len(part) + lead.sum():
+                last = ends[np.cumsum(1 + lead) - 1]
+                n = np.diff(np.append(-1, last)) - 1
+                keep = np.ones(len(got), bool)
+                keep[last] = False
+                got = got[keep]
+            else:
+                each = [self.whole((" " if k else "\n") + w.decode()) for w, k in part]
+                got, n = np.concatenate(each), np.array([len(x) for x in each])
+            ids.append(got), lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def learn(self, words: list[tuple[bytes, int]], hashes: list[int]) -> None:
+        """Remember words that follow a space or a line break (whose id is then part of their run)."""
+        marked, bad, simple, other = [], [], {}, {}
+        for (w, k), h in zip(words, hashes):
+            t = w.decode("utf-8", "replace")
+            if k and t.isalpha():
+                simple[h] = w
+            elif not t or t[0].isspace() or t[-1].isspace():
+                bad.append(h)
+            elif w[-1] in _MARKS and (stem := w.rstrip(_MARKS)) and not any(x in w for x in self.special):
+                marked.append((h, (stem, k), (w[len(stem) :], LINE)))
             else:
-                plain.append(w)
-        more = {x for _, stem, marks in marked for x in (stem, "\n" + marks) if x not in known and x not in new}
-        simple += [x for x in more if x.isalpha()]
-        plain += [x for x in more if not x.isalpha()]
-        self.letters(simple)
-        for w, ids in zip(plain, self.together([w[1:] if w[0] == "\n" else " " + w for w in plain])):
-            known[w] = self.line_bytes + ids if w[0] == "\n" else ids
-        for w, stem, marks in marked:
-            known[w] = known[stem] + known["\n" + marks][4:]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # A text counts as following a line break, whose id is then taken off.
-        split = [("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, new = self.known, set()
-        for words in split:
-            new |= set(words).difference(known)
-        self.learn(new)
-        out = []
-        for t, words in zip(texts, split):
-            got = list(map(known.__getitem__, words))
-            out.append(np.frombuffer(self.ids(t) if None in got else b"".join(got)[4:], "<u4"))
+                other[h] = w, k
+        parts = list({x for _, *both in marked for x in both})
+        of = dict(zip(parts, self._of(parts))) if parts else {}
+        for x, h in of.items():
+            if h not in self.slot:
+                if x[1] and x[0].decode("utf-8", "replace").isalpha():
+                    simple[h] = x[0]
+                else:
+                    other[h] = x
+        self._keep(list(simple), *self._letters(list(simple.values())))
+        self._keep(list(other), *self._lines(list(other.values())))
+        self._keep(bad, np.zeros(0, np.uint32), np.full(len(bad), -1))
+        if marked:
+            a, b = (np.array([self.slot[of[m[x]]] for m in marked]) for x in (1, 2))
+            first = np.stack((self.first[a], self.first[b] + 1), 1).ravel()
+            length = np.stack((np.maximum(self.length[a], 0), self.length[b] - 1), 1)
+            self._keep([m[0] for m in marked], self._runs(first, length.ravel()), length.sum(1))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
+        import pandas as pd
+
+        out: list[np.ndarray] = []
+        for i, j, data, offs in blocks(texts):
+            if len(self.slot) > self.most:
+                self.forget()
+            # A text counts as following a line break, whose id is then taken off.
+            parted = (data == 32) | (data == 10)
+            cut = np.flatnonzero(parted)
+            starts = np.concatenate((offs[:-1], cut + 1))
+            kind = np.concatenate((np.full(len(offs) - 1, LINE), (data[cut] == 32).astype(np.int64)))
+            owner = np.concatenate((np.arange(len(offs) - 1), np.searchsorted(offs, cut, "right") - 1))
+            # At one place, the mark that ends a text comes before the start of the next text.
+            order = np.argsort(2 * starts + (np.arange(len(starts)) < len(offs) - 1), kind="stable")
+            starts, kind, owner = starts[order], kind[order], owner[order]
+            firsts = np.searchsorted(owner, np.arange(len(offs)))
+            ends = np.append(starts[1:] - 1, len(data))
+            ends[firsts[1:] - 1] = offs[1:]
+            codes, unique = pd.factorize(self.hashes(data, starts, ends, kind))
+            known = list(map(self.slot.get, unique.tolist()))
+            new = [n for n, k in enumerate(known) if k is None]
+            if new:
+                at = np.zeros(len(unique), np.int64)
+                at[codes[::-1]] = np.arange(len(codes))[::-1]
+                raw, at = data.tobytes(), at[new]
+                hashes = unique[new].tolist()
+                self.learn([(raw[a:b], k) for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), kind[at].tolist())], hashes)
+                for n, h in zip(new, hashes):
+                    known[n] = self.slot[h]
+            slot = np.array(known, np.int64)[codes]
+            first, length = self.first[slot], self.length[slot]
+            odd = np.minimum.reduceat(length, firsts[:-1]) < 0
+            length = np.where(odd[owner], 0, length)
+            first[firsts[:-1]] += 1
+            length[firsts[:-1]] = np.maximum(length[firsts[:-1]] - 1, 0)
+            rows = np.split(self._runs(first, length), np.append(0, np.cumsum(length))[firsts[1:-1]])
+            for n in np.flatnonzero(odd).tolist():
+                rows[n] = self.whole(data[offs[n] : offs[n + 1]].tobytes().decode())
+            out += rows
         return out
 
 
@@ -230,7 +307,7 @@ _encoders: dict[str, Encoder] = {}
 def write_packed(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", vocabulary: int = 50_257, end: int = 0, bits: int | None = None) -> None:
     """Encode every whole text (null: empty), append ``end``, and write images in ascending doc_id order.
 
-    Rows of one doc_id lie side by side.  Columns: part, image, before (ids of
+    Rows of one doc_id lie side by side; rows without one are left out.  Columns: part, image, before (ids of
     the part's earlier images), n_ids, content.
     """
     bits = bits or max(1, (vocabulary - 1).bit_length())
@@ -248,16 +325,14 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
             if not b.num_rows:
                 continue
             part = b.column(2)[0].as_py()
-            texts, names = b.column(1), b.column(0).to_pylist()
-            for i in range(0, len(names), 256):
-                for key, one in zip(names[i : i + 256], enc.encode([t or "" for t in texts.slice(i, 256).to_pylist()])):
-                    one = np.append(one, np.uint32(end))
-                    if ids and size + len(one) > IMAGE_IDS:
-                        yield flush()
-                        image, before = image + 1, before + size
-                        ids, keys, size = [], [], 0
-                    ids.append(one), keys.append(key)
-                    size += len(one)
+            for key, one in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
+                one = np.append(one, np.uint32(end))
+                if ids and size + len(one) > IMAGE_IDS:
+                    yield flush()
+                    image, before = image + 1, before + size
+                    ids, keys, size = [], [], 0
+                ids.append(one), keys.append(key)
+                size += len(one)
         if ids:
             yield flush()
 
@@ -265,7 +340,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     spark = docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     ordered = ordered.withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(run, "part int, image int, before long, n_ids long, content binary").write.mode("overwrite").option("compression", "lz4_raw").parquet(path)
 

@@ -95,6 +95,15 @@ def test_near_duplicates_edges(spark, awkward):
     assert minhash_dedup.match_threshold(0.85) == 16
 
 
+def test_rows_without_id(spark, sf, awkward):
+    none = awkward.withColumn("doc_id", F.when(F.col("doc_id") != 5, F.col("doc_id")))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").union(spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int"))
+    assert minhash_dedup.near_duplicates(none.union(none)).where("doc_id IS NULL AND kept").count() == 0
+    assert bitpack.round_trip(none).count() == len(AWKWARD) - 1
+    for out in (label_sharding.shard(none), token_counts.count_tokens(none), importance.select(none, labels), quality_cascade.judge(none), lattice_codec.digests(none), toxicity.score(none, labels), mixing.mix(none, F.array("source"))):
+        assert out.count() == len(AWKWARD)
+
+
 def test_components(spark):
     s = scratch.Scratch(spark, "test")
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 50), (50, 70)], "a long, b long")

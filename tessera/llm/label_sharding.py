@@ -4,7 +4,9 @@ Documents are linked when their texts are equal.  Every document starts in a
 shard given by a hash of its id.  In each round the linked documents look at how
 many of their neighbours every shard holds and ask to move to the shard with
 most of them that has room for the others; a shard admits movers up to the room
-left under its quota, largest groups first.  Rounds end when nothing moves.  Documents without links cost
+left under its quota, largest groups first.  A group that no shard has room for
+asks for as many shards as it needs at once, its documents dealt over their room.
+Rounds end when nothing moves.  Documents without links cost
 nothing to move and are then used, with whatever linked documents stand over a
 quota, to make the counts exact: law ``rows``, counts at most one apart.
 
@@ -12,7 +14,9 @@ A group of equal texts is never expanded into its links.  Its documents are
 pre-aggregated into at most ``UNITS`` * shards units (documents of one group
 that started in one shard and share a hash bucket), and units move; a group with
 a third of all rows is a few thousand rows, spread over all tasks.  A group
-larger than a quota is cut only as often as it must be.
+larger than a quota is left on as many shards as must hold it, or one or two more
+where the room left is less than a few units; more where other linked documents,
+which do not give way, take the room.
 
 Only built-in functions run on the executors.  The driver sees one number per
 shard and histogram thresholds.
@@ -32,7 +36,6 @@ from .scratch import Scratch
 
 #: Hash buckets of a group's documents per starting shard.
 UNITS = 64
-ROUNDS = 10
 #: Movers of like gain are admitted in this many parts.
 PARTS = 128
 #: Documents of one ranking task.
@@ -50,30 +53,41 @@ def _per_shard(df: DataFrame, label: str, amount: F.Column, shards: int) -> list
 
 def _propagate(units: DataFrame, quotas: list[int], shards: int, s: Scratch) -> DataFrame:
     """units: key, bucket, start, n, label.  The same with labels that have moved towards neighbours."""
-    for turn in range(ROUNDS):
+    turn, held = 0, 0
+    while True:
         room = [q - n for q, n in zip(quotas, _per_shard(units, "label", F.sum("n"), shards))]
-        at = units.groupBy("key", "label").agg(F.sum("n").alias("here"))
-        at = at.join(at.groupBy("key").agg(F.count("*").alias("parts"), F.sum("here").alias("all")).where("parts > 1"), "key")
-        # Best is the shard with most of the group that has room for the rest of it, else the one that can hold most of it.
-        space = _pick(room, F.col("label"))
-        fits = space >= F.col("all") - F.col("here")
-        rank = F.struct(fits.alias("fits"), F.when(fits, F.col("here")).otherwise(F.col("here") + F.greatest(space, F.lit(0))).alias("score"), F.xxhash64("key", "label").alias("tie"), "label")
-        open_ = space * 16 >= F.least("all", F.lit(max(quotas)))
-        best = at.groupBy("key", "all").agg(F.max(F.when(fits | open_, rank)).alias("best")).where("best IS NOT NULL")
-        asks = units.join(at.select("key", "label", "here"), ["key", "label"]).join(best, "key")
-        asks = asks.where((F.col("label") != F.col("best.label")) & (F.col("best.fits") | (F.col("here") * 2 < F.col("best.score"))))
+        at = units.groupBy("key", "label").agg(F.sum("n").alias("here"), F.max("n").alias("unit"))
+        # Every round must leave groups more together than they were, so that rounds come to an end.
+        before, held = held, at.agg(F.sum(F.col("here").cast("decimal(38,0)") * F.col("here"))).first()[0] or 0
+        if held <= before:
+            return units
+        at = at.drop("unit").join(at.groupBy("key").agg(F.count("*").alias("parts"), F.sum("here").alias("all"), F.max("unit").alias("unit")).where("parts > 1"), "key")
+        at = at.withColumns({"space": F.greatest(_pick(room, F.col("label")), F.lit(0)), "tie": F.xxhash64("key", "label")})
+        # Best is the shard with most of the group that has room for the rest of it.
+        fits = F.col("space") >= F.col("all") - F.col("here")
+        best = at.groupBy("key", "all").agg(F.max(F.when(fits, F.struct("here", F.xxhash64(F.lit(turn), "key", "label"), "label"))).alias("best"))
+        # A group that no shard can hold goes to as many as it needs, those that hold and could hold most of it first.
+        by = Window.partitionBy("key").orderBy(F.desc(2 * F.col("here") + F.col("space")), "tie")
+        wide = at.join(best.where("best IS NULL").select("key"), "key").withColumn("open", F.when(F.col("space") >= 4 * F.col("unit"), F.col("space")).otherwise(0))
+        wide = wide.withColumns({"upto": F.sum("open").over(by), "held": F.sum(F.col("here") + F.col("open")).over(by)}).where(F.col("held") - F.col("here") - F.col("open") < F.col("all"))
+        wide = wide.groupBy("key").agg(F.collect_list("label").alias("stay"), F.array_sort(F.collect_list(F.when(F.col("open") > 0, F.struct("upto", "label")))).alias("spots"), F.max("upto").alias("total"))
+        asks = units.join(best.join(wide, "key", "left"), "key")
+        # Its units elsewhere are dealt over the room of those shards in proportion.
+        spot = F.floor(F.pmod(F.xxhash64(F.lit(turn), "key", "bucket", "start"), F.lit(1 << 20)) / (1 << 20) * F.col("total"))
+        spot = F.get(F.filter("spots", lambda x: x["upto"] > spot), F.lit(0))["label"]
+        asks = asks.withColumn("to", F.when(F.col("best").isNotNull(), F.col("best.label")).when(~F.array_contains("stay", F.col("label")), spot)).where(F.col("to") != F.col("label"))
         # A small group asks as one; a large one in parts, so that some of it can be admitted.
-        part = F.when(F.col("best.fits"), F.xxhash64("key")).otherwise(F.xxhash64("key", "bucket", "start"))
-        asks = asks.select("key", "bucket", "start", "n", F.col("best.label").alias("to"), ((F.lit(63) - F.floor(F.log2(F.col("all")))) * PARTS + F.pmod(part, F.lit(PARTS))).cast("int").alias("turn"))
+        part = F.when(F.col("best").isNotNull(), F.xxhash64("key")).otherwise(F.xxhash64("key", "bucket", "start"))
+        asks = asks.select("key", "bucket", "start", "n", "to", ((F.lit(63) - F.floor(F.log2(F.col("all")))) * PARTS + F.pmod(part, F.lit(PARTS))).cast("int").alias("turn"))
         asks = s.table(asks, f"asks{turn}")
         bins = asks.groupBy("to", "turn").agg(F.sum("n").alias("n")).withColumn("sum", F.sum("n").over(Window.partitionBy("to").orderBy("turn")))
         last = _per_shard(bins.where(F.col("sum") <= _pick(room, F.col("to"))), "to", F.max("turn") + 1, shards)
-        admitted = asks.where(F.col("turn") < _pick(last, F.col("to"))).select("key", "bucket", "start", "to")
         if not any(last):
-            break
+            return units
+        admitted = asks.where(F.col("turn") < _pick(last, F.col("to"))).select("key", "bucket", "start", "to")
         units = units.join(admitted, ["key", "bucket", "start"], "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-        units = s.table(units, f"units{turn + 1}")
-    return units
+        turn += 1
+        units = s.table(units, f"units{turn}")
 
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:

@@ -148,6 +148,16 @@ def test_sharding(spark, awkward):
     assert label_sharding.shard(awkward).count() == len(AWKWARD)
 
 
+@pytest.mark.parametrize("share,needed", [(3, 14), (5, 8), (10, 4)])
+def test_sharding_gathers_large_groups(spark, share, needed):
+    n = 12_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % share == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    rows = label_sharding.shard(docs, 40).select("doc_id", "shard").collect()
+    sizes = collections.Counter(r.shard for r in rows)
+    assert len(rows) == n and set(sizes.values()) == {n // 40}
+    assert needed <= len({r.shard for r in rows if r.doc_id % share == 0}) <= needed + 2
+
+
 def test_token_counts(spark, awkward, small):
     from public_tokenizers import path
     from sentencepiece import SentencePieceProcessor

@@ -18,7 +18,9 @@ Rows and queries that share a leaf then meet in one task, where inner products
 of the original vectors are computed in double precision and each query's best
 are kept; their merger is exact reranking of all leaf candidates.  A few
 ``PILOT`` rows give each query a lower bound of its k-th score beforehand, so
-that candidates that cannot matter are not passed on.
+that candidates that cannot matter are not passed on; the best of them are
+candidates too.  So a table of at most ``PILOT`` rows is answered exactly
+whatever the forest finds; with pilot=0 the leaves answer alone.
 
 The model (sample, hyperplanes, rows per leaf) has a fixed bound, whatever the
 input; leaves of more than ``PART`` rows, such as one very frequent vector, are
@@ -218,7 +220,7 @@ def _meet(width: int, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, trees: int = TREES, leaf: int = LEAF, seed: int = 0) -> DataFrame:
+def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, trees: int = TREES, leaf: int = LEAF, seed: int = 0, pilot: int = PILOT) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``queries`` holds for, its k nearest other rows by inner product."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -235,8 +237,8 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, trees: int = TRE
     order = np.argsort(sample["vec_id"].to_numpy(), kind="stable")
     names, sample = sample["vec_id"].to_numpy()[order], _matrix(sample["v"].combine_chunks(), width)[order]
     once = np.unique(names, return_index=True)[1]
-    chosen = once[np.random.default_rng(seed).permutation(len(once))[:PILOT]]
-    pilot = spark.sparkContext.broadcast((names[chosen], sample[chosen].astype(float)))
+    chosen = once[np.random.default_rng(seed).permutation(len(once))[:pilot]]
+    tried = spark.sparkContext.broadcast((names[chosen], sample[chosen].astype(float)))
     forest = spark.sparkContext.broadcast(Forest(sample, length, rows, trees, leaf, seed))
 
     def place(batches):
@@ -259,14 +261,14 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, trees: int = TRE
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 ids, q = b.column(0).slice(i, 256).to_numpy(), _matrix(b.column(1).slice(i, 256), width).astype(float)
-                s = _products(q, pilot.value[1])
-                s[ids[:, None] == pilot.value[0][None]] = -np.inf
+                s = _products(q, tried.value[1])
+                s[ids[:, None] == tried.value[0][None]] = -np.inf
                 yield ids, b.column(1).slice(i, 256), s
 
     def rough(batches):
         for ids, _, s in bound(batches):
             at, r = np.nonzero(np.isfinite(s) & (s >= (np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else -np.inf)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _top(ids[at], pilot.value[0][r], s[at, r], k)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _top(ids[at], tried.value[0][r], s[at, r], k)], ["query_id", "vec_id", "score"])
 
     def walk(batches):
         for ids, v, s in bound(batches):

@@ -131,6 +131,21 @@ def test_nearest(spark):
     assert rp_forest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_forest_alone(spark):
+    """More rows than the pilot has, and the pilot left out: what the leaves find by themselves."""
+    x = np.random.default_rng(3).normal(size=(6000, 16))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert len(x) > rp_forest.PILOT
+    got = collections.defaultdict(set)
+    for r in rp_forest.nearest(df, F.col("vec_id") % 20 == 0, k=20, pilot=0).collect():
+        got[r.query_id].add(r.vec_id)
+    score = x[::20] @ x.T
+    score[np.arange(300), np.arange(300) * 20] = -np.inf
+    near = np.argsort(-score, axis=1)[:, :20]
+    assert set(got) == set(range(0, 6000, 20)) and all(len(v) == 20 for v in got.values())
+    assert sum(len(got[20 * i] & set(n.tolist())) for i, n in enumerate(near)) / near.size > 0.93
+
+
 def test_sharding(spark, awkward):
     texts = ["hot"] * 200 + [f"t{i // 3}" for i in range(300)] + [f"single {i}" for i in range(600)] + AWKWARD
     rows = label_sharding.shard(frame(spark, texts), 8).collect()

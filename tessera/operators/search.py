@@ -17,8 +17,6 @@ from tessera.functions import text as tx
 from tessera.functions import vectors as vec
 
 KEY = ("document_id", "chunk_index")
-#: Largest list of hits that is broadcast to the corpus scan.
-BROADCAST_HITS = 10_000
 
 
 def _ranked(df: DataFrame, k: int, name: str | None = None, nulls_first: bool = False) -> DataFrame:
@@ -89,7 +87,7 @@ def positioned(hits: DataFrame) -> DataFrame:
 
 def fetch_documents(corpus: DataFrame, ids: DataFrame) -> DataFrame:
     """All chunks of the documents, with score 1."""
-    return corpus.join(F.broadcast(ids.select("document_id").distinct().limit(BROADCAST_HITS)), "document_id", "left_semi").select(*KEY, F.lit(1.0).alias("score"))
+    return corpus.join(ids.select("document_id").distinct(), "document_id", "left_semi").select(*KEY, F.lit(1.0).alias("score"))
 
 
 def hit_documents(hits: DataFrame, most: int | None = None) -> DataFrame:
@@ -117,7 +115,7 @@ def expand_smart(corpus: DataFrame, hits: DataFrame) -> DataFrame:
     """Documents hit twice, or beyond their first chunk, are fetched whole, in document order; other hits follow."""
     docs = hits.groupBy("document_id").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("chunk_index"), F.lit(0)) > 0).alias("later")).where("n >= 2 OR later").select("document_id")
     whole = fetch_documents(corpus, docs).withColumns({"_part": F.lit(0), "_at": F.lit(0)})
-    rest = hits.join(F.broadcast(docs.limit(BROADCAST_HITS)), "document_id", "left_anti").select(*KEY, "score", F.lit(1).alias("_part"), F.col("pos").alias("_at"))
+    rest = hits.join(docs, "document_id", "left_anti").select(*KEY, "score", F.lit(1).alias("_part"), F.col("pos").alias("_at"))
     both = whole.unionByName(rest)
     first = both.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy("_part", "_at"))).where("_n = 1")
     return first.select(*KEY, "score", F.row_number().over(Window.orderBy("_part", "_at", *KEY)).alias("pos"))

@@ -106,6 +106,15 @@ def test_readers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).first().embedding == "[1.0,2.0]"
 
 
+def test_expansion_of_many_documents(spark):
+    n = 10_050
+    corpus = spark.range(2 * n).select((F.col("id") / 2).cast("long").alias("document_id"), (F.col("id") % 2).cast("int").alias("chunk_index"))
+    hits = corpus.where("chunk_index = 1").withColumns({"score": F.lit(0.5), "pos": F.col("document_id").cast("int") + 1})
+    for out in (search.expand_list(corpus, hits), search.expand_smart(corpus, hits)):
+        rows = out.collect()
+        assert len(rows) == len({(r.document_id, r.chunk_index) for r in rows}) == 2 * n and {r.score for r in rows} == {1.0}
+
+
 def test_daily_stream_equals_batch(spark, sf, tmp_path):
     logs = tables.query_logs(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp"))
     logs.write.parquet(str(tmp_path / "logs"))

@@ -4,9 +4,11 @@ Every distinct word-run set gets a MinHash signature of ``K`` coordinates and is
 posted under coordinate-value tokens.  Two sets that agree in at least ``T``
 coordinates share a token among the first ``K - T + 1`` tokens of either, when
 all sets order their tokens alike; here rare tokens come first, so passages that
-many documents share stay out of the postings (prefix merging).  Collisions are
-counted per pair, pairs whose rest of the signature cannot reach ``T`` are
-skipped, and the survivors are confirmed on the full sets of the whole texts.
+many documents share stay out of the postings (prefix merging).  Pairs that
+collide are counted on their packed signatures, those that agree in fewer than
+``T`` coordinates there are skipped, and the survivors are confirmed on the full
+sets of the whole texts.  (The count of collisions itself rules nothing out: one
+among the first ``K - T + 1`` tokens leaves ``T - 1`` behind the last of them.)
 
 No posting list is expanded into all its pairs.  First each list's members meet
 only the list's most central member, its hub.  What could still join two classes:

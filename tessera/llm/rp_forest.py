@@ -14,17 +14,19 @@ computed, and so many rows are asked for that ``RECALL`` of them are reached.
 (Vectors without any structure need a fixed share of all rows, whatever the
 index; structured ones need few.)
 
-Rows and queries that share a leaf then meet in one task, where inner products
-of the original vectors are computed in double precision and each query's best
-are kept; their merger is exact reranking of all leaf candidates.  A few
-``PILOT`` rows give each query a lower bound of its k-th score beforehand, so
-that candidates that cannot matter are not passed on; the best of them are
-candidates too.  So a table of at most ``PILOT`` rows is answered exactly
-whatever the forest finds; with pilot=0 the leaves answer alone.
+Rows and queries that share a leaf then meet in one task.  The first ``HOME`` of
+what a query asks for, its most promising leaves, goes first; the k-th score
+found there is a lower bound with which it visits the other leaves, so that
+these pass on only what can still matter, and what is passed on grows with the
+queries, not with the rows they meet.  Products are screened by a matrix
+product; scores are inner products of the original vectors in double precision,
+summed in order, and the merger of the leaves' hits is their exact reranking.
+All answers come from leaves.
 
 The model (sample, hyperplanes, rows per leaf) has a fixed bound, whatever the
 input; leaves of more than ``PART`` rows, such as one very frequent vector, are
-split over several tasks.
+split over several tasks.  A task holds the rows of one part of a leaf; the
+queries stream past them.
 
 Rows: vectors that are null, zero, of another length than most, or that hold
 null or non-finite numbers take no part; a query never finds its own vec_id;
@@ -42,9 +44,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, small_batches
+from .wordhash import mix
 
-TREES, LEAF, PART = 12, 200, 4_096
-RECALL, CALIBRATED, PILOT = 0.96, 100, 4_000
+TREES, LEAF, PART = 6, 200, 4_096
+#: Share of the true neighbours to be reached, vectors it is calibrated on, and share of a query's rows that it visits first.
+RECALL, CALIBRATED, HOME = 0.95, 200, 0.125
 #: Bounds of the sample that the trees are fitted on and of their hyperplanes.
 SAMPLE_ROWS, SAMPLE_BYTES, MODEL_BYTES = 60_000, 48 << 20, 32 << 20
 
@@ -52,7 +56,7 @@ SAMPLE_ROWS, SAMPLE_BYTES, MODEL_BYTES = 60_000, 48 << 20, 32 << 20
 class Forest:
     """normals, offsets: of inner nodes; child: node or, below 0, leaf; numbered through all trees."""
 
-    def __init__(self, sample: np.ndarray, length: float, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = 0):
+    def __init__(self, sample: np.ndarray, length: float, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = 0, k: int = 20):
         self.length = length
         x, rng = self.lift(sample), np.random.default_rng(seed)
         width = x.shape[1]
@@ -93,9 +97,10 @@ class Forest:
                     child[parent[0]][parent[1]] = node
         self.normals = np.array(normals, np.float32).reshape(-1, width)
         self.offsets, self.child, self.leaves = np.array(offsets, np.float32), np.array(child, np.int64).reshape(-1, 2), leaves
-        self.enough = self._calibrate(sample, np.array(held), rng) * rows / max(1, len(x))
+        # In any case leaves that hold k rows besides the query's own, each being in every tree.
+        self.enough = max(self._calibrate(sample, np.array(held), rng, k) * rows / max(1, len(x)), trees * (k + 1))
 
-    def _calibrate(self, sample: np.ndarray, held: np.ndarray, rng, k: int = 20) -> float:
+    def _calibrate(self, sample: np.ndarray, held: np.ndarray, rng, k: int) -> float:
         """Rows that leaves must hold, in the sample, for RECALL of the k nearest sampled vectors to be among them."""
         need = []
         for j in rng.permutation(len(sample))[:CALIBRATED]:
@@ -158,10 +163,10 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in order of the coordinates."""
-    s = np.zeros((len(q), len(x)))
+    """Inner products of rows in double precision, summed in order of the coordinates."""
+    s = np.zeros(len(q))
     for d in range(q.shape[1]):
-        s += np.multiply.outer(q[:, d], x[:, d])
+        s += q[:, d] * x[:, d]
     return s
 
 
@@ -176,51 +181,61 @@ def _top(who: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[n
 
 
 def _meet(width: int, k: int):
-    """Per run of (leaf, part): queries come first, then rows; yields each query's k best of the run."""
+    """Per run of (leaf, part): rows come first and are held, queries stream past; yields each query's k best of the run that reach its bound."""
 
-    def run(batches):
-        key, ids, q, low = None, np.zeros(0, np.int64), np.zeros((0, width)), np.zeros(0)
-        hits: list = []
-        size, last = 0, None
-
-        def done():
-            if hits:
-                who, vec, score = _top(*(np.concatenate(x) for x in zip(*hits)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
+    def hits(ids, q, low, names, x):
+        size = np.sqrt((q**2).sum(1)) * np.sqrt((x**2).sum(1).max())
+        s = q @ x.T
+        s[ids[:, None] == names[None]] = -np.inf
+        if len(names) > k:
+            low = np.maximum(low, np.partition(s, -k, axis=1)[:, -k])
+        at, r = np.nonzero((s >= (low - 1e-13 * width * size)[:, None]) & np.isfinite(s))
+        return _top(ids[at], names[r], _products(q[at], x[r]), k)
 
+    def run(batches):
+        key, names, rows, met, size = None, [], [], [], 0
         for b in batches:
             if not b.num_rows:
                 continue
-            leaf, part, row = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            rid, x, bound = b.column(3).to_numpy(), _matrix(b.column(4), width).astype(float), b.column(5).to_numpy()
-            cut = np.flatnonzero((leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1]) | (row[1:] != row[:-1])) + 1
+            leaf, part, asks, rid, bound = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 3, 5))
+            x = _matrix(b.column(4), width)
+            cut = np.flatnonzero((leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1])) + 1
             for a, z in zip([0, *cut], [*cut, len(leaf)]):
                 if key != (leaf[a], part[a]):
-                    yield from done()
-                    key, ids, q, low, hits, size, last = (leaf[a], part[a]), rid[:0], x[:0], bound[:0], [], 0, None
-                # Rows come in order of their id; one repeated is met once.
-                fresh = np.concatenate(([rid[a] != last or row[a] == 0], rid[a + 1 : z] != rid[a : z - 1]))
-                last = rid[z - 1] if row[a] else None
-                if not row[a]:
-                    ids, q, low = np.concatenate((ids, rid[a:z])), np.concatenate((q, x[a:z])), np.concatenate((low, bound[a:z]))
+                    key, names, rows = (leaf[a], part[a]), [], []
+                if not asks[a]:
+                    # Rows come in order of their id; one repeated is met once.
+                    fresh = a + np.flatnonzero(np.concatenate(([not names or rid[a] != names[-1][-1]], rid[a + 1 : z] != rid[a : z - 1])))
+                    if len(fresh):
+                        names.append(rid[fresh]), rows.append(x[fresh].astype(float))
                     continue
-                for i in range(a, z if len(ids) else a, 512):
-                    block = i + np.flatnonzero(fresh[i - a : min(z, i + 512) - a])
-                    for c in range(0, len(ids), 2048):
-                        s = _products(q[c : c + 2048], x[block])
-                        at, r = np.nonzero((s >= low[c : c + 2048, None]) & (ids[c : c + 2048, None] != rid[block][None]))
-                        if len(at):
-                            hits.append((ids[c + at], rid[block][r], s[at, r]))
-                            size += len(at)
-                    if size > 4 * k * len(ids) + 100_000:
-                        hits = [_top(*(np.concatenate(v) for v in zip(*hits)), k)]
-                        size = len(hits[0][0])
-        yield from done()
+                if len(names) > 1:
+                    names, rows = [np.concatenate(names)], [np.concatenate(rows)]
+                for i in range(a, z if names else a, 256):
+                    j = min(z, i + 256)
+                    met.append(hits(rid[i:j], x[i:j].astype(float), bound[i:j], names[0], rows[0]))
+                    size += len(met[-1][0])
+                    if size > 100_000:
+                        yield _hits(met)
+                        met, size = [], 0
+        if size:
+            yield _hits(met)
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, trees: int = TREES, leaf: int = LEAF, seed: int = 0, pilot: int = PILOT) -> DataFrame:
+def _hits(met: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*met)], ["query_id", "vec_id", "score"])
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of each query."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, trees: int = TREES, leaf: int = LEAF, seed: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``queries`` holds for, its k nearest other rows by inner product."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -233,13 +248,10 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, trees: int = TRE
     base = base.where(F.size("v") == width)
     most = min(SAMPLE_ROWS, SAMPLE_BYTES // (4 * width))
     sample = base if rows <= most else base.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < int((1 << 30) * most / rows))
-    sample = sample.select("vec_id", "v").toArrow()
+    sample = sample.groupBy("vec_id").agg(F.min("v").alias("v")).toArrow()
     order = np.argsort(sample["vec_id"].to_numpy(), kind="stable")
-    names, sample = sample["vec_id"].to_numpy()[order], _matrix(sample["v"].combine_chunks(), width)[order]
-    once = np.unique(names, return_index=True)[1]
-    chosen = once[np.random.default_rng(seed).permutation(len(once))[:pilot]]
-    tried = spark.sparkContext.broadcast((names[chosen], sample[chosen].astype(float)))
-    forest = spark.sparkContext.broadcast(Forest(sample, length, rows, trees, leaf, seed))
+    sample = _matrix(sample["v"].combine_chunks(), width)[order]
+    forest = spark.sparkContext.broadcast(Forest(sample, length, rows, trees, leaf, seed, k))
 
     def place(batches):
         for b in batches:
@@ -251,53 +263,56 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, trees: int = TRE
     kind = base.schema["v"].dataType.simpleString()
     placed = s.table(base.mapInArrow(place, f"vec_id long, v {kind}, asks boolean, leaves array<int>"), "placed")
     sizes = np.zeros(forest.value.leaves, np.int64)
-    for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
-        sizes[r[0]] = r[1]
-    parts = -(-sizes // PART)
-    facts = spark.sparkContext.broadcast((sizes, parts))
+    for r in placed.select(F.explode("leaves").alias("leaf"), "vec_id").groupBy("leaf").agg(F.count_distinct("vec_id").alias("n")).toLocalIterator():
+        sizes[r.leaf] = r.n
+    facts = spark.sparkContext.broadcast((sizes, -(-sizes // PART)))
+
+    def rows_of(leaf, part, asks, ids, v, low, at):
+        at = pa.array(at)
+        columns = [pa.array(leaf, pa.int32()), pa.array(part, pa.int32()), pa.array(np.full(len(at), asks, np.int32)), ids.take(at), v.take(at), low.take(at)]
+        return pa.RecordBatch.from_arrays(columns, ["leaf", "part", "asks", "id", "v", "low"])
 
-    def bound(batches):
-        """Each query's k best pilot rows, and the k-th score of them."""
+    def held(batches):
+        """Every row in its part of its leaf of every tree."""
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                ids, q = b.column(0).slice(i, 256).to_numpy(), _matrix(b.column(1).slice(i, 256), width).astype(float)
-                s = _products(q, tried.value[1])
-                s[ids[:, None] == tried.value[0][None]] = -np.inf
-                yield ids, b.column(1).slice(i, 256), s
-
-    def rough(batches):
-        for ids, _, s in bound(batches):
-            at, r = np.nonzero(np.isfinite(s) & (s >= (np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else -np.inf)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _top(ids[at], tried.value[0][r], s[at, r], k)], ["query_id", "vec_id", "score"])
-
-    def walk(batches):
-        for ids, v, s in bound(batches):
-            low = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(ids), -np.inf)
-            at, part, who = [], [], []
-            for i, q in enumerate(_matrix(v, width)):
-                for x in forest.value.search(q, facts.value[0], forest.value.enough):
-                    n = int(facts.value[1][x])
-                    at += [x] * n
-                    part += range(n)
-                    who += [i] * n
-            who = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(part, pa.int32()), pa.array([0] * len(at), pa.int32()), pa.array(ids).take(who), v.take(who), pa.array(low).take(who)], ["leaf", "part", "row", "id", "v", "low"])
-
-    schema = f"leaf int, part int, row int, id long, v {kind}, low double"
+            for i in range(0, b.num_rows, 512):
+                ids, v, leaves = (b.column(c).slice(i, 512) for c in (0, 1, 3))
+                leaf, at = leaves.flatten().to_numpy(), np.repeat(np.arange(len(ids)), trees)
+                part = mix(ids.to_numpy()[at].astype(np.uint64), 9) % facts.value[1][leaf].astype(np.uint64)
+                yield rows_of(leaf, part.astype(np.int32), 0, ids, v, pa.array(np.zeros(len(ids))), at)
+
+    def visits(first: bool):
+        """Every query in all parts of the leaves it visits first, or of the others."""
+
+        def run(batches):
+            sizes, parts = facts.value
+            for b in batches:
+                for i in range(0, b.num_rows, 64):
+                    ids, v, low = (b.column(c).slice(i, 64) for c in range(3))
+                    leaf, part, at = [], [], []
+                    for j, q in enumerate(_matrix(v, width)):
+                        found = np.array(forest.value.search(q, sizes, forest.value.enough), np.int64)
+                        held = np.cumsum(sizes[found])
+                        home = held - sizes[found] < max(HOME * forest.value.enough, trees * (k + 1))
+                        for x in found[home == first].tolist():
+                            n = int(parts[x])
+                            leaf += [x] * n
+                            part += range(n)
+                            at += [j] * n
+                    yield rows_of(leaf, part, 1, ids, v, low, np.array(at, np.int64))
+
+        return run
+
+    schema = f"leaf int, part int, asks int, id long, v {kind}, low double"
+
+    def meet(asking: DataFrame, first: bool) -> DataFrame:
+        both = placed.mapInArrow(held, schema).unionByName(asking.mapInArrow(visits(first), schema))
+        return both.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "asks", "id").mapInArrow(_meet(width, k), "query_id long, vec_id long, score double")
+
     asks = placed.where("asks").select("vec_id", "v")
-    asked = asks.mapInArrow(walk, schema)
-    cut = F.get(F.array(F.lit(1)), F.lit(0))
-    held = placed.select(F.explode("leaves").alias("leaf"), F.col("vec_id").alias("id"), "v")
-    hot = {int(x): int(parts[x]) for x in np.flatnonzero(parts > 1)}
-    if hot:
-        cut = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col("leaf")), F.lit(1))
-    held = held.select("leaf", F.pmod(F.xxhash64("id"), cut).cast("int").alias("part"), F.lit(1).alias("row"), "id", "v", F.lit(0.0).alias("low"))
-    met = asked.unionByName(held).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "row", "id")
-    found = met.mapInArrow(_meet(width, k), "query_id long, vec_id long, score double")
-    found = found.unionByName(asks.mapInArrow(rough, "query_id long, vec_id long, score double"))
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    out = s.table(out, "result")
+    near = s.table(_best(meet(asks.withColumn("low", F.lit(float("-inf"))), True), k), "near")
+    bound = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("low"))
+    rest = meet(asks.join(bound, "vec_id", "left").withColumn("low", F.coalesce("low", F.lit(float("-inf")))), False)
+    out = s.table(_best(near.drop("rank").unionByName(rest), k), "result")
     s.drop(keep=("result",))
     return out

@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade of column expressions.
 
-Each rule is a condition that rejects a document.  On a bounded sample the cost
-of evaluating each rule and the share of documents that it rejects are
-estimated; the rules are then tried in the order of rejection per cost, and a
-document is settled by the first rule that rejects it.  The order changes the
-work and the reported first rule, never the verdict.
+Each rule is a condition that rejects a document.  On a hashed sample the cost of
+evaluating each rule and the share of documents that it rejects are estimated;
+the rules are then tried in the order of rejection per cost, and a document is
+settled by the first rule that rejects it.  The order changes the work and the
+reported first rule, never the verdict.  Costs are work units, linear in the
+sampled characters, words and lines, so that the same table always gives the
+same order.
 
 Everything is built-in functions on the JVM: no Python runs per row, and there
 is no shuffle.
@@ -16,41 +18,51 @@ empty result; a column of the input named like a result column is replaced.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = r"[^\x20\x09-\x0D]+"
-SYMBOLS = r"[#*$%&|<>]"
-#: Documents on which costs and selectivities are estimated.
+#: About so many documents, chosen by a hash of their id, give the estimates.
 SAMPLE_ROWS = 400
 WINDOW = 8
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0))
+def _full(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
 
+def lazily(value: Column, then) -> Column:
+    """``then`` of a value computed once: it is bound as the element of a one-element array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORDS)).cast("long")
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(_full(text), F.lit(WORDS), F.lit(0))
 
 
 def word_chars(text: Column) -> Column:
     """Code points in words: all but white space."""
-    return F.char_length(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")).cast("long")
+    return (F.char_length(_full(text)) - F.regexp_count(_full(text), F.lit(r"[\x20\x09-\x0D]"))).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    return (F.char_length(t) - F.char_length(F.translate(t, "#*$%&|<>", ""))).cast("long")
+    return F.regexp_count(_full(text), F.lit(r"[#*$%&|<>]")).cast("long")
 
 
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+    lines = F.filter(F.split(_full(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return lazily(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+
+
+def n_lines(text: Column) -> Column:
+    return F.size(F.split(_full(text), "\n")).cast("long")
+
+
+def n_capitals(text: Column) -> Column:
+    return F.regexp_count(_full(text), F.lit(r"\p{Lu}")).cast("long")
 
 
 def repeated_words(ws: Column) -> Column:
@@ -64,10 +76,6 @@ def repeated_words(ws: Column) -> Column:
     def windows(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)]))
 
-    def lazily(values: Column, then) -> Column:
-        """``then`` of an array computed once: the array is bound as the element of a one-element array."""
-        return F.get(F.transform(F.array(values), then), F.lit(0))
-
     def covered(g: Column) -> Column:
         at = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         here = lazily(at, lambda at: F.transform(at, lambda x, k: F.when((F.get(at, k - 1)["h"] == x["h"]) | (F.get(at, k + 1)["h"] == x["h"]), x["i"])))
@@ -78,59 +86,62 @@ def repeated_words(ws: Column) -> Column:
     return F.when(F.size(ws) < WINDOW + 1, F.lit(0)).otherwise(counted).cast("long")
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """What the rules look at; each a column expression over the whole text."""
+def measures(text: Column, ws: Column) -> dict[str, Column]:
+    """What the rules look at; each a column expression over the whole text or its words ``ws``."""
     return {
-        "n_words": n_words(text),
+        "n_words": F.size(ws).cast("long"),
         "word_chars": word_chars(text),
         "n_symbols": n_symbols(text),
         "n_dup_lines": n_dup_lines(text),
-        "n_repeat_words": repeated_words(words(text)),
-        "n_lines": F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long"),
-        "n_capitals": F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\p{Lu}")).cast("long"),
+        "n_repeat_words": repeated_words(ws),
+        "n_lines": n_lines(text),
+        "n_capitals": n_capitals(text),
     }
 
 
+#: Work of a measure: per character, per word and per line, in units of one compared character.
+UNITS = {"n_words": (0.0, 0.1, 0.0), "word_chars": (1.0, 2.0, 0.0), "n_symbols": (1.0, 0.0, 0.0), "n_dup_lines": (3.0, 0.0, 20.0), "n_repeat_words": (0.0, 60.0, 0.0), "n_lines": (0.5, 0.0, 5.0), "n_capitals": (1.5, 0.0, 0.0)}
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
     rejects: Column
+    needs: tuple[str, ...]
 
 
 def default_rules(m: dict[str, Column]) -> list[Rule]:
     """Rules over the measures, in integer arithmetic."""
     return [
-        Rule("few_words", m["n_words"] < 20),
-        Rule("symbols", m["n_symbols"] * 10 > m["n_words"]),
-        Rule("word_length", (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
-        Rule("dup_lines", m["n_dup_lines"] * 2 > m["n_lines"]),
-        Rule("capitals", m["n_capitals"] * 2 > m["word_chars"]),
-        Rule("repeated_words", m["n_repeat_words"] * 100 > m["n_words"] * 30),
+        Rule("few_words", m["n_words"] < 20, ("n_words",)),
+        Rule("symbols", m["n_symbols"] * 10 > m["n_words"], ("n_symbols", "n_words")),
+        Rule("word_length", (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"]), ("word_chars", "n_words")),
+        Rule("dup_lines", m["n_dup_lines"] * 2 > m["n_lines"], ("n_dup_lines", "n_lines")),
+        Rule("capitals", m["n_capitals"] * 2 > m["word_chars"], ("n_capitals", "word_chars")),
+        Rule("repeated_words", m["n_repeat_words"] * 100 > m["n_words"] * 30, ("n_repeat_words", "n_words")),
     ]
 
 
-def estimate(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) of each rule on a sample of ``rows`` documents.
+def estimate(docs: DataFrame, rules, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
+    """{rule: (work units, share rejected)} of a document, on about ``rows`` documents chosen by a hash of doc_id.
 
     The sample serves only to put the rules in order; every document is judged.
+    One job that keeps sums alone; a table of at most ``rows`` is taken whole.
     """
-    sample = docs.limit(rows).cache()
-    try:
-        total = max(1, sample.count())
-        found = []
-        for rule in rules:
-            one = sample.agg(F.count_if(F.coalesce(rule.rejects, F.lit(False))).alias("n"))
-            began = time.perf_counter()
-            rejected = one.first()["n"]
-            found.append((rule, time.perf_counter() - began, rejected / total))
-        return found
-    finally:
-        sample.unpersist()
+    every = max(1, docs.count() // max(1, rows))
+    m = measures(F.col("text"), words(F.col("text")))
+    some = docs.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(every)) == 0).select(*[c.alias(k) for k, c in m.items()], F.char_length(_full(F.col("text"))).alias("chars"))
+    made = rules({k: F.col(k) for k in m})
+    sums = [F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"sum_{c}") for c in ("chars", "n_words", "n_lines")], *[F.count_if(F.coalesce(r.rejects, F.lit(False))).alias(r.name) for r in made]]
+    got = some.agg(*sums).first()
+    n = max(1, got["n"])
+    sizes = (got["sum_chars"] / n, got["sum_n_words"] / n, got["sum_n_lines"] / n)
+    return {r.name: (1.0 + sum(u * x for c in r.needs for u, x in zip(UNITS.get(c, (1.0, 1.0, 1.0)), sizes)), got[r.name] / n) for r in made}
 
 
-def cascade_order(estimates: list[tuple[Rule, float, float]]) -> list[str]:
-    """Names of the rules, most rejection per cost first; ties by name."""
-    return [r.name for r, _, _ in sorted(estimates, key=lambda x: (-(x[2] + 1e-4) / max(x[1], 1e-6), x[0].name))]
+def cascade_order(estimates: dict[str, tuple[float, float]]) -> list[str]:
+    """Names of the rules, most rejection per cost first; ties by name.  A rule that rejected none comes by its cost."""
+    return sorted(estimates, key=lambda r: (-(estimates[r][1] + 1e-4) / estimates[r][0], r))
 
 
 def first_rejection(rules: list[Rule], order: list[str]) -> Column:
@@ -142,14 +153,27 @@ def first_rejection(rules: list[Rule], order: list[str]) -> Column:
 
 
 def judge(docs: DataFrame, rules=default_rules) -> DataFrame:
-    """doc_id, all measures, ``rejected_by`` and ``kept`` for every document."""
-    m = measures(F.col("text"))
-    order = cascade_order(estimate(docs.select("text"), rules(m)))
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in m.items()])
-    return measured.withColumn("rejected_by", first_rejection(rules({k: F.col(k) for k in m}), order)).withColumn("kept", F.col("rejected_by").isNull())
+    """doc_id, the base measures, ``rejected_by`` and ``kept`` for every document.
+
+    The base measures are asked for of every document, so they are computed once
+    each; what else a rule needs is computed only where the cascade gets to it.
+    """
+    text = F.col("text")
+    order = cascade_order(estimate(docs.select("doc_id", "text"), rules))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", words(text).alias("ws"))
+    m = measures(text, F.col("ws"))
+    asked = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    measured = base.select("doc_id", "text", *[m[k].alias(k) for k in asked])
+    known = m | {k: F.col(k) for k in asked}
+    return measured.select("doc_id", *asked, first_rejection(rules(known), order).alias("rejected_by")).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def keep_good(docs: DataFrame, rules=default_rules) -> DataFrame:
-    """The documents that no rule rejects, with their own columns; measures are computed only as far as the cascade gets."""
-    own = rules(measures(F.col("text")))
-    return docs.where(first_rejection(own, cascade_order(estimate(docs.select("text"), own))).isNull())
+    """The documents that no rule rejects, with their own columns.
+
+    Words are found once and handed to the rules; every other measure is
+    computed only as far as the cascade gets.
+    """
+    text = F.col("text")
+    order = cascade_order(estimate(docs.select("doc_id", "text"), rules))
+    return docs.where(lazily(words(text), lambda ws: F.coalesce(first_rejection(rules(measures(text, ws)), order), F.lit(""))) == "")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, fresh, give_back, lean, small_batches
 from .wordhash import LOWER, blocks, mix, span_hashes
 
 BUCKET_BITS = 16
@@ -79,7 +79,7 @@ def counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    found = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("text").mapInArrow(lean(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(1 << BUCKET_BITS)
     total[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return total
@@ -95,6 +95,7 @@ def log_weight(ratios):
             sums = np.concatenate(([0.0], np.cumsum(ratios.value[bucket])))[firsts]
             n = np.diff(firsts)
             out.append(WEIGHT * np.diff(sums) / np.maximum(n, 1))
+        give_back()
         return pa.array(np.round(np.concatenate(out), 9) if out else np.zeros(0), pa.float64())
 
     return weigh
@@ -170,5 +171,5 @@ def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFra
     _, last, ratios = scores(docs, labels, seed)
     if last is None:
         return docs.limit(0)
-    keyed = docs.withColumn("_key", _key(log_weight(ratios)(F.col("text")), seed))
-    return keyed.where(F.col("_key") >= last).drop("_key")
+    own = fresh("_key", docs)
+    return docs.withColumn(own, _key(log_weight(ratios)(F.col("text")), seed)).where(F.col(own) >= last).drop(own)

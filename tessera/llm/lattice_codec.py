@@ -32,15 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pieces import BAR, SEGMENTS, load
-from .scratch import small_batches
+from .scratch import lean, small_batches
 from .wordhash import mix
 
 #: Longest segment that takes the array path, and characters of one block of texts.
-SHORT, BLOCK_CHARS = 24, 700_000
+SHORT, BLOCK_CHARS = 24, 400_000
 #: Beyond this length weights are rescaled on the way.
 SAFE = 80
-_NONE = (None, 0.0, None)
-_P, _M, _SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 20
+_P, _M, _SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 19
 
 
 class _Table:
@@ -88,44 +87,32 @@ class Codec:
         # A factor per character that all paths of a segment share keeps sums near 1.
         self.byte_weight = 2.0**-20 * 24.0
         self.literal = tuple(p.byte_id[b] for b in BAR.encode())
-        self.trie: dict = {}
-        weights = {}
+        self.edges: dict[str, tuple[float, tuple[int]]] = {}
         for piece, score in p.score.items():
             rank = -score if score > -1e8 else float(p.size)
-            node = self.trie
-            for c in piece[:-1]:
-                node = node.setdefault(c, [{}, 0.0, None])[0]
-            weight = (rank + 2.0) ** -theta * 24.0 ** len(piece)
-            node.setdefault(piece[-1], [{}, 0.0, None])[1:] = [weight, (p.id[piece],)]
-            weights[piece] = (p.id[piece], weight)
-        self.table = _Table(weights)
+            self.edges[piece] = (rank + 2.0) ** -theta * 24.0 ** len(piece), (p.id[piece],)
+        self.table = _Table({piece: (ids[0], weight) for piece, (weight, ids) in self.edges.items()})
 
     # One segment
 
     def forward(self, s: str) -> list[list[tuple[float, int, tuple[int, ...]]]]:
         """For each end, (weight of all paths up to and with this edge, start, ids) of the edges that lead there."""
-        n, trie, byte_weight = len(s), self.trie, self.byte_weight
+        n, edges, longest, byte_weight = len(s), self.edges, self.pieces.longest, self.byte_weight
         total = [0.0] * (n + 1)
         total[0] = 1.0
         to: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
             t = total[i]
             if n > SAFE and not 1e-100 < t < 1e100:
-                for k in range(i, min(n, i + self.pieces.longest) + 1):
+                for k in range(i, min(n, i + longest) + 1):
                     total[k] /= t
                     to[k] = [(c / t, a, ids) for c, a, ids in to[k]]
                 t = total[i]
-            node, j = trie, i
-            while j < n:
-                step = node.get(s[j])
-                if step is None:
-                    break
-                j += 1
-                node, w, ids = step
-                if ids is not None:
-                    total[j] += t * w
-                    to[j].append((total[j], i, ids))
-            if trie.get(s[i], _NONE)[2] is None:
+            for j in range(i + 1, min(n, i + longest) + 1):
+                if edge := edges.get(s[i:j]):
+                    total[j] += t * edge[0]
+                    to[j].append((total[j], i, edge[1]))
+            if s[i] not in edges:
                 raw = s[i].encode()
                 total[i + 1] += t * byte_weight ** len(raw)
                 to[i + 1].append((total[i + 1], i, tuple(self.pieces.byte_id[b] for b in raw)))
@@ -276,10 +263,8 @@ def _codec(model: str, theta: float) -> Codec:
     return _codecs[model, theta]
 
 
-def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", theta: float = 1.0, seed: int = 0, column: str = "piece_ids") -> DataFrame:
-    """The rows with an array of the ids of one sampled segmentation of the whole text, keyed by doc_id."""
-    base = docs.drop(column)
-    schema = T.StructType([*base.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType(), False), True)])
+def _encoding(model: str, theta: float, seed: int, column: str):
+    """Batches with doc_id and text get a column of ids."""
 
     def run(batches):
         codec = _codec(model, theta)
@@ -298,14 +283,11 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", theta: float = 1
                 yield pa.RecordBatch.from_arrays([*b.slice(a, z - a).columns, ids], [*b.schema.names, column])
                 a = z
 
-    small_batches(docs.sparkSession)
-    return base.mapInArrow(run, schema)
+    return run
 
 
-def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", column: str = "piece_ids", into: str = "decoded") -> DataFrame:
-    """The rows with the text that the ids stand for."""
-    base = encoded.drop(into)
-    schema = T.StructType([*base.schema.fields, T.StructField(into, T.StringType(), True)])
+def _decoding(model: str, column: str, into: str):
+    """Batches with a column of ids get the text that they stand for."""
 
     def run(batches):
         codec = _codec(model, 1.0)
@@ -315,19 +297,62 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", column: str =
                 texts = [None if x is None else codec.decode(x) for x in part.column(part.schema.get_field_index(column)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, into])
 
+    return run
+
+
+def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(name, kind, True)])
+
+
+def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", theta: float = 1.0, seed: int = 0, column: str = "piece_ids") -> DataFrame:
+    """The rows with an array of the ids of one sampled segmentation of the whole text, keyed by doc_id.
+
+    A column of the input named like ``column`` is replaced.
+    """
+    small_batches(docs.sparkSession)
+    base = docs.drop(column)
+    return base.mapInArrow(lean(_encoding(model, theta, seed, column)), _with(base, column, T.ArrayType(T.IntegerType(), False)))
+
+
+def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", column: str = "piece_ids", into: str = "decoded") -> DataFrame:
+    """The rows with the text that the ids stand for; a column named like ``into`` is replaced."""
     small_batches(encoded.sparkSession)
-    return base.mapInArrow(run, schema)
+    base = encoded.drop(into)
+    return base.mapInArrow(lean(_decoding(model, column, into)), _with(base, into, T.StringType()))
+
+
+def coded(docs: DataFrame, model: str = "piece_bpe_32k.model", theta: float = 1.0, seed: int = 0) -> DataFrame:
+    """The rows with piece_ids, and lossless: whether decoding them gives the text back.
+
+    Both directions run in one Python worker, ids and decoded text never
+    leaving it in between.  Columns of these names are replaced; lossless is
+    true for a null text too, which has null ids.
+    """
+    small_batches(docs.sparkSession)
+    base = docs.drop("piece_ids", "lossless")
+    schema = _with(base, "piece_ids", T.ArrayType(T.IntegerType(), False)).add("lossless", T.BooleanType())
+
+    def run(batches):
+        codec = _codec(model, theta)
+        for b in _encoding(model, theta, seed, "piece_ids")(batches):
+            same, at = [], b.schema.get_field_index("text")
+            for i in range(0, b.num_rows, 128):
+                part = b.slice(i, 128)
+                same += [t is None and ids is None or ids is not None and codec.decode(ids) == t for ids, t in zip(part.column(b.num_columns - 1).to_pylist(), part.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same, pa.bool_())], [*b.schema.names, "lossless"])
+
+    return base.mapInArrow(lean(run), schema)
 
 
 def digests(docs: DataFrame, **kw) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), lossless."""
+    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), lossless; all null for a null text."""
     import zlib
 
-    model = kw.get("model", "piece_bpe_32k.model")
+    model, theta, seed = kw.get("model", "piece_bpe_32k.model"), kw.get("theta", 1.0), kw.get("seed", 0)
 
     def run(batches):
-        codec = _codec(model, 1.0)
-        for b in batches:
+        codec = _codec(model, theta)
+        for b in _encoding(model, theta, seed, "piece_ids")(batches):
             n, crc, same = [], [], []
             for i in range(0, b.num_rows, 128):
                 for ids, text in zip(b.column(2).slice(i, 128), b.column(1).slice(i, 128).to_pylist()):
@@ -339,5 +364,5 @@ def digests(docs: DataFrame, **kw) -> DataFrame:
                     same.append(codec.decode(values.tolist()) == text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
-    coded = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **kw)
-    return coded.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")

@@ -1,22 +1,26 @@
 """Tables written between steps, in the folder that all executors share.
 
 A written table cuts lineage and outlives a lost executor.  The folder is the
-one the cluster names in ``spark.checkpoint.dir``; only where that is unset (as
-in tests) a local one is made.
+one the cluster names in ``spark.checkpoint.dir``; only where that is unset and
+the session is local (as in tests) a local one is made.
 """
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: the executors have no folder in common")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -56,7 +60,46 @@ class Scratch:
         self.made = [n for n in self.made if n in keep]
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep the batches sent to Python bounded in bytes as well as in rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Keep the batches sent to Python bounded in bytes as well as in rows; smaller bounds of the session stay."""
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 32 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key) or "0"
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+_libc = None
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers are reused by whatever runs next."""
+    global _libc
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+        except OSError:
+            _libc = False
+    if _libc:
+        _libc.malloc_trim(0)
+
+
+def lean(run):
+    """A function over Arrow batches that gives back what it has freed when its task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

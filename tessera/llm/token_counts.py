@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pieces import BAR, SEGMENTS, load
-from .scratch import small_batches
+from .scratch import lean, small_batches
 
 #: Remembered words of one Python worker.
 MOST = 400_000
@@ -101,4 +101,4 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

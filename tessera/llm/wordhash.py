@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+#: Bytes of texts looked at together; also of the spans hashed at once and of the powers kept.
+BLOCK_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -33,12 +34,16 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        for k, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+    if len(_powers["up"]) >= n:
+        return _powers["up"], _powers["down"]
+    made = {}
+    for k, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
+        p = np.full(max(n, BLOCK_BYTES + 1) if n <= 2 * BLOCK_BYTES else n, base, np.uint64)
+        p[0] = 1
+        made[k] = np.multiply.accumulate(p)
+    if n <= 2 * BLOCK_BYTES:  # longer spans are rare; their powers are not kept
+        _powers.update(made)
+    return made["up"], made["down"]
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +57,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last+1, bytes, offsets) of runs of texts of about BLOCK_BYTES; a longer text is a run of its own."""
+def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last+1, bytes, offsets) of runs of texts of about ``size`` bytes; a longer text is a run of its own."""
     data, offs = buffers(texts)
     i, n = 0, len(offs) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 
@@ -79,7 +84,19 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
+    """A 64-bit hash of each span of bytes, wherever it lies; spans come in order."""
+    if len(data) <= 2 * BLOCK_BYTES:
+        return _span_hashes(data, starts, ends)
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):  # a long text goes slice by slice
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
+        low = starts[i]
+        out[i:j] = _span_hashes(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _power(len(data) + 1)

@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last
 return the columns of ``documents``; between stages the rows are written as
 Parquet and read again, so a lost executor costs one stage at most.
+
+Rows: extra columns go through every stage but the last, whatever their names.
+Null and empty texts have too few words and are rejected by the rules; a stage
+called by itself keeps them where nothing speaks against them (the classifier
+gives them weight 0, near-dedup takes each for a group of its own, the mix never
+takes a document without words, the codec gives null ids or none).  Rows without
+doc_id are documents like others.  Repeated rows (one doc_id, one text) are
+judged alike, and near-dedup keeps one of them.  Ties at the classifier's cut are
+all kept.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -36,8 +45,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_pieces, piece_ids of each document, and whether decoding gives its text back."""
-    coded = lattice_codec.decode(lattice_codec.encode(docs.select("doc_id", "source", "text")))
-    return coded.select("doc_id", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    coded = lattice_codec.coded(docs.select("doc_id", "source", "text"))
+    return coded.select("doc_id", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids", "lossless")
 
 
 STAGES = [

@@ -6,9 +6,10 @@ coordinates share a token among the first ``K - T + 1`` tokens of either, when
 all sets order their tokens alike; here rare tokens come first, so passages that
 many documents share stay out of the postings (prefix merging).  Pairs that
 collide are counted on their packed signatures, those that agree in fewer than
-``T`` coordinates there are skipped, and the survivors are confirmed on the full
-sets of the whole texts.  (The count of collisions itself rules nothing out: one
-among the first ``K - T + 1`` tokens leaves ``T - 1`` behind the last of them.)
+``T`` coordinates there are skipped before anything is shuffled for them, and the
+survivors are confirmed on the full sets of the whole texts.  Sets are compared
+as 64-bit hashes of their word runs.  (Collisions among the first ``K - T + 1``
+tokens alone could rule nothing out: one leaves ``T - 1`` tokens behind it.)
 
 No posting list is expanded into all its pairs.  First each list's members meet
 only the list's most central member, its hub.  What could still join two classes:
@@ -28,7 +29,9 @@ signatures match and that could join two classes.
 Rows: null, empty or blank texts have an empty set and are linked with nothing.
 Repeated rows of one doc_id and one word-run set count once.  Texts with equal
 sets are one class from the start, however many they are.  A row without doc_id
-takes the class of an equal set, if there is one, and is never kept.  Other
+takes part under a name made from its text; it takes the smallest doc_id of its
+class, null where its class has none, and counts as kept only in
+``one_per_group``, where a class without any doc_id keeps one of its rows.  Other
 columns of the input are ignored.
 """
 
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, fresh, lean, small_batches
 from .wordhash import LOWER, blocks, mix, run_hashes, span_hashes, word_spans
 
 K = 32
@@ -52,6 +55,8 @@ K = 32
 MISS = 1e-6
 #: Buckets of the token counts that order the tokens; a fixed size, whatever the input.
 COUNT_BITS = 16
+#: Partners of one set that are compared with it in one task.
+SPREAD = 4_000
 
 
 @lru_cache
@@ -76,7 +81,7 @@ def text_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (the set's identity), sig (K unsigned 32-bit values; null for an empty set)."""
+    """doc_id, named, n_shingles, f1, f2 (the set's identity), sig (K unsigned 32-bit values; null for an empty set)."""
 
     def run(batches):
         for b in batches:
@@ -101,9 +106,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     sigs += [s.tobytes() if m else None for s, m in zip(sig, n)]
                     sets, size = [], 0
             if ns:
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(ns), pa.int64()), pa.array(np.concatenate(f1)), pa.array(np.concatenate(f2)), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.concatenate(ns), pa.int64()), pa.array(np.concatenate(f1)), pa.array(np.concatenate(f2)), pa.array(sigs, pa.binary())], ["doc_id", "named", "n_shingles", "f1", "f2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return docs.select("doc_id", "text", "named").mapInArrow(lean(run), "doc_id long, named boolean, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def _tokens(sigs: pa.Array) -> np.ndarray:
@@ -122,7 +127,7 @@ def _token_counts(reps: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    return reps.select("sig").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return reps.select("sig").mapInArrow(lean(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def _postings(reps: DataFrame, counts, prefix: int) -> DataFrame:
@@ -151,7 +156,7 @@ def _postings(reps: DataFrame, counts, prefix: int) -> DataFrame:
                 s = slice(i, i + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (token, apart, node, n, pos, *(packed[rows, j] for j in range(4)))], ["token", "apart", "node", "n", "pos", "s0", "s1", "s2", "s3"])
 
-    return reps.select("node", "n", "sig").mapInArrow(run, "token long, apart long, node long, n long, pos int, s0 long, s1 long, s2 long, s3 long")
+    return reps.select("node", "n", "sig").mapInArrow(lean(run), "token long, apart long, node long, n long, pos int, s0 long, s1 long, s2 long, s3 long")
 
 
 def _agreeing(a: str, b: str) -> F.Column:
@@ -165,26 +170,47 @@ def _agreeing(a: str, b: str) -> F.Column:
     return F.lit(K) - differing
 
 
-def _both_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b and their texts x, y."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    return sides.join(texts, "node").groupBy("a", "b").agg(F.max(F.when(F.col("node") == F.col("a"), F.col("text"))).alias("x"), F.max(F.when(F.col("node") == F.col("b"), F.col("text"))).alias("y"))
+def _side_by_side(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """For pairs (a, b): a, b, text, with the text of a first (b null), then those of its partners.
+
+    A text of a is sent once for every ``SPREAD`` partners, and a partner's text
+    once for each pair; partners of one a are dealt over as many tasks.
+    """
+    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts"))
+    ends = pairs.join(spread, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
+    firsts = spread.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    both = ends.unionByName(firsts).join(texts, "node").groupBy("a", "part", "b").agg(F.max("text").alias("text"))
+    return both.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+
+
+def _set_pairs(batches, width: int):
+    """(a, b, set of a, set of b) of the rows of ``_side_by_side``; one set of an a is held at a time."""
+    held = None
+    for batch in batches:
+        for a, b, one in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), text_sets(batch.column(3), width)):
+            if b is None:
+                held = one
+            else:
+                yield a, b, held, one
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have den * intersection >= num * union."""
 
     def run(batches):
-        for b in batches:
-            left, right = text_sets(b.column(2), width), text_sets(b.column(3), width)
-            keep = []
-            for x, y in zip(left, right):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        kept: list[tuple[int, int]] = []
+        for a, b, x, y in _set_pairs(batches, width):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both > 0 and den * both >= num * (len(x) + len(y) - both):
+                kept.append((a, b))
+            if len(kept) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], ["a", "b"])
+                kept = []
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], ["a", "b"])
 
-    return _both_texts(pairs, docs).mapInArrow(run, "a long, b long")
+    return _side_by_side(pairs, docs).mapInArrow(lean(run), "a long, b long")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -200,26 +226,30 @@ def compared(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     """
 
     def run(batches):
-        for b in batches:
-            left, right = text_sets(b.column(2), width), text_sets(b.column(3), width)
-            linked, lack, add, spare, firsts, all_, marks, twice = [], [], [], [], [], [], [], []
-            for x, y in zip(left, right):
-                gone, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
-                over = num * (len(x) + len(y)) - (num + den) * (len(x) - len(gone))
-                linked.append(over <= 0), lack.append(len(gone)), add.append(len(new)), spare.append(over)
-                must = -(-over // (num + den)) if over > 0 else (den * len(gone) + num * len(new)) // (num + den) + 1
-                all_.append(np.concatenate((new & ~np.uint64(1), gone | np.uint64(1))).view(np.int64))
-                firsts.append(max(0, len(gone) + len(new) - must + 1))
-                bits = np.zeros(256, bool)
-                bits[(all_[-1].view(np.uint64) >> np.uint64(56)).astype(np.int64)] = True
-                marks.append(np.packbits(bits).view("<i8"))
-                twice.append(len(all_[-1]) - int(bits.sum()))
-            at = np.concatenate(([0], np.cumsum([len(f) for f in all_])))
-            flat = pa.array(np.concatenate(all_) if all_ else np.zeros(0, np.int64))
-            mark = np.array(marks, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in (lack, add, spare, firsts, twice, *mark.T)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["a", "b", "linked", "lack", "add", "spare", "firsts", "twice", "m0", "m1", "m2", "m3", "runs"])
-
-    return _both_texts(pairs, docs).mapInArrow(run, "a long, b long, linked boolean, lack long, add long, spare long, firsts long, twice long, m0 long, m1 long, m2 long, m3 long, runs array<long>")
+        def out():
+            names, linked, numbers, mark, runs = (list(c) for c in zip(*rows))
+            at = np.concatenate(([0], np.cumsum([len(f) for f in runs])))
+            columns = [*np.array(names, np.int64).T, np.array(linked), *np.array(numbers, np.int64).T, *np.array(mark, np.int64).T]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(runs)))], ["a", "b", "linked", "lack", "add", "spare", "firsts", "twice", "m0", "m1", "m2", "m3", "runs"])
+
+        rows, size = [], 0
+        for a, b, x, y in _set_pairs(batches, width):
+            gone, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+            over = num * (len(x) + len(y)) - (num + den) * (len(x) - len(gone))
+            must = -(-over // (num + den)) if over > 0 else (den * len(gone) + num * len(new)) // (num + den) + 1
+            every = np.concatenate((new & ~np.uint64(1), gone | np.uint64(1)))
+            bits = np.zeros(256, bool)
+            bits[(every >> np.uint64(56)).astype(np.int64)] = True
+            numbers = len(gone), len(new), over, max(0, len(every) - must + 1), len(every) - int(bits.sum())
+            rows.append(((a, b), over <= 0, numbers, np.packbits(bits).view("<i8"), every.view(np.int64)))
+            size += len(every) + 20
+            if size > 500_000:
+                yield out()
+                rows, size = [], 0
+        if rows:
+            yield out()
+
+    return _side_by_side(pairs, docs).mapInArrow(lean(run), "a long, b long, linked boolean, lack long, add long, spare long, firsts long, twice long, m0 long, m1 long, m2 long, m3 long, runs array<long>")
 
 
 def _around_hubs(met: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
@@ -249,21 +279,22 @@ def _around_hubs(met: DataFrame, comp: DataFrame, num: int, den: int) -> DataFra
     return hits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
+def _name(docs: DataFrame) -> F.Column:
+    """doc_id, or for a row without one a number over 2**62 made from its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(41), F.coalesce("text", F.lit(""))), 3))
 
-    Documents are linked when den * |intersection| >= num * |union| of their sets
-    of ``width`` consecutive lower-cased words.  component_id is the smallest
-    doc_id reachable over links; kept marks that document itself.
-    """
+
+def _classed(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, Scratch]:
+    """doc_id (see ``_name``), named, n_shingles, component_id of all documents."""
     spark = docs.sparkSession
     small_batches(spark)
     s = Scratch(spark, "minhash")
+    docs = docs.select(_name(docs).alias("doc_id"), "text", F.col("doc_id").isNotNull().alias("named"))
     need = match_threshold(num / den)
     prefix = K - need + 1
 
     sig = s.table(signatures(docs, width), "sig")
-    full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    full = sig.where("n_shingles > 0")
     reps = s.table(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "reps")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     for r in _token_counts(reps).toLocalIterator():
@@ -274,8 +305,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     near = (F.col("n") * den >= F.col("l.n") * num) & (F.col("l.n") * den >= F.col("n") * num)
     lists = post.groupBy("token").agg(F.min(F.struct("apart", "node", "n", "pos", "s0", "s1", "s2", "s3")).alias("l"), F.count("*").alias("m")).where("m > 1")
     met = post.join(lists, "token").where((F.col("node") != F.col("l.node")) & near & (_agreeing("", "l.") >= need))
-    pairs = met.groupBy(F.col("l.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.max(F.greatest("pos", F.col("l.pos"))).alias("last"))
-    pairs = pairs.where(F.col("c") + (K - 1) - F.col("last") >= need).select("a", "b")
+    pairs = s.table(met.select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     seen = s.table(compared(pairs, docs, width, num, den), "seen")
     links = seen.where("linked").select("a", "b")
     comp = components(links, s, "c0")
@@ -290,22 +320,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     open_lists = s.table(open_lists.withColumn("hubs", F.coalesce("hubs", F.array().cast("array<long>"))), "open")
     x, y = open_lists.where("comp != main").alias("x"), open_lists.alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ~F.arrays_overlap("x.hubs", "y.hubs") & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (_agreeing("x.", "y.") >= need))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.greatest("x.pos", "y.pos").alias("p"))
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("p").alias("last")).where(F.col("c") + (K - 1) - F.col("last") >= need).select("a", "b")
+    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = s.table(rest.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     more = s.table(confirmed(rest, docs, width, num, den).unionByName(_around_hubs(seen, comp, num, den)), "links1")
     if not more.isEmpty():
         comp = components(links.unionByName(more), s, "c1")
 
     classes = reps.select("f1", "f2", "node").join(comp, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "f1", "f2").dropDuplicates(["doc_id", "f1", "f2"]).join(classes, ["f1", "f2"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = s.table(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "result")
+    out = sig.select("doc_id", "named", "n_shingles", "f1", "f2").dropDuplicates(["doc_id", "f1", "f2"]).join(classes, ["f1", "f2"], "left")
+    out = s.table(out.select("doc_id", "named", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "result")
     s.drop(keep=("result",))
-    return out
+    return out, s
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document.
+
+    Documents are linked when den * |intersection| >= num * |union| of their sets
+    of ``width`` consecutive lower-cased words.  component_id is the smallest
+    doc_id reachable over links; kept marks that document itself.
+    """
+    out, _ = _classed(docs, width, num, den)
+    named = F.col("named") | (F.col("component_id") < (1 << 62))
+    return out.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "n_shingles", F.when(named, F.col("component_id")).alias("component_id"), (F.col("named") & (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def one_per_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents themselves, one of each group, all their columns kept."""
-    kept = near_duplicates(docs, width, num, den).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    """The documents themselves, one of each group, all their columns kept.
+
+    Of rows of one doc_id and one text one stays.  A document without words is a
+    group of its own.
+    """
+    out, s = _classed(docs, width, num, den)
+    name, print_ = fresh("_name", docs), fresh("_print", docs)
+    keyed = docs.withColumns({name: _name(docs), print_: F.xxhash64(F.lit(43), F.coalesce("text", F.lit("")))})
+    kept = out.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    keyed = keyed.join(kept, name, "left_semi")
+    again = s.table(keyed.groupBy(name, print_).agg(F.count("*").alias("n")).where("n > 1").select(name, print_), "again")
+    if again.isEmpty():
+        return keyed.drop(name, print_)
+    once = keyed.join(again, [name, print_], "left_anti").unionByName(keyed.join(again, [name, print_], "left_semi").dropDuplicates([name, print_]))
+    return once.drop(name, print_)

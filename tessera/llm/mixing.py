@@ -8,13 +8,16 @@ be met without it.  Last, documents are selected in a seeded order until each
 pattern's flow is met.
 
 Only the pattern table reaches the driver; its rows are the distinct sets of
-sources, not documents.  Selection finds each pattern's cut in the seeded order
+sources, not documents, and more than ``MOST_PATTERNS`` of them are refused with
+an error.  Selection finds each pattern's cut in the seeded order
 by two rounds of histograms over hash bits, so no pattern is ever sorted or
 collected in one task, however many documents it holds.
 
 Rows: a null text has size 0; null sources are a source of their own, last in
-order; documents of size 0 are never taken; repeated rows are repeated
-documents; an empty table gives an empty mix.  Other columns are ignored.
+order; documents of size 0 are never taken; repeated rows (of one doc_id, text
+and sources) are repeated documents, taken alike; rows of one doc_id with
+different texts or without doc_id are documents like any others; an empty table
+gives an empty mix.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Most distinct sets of sources that the driver solves the flow for.
+MOST_PATTERNS = 200_000
 #: Largest pattern table that is broadcast.
 BROADCAST_ROWS = 50_000
 #: Hash bits per round of the search for a cut.
@@ -116,9 +121,10 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
 def _cuts(docs: DataFrame, wanted: DataFrame, patterns: int, s: Scratch) -> tuple[DataFrame, DataFrame]:
     """Where each pattern's seeded order is cut, and the documents beyond it that fill what is left.
 
-    docs: _pattern, doc_id, _order (62 bits), size; wanted: _pattern, _want.
-    Returns (_pattern, _cut) and (_pattern, doc_id): all documents whose leading
-    order bits are under _cut are taken whole, and so are the added ones.
+    docs: _pattern, doc_id, _print, _order (62 bits), size; wanted: _pattern, _want.
+    Returns (_pattern, _cut) and (_pattern, _doc, _print): all documents whose
+    leading order bits are under _cut are taken whole, and so are the added ones.
+    Rows that agree in doc_id and _print are added together or not at all.
     """
     near = wanted.select("_pattern", F.lit(0).cast("long").alias("_cut"), F.col("_want").alias("_left"))
     for turn in range(ROUNDS):
@@ -131,17 +137,30 @@ def _cuts(docs: DataFrame, wanted: DataFrame, patterns: int, s: Scratch) -> tupl
         near = s.table(cut.select("_pattern", F.col("c._bin").alias("_cut"), (F.col("c._left") - F.col("c._before")).alias("_left")), f"cut{turn}")
     cut, left, added = near.select("_pattern", "_cut"), near.select("_pattern", "_left"), None
     after = docs.join(_near(cut, patterns), "_pattern").where((F.shiftright("_order", 62 - ROUND_BITS * ROUNDS) >= F.col("_cut")) & (F.col("size") > 0))
+    tried = None
     for turn in range(FILLS):
         fit = after.join(_near(left, patterns), "_pattern").where(F.col("size") <= F.col("_left"))
-        if added is not None:
-            fit = fit.join(_near(added, FILLS * patterns), ["_pattern", "doc_id"], "left_anti")
-        best = fit.groupBy("_pattern").agg(F.max(F.struct("size", "_order", "doc_id")).alias("b"))
-        best = s.table(best.select("_pattern", F.col("b.doc_id").alias("doc_id"), F.col("b.size").alias("_took")), f"fill{turn}")
-        added = best.select("_pattern", "doc_id") if added is None else added.unionByName(best.select("_pattern", "doc_id"))
+        if tried is not None:
+            fit = fit.join(_near(tried, FILLS * patterns), ["_pattern", "_doc", "_print"], "left_anti")
+        best = fit.groupBy("_pattern").agg(F.max(F.struct("size", "_order", "_doc", "_print")).alias("b"))
+        best = s.table(best.select("_pattern", F.col("b._doc").alias("_doc"), F.col("b._print").alias("_print")), f"best{turn}")
         if best.isEmpty():
             break
+        # All rows of the document count.
+        best = after.join(_near(best, patterns), ["_pattern", "_doc", "_print"]).groupBy("_pattern", "_doc", "_print").agg(F.sum("size").alias("_took"))
+        best = best.join(_near(left, patterns), "_pattern").withColumn("_fits", F.col("_took") <= F.col("_left")).drop("_left")
+        best = s.table(best, f"fill{turn}")
+        tried = best.select("_pattern", "_doc", "_print") if tried is None else tried.unionByName(best.select("_pattern", "_doc", "_print"))
+        best = best.where("_fits")
+        more = best.select("_pattern", "_doc", "_print")
+        added = more if added is None else added.unionByName(more)
         left = s.table(left.join(_near(best.select("_pattern", "_took"), patterns), "_pattern", "left").select("_pattern", (F.col("_left") - F.coalesce("_took", F.lit(0))).alias("_left")), f"left{turn}")
-    return cut, added
+    return cut, docs.select("_pattern", "_doc", "_print").limit(0) if added is None else added
+
+
+def _prints(sources: F.Column) -> list[F.Column]:
+    """What tells rows apart besides doc_id: hashes of the id (a null is no number) and of text and sources."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.xxhash64(F.lit(53), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.to_json(F.struct(sources.alias("sources"))))]
 
 
 def mix(docs: DataFrame, sources: F.Column, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
@@ -154,13 +173,21 @@ def mix(docs: DataFrame, sources: F.Column, weights: tuple[float, ...] = (3, 1,
     times the size.  For a document of several sources, source_size and target
     are those of the first of them.
     """
+    return _mixed_rows(docs, sources, weights, share, repeats, seed).drop("_doc", "_print", "_copies")
+
+
+def _mixed_rows(docs: DataFrame, sources: F.Column, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
     spark = docs.sparkSession
     s = Scratch(spark, "mix")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("sources"), word_count(F.col("text")).alias("size"))
-    base = base.withColumns({"_pattern": F.to_json(F.struct("sources")), "_order": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 2)})
+    sources = F.array_sort(F.array_distinct(sources))
+    doc, print_ = _prints(sources)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sources.alias("sources"), word_count(F.col("text")).alias("size"), doc.alias("_doc"), print_.alias("_print"))
+    base = base.withColumns({"_pattern": F.to_json(F.struct("sources")), "_order": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_doc", "_print"), 2)})
     base = s.table(base, "sizes")
 
-    found = base.groupBy("_pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).collect()
+    found = base.groupBy("_pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} distinct sets of sources")
     supply, members = {r._pattern: r.size for r in found}, {r._pattern: tuple(r.sources or ()) for r in found}
     names = sorted({x for m in members.values() for x in m}, key=lambda x: (x is None, (x or "").encode("utf-8", "surrogatepass")))
     sizes = [sum(supply[p] for p in supply if x in members[p]) for x in names]
@@ -175,16 +202,20 @@ def mix(docs: DataFrame, sources: F.Column, weights: tuple[float, ...] = (3, 1,
 
     cut, added = _cuts(base, plan.where("_want > 0").select("_pattern", "_want"), len(rows), s)
     out = base.join(_near(plan, len(rows)), "_pattern").join(_near(cut, len(rows)), "_pattern", "left")
-    out = out.join(_near(added.withColumn("_more", F.lit(1)), FILLS * len(rows)), ["_pattern", "doc_id"], "left")
+    out = out.join(_near(added.withColumn("_more", F.lit(1)), FILLS * len(rows)), ["_pattern", "_doc", "_print"], "left")
     before = F.shiftright("_order", 62 - ROUND_BITS * ROUNDS) < F.col("_cut")
     copies = F.col("_whole") + F.when(before | (F.col("_more") == 1), 1).otherwise(0)
-    out = s.table(out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken")), "result")
+    copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("int")
+    out = s.table(out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "_doc", "_print", copies.alias("_copies")), "result")
     s.drop(keep=("result",))
     return out
 
 
 def mixed(docs: DataFrame, sources: F.Column, **kw) -> DataFrame:
     """The documents of the mix, all their columns kept; a document taken twice is there twice."""
-    kept = mix(docs, sources, **kw).where("taken > 0").select(F.col("doc_id").alias("_kept_id"), F.expr("int(taken div size)").alias("_copies")).dropDuplicates(["_kept_id"])
-    both = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"))
-    return both.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).drop("_kept_id", "_copies", "_copy")
+    doc, print_, copies = (fresh(c, docs) for c in ("_doc", "_print", "_copies"))
+    # Rows that agree in these have been taken alike.
+    kept = _mixed_rows(docs, sources, **kw).where("_copies > 0").select(F.col("_doc").alias(doc), F.col("_print").alias(print_), F.col("_copies").alias(copies)).dropDuplicates([doc, print_])
+    keys = dict(zip((doc, print_), _prints(F.array_sort(F.array_distinct(sources)))))
+    taken = docs.withColumns(keys).join(kept, [doc, print_]).drop(doc, print_)
+    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

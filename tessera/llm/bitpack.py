@@ -7,7 +7,7 @@ table of document offsets gives random access to any document.  Packing and
 unpacking are whole-array numpy operations.
 
 Layout, little-endian:
-    magic ``TBP1`` | bits u32 | block u32 | documents u64 | ids u64
+    magic ``TBP2`` | bits u32 | block u32 | documents u64 | ids u64 | nameless u64
     doc_id      i64 x documents
     doc offsets u64 x (documents + 1), in ids from the start of the file
     block offsets u64 x (blocks + 1), in bytes from the start of the payload
@@ -16,6 +16,12 @@ Layout, little-endian:
 Images are stored as rows of a Parquet table (``first_doc``, ``content``, ...),
 so any store that Spark reaches can hold them; ``content`` alone is a complete
 file.
+
+Rows: a null or empty text has the end id alone; rows without doc_id come first
+(the first ``nameless`` documents of an image, whose doc_id entries are 0) and
+are read back with a null id; rows of one doc_id stand side by side, ordered by a
+hash of their text, so that offsets are the same in every run; an empty table
+gives empty files.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, lean, small_batches
 from .wordhash import blocks, mix, span_hashes
 
-MAGIC = b"TBP1"
+MAGIC = b"TBP2"
 BLOCK = 4096
 #: Ids of one file image; a longer document has an image of its own.
 IMAGE_IDS = 1 << 20
-_HEAD = struct.Struct("<4sIIQQ")
+#: Documents in one partition of the sort.
+PART_ROWS = 1 << 15
+#: Bytes of texts that are encoded together.
+TEXT_BYTES = 1 << 21
+_HEAD = struct.Struct("<4sIIQQQ")
 
 
 # The format ---------------------------------------------------------------
@@ -67,15 +77,17 @@ def write_image(doc_ids, lengths, ids: np.ndarray, bits: int) -> bytes:
     offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.uint64))).astype("<u8")
     parts = [pack(ids[i : i + BLOCK], bits) for i in range(0, len(ids), BLOCK)]
     blocks = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.uint64))).astype("<u8")
-    head = _HEAD.pack(MAGIC, bits, BLOCK, len(doc_ids), len(ids))
-    return b"".join([head, np.asarray(doc_ids, "<i8").tobytes(), offsets.tobytes(), blocks.tobytes(), *parts])
+    nameless = sum(x is None for x in doc_ids)
+    head = _HEAD.pack(MAGIC, bits, BLOCK, len(doc_ids), len(ids), nameless)
+    names = np.array([0] * nameless + list(doc_ids[nameless:]), "<i8")
+    return b"".join([head, names.tobytes(), offsets.tobytes(), blocks.tobytes(), *parts])
 
 
 class Image:
     """A file image; documents and ranges are unpacked on demand."""
 
     def __init__(self, content):
-        magic, self.bits, self.block, n, self.n_ids = _HEAD.unpack_from(content, 0)
+        magic, self.bits, self.block, n, self.n_ids, self.nameless = _HEAD.unpack_from(content, 0)
         if magic != MAGIC:
             raise ValueError("not a packed token file")
         at = _HEAD.size
@@ -262,7 +274,7 @@ class Encoder:
         import pandas as pd
 
         out: list[np.ndarray] = []
-        for i, j, data, offs in blocks(texts):
+        for i, j, data, offs in blocks(texts, TEXT_BYTES):
             if len(self.slot) > self.most:
                 self.forget()
             # A text counts as following a line break, whose id is then taken off.
@@ -307,8 +319,7 @@ _encoders: dict[str, Encoder] = {}
 def write_packed(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", vocabulary: int = 50_257, end: int = 0, bits: int | None = None) -> None:
     """Encode every whole text (null: empty), append ``end``, and write images in ascending doc_id order.
 
-    Rows of one doc_id lie side by side; rows without one are left out.  Columns: part, image, before (ids of
-    the part's earlier images), n_ids, content.
+    Columns: part, image, before (ids of the part's earlier images), n_ids, content.
     """
     bits = bits or max(1, (vocabulary - 1).bit_length())
 
@@ -339,10 +350,12 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     schema = pa.schema([("part", pa.int32()), ("image", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("content", pa.binary())])
     spark = docs.sparkSession
     small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # Partitions grow with the documents.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // PART_ROWS)
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered = ordered.withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(run, "part int, image int, before long, n_ids long, content binary").write.mode("overwrite").option("compression", "lz4_raw").parquet(path)
+    ordered.mapInArrow(lean(run), "part int, image int, before long, n_ids long, content binary").write.mode("overwrite").option("compression", "lz4_raw").parquet(path)
 
 
 def read_packed(spark, path: str) -> DataFrame:
@@ -360,7 +373,8 @@ def read_packed(spark, path: str) -> DataFrame:
                 data = memoryview(every.tobytes())
                 at = image.offsets
                 crc = [zlib.crc32(data[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(image.doc_ids), pa.array(at[:-1] + before), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                names = pa.array(image.doc_ids, mask=np.arange(len(image.doc_ids)) < image.nameless)
+                yield pa.RecordBatch.from_arrays([names, pa.array(at[:-1] + before), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.read.parquet(path)
     sums, total = {}, 0
@@ -368,7 +382,7 @@ def read_packed(spark, path: str) -> DataFrame:
         sums[r.part] = total
         total += r.n
     starts = spark.createDataFrame(sorted(sums.items()), "part int, offset long")
-    return files.join(F.broadcast(starts) if len(sums) <= 100_000 else starts, "part").select("content", (F.col("before") + F.col("offset")).alias("before")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(F.broadcast(starts) if len(sums) <= 100_000 else starts, "part").select("content", (F.col("before") + F.col("offset")).alias("before")).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, **kw) -> DataFrame:

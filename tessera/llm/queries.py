@@ -79,17 +79,6 @@ r(doc_id, reach) AS (
 c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept
 FROM c LEFT JOIN n USING (doc_id)""",
-    "op2_nearest_neighbours": """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
-    list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda a, b: a + b) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
     "op6_quality_rules": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORDS}') AS ws, string_split(text, chr(10)) AS lines FROM t),

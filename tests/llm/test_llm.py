@@ -9,6 +9,7 @@ from functools import reduce
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,7 +100,7 @@ def test_rows_without_id(spark, sf, awkward):
     none = awkward.withColumn("doc_id", F.when(F.col("doc_id") != 5, F.col("doc_id")))
     labels = spark.read.parquet(f"{sf}/labels.parquet").union(spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int"))
     assert minhash_dedup.near_duplicates(none.union(none)).where("doc_id IS NULL AND kept").count() == 0
-    assert bitpack.round_trip(none).count() == len(AWKWARD) - 1
+    assert bitpack.round_trip(none).count() == len(AWKWARD)
     for out in (label_sharding.shard(none), token_counts.count_tokens(none), importance.select(none, labels), quality_cascade.judge(none), lattice_codec.digests(none), toxicity.score(none, labels), mixing.mix(none, F.array("source"))):
         assert out.count() == len(AWKWARD)
 
@@ -131,19 +132,48 @@ def test_nearest(spark):
     assert rp_forest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_forest_alone(spark):
-    """More rows than the pilot has, and the pilot left out: what the leaves find by themselves."""
-    x = np.random.default_rng(3).normal(size=(6000, 16))
-    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    assert len(x) > rp_forest.PILOT
-    got = collections.defaultdict(set)
-    for r in rp_forest.nearest(df, F.col("vec_id") % 20 == 0, k=20, pilot=0).collect():
-        got[r.query_id].add(r.vec_id)
+def recall(got, x):
+    """Share of the true 20 nearest of every 20th row that were found."""
     score = x[::20] @ x.T
-    score[np.arange(300), np.arange(300) * 20] = -np.inf
+    score[np.arange(len(score)), np.arange(len(score)) * 20] = -np.inf
     near = np.argsort(-score, axis=1)[:, :20]
-    assert set(got) == set(range(0, 6000, 20)) and all(len(v) == 20 for v in got.values())
-    assert sum(len(got[20 * i] & set(n.tolist())) for i, n in enumerate(near)) / near.size > 0.93
+    return sum(len(got[20 * i] & set(n.tolist())) for i, n in enumerate(near)) / near.size
+
+
+def search(spark, x):
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in rp_forest.nearest(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        got[r.query_id].add(r.vec_id)
+    assert set(got) == set(range(0, len(x), 20)) and all(len(v) == 20 for v in got.values())
+    return got
+
+
+def test_forest_recall(spark):
+    x = np.random.default_rng(3).normal(size=(20_000, 16))
+    assert recall(search(spark, x), x) > 0.92
+
+
+def test_answers_come_from_leaves(spark, monkeypatch):
+    """With hardly any leaf visited, hardly anything is found."""
+    x = np.random.default_rng(3).normal(size=(6000, 16))
+    monkeypatch.setattr(rp_forest.Forest, "_calibrate", lambda *_: 0.0)
+    assert recall(search(spark, x), x) < 0.5
+
+
+def test_query_recall(spark, sf):
+    """The registered query against brute force on its whole table."""
+    t = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = collections.defaultdict(list)
+    for r in queries.QUERIES["op2_nearest_neighbours"](spark, sf).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+        assert r.score == reduce(lambda s, ab: s + ab[0] * ab[1], zip(t[r.query_id].tolist(), t[r.vec_id].tolist()), 0.0)
+    hits = 0
+    for q in (i for i in t if i % 20 == 0):
+        exact = sorted((i for i in t if i != q), key=lambda i: (-float(t[q] @ t[i]), i))[:20]
+        assert [k for k, _ in got[q]] == list(range(1, 21))
+        hits += len({i for _, i in got[q]} & set(exact))
+    assert hits / (20 * len(got)) > 0.9
 
 
 def test_sharding(spark, awkward):

@@ -55,6 +55,8 @@ K = 32
 MISS = 1e-6
 #: Buckets of the token counts that order the tokens; a fixed size, whatever the input.
 COUNT_BITS = 16
+#: Rows of ids, a few machine words each, that are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Partners of one set that are compared with it in one task.
 SPREAD = 4_000
 
@@ -170,7 +172,7 @@ def _agreeing(a: str, b: str) -> F.Column:
     return F.lit(K) - differing
 
 
-def _side_by_side(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _side_by_side(pairs: DataFrame, docs: DataFrame, s: Scratch) -> DataFrame:
     """For pairs (a, b): a, b, text, with the text of a first (b null), then those of its partners.
 
     A text of a is sent once for every ``SPREAD`` partners, and a partner's text
@@ -179,23 +181,35 @@ def _side_by_side(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts"))
     ends = pairs.join(spread, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
     firsts = spread.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
+    ends = s.table(ends.unionByName(firsts), f"ends-{len(s.made)}")
     texts = docs.select(F.col("doc_id").alias("node"), "text")
-    both = ends.unionByName(firsts).join(texts, "node").groupBy("a", "part", "b").agg(F.max("text").alias("text"))
-    return both.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    both = texts.join(_few(ends), "node").select("a", "part", "b", "text", F.xxhash64("text").alias("h"))
+    return both.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"), "h")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has few rows; beyond that Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _set_pairs(batches, width: int):
-    """(a, b, set of a, set of b) of the rows of ``_side_by_side``; one set of an a is held at a time."""
-    held = None
+    """(a, b, set of a, set of b) of the rows of ``_side_by_side``; one set of an a is held at a time.
+
+    Of several rows of one doc_id the first counts.
+    """
+    held, last = None, None
     for batch in batches:
-        for a, b, one in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), text_sets(batch.column(3), width)):
+        for a, part, b, one in zip(*(batch.column(c).to_pylist() for c in range(3)), text_sets(batch.column(3), width)):
+            if (a, part, b) == last:
+                continue
+            last = a, part, b
             if b is None:
                 held = one
             else:
                 yield a, b, held, one
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, s: Scratch, width: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have den * intersection >= num * union."""
 
     def run(batches):
@@ -210,10 +224,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], ["a", "b"])
 
-    return _side_by_side(pairs, docs).mapInArrow(lean(run), "a long, b long")
+    return _side_by_side(pairs, docs, s).mapInArrow(lean(run), "a long, b long")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, s: Scratch, width: int, num: int, den: int) -> DataFrame:
     """For pairs (a: hub, b: node): whether they link, how many runs of the hub b lacks and how many it adds, and all these deviations.
 
     spare is num * (sizes) - (num + den) * intersection, over 0 where they do not
@@ -249,7 +263,7 @@ def compared(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
         if rows:
             yield out()
 
-    return _side_by_side(pairs, docs).mapInArrow(lean(run), "a long, b long, linked boolean, lack long, add long, spare long, firsts long, twice long, m0 long, m1 long, m2 long, m3 long, runs array<long>")
+    return _side_by_side(pairs, docs, s).mapInArrow(lean(run), "a long, b long, linked boolean, lack long, add long, spare long, firsts long, twice long, m0 long, m1 long, m2 long, m3 long, runs array<long>")
 
 
 def _around_hubs(met: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
@@ -299,14 +313,17 @@ def _classed(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     for r in _token_counts(reps).toLocalIterator():
         counts[r.bucket] = r.n
-    post = s.table(_postings(reps, spark.sparkContext.broadcast(counts), prefix), "postings")
+    # Most tokens are one set's alone; only the others' postings go on.
+    post = _postings(reps, spark.sparkContext.broadcast(counts), prefix)
+    shared = s.table(post.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "shared")
+    post = s.table(post.join(_few(shared), "token", "left_semi"), "postings")
 
     # Each list's members against its most central member.
     near = (F.col("n") * den >= F.col("l.n") * num) & (F.col("l.n") * den >= F.col("n") * num)
-    lists = post.groupBy("token").agg(F.min(F.struct("apart", "node", "n", "pos", "s0", "s1", "s2", "s3")).alias("l"), F.count("*").alias("m")).where("m > 1")
+    lists = post.groupBy("token").agg(F.min(F.struct("apart", "node", "n", "pos", "s0", "s1", "s2", "s3")).alias("l"), F.count("*").alias("m"))
     met = post.join(lists, "token").where((F.col("node") != F.col("l.node")) & near & (_agreeing("", "l.") >= need))
     pairs = s.table(met.select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    seen = s.table(compared(pairs, docs, width, num, den), "seen")
+    seen = s.table(compared(pairs, docs, s, width, num, den), "seen")
     links = seen.where("linked").select("a", "b")
     comp = components(links, s, "c0")
 
@@ -322,7 +339,7 @@ def _classed(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ~F.arrays_overlap("x.hubs", "y.hubs") & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (_agreeing("x.", "y.") >= need))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = s.table(rest.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    more = s.table(confirmed(rest, docs, width, num, den).unionByName(_around_hubs(seen, comp, num, den)), "links1")
+    more = s.table(confirmed(rest, docs, s, width, num, den).unionByName(_around_hubs(seen, comp, num, den)), "links1")
     if not more.isEmpty():
         comp = components(links.unionByName(more), s, "c1")
 

@@ -202,6 +202,22 @@ def offline(markdown: str, embed) -> list[tuple[str, tuple[str, str, str]]]:
     return [(piece, path) for body, path in by_heading(markdown) for chunk in at_percentile(body, embed) for piece in (recursive(chunk) if len(chunk) > 1500 else [chunk])]
 
 
+def headed(embed=None):
+    """A column function: an array of (chunk, path of three headings); without an embedder headed sections are cut by size alone."""
+
+    @F.arrow_udf("array<struct<chunk: string, path: array<string>>>")
+    def run(texts: pa.Array) -> pa.Array:
+        def cut(t):
+            if embed:
+                return offline(t, embed)
+            return [(piece, path) for body, path in by_heading(t) for piece in recursive(body)]
+
+        kind = pa.list_(pa.struct([("chunk", pa.string()), ("path", pa.list_(pa.string()))]))
+        return pa.array([None if t is None else [{"chunk": c, "path": list(p)} for c, p in cut(t)] for t in texts.to_pylist()], kind)
+
+    return run
+
+
 # DataFrames ---------------------------------------------------------------------
 
 STRATEGIES = {"sentence": by_sentence, "structural": structural, "fixed": lambda text, least=MIN, most=MAX: fixed(text, most)}

@@ -4,24 +4,30 @@ from __future__ import annotations
 
 import json
 import re
+from html import unescape
 from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # Elements that hold no content.
 BOILERPLATE = ("nav", "header", "footer", "aside", "noscript", "script", "style")
 # Marks of pages that need a browser; the first three with their case.
 SCRIPTED = ("DataTable", "datatables", "data-src=")
 SCRIPTED_ANY_CASE = ("wp-content", "wp-json", "wp-includes", "wordpress", "ajax_url", "data-ajax", "data-url=")
-# Elements left out of rendered documentation pages, as (tag, id, class), and where their content is, best first.
+# Elements left out of rendered documentation pages, where the content is, best first, and where the title is.
 SITE_STRIP = (
-    ("nav", "", ""), ("header", "", ""), ("footer", "", ""), ("div", "", "sidebar"), ("div", "quarto-sidebar", ""), ("div", "quarto-toc-sidebar", ""), ("div", "", "toc-actions"),
-    ("div", "quarto-header", ""), ("div", "", "navbar"), ("div", "", "page-navigation"), ("div", "", "nav-page"), ("button", "", ""), ("script", "", ""), ("style", "", ""),
-    ("noscript", "", ""), ("div", "", "announcement"), ("div", "", "quarto-title-banner"), ("div", "quarto-appendix", ""),
+    "nav", "header", "footer", "div.sidebar", "div#quarto-sidebar", "div#quarto-toc-sidebar", "div.toc-actions", "div#quarto-header", "div.navbar", "div.page-navigation", "div.nav-page",
+    "button", "script", "style", "noscript", "div.announcement", "div.quarto-title-banner", "div#quarto-appendix",
 )
-SITE_CONTENT = (("main", "quarto-document-content", ""), ("main", "", "content"), ("div", "quarto-content", ""), ("article", "", "content"), ("div", "", "page-content"), ("main", "", ""), ("article", "", ""), ("body", "", ""))
+SITE_CONTENT = ("main#quarto-document-content", "main.content", "div#quarto-content", "article.content", "div.page-content", "main", "article")
+SITE_TITLE = ("h1.title", "h1#title-block-header", "main h1", "h1")
+#: Bytes that the text of a page, or a text given as such, must have.
+LEAST_PAGE, LEAST_TEXT = 50, 10
 
 
 def needs_script(html: Column) -> Column:
@@ -32,12 +38,17 @@ def needs_script(html: Column) -> Column:
     for m in SCRIPTED_ANY_CASE:
         out = out | low.contains(m)
     body = F.regexp_extract(html, r"(?is)(<tbody.*?)</tbody>", 1)
-    return out | ((body != "") & (F.octet_length(F.trim(body)) < 300))
+    return out | ((body != "") & (F.octet_length(strip(body)) < 300))
+
+
+def decoded() -> object:
+    """A column function: text with its character references decoded."""
+    return python_column(unescape)
 
 
 def page_title(html: Column, url: Column, given: Column | None = None) -> Column:
     """The given title, else the page's, else the URL."""
-    own = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    own = strip(decoded()(F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title", 1)))
     first = [F.nullif(given, F.lit(""))] if given is not None else []
     return F.coalesce(*first, F.nullif(own, F.lit("")), url)
 
@@ -48,23 +59,34 @@ def strip_boilerplate(html: Column) -> Column:
     return html
 
 
+def body_of(html: Column) -> Column:
+    """What follows the opening of the body; of a page that opens none, all but its head and title."""
+    rest = F.regexp_replace(html, r"(?is)<head(?:\s[^>]*)?>.*?</head\s*>|<title(?:\s[^>]*)?>.*?</title\s*>", "")
+    return F.when(html.rlike(r"(?i)<body[\s/>]"), F.regexp_replace(html, r"(?is)^.*?<body(?:[\s/][^>]*)?>", "")).otherwise(rest)
+
+
 def clean_lines(text: Column) -> Column:
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.transform(F.split(text, "\n"), lambda x: strip(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def page_text(html: Column, tables: bool = False) -> Column:
-    """Text of the page without boilerplate, one trimmed line per text node.
+    """Text of the page's body without boilerplate, one trimmed line per text node.
 
     With ``tables`` the rows of tables and of embedded JSON tables follow, as
     cells joined by ``|``.
     """
-    text = F.regexp_replace(strip_boilerplate(html), r"(?s)<[^>]*>", "\n")
+    text = decoded()(F.regexp_replace(body_of(strip_boilerplate(html)), r"(?s)<!--.*?(?:-->|\z)|<[a-zA-Z/!?][^>]*(?:>|\z)", "\n"))
     if tables:
         text = F.concat_ws("\n", text, table_rows()(html), json_rows()(html))
     return clean_lines(text)
 
 
+def long_enough(text: Column, least: int = LEAST_PAGE) -> Column:
+    """Whether there is enough text to ingest, in bytes."""
+    return F.octet_length(text) >= least
+
+
 # Parsing, for what patterns cannot express --------------------------------------
 
 
@@ -78,8 +100,15 @@ class _Node:
                 yield x
                 yield from x.walk()
 
-    def is_(self, tag, ident, cls) -> bool:
-        return self.tag == tag and (not ident or self.attrs.get("id") == ident) and (not cls or cls in (self.attrs.get("class") or "").split())
+    def is_(self, selector: str) -> bool:
+        """A selector of the forms tag, tag#id, tag.class, and any of them inside another."""
+        *outer, own = selector.split()
+        tag, mark, name = re.fullmatch(r"([a-z0-9]+)([#.]?)(.*)", own).groups()
+        fits = self.tag == tag and (not mark or (self.attrs.get("id") == name if mark == "#" else name in (self.attrs.get("class") or "").split()))
+        at = self.parent
+        while fits and outer and at and not at.is_(" ".join(outer)):
+            at = at.parent
+        return fits and (not outer or at is not None)
 
     def strings(self):
         for x in self.inside:
@@ -167,9 +196,9 @@ def site_markdown_text(html: str) -> str:
     """A rendered documentation page as Markdown: headings, lists and tables kept, navigation dropped."""
     root = _Tree(html).root
     for x in list(root.walk()):
-        if any(x.is_(*sel) for sel in SITE_STRIP) and x in x.parent.inside:
+        if any(x.is_(sel) for sel in SITE_STRIP) and x in x.parent.inside:
             x.parent.inside.remove(x)
-    body = next((x for sel in SITE_CONTENT for x in root.walk() if x.is_(*sel)), root)
+    body = next((x for sel in (*SITE_CONTENT, "body") for x in root.walk() if x.is_(sel)), root)
 
     def render(node) -> str:
         if not isinstance(node, _Node):
@@ -187,6 +216,32 @@ def site_markdown_text(html: str) -> str:
     return re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", render(body))).strip()
 
 
+def site_title_text(html: str, url: str) -> str:
+    """The page's main heading, else its title up to a bar, else its preview title, else the last part of the URL, else the URL."""
+    root = _Tree(html).root
+
+    def joined(node) -> str:
+        return "".join(x.strip() for x in node.strings())
+
+    heading = next((x for sel in SITE_TITLE for x in root.walk() if x.is_(sel)), None)
+    title = joined(heading) if heading else ""
+    if not title:
+        title = next((joined(x).split("|")[0].strip() for x in root.walk() if x.tag == "title"), "")
+    if not title:
+        title = next(((x.attrs.get("content") or "").strip() for x in root.walk() if x.tag == "meta" and x.attrs.get("property") == "og:title"), "")
+    return title or urlsplit(url).path.rstrip("/").split("/")[-1].replace("-", " ").title() or url
+
+
+def site_title():
+    """A column function of (html, url)."""
+
+    @F.arrow_udf("string")
+    def run(pages: pa.Array, places: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else site_title_text(p, u or "") for p, u in zip(pages.to_pylist(), places.to_pylist())], pa.string())
+
+    return run
+
+
 def qmd_text(source: str) -> str:
     """A Quarto source as Markdown: no front matter, code fences only where they hold table data."""
     kept, fence = [], None

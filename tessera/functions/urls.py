@@ -70,6 +70,13 @@ def document_id(url: Column, base: str) -> Column:
     return F.when(rel == "", "index").otherwise(rel)
 
 
+def site_id(url: Column) -> Column:
+    """The last part of a site's path with other characters than letters, digits, ``_`` and ``-`` as ``_``; null without a path."""
+    path = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
+    last = F.substring_index(F.regexp_replace(path, "^/+|/+$", ""), "/", -1)
+    return F.regexp_replace(F.nullif(last, F.lit("")), "[^a-zA-Z0-9_-]", "_")
+
+
 def auto_category(url: Column) -> Column:
     """struct<category, subcategory> by the first rule that matches the lower-cased URL, else (informasi, umum)."""
     u = F.lower(url)

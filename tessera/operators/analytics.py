@@ -70,6 +70,11 @@ def ingest_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("category").agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents")).orderBy(F.desc("chunks"), "category")
 
 
+def ingest_totals(chunks: DataFrame) -> DataFrame:
+    """One row: all chunks and all documents."""
+    return chunks.agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents"))
+
+
 def sessions_with_user(sessions: DataFrame, users: DataFrame, k: int = 200) -> DataFrame:
     """Latest sessions with their user's name, or a stand-in."""
     return sessions.join(users, "user_id", "left").withColumn("user_name", F.coalesce("user_name", F.lit("(deleted)"))).orderBy(F.desc_nulls_last("updated_at"), "id").limit(k)

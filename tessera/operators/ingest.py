@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.enrich import passage
+from tessera.functions.text import SEPARATORS, strip
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], replaced: list[str], order: list | None = None) -> DataFrame:
     """ON CONFLICT (keys) DO UPDATE of the ``replaced`` columns; unmatched new rows are inserted.
@@ -106,6 +109,24 @@ def pin(pins: DataFrame, question: str, pinned_by: int | None = None) -> DataFra
     return pins.unionByName(new.join(pins.select("question"), "question", "left_anti"), allowMissingColumns=True)
 
 
+def headed_records(docs: DataFrame, chunks, category: str = "General", subcategory: str = "", document_type: str = "md", least: int = 20) -> DataFrame:
+    """Stored rows, and what is embedded for them, of documents cut under their headings.
+
+    docs: document_id, content, source_url; ``chunks`` gives an array of (chunk,
+    path of headings) for the content.  The index counts dropped short chunks
+    too; the title names the headings; the embedded text carries them in front.
+    """
+    every = docs.select("document_id", "source_url", F.md5("content").alias("file_hash"), F.posexplode(chunks).alias("chunk_index", "c"))
+    body = strip(F.col("c.chunk"), SEPARATORS)
+    path = F.filter("c.path", lambda x: x != "")
+    title = F.when(F.size(path) > 0, F.concat(F.col("document_id").cast("string"), F.lit(" ("), F.array_join(path, " > "), F.lit(")"))).otherwise(F.col("document_id").cast("string"))
+    rows = every.where(F.char_length(body) >= least)
+    return rows.select(
+        "document_id", title.alias("title"), body.alias("content"), F.lit(document_type).alias("document_type"), "source_url", F.lit(category).alias("category"), F.lit(subcategory).alias("subcategory"),
+        "file_hash", "chunk_index", passage(body, F.col("document_id").cast("string"), *[F.get("c.path", F.lit(i)) for i in range(3)]).alias("embed_text"),
+    )
+
+
 def chunk_records(chunks: DataFrame, category: str = "Umum", subcategory: str = "—") -> DataFrame:
     """Stored rows of fresh chunks (source_url, chunk_index, chunk): ids come from the URL and content, so reruns agree."""
     return chunks.select(F.concat(F.lit("url-"), F.substring(F.sha2("source_url", 256), 1, 32)).alias("document_id"), "chunk_index", F.col("chunk").alias("content"), "source_url", F.lit(category).alias("category"), F.lit(subcategory).alias("subcategory"), F.md5("chunk").alias("file_hash"))

@@ -6,13 +6,14 @@ below, the same on both sides.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import chunking, enrich, html, text, urls, vectors
-from tessera.operators import analytics, ingest, search
+from tessera.functions import chunking, enrich, html, prompts, text, urls, vectors
+from tessera.operators import accounts, analytics, ingest, search
 from tessera.sources import readers, tables
 from tessera.streaming import streams
 
@@ -44,6 +45,19 @@ def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
 
 # SQL that several oracles share ----------------------------------------------------
 
+#: Unicode white space as a class of the SQL engine's patterns.
+_WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WS_PY = _WS[:-1] + r"\x1c-\x1f]"
+
+
+def _trim(x: str, ws: str = _WS) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{ws}+', ''), '{ws}+$', '')"
+
+
+def _truncated(t: str) -> str:
+    head, far = f"substr({t}, 1, 400)", f"regexp_extract(substr({t}, 1, 400), '(?s)^(.{{240}}.*[.!?\\n])', 1)"
+    return f"CASE WHEN length({t}) <= 400 THEN {t} WHEN {far} <> '' THEN regexp_replace({far}, '{_WS}+$', '') WHEN contains({head}, ' ') THEN regexp_extract({head}, '(?s)^(.*) ', 1) || '...' ELSE {head} || '...' END"
+
 _TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
 
 
@@ -71,6 +85,8 @@ _LOGS = """logs AS (
   FROM events)"""
 
 
+ORACLES_CLASSIFY = "SELECT item_id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {m!r})' for m in marks)} THEN '{name}'" for name, marks in text.QUERY_CLASSES) + " ELSE 'General' END AS k FROM benchmark"
+
 # Search ------------------------------------------------------------------------------
 
 
@@ -88,7 +104,7 @@ def vector_topk_category(spark, sf_dir):
 
 @query(f"WITH {_CORPUS} SELECT document_id, chunk_index, {_lex('toks', TERMS)} AS score FROM corpus WHERE {' AND '.join(f'list_contains(toks, {w!r})' for w in TERMS)} ORDER BY score DESC, document_id LIMIT {K}")
 def fulltext_topk(spark, sf_dir):
-    return search.fulltext_topk(tables.corpus(spark, sf_dir), TERMS, K)
+    return search.fulltext_topk(tables.corpus(spark, sf_dir, vectors=False), TERMS, K)
 
 
 _HYBRID = f"SELECT document_id, chunk_index, round(0.7 * coalesce({_COS.format('embedding', 'qv')}, 0) + 0.3 * {_lex('toks', TERMS)}, 6) AS score FROM corpus ORDER BY score DESC, document_id LIMIT {K}"
@@ -109,6 +125,42 @@ def rrf_topk(spark, sf_dir):
     return search.rrf_topk(tables.corpus(spark, sf_dir), _probe(spark, sf_dir), TERMS, K)
 
 
+_SEMANTIC = f"SELECT document_id, 0 AS chunk_index, round({_COS.format('embedding', 'qv')}, 6) AS score FROM corpus WHERE embedding IS NOT NULL ORDER BY score DESC, document_id LIMIT {K}"
+_KEYWORD = f"SELECT document_id, chunk_index, {_lex('toks', TERMS)} AS score FROM corpus WHERE {' AND '.join(f'list_contains(toks, {w!r})' for w in TERMS)} ORDER BY score DESC, document_id LIMIT {K}"
+_FUSED = f"SELECT document_id, 0 AS chunk_index, round(sum(1.0::DOUBLE / (60 + rk)), 6) AS score FROM (SELECT * FROM sem UNION ALL SELECT * FROM lex) GROUP BY document_id ORDER BY score DESC, document_id LIMIT {K}"
+
+
+@query(f"WITH {_CORPUS}, {_RRF} " + " UNION ALL ".join(f"SELECT '{mode}' AS mode, * FROM ({sql})" for mode, sql in (("semantic", _SEMANTIC), ("keyword", _KEYWORD), ("hybrid", _HYBRID), ("anything", _FUSED), ("hybrid without a vector", _KEYWORD))))
+def search_modes(spark, sf_dir):
+    """Every mode of search by its name, and hybrid search that falls back to words where no vector can be had."""
+    corpus, probe, out = tables.corpus(spark, sf_dir), _probe(spark, sf_dir), None
+    for mode in ("semantic", "keyword", "hybrid", "anything", "hybrid without a vector"):
+        name, *without = mode.split(" ")
+        hits = search.search(corpus, name, K, TERMS, None if without else probe).withColumn("mode", F.lit(mode))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@query(
+    f"""WITH {_HITS}, one AS (SELECT document_id FROM hits WHERE pos = 1), h AS (SELECT * FROM hits WHERE document_id IN (FROM one)),
+d AS (SELECT document_id FROM h GROUP BY 1 HAVING count(*) >= 2 OR max(chunk_index) > 0),
+u AS (SELECT document_id, chunk_index, 1.0::DOUBLE AS score, 0 AS part, 0 AS place FROM chunks WHERE document_id IN (FROM d) UNION ALL SELECT document_id, chunk_index, score, 1, pos FROM h WHERE document_id NOT IN (FROM d))
+SELECT document_id, chunk_index, score, row_number() OVER (ORDER BY part, place, document_id, chunk_index)::INTEGER AS pos FROM u"""
+)
+def expand_comparison_of_one(spark, sf_dir):
+    """A comparison whose hits are all of one document is expanded like any other query."""
+    hits = _hits(spark, sf_dir)
+    return search.expand_comparison(tables.chunks(spark, sf_dir), hits.join(hits.where("pos = 1").select("document_id"), "document_id", "left_semi"))
+
+
+@query(f"WITH {_CORPUS}, r AS (SELECT document_id, score, category AS title, row_number() OVER (ORDER BY score DESC, document_id) AS pos FROM ({_HYBRID}) h JOIN corpus USING (document_id, chunk_index)) SELECT document_id, score, '' AS source_url, title, pos::INTEGER AS pos FROM r QUALIFY row_number() OVER (PARTITION BY title ORDER BY pos) = 1 ORDER BY pos LIMIT 6")
+def filter_sources_by_title(spark, sf_dir):
+    """Sources without a URL are told apart by their title; a list keeps what a steep drop would cut."""
+    hits = search.positioned(search.hybrid_topk(tables.corpus(spark, sf_dir), _probe(spark, sf_dir), TERMS, K))
+    rows = hits.join(tables.corpus(spark, sf_dir, vectors=False).select("document_id", F.lit("").alias("source_url"), F.col("category").alias("title")), "document_id")
+    return search.filter_sources(rows.select("document_id", "score", "source_url", "title", "pos"), "List", 0.0)
+
+
 def _hits(spark, sf_dir):
     return search.positioned(search.fulltext_topk(tables.chunks(spark, sf_dir), HIT_TERMS, K))
 
@@ -145,7 +197,7 @@ SELECT document_id, score, source_url, pos::INTEGER AS pos FROM one WHERE n = 1
 def _filtered(spark, sf_dir, floor):
     corpus = tables.corpus(spark, sf_dir)
     hits = search.positioned(search.hybrid_topk(corpus, _probe(spark, sf_dir), TERMS, K))
-    ranked = hits.join(corpus.select("document_id", "source_url"), "document_id").select("document_id", "score", "source_url", "pos")
+    ranked = hits.join(tables.corpus(spark, sf_dir, vectors=False).select("document_id", "source_url"), "document_id").select("document_id", "score", "source_url", "pos")
     return search.filter_sources(ranked, "General", floor)
 
 
@@ -159,7 +211,13 @@ def filter_sources_none_pass(spark, sf_dir):
     return _filtered(spark, sf_dir, 2.0)
 
 
-@query()
+@query(
+    f"""WITH {_CORPUS}, ranked AS (SELECT h.*, source_url, category, row_number() OVER (ORDER BY score DESC, h.document_id) AS pos FROM ({_HYBRID}) h JOIN corpus USING (document_id)),
+above AS (SELECT *, lag(score) OVER (ORDER BY pos) AS prev FROM ranked WHERE score >= 0.1),
+cut AS (SELECT min(pos) AS c FROM above WHERE prev > 0 AND (prev - score) / prev > 0.25),
+kept AS (SELECT * EXCLUDE (prev, c) FROM above, cut WHERE c IS NULL OR pos < c UNION ALL SELECT * FROM ranked WHERE pos = 1 AND NOT EXISTS (FROM above))
+SELECT document_id, chunk_index, score, pos::INTEGER AS pos, source_url, category FROM kept QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY pos) = 1 ORDER BY pos LIMIT 6"""
+)
 def ask_hybrid(spark, sf_dir):
     return flagship(spark, sf_dir)
 
@@ -181,7 +239,28 @@ def context(spark, sf_dir):
 
 @query("SELECT list_sort(list(DISTINCT lang)) AS categories, count(DISTINCT lang) >= 3 AS diverse FROM documents")
 def category_diversity(spark, sf_dir):
-    return search.diverse_categories(tables.corpus(spark, sf_dir).select("category"))
+    return search.diverse_categories(tables.corpus(spark, sf_dir, vectors=False).select("category"))
+
+
+@query("SELECT item_id, k AS kind, CASE k " + " ".join(f"WHEN '{k}' THEN '{h}'" for k, h in prompts.FORMAT_HINTS.items() if h) + f" ELSE '' END AS hint FROM ({ORACLES_CLASSIFY})")
+def format_hints(spark, sf_dir):
+    kind = prompts.classify(F.col("text"))
+    return tables.read(spark, sf_dir, "benchmark").select("item_id", kind.alias("kind")).withColumn("hint", prompts.format_hint(F.col("kind")))
+
+
+@query("SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'List' WHEN 1 THEN 'Comparison' WHEN 2 THEN 'General' ELSE k END AS kind FROM (" + ORACLES_CLASSIFY.replace("SELECT item_id,", "SELECT item_id, text,") + ")")
+def classify_with_model(spark, sf_dir):
+    """A model's answers, exact, longer than asked for, unknown or missing; without one the words decide."""
+    answer = F.element_at(F.array(F.lit("list"), F.lit(" Comparison of two\n"), F.lit("no idea"), F.lit(None).cast("string")), (F.col("item_id") % 4 + 1).cast("int"))
+    return tables.read(spark, sf_dir, "benchmark").select("item_id", F.coalesce(prompts.answered_class(answer), text.classify_query(F.col("text"))).alias("kind"))
+
+
+@query("SELECT conv_id, turn, text AS query, 'hybrid' AS search_mode, turn::INTEGER AS top_k, NULL::VARCHAR AS category_filter FROM conversations")
+def ask_requests(spark, sf_dir):
+    """Questions as JSON bodies and back."""
+    turns = tables.read(spark, sf_dir, "conversations")
+    body = F.to_json(F.struct(F.col("text").alias("query"), F.lit("hybrid").alias("search_mode"), F.col("turn").alias("top_k")))
+    return turns.select("conv_id", "turn", prompts.request(body, prompts.ASK_BODY).alias("r")).select("conv_id", "turn", "r.query", "r.search_mode", "r.top_k", "r.category_filter")
 
 
 # Usage statistics ----------------------------------------------------------------------
@@ -261,18 +340,18 @@ def faq_pin(spark, sf_dir):
 
 @query("SELECT source AS document_id, min(lang) AS category, min(source) AS source_url, count(*) AS chunks FROM documents GROUP BY 1")
 def document_listing(spark, sf_dir):
-    docs = tables.corpus(spark, sf_dir).select(F.col("source_url").alias("document_id"), "category", "source_url")
+    docs = tables.corpus(spark, sf_dir, vectors=False).select(F.col("source_url").alias("document_id"), "category", "source_url")
     return analytics.document_listing(docs)
 
 
 @query("SELECT DISTINCT lang AS category FROM documents")
 def categories(spark, sf_dir):
-    return analytics.categories(tables.corpus(spark, sf_dir).select("category"))
+    return analytics.categories(tables.corpus(spark, sf_dir, vectors=False).select("category"))
 
 
 @query("SELECT lang AS category, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM documents GROUP BY 1")
 def ingest_stats(spark, sf_dir):
-    return analytics.ingest_stats(tables.corpus(spark, sf_dir).select("category", "document_id"))
+    return analytics.ingest_stats(tables.corpus(spark, sf_dir, vectors=False).select("category", "document_id"))
 
 
 @query("SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS updated_at, coalesce(c_name, '(deleted)') AS user_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey ORDER BY updated_at DESC NULLS LAST, id LIMIT 200")
@@ -282,10 +361,10 @@ def sessions_with_user(spark, sf_dir):
     return analytics.sessions_with_user(sessions, users)
 
 
-@query("SELECT o_custkey AS user_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS rank FROM orders QUALIFY rank <= 5")
+@query("SELECT o_custkey AS user_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS rank FROM orders QUALIFY rank <= 50")
 def latest_sessions_per_user(spark, sf_dir):
     sessions = tables.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"))
-    return analytics.latest_per_user(sessions, 5).select("user_id", "id", "rank")
+    return analytics.latest_per_user(sessions).select("user_id", "id", "rank")
 
 
 @query("SELECT conv_id AS id, count(*)::INTEGER AS message_count FROM conversations GROUP BY 1")
@@ -300,10 +379,11 @@ def history_window(spark, sf_dir):
     return analytics.last_messages(turns).select("id", F.explode("messages").alias("m")).select("id", "m.turn", "m.role")
 
 
-@query("SELECT c_custkey AS id, c_name AS user_name FROM customer WHERE contains(lower(c_name), '00001')")
+@query("SELECT c_custkey AS id, c_name AS user_name FROM customer WHERE contains(lower(c_name), '0012') OR contains(concat('u', c_custkey, '@example.com'), '0012') OR contains(concat('u', c_custkey, '@example.com'), 'u12')")
 def find_users(spark, sf_dir):
-    users = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("user_name"), F.lit("").alias("email"))
-    return analytics.find_users(users, "00001").select("id", "user_name")
+    """By a part of the name and by a part of the address."""
+    users = tables.users(spark, sf_dir).withColumnRenamed("display_name", "user_name")
+    return analytics.find_users(users, "0012").unionByName(analytics.find_users(users, "U12")).select("id", "user_name").distinct()
 
 
 # Text and pages ---------------------------------------------------------------------------
@@ -333,20 +413,59 @@ for _tag in html.BOILERPLATE:
     _STRIP = f"regexp_replace({_STRIP}, '(?is)<{_tag}.*?</{_tag}>', '', 'g')"
 
 
-@query(rf"SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace({_STRIP}, '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages")
+def _decode(x: str) -> str:
+    for name, char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("nbsp", "\xa0"), ("copy", "\xa9"), ("middot", "\xb7"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return x
+
+
+def _body_lines(page: str) -> str:
+    body = f"regexp_extract({page}, '(?is)<body(?:[ />][^>]*)?>?(.*)$', 1)"
+    plain = f"regexp_replace(regexp_replace({body}, '(?s)<!--.*?(-->|$)', chr(10), 'g'), '(?s)<[a-zA-Z/!?][^>]*(>|$)', chr(10), 'g')"
+    return f"list_filter(list_transform(string_split({_decode(plain)}, chr(10)), lambda x: {_trim('x')}), lambda x: x <> '')"
+
+
+@query(f"SELECT page_id, array_to_string({_body_lines(_STRIP)}, chr(10)) AS text FROM pages")
 def html_text(spark, sf_dir):
     return tables.read(spark, sf_dir, "pages").select("page_id", html.page_text(F.col("html")).alias("text"))
 
 
-@query("SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) AS title FROM pages")
+_TABLE = "<table><tr><th> No </th><th>Kind</th><th></th></tr><tr><td>#</td><td>page</td><td> </td></tr></table>"
+_JSON = '<script type="application/json">{"columns": [{"title": "A"}, {"data": "B"}], "data": [["<i>x</i>", 1], [null, true], []]}</script>'
+
+
+@query(
+    f"""SELECT page_id, array_to_string(list_concat(t, ['No | Kind', page_id || ' | page', 'A: x | B: 1', 'true']), chr(10)) AS text
+FROM (SELECT page_id, {_body_lines(_STRIP.replace('html', "replace(html, '<body>', '<body>' || replace($t$" + _TABLE + "$t$, '#', page_id::VARCHAR))", 1))} AS t FROM pages)
+WHERE strlen(array_to_string(t, chr(10))) + 50 >= 50"""
+)
+def page_ingest_text(spark, sf_dir):
+    """Pages with a table and a JSON table put in: their rows follow the text; pages with too little text are left out."""
+    pages = tables.read(spark, sf_dir, "pages")
+    table = F.concat(F.lit("<body>"), F.replace(F.lit(_TABLE), F.lit("#"), F.col("page_id").cast("string")), F.lit(_JSON))
+    whole = pages.select("page_id", html.page_text(F.replace("html", F.lit("<body>"), table), tables=True).alias("text"))
+    return whole.where(html.long_enough(F.col("text")))
+
+
+@query(f"SELECT page_id, coalesce(nullif({_trim(_decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))}, ''), url) AS title FROM pages")
 def html_title(spark, sf_dir):
     return tables.read(spark, sf_dir, "pages").select("page_id", html.page_title(F.col("html"), F.col("url")).alias("title"))
 
 
+@query(f"SELECT page_id, array_to_string(list_transform(regexp_split_to_array(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>'), lambda x: {_trim(_decode('x'), _WS_PY)}), '') AS title FROM pages")
+def site_title(spark, sf_dir):
+    return tables.read(spark, sf_dir, "pages").select("page_id", html.site_title()("html", "url").alias("title"))
+
+
+@query(r"SELECT page_id, nullif(regexp_replace(list_last(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/*([^?#]*?)/*([?#].*)?$', 1), '/')), '[^a-zA-Z0-9_-]', '_', 'g'), '') AS site_id FROM pages")
+def site_id(spark, sf_dir):
+    return tables.read(spark, sf_dir, "pages").select("page_id", urls.site_id(F.col("url")).alias("site_id"))
+
+
 @query(
     "SELECT page_id, "
     + " OR ".join([*(f"contains(html, '{m}')" for m in html.SCRIPTED), *(f"contains(lower(html), '{m}')" for m in html.SCRIPTED_ANY_CASE)])
-    + " OR (b <> '' AND strlen(trim(b)) < 300) AS needs_script FROM (SELECT *, regexp_extract(html, '(?is)(<tbody.*?)</tbody>', 1) AS b FROM pages)"
+    + f" OR (b <> '' AND strlen({_trim('b')}) < 300) AS needs_script FROM (SELECT *, regexp_extract(html, '(?is)(<tbody.*?)</tbody>', 1) AS b FROM pages)"
 )
 def needs_script(spark, sf_dir):
     return tables.read(spark, sf_dir, "pages").select("page_id", html.needs_script(F.col("html")).alias("needs_script"))
@@ -357,24 +476,34 @@ def site_markdown(spark, sf_dir):
     return tables.read(spark, sf_dir, "pages").select("page_id", html.python_column(html.site_markdown_text)("html").alias("markdown"))
 
 
-@query()
+_LINKS = r"""SELECT url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages"""
+
+
+@query(_LINKS)
 def page_links(spark, sf_dir):
     return readers.links(tables.read(spark, sf_dir, "pages").select("url", "html"))
 
 
-@query()
+@query(
+    rf"""WITH l AS (SELECT DISTINCT href FROM ({_LINKS})),
+v AS (SELECT href FROM l WHERE regexp_extract(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1) IN ('', 'example.com')
+  AND NOT regexp_matches(lower(regexp_replace(regexp_replace(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '')), '({"|".join(e.replace(".", "[.]") for e in urls.SKIPPED_ENDINGS)})$')),
+f AS (SELECT CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '/%' THEN '{BASE}' || href ELSE '{BASE}/' || regexp_replace(href, '^\./', '') END AS u FROM v),
+n AS (SELECT DISTINCT regexp_replace(regexp_replace(u, '[#?].*$', ''), '/+$', '') AS url FROM f)
+SELECT url FROM n WHERE starts_with(url, '{BASE}') AND url NOT IN (SELECT url FROM pages)"""
+)
 def crawl_frontier(spark, sf_dir):
     pages = tables.read(spark, sf_dir, "pages").select("url", "html")
     return readers.next_frontier(readers.links(pages), pages, BASE)
 
 
 @query(
-    r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10)) AS ls FROM documents),
-o AS (SELECT doc_id, ls, list_filter(list_transform(ls, lambda x: trim(x)), lambda x: length(x) > 0 AND length(x) < 60) AS ts FROM l),
-r AS (SELECT doc_id, list(t) AS often FROM (SELECT doc_id, unnest(ts) AS t FROM o) GROUP BY doc_id, t HAVING count(*) >= 3),
+    rf"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n|[\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10)) AS ls FROM documents),
+o AS (SELECT doc_id, ls, list_transform(ls, lambda x: {_trim('x', _WS_PY)}) AS ts FROM l),
+r AS (SELECT doc_id, list(t) AS often FROM (SELECT doc_id, unnest(ts) AS t FROM o) WHERE length(t) BETWEEN 1 AND 59 GROUP BY doc_id, t HAVING count(*) >= 3),
 f AS (SELECT doc_id, flatten(list(often)) AS often FROM r GROUP BY 1),
-k AS (SELECT o.doc_id, array_to_string(CASE WHEN often IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(often, trim(x))) END, chr(10)) AS t FROM o LEFT JOIN f USING (doc_id))
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '[\x01-\x08\x0b\x0c\x0e-\x1f\x7f\x{200b}\x{200c}\x{200d}\x{feff}]', '', 'g'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM k"""
+k AS (SELECT o.doc_id, array_to_string(CASE WHEN often IS NULL THEN ls ELSE list_filter(ls, lambda x, i: NOT list_contains(often, ts[i])) END, chr(10)) AS t FROM o LEFT JOIN f USING (doc_id))
+SELECT doc_id, {_trim(r"regexp_replace(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{200b}\x{200c}\x{200d}\x{feff}]', '', 'g'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g')", _WS_PY)} AS cleaned FROM k"""
 )
 def clean_markdown(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", text.clean_markdown(F.col("text")).alias("cleaned"))
@@ -387,28 +516,34 @@ def classify_query(spark, sf_dir):
 
 @query(
     r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\r?\n$', ''), chr(10)) AS ls FROM documents),
-n AS (SELECT doc_id, greatest(len(ls), 1) AS total, len(list_filter(ls, lambda x: regexp_matches(trim(x), '^[0-9][.)]'))) AS numbered,
-  len(list_filter(ls, lambda x: contains(x, '|'))) AS piped, len(list_filter(ls, lambda x: strlen(trim(x)) < 80 AND contains(x, ':'))) AS labels FROM l)
-SELECT doc_id, CASE WHEN numbered > total // 5 OR piped > total // 4 OR labels > total // 3 THEN 'structural' ELSE 'sentence' END AS strategy FROM n"""
+n AS (SELECT doc_id, greatest(len(ls), 1) AS total, len(list_filter(ls, lambda x: regexp_matches({T}, '^[0-9][.)]'))) AS numbered,
+  len(list_filter(ls, lambda x: contains(x, '|'))) AS piped, len(list_filter(ls, lambda x: strlen({T}) < 80 AND contains(x, ':'))) AS labels FROM l)
+SELECT doc_id, CASE WHEN numbered > total // 5 OR piped > total // 4 OR labels > total // 3 THEN 'structural' ELSE 'sentence' END AS strategy FROM n""".replace("{T}", _trim("x"))
 )
 def detect_strategy(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", text.detect_strategy(F.col("text")).alias("strategy"))
 
 
-@query("SELECT doc_id, CASE WHEN " + " OR ".join(f"contains(substr(trim(text), 1, 200), '{m}')" for m in text.SCRIPT_MARKS) + " THEN '' ELSE trim(text) END AS snippet FROM documents")
+@query("SELECT doc_id, CASE WHEN " + " OR ".join(f"contains(substr(t, 1, 200), '{m}')" for m in text.SCRIPT_MARKS) + f" THEN '' ELSE t END AS snippet FROM (SELECT doc_id, {_trim('text')} AS t FROM documents)")
 def clean_snippet(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", text.clean_snippet(F.col("text")).alias("snippet"))
 
 
-@query()
-def snippet(spark, sf_dir):
-    return tables.read(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), TERMS).alias("snippet"))
+_HITS_IN_WINDOW = " + ".join(f"least(3, (length(t) - length(replace(t, '{w}', ''))) // {len(w)})" for w in TERMS)
 
 
 @query(
-    r"""SELECT doc_id, CASE WHEN length(text) <= 400 THEN text WHEN s <> '' THEN regexp_replace(s, '\s+$', '') WHEN contains(h, ' ') THEN regexp_extract(h, '(?s)^(.*) ', 1) || '...' ELSE h || '...' END AS short
-FROM (SELECT doc_id, text, substr(text, 1, 400) AS h, regexp_extract(substr(text, 1, 400), '(?s)^(.{240}.*[.!?\n])', 1) AS s FROM documents)"""
+    rf"""WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '') AS ws FROM documents WHERE length(text) > 400),
+w AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 59, 20)) AS s FROM d WHERE len(ws) > 60),
+n AS (SELECT doc_id, ws, s, {_HITS_IN_WINDOW} AS n FROM (SELECT *, lower(array_to_string(ws[s + 1:s + 60], ' ')) AS t FROM w)),
+b AS (SELECT doc_id, array_to_string(ws[s + 1:s + 80], ' ') AS best FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s) = 1)
+SELECT doc_id, {_truncated('t')} AS snippet FROM (SELECT doc_id, coalesce(best, text) AS t FROM documents LEFT JOIN b USING (doc_id))"""
 )
+def snippet(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), TERMS).alias("snippet"))
+
+
+@query(f"SELECT doc_id, {_truncated('text')} AS short FROM documents")
 def truncate_at_sentence(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", text.truncate_at_sentence(F.col("text"), 400).alias("short"))
 
@@ -433,9 +568,11 @@ def enrich_text(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", enrich.enrich_text(F.col("text")).alias("enriched"))
 
 
-@query()
+@query("SELECT doc_id, concat('Nomor: ', doc_id, ', Bahasa: ', lang, '.', chr(10), 'Nomor: 2.', chr(10), text) AS prose FROM documents")
 def tables_to_prose(spark, sf_dir):
-    return tables.read(spark, sf_dir, "documents").select("doc_id", html.python_column(html.tables_to_prose_text)("text").alias("prose"))
+    """Documents with a table in front."""
+    table = F.concat(F.lit("| Nomor | Bahasa |\n| --- | --- |\n| "), "doc_id", F.lit(" | "), "lang", F.lit(" |\n  | 2 | - |\n"), "text")
+    return tables.read(spark, sf_dir, "documents").select("doc_id", html.python_column(html.tables_to_prose_text)(table).alias("prose"))
 
 
 def _chunked(spark, sf_dir, strategy, **kw):
@@ -443,22 +580,63 @@ def _chunked(spark, sf_dir, strategy, **kw):
     return chunking.explode_chunks(docs, chunking.chunked(F.col("text"), strategy, **kw)).select("doc_id", "chunk_index", "chunk")
 
 
-@query()
+# The chunkers as folds over lists.  {most} and {least} are bytes; patterns repeat at most 1000 times.
+def _fixed(x: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({x}, '(?s).{{1,600}}.{{0,600}}(?:{_WS}+|$)|.{{600}}.{{600}}'), lambda x: {_trim('x')}), lambda x: x <> '')"
+
+
+def _fold(units: str, step: str) -> str:
+    """A list_reduce over structs: held, the pieces so far, and the unit that comes next."""
+    first = "[{'held': '', 'done': []::VARCHAR[], 'unit': ''}]"
+    rest = f"list_transform({units}, lambda u: {{'held': '', 'done': []::VARCHAR[], 'unit': u}})"
+    return f"list_reduce(list_concat({first}, {rest}), lambda a, b: {step})"
+
+
+def _merged(units: str) -> str:
+    join = "(a.held || CASE WHEN a.held LIKE '%' || chr(10) THEN '' ELSE chr(10) END || b.unit)"
+    full = f"(a.held <> '' AND strlen({join}) > 1200 AND strlen(a.held) >= 150)"
+    held = f"(CASE WHEN a.held = '' OR {full} THEN b.unit ELSE {join} END)"
+    done = f"(CASE WHEN {full} THEN list_append(a.done, a.held) ELSE a.done END)"
+    step = f"CASE WHEN strlen({held}) > 1200 THEN {{'held': '', 'done': list_concat({done}, {_fixed(held)}), 'unit': ''}} ELSE {{'held': {held}, 'done': {done}, 'unit': ''}} END"
+    end = f"CASE WHEN {_trim('m.held')} = '' THEN m.done WHEN len(m.done) > 0 AND strlen(m.done[-1]) + strlen(m.held) + 1 <= 1200 THEN list_append(m.done[:-2], m.done[-1] || chr(10) || m.held) ELSE list_append(m.done, m.held) END"
+    return f"SELECT doc_id, list_filter({end}, lambda x: strlen({_trim('x')}) >= 10) AS pieces FROM (SELECT doc_id, {_fold(units, step)} AS m FROM units)"
+
+
+_LINES_SQL = "list_transform(string_split(regexp_replace(text, '\\n$', ''), chr(10)), lambda x: regexp_replace(x, '\\r$', ''))"
+_PIECE_ENDS = f"((regexp_matches(a.held, '[.!?]$') AND regexp_matches(b.unit, '^[ \\n]')) OR (a.held LIKE '%' || chr(10) AND b.unit LIKE chr(10) || '%')) AND strlen({_trim('a.held')}) > 20"
+_SENTENCES = f"""lines AS (SELECT doc_id, text, {_LINES_SQL} AS ls FROM documents),
+prose AS (SELECT doc_id, {_fold(r"regexp_extract_all(text, '(?s)[^.!?\n]*[.!?\n]|[^.!?\n]+')", f"CASE WHEN {_PIECE_ENDS} THEN {{'held': CASE WHEN b.unit LIKE chr(10) || '%' AND a.held LIKE '%' || chr(10) THEN b.unit[2:] ELSE b.unit END, 'done': list_append(a.done, {_trim('a.held')}), 'unit': ''}} ELSE {{'held': a.held || b.unit, 'done': a.done, 'unit': ''}} END")} AS m FROM lines
+  WHERE NOT (len(ls) > 3 AND list_sum(list_transform(ls, lambda x: strlen(x))) // len(ls) < 150)),
+units AS (SELECT doc_id, CASE WHEN {_trim('m.held')} = '' THEN m.done ELSE list_append(m.done, {_trim('m.held')}) END AS us FROM prose
+  UNION ALL SELECT doc_id, list_filter(list_transform(ls, lambda x: {_trim('x')}), lambda x: x <> '') FROM lines WHERE len(ls) > 3 AND list_sum(list_transform(ls, lambda x: strlen(x))) // len(ls) < 150)"""
+_LETTERS = r"regexp_replace(b.unit, '[^\p{L}]', '', 'g')"
+_OPENS = rf"((regexp_matches(b.unit, '^[0-9]') AND regexp_matches(b.unit, '[.)] ')) OR regexp_matches(b.unit, '^(##|---|===)') OR regexp_matches({_LETTERS}, '^\p{{Lu}}{{4,}}$'))"
+_BLOCK = f"CASE WHEN b.unit = '' THEN {{'held': a.held || CASE WHEN a.held = '' THEN '' ELSE chr(10) END, 'done': a.done, 'unit': ''}} WHEN {_OPENS} AND strlen({_trim('a.held')}) >= 150 THEN {{'held': b.unit, 'done': list_append(a.done, {_trim('a.held')}), 'unit': ''}} ELSE {{'held': a.held || CASE WHEN a.held = '' THEN '' ELSE chr(10) END || b.unit, 'done': a.done, 'unit': ''}} END"
+_BLOCKS = f"""lines AS (SELECT doc_id, text, {_LINES_SQL} AS ls FROM documents),
+blocks AS (SELECT doc_id, {_fold(f"list_transform(ls, lambda x: {_trim('x')})", _BLOCK)} AS m FROM lines),
+units AS (SELECT doc_id, CASE WHEN {_trim('m.held')} = '' THEN m.done ELSE list_append(m.done, {_trim('m.held')}) END AS us FROM blocks)"""
+
+
+def _numbered(pieces: str) -> str:
+    return f"SELECT doc_id, (unnest(range(len(pieces))))::INTEGER AS chunk_index, unnest(pieces) AS chunk FROM ({pieces})"
+
+
+@query(f"WITH {_SENTENCES} {_numbered(_merged('us'))}")
 def chunk_sentence(spark, sf_dir):
     return _chunked(spark, sf_dir, "sentence")
 
 
-@query()
+@query(f"WITH {_BLOCKS} {_numbered(_merged('us'))}")
 def chunk_structural(spark, sf_dir):
     return _chunked(spark, sf_dir, "structural")
 
 
-@query()
+@query(_numbered(f"SELECT doc_id, CASE WHEN strlen(text) <= 1200 THEN [text] ELSE {_fixed('text')} END AS pieces FROM documents"))
 def chunk_fixed(spark, sf_dir):
     return _chunked(spark, sf_dir, "fixed")
 
 
-@query()
+@query(f"SELECT c.* FROM ({ORACLES['detect_strategy']}) s JOIN (SELECT 'sentence' AS strategy, * FROM (WITH {_SENTENCES} {_numbered(_merged('us'))}) UNION ALL SELECT 'structural', * FROM (WITH {_BLOCKS} {_numbered(_merged('us'))})) x USING (doc_id, strategy), LATERAL (SELECT x.doc_id, x.chunk_index, x.chunk) c")
 def chunk_auto(spark, sf_dir):
     return _chunked(spark, sf_dir, "auto")
 
@@ -498,14 +676,18 @@ def dedup_hash(spark, sf_dir):
 
 
 _VERSIONS = """v AS (SELECT doc_id AS document_id, md5(text) AS file_hash, source AS title FROM documents),
-old AS (SELECT document_id, CASE WHEN document_id % 7 = 0 THEN md5('stale') ELSE file_hash END AS file_hash, 'old' AS title, 0 AS chunk_index, 'x' AS category FROM v WHERE document_id % 5 <> 0),
-new AS (SELECT *, 0 AS chunk_index, 'y' AS category FROM v WHERE document_id % 3 <> 0)"""
+old AS (SELECT document_id, CASE WHEN document_id % 7 = 0 THEN md5('stale') ELSE file_hash END AS file_hash, 'old' AS title, 0 AS chunk_index, 'x' AS category FROM v
+  UNION ALL SELECT document_id + 1000000000000, file_hash, 'old', 0, 'x' FROM v),
+new AS (SELECT *, 0 AS chunk_index, 'y' AS category FROM v UNION ALL SELECT document_id + 2000000000000, file_hash, title, 0, 'y' FROM v)"""
 
 
 def _versions(spark, sf_dir):
+    """All documents in both versions, some changed; and all once more under other ids in either, as gone and as new ones."""
     v = _hashed(spark, sf_dir)
-    old = v.where("document_id % 5 <> 0").select("document_id", F.when(F.col("document_id") % 7 == 0, F.md5(F.lit("stale"))).otherwise(F.col("file_hash")).alias("file_hash"), F.lit("old").alias("title"), F.lit(0).alias("chunk_index"), F.lit("x").alias("category"))
-    return old, v.where("document_id % 3 <> 0").withColumns({"chunk_index": F.lit(0), "category": F.lit("y")})
+    stale = v.withColumn("file_hash", F.when(F.col("document_id") % 7 == 0, F.md5(F.lit("stale"))).otherwise(F.col("file_hash")))
+    old = stale.unionByName(v.withColumn("document_id", F.col("document_id") + 1_000_000_000_000)).withColumns({"title": F.lit("old"), "chunk_index": F.lit(0), "category": F.lit("x")})
+    new = v.unionByName(v.withColumn("document_id", F.col("document_id") + 2_000_000_000_000)).withColumns({"chunk_index": F.lit(0), "category": F.lit("y")})
+    return old, new
 
 
 @query(f"WITH {_VERSIONS} SELECT document_id, CASE WHEN old.file_hash IS NULL THEN 'new' WHEN new.file_hash IS NULL THEN 'gone' WHEN old.file_hash = new.file_hash THEN 'same' ELSE 'changed' END AS status FROM old FULL JOIN new USING (document_id)")
@@ -540,13 +722,228 @@ def guest_counts(spark, sf_dir):
     return ingest.guest_counts(asks.distinct().withColumn("ask_count", F.lit(1)), asks)
 
 
+_CHUNK = "SELECT doc_id AS document_id, 0 AS chunk_index, text AS content, lang AS category FROM documents"
+
+
+def _chunk_rows(spark, sf_dir):
+    return tables.corpus(spark, sf_dir).select("document_id", "chunk_index", "content", "category", "embedding")
+
+
+@query(f"SELECT * FROM ({_CHUNK}) WHERE document_id <> 3")
+def chunk_delete(spark, sf_dir):
+    rows = _chunk_rows(spark, sf_dir).drop("embedding")
+    return ingest.delete(rows, spark.createDataFrame([(3, 0)], "document_id long, chunk_index int"))
+
+
+@query(f"SELECT * REPLACE (CASE WHEN document_id = 3 THEN 'new words' ELSE content END AS content) FROM ({_CHUNK})")
+def chunk_update(spark, sf_dir):
+    return ingest.update_chunk(_chunk_rows(spark, sf_dir).drop("embedding"), 3, 0, "new words")
+
+
+@query(f"SELECT * REPLACE (CASE WHEN document_id = 3 THEN 'moved' ELSE category END AS category) FROM ({_CHUNK})")
+def document_update(spark, sf_dir):
+    return ingest.update_documents(_chunk_rows(spark, sf_dir).drop("embedding"), 3, category="moved")
+
+
+@query("SELECT doc_id AS document_id, embedding IS NOT NULL AS was_there, true AS is_there, 64 AS width FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+def vector_backfill(spark, sf_dir):
+    """Vectors for chunks that lack one; the others keep theirs."""
+    rows = _chunk_rows(spark, sf_dir).withColumn("was_there", F.col("embedding").isNotNull())
+    filled = ingest.backfill_vectors(rows, vectors.HashEmbedder(64).column())
+    return filled.select("document_id", "was_there", F.col("embedding").isNotNull().alias("is_there"), F.size("embedding").alias("width"))
+
+
+@query(f"WITH {_VERSIONS} SELECT document_id, file_hash, title FROM new UNION ALL SELECT document_id, file_hash, title FROM old WHERE document_id NOT IN (SELECT document_id FROM new)")
+def bulk_insert(spark, sf_dir):
+    """Plain insert of rows whose ids are new."""
+    old, new = _versions(spark, sf_dir)
+    return ingest.insert_unique(new.select("document_id", "file_hash", "title"), ingest.delete(old, new.select("document_id")).select("document_id", "file_hash", "title"), ["document_id"])
+
+
+@query("SELECT md5(text) = (SELECT md5(text) FROM documents WHERE doc_id = 3) AS found FROM documents WHERE doc_id = 3 UNION ALL SELECT false")
+def hash_exists(spark, sf_dir):
+    """Whether a text is known by its hash: one that is, one that is not."""
+    docs = _hashed(spark, sf_dir)
+    known = tables.read(spark, sf_dir, "documents").where("doc_id = 3").select(F.md5("text")).first()[0]
+    return accounts.exists(docs, file_hash=known).unionByName(accounts.exists(docs, file_hash="none"))
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM documents")
+def ingest_totals(spark, sf_dir):
+    return analytics.ingest_totals(tables.corpus(spark, sf_dir, vectors=False).select("document_id"))
+
+
+@query("SELECT doc_id AS document_id, doc_id || ' (' || lang || ' > ' || source || ')' AS title, i AS chunk_index, 'Document ' || doc_id || ' part ' || i || ' of it' AS content, 'passage: [' || doc_id || ' > ' || lang || ' > ' || source || ']' || chr(10) || chr(10) || 'Document ' || doc_id || ' part ' || i || ' of it' AS embed_text FROM documents, (VALUES (0::INTEGER), (2::INTEGER)) x(i)")
+def headed_records(spark, sf_dir):
+    """Sections under headings; a short one goes and leaves a gap in the index."""
+    docs = tables.read(spark, sf_dir, "documents")
+    part = [F.concat(F.lit("Document "), "doc_id", F.lit(f" part {i} of it\n")) for i in (0, 2)]
+    content = F.concat(F.lit("# "), "lang", F.lit("\n## "), "source", F.lit("\n"), part[0], F.lit("# short\nx\n# "), "lang", F.lit("\n## "), "source", F.lit("\n"), part[1])
+    docs = docs.select(F.col("doc_id").alias("document_id"), content.alias("content"), F.col("source").alias("source_url"))
+    return ingest.headed_records(docs, chunking.headed()("content")).select("document_id", "title", "chunk_index", "content", "embed_text")
+
+
+@query(f"WITH {_LOGS}, {_PINS} SELECT question, sort_order::INTEGER AS sort_order FROM pins WHERE sort_order <> 2")
+def faq_unpin(spark, sf_dir):
+    return ingest.delete(_pins(spark, sf_dir), spark.createDataFrame([(2,)], "sort_order int"))
+
+
+@query("SELECT 'u' || c_custkey || '@example.com' AS email, c_name AS user_name, c_mktsegment AS password, 'user' AS role FROM customer")
+def user_import(spark, sf_dir):
+    lines = tables.read(spark, sf_dir, "customer").select(F.concat(F.lit(" u"), "c_custkey", F.lit("@example.com , "), "c_name", F.lit(","), "c_mktsegment", F.lit(", ")).alias("value"))
+    head = spark.createDataFrame([("Email,Name,Password,Role",), ("  ",)], "value string")
+    return readers.user_list(head.unionByName(lines))
+
+
+@query(f"SELECT DISTINCT '{BASE}/' || page_id AS url FROM pages")
+def sitemap_urls(spark, sf_dir):
+    """A sitemap of sitemaps, one for each page, read level by level."""
+    pages = tables.read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("p"))
+    index = F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit(f"<sitemap><loc>{BASE}/map-"), "p", F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>"))
+    maps = pages.select(F.concat(F.lit(f"{BASE}/map-"), "p").alias("url"), F.concat(F.lit(f"<urlset><url><loc>{BASE}/"), "p", F.lit(f"/</loc></url><url><loc>{BASE}/x.pdf</loc></url></urlset>")).alias("xml"))
+    store = maps.unionByName(pages.agg(index.alias("xml")).select(F.lit(f"{BASE}/sitemap-index.xml").alias("url"), "xml"))
+    return readers.all_sitemap_urls(spark, lambda wanted: store.where(F.col("url").isin(wanted)), BASE).select("url")
+
+
+# Accounts --------------------------------------------------------------------------------------
+
+NOW = datetime(2024, 1, 31)
+_USERS = "users AS (SELECT c_custkey AS id, 'u' || c_custkey || '@example.com' AS email, c_name AS display_name, 'user' AS role, c_acctbal >= 0 AS is_active, c_acctbal >= 0 AS email_verified FROM customer)"
+_TOKENS = "tokens AS (SELECT o_orderkey AS id, o_custkey AS user_id, md5(o_orderkey::VARCHAR) AS token, o_orderdate + INTERVAL 1 DAY AS expires_at, o_orderstatus = 'F' AS used FROM orders)"
+_KEYS = "keys AS (SELECT s_suppkey AS id, s_nationkey::BIGINT AS user_id, substr(md5(s_name), 1, 8) AS key_prefix, s_name AS name, true AS is_active, s_acctbal < 0 AS expired FROM supplier)"
+_PROFILE = ["id", "email", "display_name", "role", "is_active", "email_verified"]
+
+
+@query(f"WITH {_USERS}, m AS (SELECT max(id) AS m FROM users) SELECT * FROM users UNION ALL SELECT m + 1, 'a@x', 'a@x', 'admin', true, true FROM m UNION ALL SELECT m + 2, 'b@x', 'B', 'user', true, true FROM m UNION ALL SELECT m + 3, 'c@x', 'C', 'user', false, false FROM m")
+def users_created(spark, sf_dir):
+    """Two users by an admin, one by registering."""
+    by_admin = spark.createDataFrame([("a@x", "h", "", "admin"), ("b@x", "h", "B", "root")], "email string, password_hash string, display_name string, role string")
+    own = spark.createDataFrame([("c@x", "h", "C")], "email string, password_hash string, display_name string")
+    return accounts.create_users(accounts.create_users(tables.users(spark, sf_dir), by_admin, NOW), own, NOW).select(*_PROFILE)
+
+
+@query(f"WITH {_USERS} SELECT id, CASE WHEN id = 7 THEN 'new@x' ELSE email END AS email, CASE WHEN id = 7 THEN 'New' ELSE display_name END AS display_name, CASE WHEN id = 8 THEN 'admin' ELSE role END AS role, CASE WHEN id = 9 THEN false ELSE is_active END AS is_active, email_verified, id IN (7, 8, 9) AS touched FROM users")
+def users_updated(spark, sf_dir):
+    """A profile, a role and a deactivation."""
+    users = accounts.update_user(tables.users(spark, sf_dir), 7, NOW, display_name="New", email="new@x")
+    users = accounts.update_user(accounts.update_user(users, 8, NOW, role="admin"), 9, NOW, is_active=False)
+    return users.select(*_PROFILE, (F.col("updated_at") == F.lit(NOW)).alias("touched"))
+
+
+@query(f"WITH {_USERS} SELECT *, 'id' AS by FROM users WHERE id = 7 UNION ALL SELECT *, 'email' FROM users WHERE email = 'u8@example.com'")
+def user_lookup(spark, sf_dir):
+    users = tables.users(spark, sf_dir).select(*_PROFILE)
+    return accounts.point(users, id=7).withColumn("by", F.lit("id")).unionByName(accounts.point(users, email="u8@example.com").withColumn("by", F.lit("email")))
+
+
+@query("SELECT 'users' AS name, count(*) AS n FROM customer WHERE c_custkey <> 7 UNION ALL SELECT 'sessions', count(*) FROM orders WHERE o_custkey <> 7 UNION ALL SELECT 'tokens', count(*) FROM orders WHERE o_custkey <> 7 UNION ALL SELECT 'keys', count(*) FROM supplier WHERE s_nationkey <> 7 UNION ALL SELECT 'pins', count(*) FROM orders WHERE o_custkey <> 7")
+def user_deleted(spark, sf_dir):
+    """Rows that a deletion leaves: sessions, tokens and keys go with the user, pins stay without one."""
+    sessions, tokens, keys = (f(spark, sf_dir) for f in (tables.sessions, tables.tokens, tables.api_keys))
+    pins = sessions.select("id", F.col("user_id").alias("pinned_by"))
+    left = accounts.delete_user(tables.users(spark, sf_dir), 7, {"sessions": (sessions, "user_id", "cascade"), "tokens": (tokens, "user_id", "cascade"), "keys": (keys, "user_id", "cascade"), "pins": (pins, "pinned_by", "set null")})
+    left["pins"] = left["pins"].where("pinned_by IS NOT NULL")
+    out = None
+    for name, df in left.items():
+        n = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, o_custkey AS user_id FROM orders JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0")
+def sessions_cascaded(spark, sf_dir):
+    """Sessions of the users that are left."""
+    return accounts.orphans(tables.sessions(spark, sf_dir), "user_id", tables.users(spark, sf_dir).where("is_active")).select("id", "user_id")
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, c_custkey AS pinned_by FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0")
+def pins_set_null(spark, sf_dir):
+    pins = tables.sessions(spark, sf_dir).select("id", F.col("user_id").alias("pinned_by"))
+    return accounts.orphans(pins, "pinned_by", tables.users(spark, sf_dir).where("is_active"), accounts.SET_NULL)
+
+
+@query(f"WITH {_TOKENS}, t AS (SELECT * FROM tokens WHERE user_id <> 7 OR used) SELECT id, user_id, token, used FROM t UNION ALL SELECT max(id) + 1, 7, 'fresh', false FROM t")
+def token_issued(spark, sf_dir):
+    """A reset token replaces the unused ones of its user."""
+    out = accounts.issue_token(tables.tokens(spark, sf_dir), 7, "fresh", "reset", NOW)
+    return out.select("id", "user_id", "token", F.col("used_at").isNotNull().alias("used"))
+
+
+_FIRST = "(SELECT min(id) FROM tokens WHERE NOT used)"
+
+
+@query(f"WITH {_TOKENS} SELECT id, user_id, used OR id = {_FIRST} AS used FROM tokens")
+def token_consumed(spark, sf_dir):
+    tokens = tables.tokens(spark, sf_dir)
+    first = tokens.where("used_at IS NULL").orderBy("id").first()
+    out, _ = accounts.consume_token(tokens, first.token, first.created_at)
+    return out.select("id", "user_id", F.col("used_at").isNotNull().alias("used"))
+
+
+@query(f"WITH {_USERS}, {_TOKENS}, w AS (SELECT user_id FROM tokens WHERE id = {_FIRST}) SELECT id, is_active OR id IN (FROM w) AS is_active, email_verified OR id IN (FROM w) AS email_verified FROM users")
+def email_verified(spark, sf_dir):
+    tokens = tables.tokens(spark, sf_dir)
+    first = tokens.where("used_at IS NULL").orderBy("id").first()
+    users, _ = accounts.verify_email(tables.users(spark, sf_dir), tokens, first.token, first.created_at)
+    return users.select("id", "is_active", "email_verified")
+
+
+@query(f"WITH {_KEYS} SELECT id, user_id, key_prefix, name, is_active AND id <> 2 AS is_active, id = 3 AS used FROM keys UNION ALL SELECT max(id) + 1, 5, 'abcdefgh', 'mine', true, false FROM keys")
+def api_keys_changed(spark, sf_dir):
+    """A new key, a use, a revocation by the owner and one by somebody else, which changes nothing."""
+    keys = tables.api_keys(spark, sf_dir)
+    owner = keys.where("id = 2").first().user_id
+    keys = accounts.create_api_key(keys, 5, "abcdefghijklmnop", "hash", "mine", ["read", "write"], 10, NOW)
+    keys = accounts.revoke_api_key(accounts.revoke_api_key(accounts.touch_api_key(keys, 3, NOW), 2, owner), 1, -1)
+    return keys.select("id", "user_id", "key_prefix", "name", "is_active", F.col("last_used_at").isNotNull().alias("used"))
+
+
+@query(f"WITH {_KEYS} SELECT id, user_id, 60 AS rate_limit FROM keys WHERE id <= 5 AND NOT expired")
+def api_key_lookup(spark, sf_dir):
+    """Keys by their prefix; an expired one is not found."""
+    keys, out = tables.api_keys(spark, sf_dir), None
+    for r in keys.where("id <= 5").select("key_prefix").collect():
+        hit = accounts.lookup_api_key(keys, r.key_prefix, NOW).select("id", "user_id", "rate_limit")
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, o_custkey AS user_id, CASE WHEN o_orderstatus = 'O' THEN 'newer' ELSE o_orderpriority END AS title FROM orders UNION ALL SELECT 'n' || o_orderkey, o_custkey, 'newer' FROM orders WHERE o_orderstatus = 'O'")
+def session_upsert(spark, sf_dir):
+    """Open sessions come again, under their id with somebody else as owner, who is not taken over, and under a new id."""
+    orders = tables.read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("user_id"))
+    again = orders.withColumn("user_id", F.lit(-1).cast("long")).unionByName(orders.withColumn("id", F.concat(F.lit("n"), "id"))).withColumn("title", F.lit("newer"))
+    return ingest.session_upsert(tables.sessions(spark, sf_dir), tables.conform(again, tables.SESSIONS)).select("id", "user_id", "title")
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, o_custkey AS user_id, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_custkey <> 7) THEN 'Renamed' ELSE o_orderpriority END AS title FROM orders WHERE NOT (o_orderstatus = 'O' AND o_custkey = 7)")
+def session_delete_rename(spark, sf_dir):
+    """A user deletes among all open sessions only the own ones; another renames one, and tries to rename another's."""
+    sessions = tables.sessions(spark, sf_dir)
+    opened = tables.read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").cast("string").alias("id"))
+    left = accounts.delete_sessions(sessions, opened, user_id=7)
+    first = sessions.where("user_id <> 7").orderBy(F.col("id").cast("long")).first()
+    left = accounts.rename_session(left, first.id, first.user_id, "Renamed", NOW)
+    return accounts.rename_session(left, first.id, -1, "Stolen", NOW).select("id", "user_id", "title")
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, o_custkey AS user_id FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)")
+def session_lookup(spark, sf_dir):
+    """A session by id and owner, and nothing for somebody else."""
+    sessions = tables.sessions(spark, sf_dir).select("id", "user_id")
+    first = sessions.orderBy(F.col("id").cast("long")).first()
+    return accounts.point(sessions, id=first.id, user_id=first.user_id).unionByName(accounts.point(sessions, id=first.id, user_id=-1))
+
+
 # Windows that also run as streams ---------------------------------------------------------------
 
 
 @query("SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1")
 def daily_counts_stream(spark, sf_dir):
-    logs = tables.query_logs(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return streams.daily_counts(logs)
+    """The log file read as a stream; a row per day is what the in-memory table holds."""
+    events = tables.read(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]").select(F.col("ts").cast("timestamp").alias("created_at"))
+    return streams.run_to_end(streams.daily_counts(stream), f"daily_{uuid.uuid4().hex}")
 
 
 @query("SELECT user_id, epoch_ms(epoch_ms(ts) // 3600000 * 3600000) AS window_start, count(*) AS failures FROM events GROUP BY 1, 2 HAVING count(*) >= 2")

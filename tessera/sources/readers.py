@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import html, urls
 
+# Where sites keep their sitemap, in the order in which they are tried.
+SITEMAPS = ("sitemap.xml", "sitemap-index.xml", "wp-sitemap.xml", "news-sitemap.xml", "page-sitemap.xml", "post-sitemap.xml")
+
+
 
 def files(spark: SparkSession, folder: str, endings: str = "*.{pdf,docx}") -> DataFrame:
     """path, document_id (the name without its ending), modificationTime, length, content of files in all sub-folders."""
@@ -80,6 +84,61 @@ def sitemap_urls(xml: DataFrame, base: str) -> DataFrame:
     return locs.where(F.col("is_index") | (urls.valid_url(F.col("url"), host) & F.col("url").startswith(base))).groupBy("url", "is_index").agg(F.min("at").alias("at"))
 
 
+def all_sitemap_urls(spark: SparkSession, fetch: Callable[[list[str]], DataFrame], base: str, deepest: int = 10) -> DataFrame:
+    """Distinct page URLs of a site's sitemaps, nested ones included.
+
+    fetch: from URLs to (url, xml) of those that are there.  The first of the
+    usual names that leads to any page counts; sitemaps are read level by level,
+    each once.
+    """
+    schema = "url string, at long"
+    for name in SITEMAPS if not base.endswith(".xml") else ("",):
+        todo, seen = [f"{base.rstrip('/')}/{name}" if name else base], set()
+        site = base.rstrip("/") if name else base.rsplit("/", 1)[0]
+        found = spark.createDataFrame([], schema)
+        for _ in range(deepest):
+            seen |= set(todo)
+            level = sitemap_urls(fetch(todo), site).withColumn("at", F.col("at").cast("long")).cache()
+            found = found.unionByName(level.where("NOT is_index").select(F.regexp_replace("url", "/+$", "").alias("url"), "at"))
+            todo = [r.url for r in level.where("is_index").orderBy("at").collect() if r.url not in seen]  # names of sitemaps, not pages
+            if not todo:
+                break
+        found = found.groupBy("url").agg(F.min("at").alias("at"))
+        if not found.isEmpty():
+            return found
+    return spark.createDataFrame([], schema)
+
+
+def crawl(start: str, fetch: Callable[[DataFrame], DataFrame], spark: SparkSession, most: int = 500, checkpoint_dir: str | None = None) -> DataFrame:
+    """url, html, depth of the pages that links lead to from ``start``, nearest first, at most ``most``.
+
+    fetch: from a table of URLs to (url, html) of those that are pages.  One
+    round per link distance; what was seen stays a table (checkpointed each
+    round, as a written folder, where one is named).
+    """
+    base, depth = start.rstrip("/"), 0
+    frontier = spark.createDataFrame([(base,)], "url string")
+    seen, pages = frontier, None
+    while True:
+        have = pages.count() if pages is not None else 0
+        got = fetch(frontier.orderBy("url").limit(most - have)).select("url", "html").withColumn("depth", F.lit(depth))
+        if checkpoint_dir:
+            got.write.mode("overwrite").parquet(f"{checkpoint_dir}/pages-{depth}")
+            got = spark.read.parquet(f"{checkpoint_dir}/pages-{depth}")
+        else:
+            got = got.cache()
+        pages = got if pages is None else pages.unionByName(got)
+        frontier = next_frontier(links(got), seen, base)
+        if checkpoint_dir:
+            frontier.write.mode("overwrite").parquet(f"{checkpoint_dir}/frontier-{depth}")
+            frontier = spark.read.parquet(f"{checkpoint_dir}/frontier-{depth}")
+        else:
+            frontier = frontier.cache()
+        seen, depth = seen.unionByName(frontier), depth + 1
+        if frontier.isEmpty() or pages.count() >= most:
+            return pages
+
+
 def next_frontier(links: DataFrame, seen: DataFrame, base: str) -> DataFrame:
     """URLs one link further: valid, normal, not seen.  A crawl is a loop of these."""
     found = links.where(urls.valid_url(F.col("href"), base.split("/")[2])).select(urls.normal_url(F.col("href"), base).alias("url")).where("url IS NOT NULL").distinct()
@@ -98,17 +157,24 @@ def user_list(lines: DataFrame) -> DataFrame:
     return rows.select(F.get("p", F.lit(0)).alias("email"), F.get("p", F.lit(1)).alias("user_name"), F.get("p", F.lit(2)).alias("password"), F.coalesce(F.nullif(F.get("p", F.lit(3)), F.lit("")), F.lit("user")).alias("role"))
 
 
+CHECKPOINT = "url string, status string, hash string, error string"
+
+
 def checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """url, status, hash, error of earlier pages; empty without a checkpoint."""
-    schema = "url string, status string, hash string, error string"
     try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        return spark.read.schema(CHECKPOINT).json(path).where("url IS NOT NULL")
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], CHECKPOINT)
         raise
 
 
+def after_page(known: DataFrame, done: DataFrame) -> DataFrame:
+    """The checkpoint with the pages just done (url, status, hash, error): the latest of each URL counts."""
+    return known.join(done.select("url"), "url", "left_anti").select(*known.columns).unionByName(done.select(*known.columns))
+
+
 def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] = (0, 0), partitions: int = 8, **options) -> DataFrame:
     """A database table, read in parallel ranges of a numeric key."""
     split = {"partitionColumn": key, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": partitions} if key else {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,5 +29,24 @@ def shared_columns(df: DataFrame, target: list[str]) -> DataFrame:
     return df.select(*[c for c in target if c in df.columns])
 
 
+def append_log(asked: DataFrame, path: str) -> None:
+    """Rows of the query log, in its columns, a folder per day."""
+    from .tables import QUERY_LOGS, conform
+
+    rows = conform(asked, QUERY_LOGS).withColumn("day", F.to_date("created_at"))
+    append(rows, path, ["day"])
+
+
+def save_checkpoint(pages: DataFrame, path: str) -> None:
+    """What is known of each page, as JSON lines, in one go; never to a path that ``pages`` reads."""
+    pages.write.mode("overwrite").json(path)
+
+
+def clear_checkpoint(spark: SparkSession, path: str) -> None:
+    """Nothing is left of a run that ended well; a path that is not there is fine."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options) -> None:
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=1000, **options).mode(mode).save()

@@ -36,11 +36,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chunk per document, with its vector where there is one."""
+def corpus(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
+    """One chunk per document; with its vector where there is one, unless that is not asked for."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.col("lang").alias("category"), F.col("source").alias("source_url"))
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
-    return docs.join(vectors, "document_id", "left")
+    if not vectors:
+        return docs
+    return docs.join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding"), "document_id", "left")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,3 +69,38 @@ def folded_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
     messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
     return turns.groupBy(F.col("conv_id").alias("id")).agg(messages.alias("messages"))
+
+
+# Accounts: customers are users, orders their sessions and tokens, suppliers API keys.
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    born = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    key = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select(
+        key.alias("id"), F.concat(F.lit("u"), key, F.lit("@example.com")).alias("email"), F.md5("c_name").alias("password_hash"), F.col("c_name").alias("display_name"), F.lit("user").alias("role"),
+        (F.col("c_acctbal") >= 0).alias("is_active"), (F.col("c_acctbal") >= 0).alias("email_verified"), born.alias("created_at"), born.alias("updated_at"),
+    )
+    return conform(rows, USERS)
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"))
+    return conform(rows, SESSIONS)
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token per order, good for a day; those of finished orders are used."""
+    at = F.col("o_orderdate").cast("timestamp")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.md5(F.col("o_orderkey").cast("string")).alias("token"), (at + F.expr("INTERVAL 1 DAY")).alias("expires_at"), F.when(F.col("o_orderstatus") == "F", at).alias("used_at"), at.alias("created_at"))
+    return conform(rows, TOKENS)
+
+
+def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key per supplier; those of suppliers in debt have expired."""
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    rows = read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("user_id"), F.substring(F.md5("s_name"), 1, 8).alias("key_prefix"), F.md5("s_name").alias("key_hash"), F.col("s_name").alias("name"),
+        F.array(F.lit("read")).alias("permissions"), F.lit(60).alias("rate_limit"), F.lit(True).alias("is_active"), at.alias("created_at"), F.when(F.col("s_acctbal") < 0, at).alias("expires_at"),
+    )
+    return conform(rows, API_KEYS)

@@ -24,25 +24,34 @@ def failure_windows(logins: DataFrame, key: str, time: str, minutes: int = 15, m
     return n.where(F.col("failures") >= most).select(key, F.col("w.start").alias("window_start"), "failures")
 
 
-def limiter(logins: DataFrame, key: str, minutes: int = 15, most: int = 5) -> DataFrame:
-    """key, at, blocked for each attempt (key, at timestamp, ok boolean): blocked after ``most`` failures in a window that the first failure opens; a success resets it."""
+def limiter(logins: DataFrame, key: str, minutes: int = 15, most: int = 5, late: str = "1 hour") -> DataFrame:
+    """key, at, blocked for each attempt (key, at timestamp, ok boolean): blocked after ``most`` failures in a window that the first failure opens; a success resets it.
+
+    A key's attempts of one batch are judged in order of their time; attempts
+    later than ``late`` go, and a key whose window the watermark has passed is
+    forgotten.
+    """
 
     def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, start = state.get if state.exists else (0, 0)
         out = []
-        for f in frames:
-            for r in f.sort_values("at").itertuples():
-                now = int(r.at.value // 1000)
-                if now - start >= minutes * 60_000_000:
-                    count, start = 0, now
-                blocked = count >= most
-                if not blocked:
-                    count = 0 if r.ok else count + 1
-                out.append((k[0], r.at, blocked))
+        for r in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples():
+            now = int(r.at.value // 1000)
+            if now - start >= minutes * 60_000_000:
+                count, start = 0, now
+            blocked = count >= most
+            if not blocked:
+                count = 0 if r.ok else count + 1
+            out.append((k[0], r.at, blocked))
         state.update((count, start))
+        state.setTimeoutTimestamp(max(start // 1000 + minutes * 60_000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "at", "blocked"])
 
-    return logins.select(F.col(key).cast("string").alias("key"), "at", "ok").groupBy("key").applyInPandasWithState(run, "key string, at timestamp, blocked boolean", "count int, start long", "append", GroupStateTimeout.NoTimeout)
+    attempts = logins.select(F.col(key).cast("string").alias("key"), "at", "ok").withWatermark("at", late)
+    return attempts.groupBy("key").applyInPandasWithState(run, "key string, at timestamp, blocked boolean", "count int, start long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def cumulative_counts(asks: DataFrame, key: str = "guest_token") -> DataFrame:
@@ -50,9 +59,26 @@ def cumulative_counts(asks: DataFrame, key: str = "guest_token") -> DataFrame:
     return asks.groupBy(key).agg(F.count("*").alias("ask_count"))
 
 
-def retained(logs: DataFrame, time: str, days: int) -> DataFrame:
-    """A stream without what is older than ``days`` behind its newest time: late rows go and state is dropped."""
-    return logs.withWatermark(time, f"{days} days").dropDuplicatesWithinWatermark(["id"])
+def retained(logs: DataFrame, time: str, days: int, now=None) -> DataFrame:
+    """Without rows older than ``days`` before now: for a stream, before the time of the batch that a row comes in.  Stateless."""
+    now = F.current_timestamp() if now is None else F.lit(now)
+    return logs.where(F.col(time) >= now.cast(dict(logs.dtypes)[time]) - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def as_stream(df: DataFrame, folder: str) -> DataFrame:
+    """A stream of a table's rows through files in ``folder``, a batch per file."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Everything a stream gives until its input ends, from an in-memory table: for results of bounded size."""
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return stream.sparkSession.table(name)
 
 
 def ingest(pages: DataFrame, store: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], keys: list[str]):

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import chunking, enrich, html, text, urls, vectors
+from tessera.functions import chunking, enrich, html, prompts, text, urls, vectors
 
 
 def one(spark, column, **values):
@@ -42,6 +42,7 @@ def test_urls(spark):
     assert one(spark, urls.normal_url(F.col("u"), "https://a.b/c"), u="https://z.b/c") is None
     assert one(spark, urls.valid_url(F.col("u"), "a.b"), u="https://a.b/x.PDF?y") is False
     assert one(spark, urls.valid_url(F.col("u"), "a.b"), u="/rel/page") is True
+    assert one(spark, urls.site_id(F.col("u")), u="https://a.b/x/some site/?q") == "some_site" and one(spark, urls.site_id(F.col("u")), u="https://a.b") is None
     assert one(spark, urls.folder(F.col("u"), 1, "General"), u="a/b/c.pdf") == "a"
 
 
@@ -66,14 +67,69 @@ def test_strategy(spark):
     assert one(spark, text.detect_strategy(F.col("t")), t="a\nb\nc") == "sentence"
 
 
+def test_white_space(spark):
+    odd = "\t\xa0\u2003x y\u3000\r\x0b"
+    assert one(spark, text.strip(F.col("t")), t=odd) == "x y" == odd.strip()
+    assert one(spark, text.clean_snippet(F.col("t")), t="\t\n const x") == "" and one(spark, text.clean_snippet(F.col("t")), t="\t a\xa0") == "a"
+    assert one(spark, text.clean_source_title(F.col("t"), F.col("s")), t="a/\tb\t", s=" \t") == "b"
+    assert one(spark, text.detect_strategy(F.col("t")), t="\t1. a\n\t2. b\nc\nd\ne") == "structural"
+    assert one(spark, text.clean_markdown(F.col("t")), t="\tmenu\nx\x0bmenu\u2028 menu\ny\x85") == "x\ny"
+
+
+def slow_snippet(content, terms, most=400):
+    """Window by window, as it is defined."""
+    words = content.split()
+    if len(content) <= most or len(words) <= 60:
+        return cut(content, most)
+    best = (0, 0)
+    for start in range(0, len(words) - 59, 20):
+        window = " ".join(words[start : start + 60]).lower()
+        n = sum((3 if t.lower() in window else 0) if " " in t else min(3, window.count(t.lower())) for t in terms)
+        best = max(best, (n, -start))
+    return cut(" ".join(words[-best[1] : -best[1] + 80]), most)
+
+
+def cut(t, most):
+    if len(t) <= most:
+        return t
+    head = t[:most]
+    end = max(head.rfind(c, int(most * 0.6)) for c in ".!?\n")
+    return head[: end + 1].rstrip() if end >= 0 else head[: head.rindex(" ")] + "..." if " " in head else head + "..."
+
+
+def test_snippet_against_its_definition(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for terms in (["the", "that"], ["of the", "and"], ["zzz"]):
+        for r in docs.select("text", text.snippet(F.col("text"), terms).alias("s")).collect():
+            assert r.s == slow_snippet(r.text, terms)
+
+
+def test_prompts(spark):
+    for answer, kind in (("LIST", "List"), (" list of all ", "List"), ("Definition!", "Definition"), ("what?", "General"), (None, None)):
+        assert one(spark, prompts.answered_class(F.col("a")), a=answer) == kind
+    assert one(spark, prompts.classify(F.col("q"), lambda q: "COMPARISON" if q == "x" else None), q="x") == "Comparison"
+    assert one(spark, prompts.classify(F.col("q"), lambda q: 1 / 0), q="sebutkan") == "List"
+    assert one(spark, prompts.format_hint(F.col("k")), k="General") == "" and "numbered list" in one(spark, prompts.format_hint(F.col("k")), k="Procedural")
+    assert one(spark, prompts.request(F.col("b"), prompts.ASK_BODY), b='{"query": "q", "top_k": 3}').top_k == 3
+    assert one(spark, prompts.session_title(F.col("q")), q="q" * 60) == "q" * 50
+
+
 def test_clean_markdown(spark):
     assert one(spark, text.clean_markdown(F.col("t")), t="menu\na\nmenu\nb\nmenu\nhy-\nphen\n\n\n\nend​ ") == "a\nb\nhyphen\n\nend"
 
 
 def test_html(spark):
-    page = "<html><title> T </title><body><nav>n</nav><p>one</p><script>x</script><p> two </p></body></html>"
-    assert one(spark, html.page_text(F.col("h")), h=page) == "T\none\ntwo"
-    assert one(spark, html.page_title(F.col("h"), F.lit("u")), h=page) == "T"
+    page = "<html><head><title> T &amp; U </title></head><body class='x'><nav>n</nav><p>one &lt; 2</p><!-- a > b --><script>x</script><p> two&nbsp;</p>3 < 4<br></body></html>"
+    assert one(spark, html.page_text(F.col("h")), h=page) == "one < 2\ntwo\n3 < 4"
+    assert one(spark, html.page_title(F.col("h"), F.lit("u")), h=page) == "T & U"
+    assert one(spark, html.page_title(F.col("h"), F.lit("u")), h="<titles>no</titles><p>") == "u"
+    assert one(spark, html.page_text(F.col("h")), h="<title>T</title><p>no body<p>&#233;t&eacute;") == "no body\n\xe9t\xe9"
+    assert one(spark, html.page_text(F.col("h"), tables=True), h="<body>a<table><tr><td>x</td><td>y</td></tr></table>") == "a\nx\ny\nx | y"
+    assert one(spark, html.long_enough(F.col("h"), html.LEAST_TEXT), h="\xe9" * 5) is True and one(spark, html.long_enough(F.col("h")), h="short") is False
+    assert html.site_title_text("<title>A | B</title><main><h1> C <b>D</b></h1></main>", "u") == "CD"
+    assert html.site_title_text("<title>A | B</title><h1> </h1>", "u") == "A"
+    assert html.site_title_text('<meta property="og:title" content=" O ">', "u") == "O"
+    assert html.site_title_text("", "https://a.b/c/some-page/") == "Some Page" and html.site_title_text("", "https://a.b/") == "https://a.b/"
     rows = "<table><tr><th>a</th><th>b</th></tr><tr><td> 1 </td><td></td></tr></table>"
     assert html.table_row_lines(rows) == ["a | b", "1"]
     assert html.json_row_lines('<script type="application/json">{"columns":[{"title":"N"},{"title":"P"}],"data":[["<b>x</b>",2],[null,true]]}</script>') == ["N: x | P: 2", "true"]

@@ -2,12 +2,13 @@
 
 import glob
 import os
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import analytics, ingest, search
+from tessera.operators import accounts, analytics, ingest, search
 from tessera.plans import registry
 from tessera.sources import readers, sinks, tables
 from tessera.streaming import streams
@@ -82,6 +83,109 @@ def test_merges(spark):
     assert ingest.replace_documents(old, new).count() == 3
 
 
+def test_accounts(spark, sf):
+    now = datetime(2024, 1, 1)
+    users = tables.users(spark, sf)
+    new = spark.createDataFrame([("u7@example.com", "h", "X")], "email string, password_hash string, display_name string")
+    with pytest.raises(Exception, match="taken"):
+        accounts.create_users(users, new, now).collect()
+    with pytest.raises(Exception, match="taken"):
+        accounts.update_user(users, 7, now, email="u8@example.com").collect()
+    assert accounts.update_user(users, 7, now).exceptAll(users).count() == 0
+    assert accounts.update_user(users, 7, now, role="root").where("id = 7").first().role == "user"
+    assert accounts.create_users(users.limit(0), new, now).first().id == 1
+    first, again = (accounts.seed_admin(u, "u7@example.com", "new", "Root", now) for u in (users, users.where("id <> 7")))
+    assert [df.where("email = 'u7@example.com'").select("role", "is_active", "password_hash").collect() for df in (first, again)] == [[("admin", True, "new")]] * 2
+
+
+def test_tokens(spark, sf):
+    now = datetime(2024, 1, 1)
+    tokens = accounts.issue_token(tables.tokens(spark, sf).limit(0), 1, "t", "verification", now)
+    for at, hits in ((now, 1), (now + timedelta(hours=24), 0)):
+        out, who = accounts.consume_token(tokens, "t", at)
+        assert who.count() == hits == out.where("used_at IS NOT NULL").count()
+        assert accounts.consume_token(out, "t", now)[1].count() == 1 - hits
+    assert accounts.consume_token(tokens, "none", now)[1].count() == 0
+    reset = accounts.issue_token(accounts.issue_token(tokens.limit(0), 1, "a", "reset", now), 1, "b", "reset", now)
+    assert [(r.token, r.expires_at) for r in reset.collect()] == [("b", now + timedelta(hours=1))]
+
+
+def test_sessions_upsert_keeps_owner(spark, sf):
+    old = tables.sessions(spark, sf).limit(1)
+    row = old.first()
+    new = old.withColumns({"user_id": F.lit(-5).cast("long"), "title": F.lit("t")})
+    out = ingest.session_upsert(old, new).first()
+    assert (out.user_id, out.title, out.created_at) == (row.user_id, "t", row.created_at)
+
+
+def test_crawl(spark, tmp_path):
+    site = {"https://h": ["/a", "b#x"], "https://h/a": ["/c?q"], "https://h/b": ["/a", "/x.pdf"], "https://h/c": ["https://other/z", "/d"], "https://h/d": []}
+    pages = spark.createDataFrame([(u, "".join(f'<a href="{x}">' for x in to)) for u, to in site.items()], "url string, html string")
+
+    def fetch(urls):
+        return pages.join(urls.select("url"), "url", "left_semi")
+
+    assert {r.url: r.depth for r in readers.crawl("https://h/", fetch, spark, checkpoint_dir=str(tmp_path / "crawl")).collect()} == {"https://h": 0, "https://h/a": 1, "https://h/b": 1, "https://h/c": 2, "https://h/d": 3}
+    assert readers.crawl("https://h", fetch, spark, most=3).count() == 3
+
+
+def test_sitemap_of_sitemaps(spark):
+    store = spark.createDataFrame([
+        ("https://h/wp-sitemap.xml", "<sitemapindex><sitemap><loc>https://h/one.xml</loc></sitemap><sitemap><loc>https://h/wp-sitemap.xml</loc></sitemap></sitemapindex>"),
+        ("https://h/one.xml", "<urlset><url><loc>https://h/a/</loc></url><url><loc>https://h/a</loc></url><url><loc>https://z/b</loc></url></urlset>"),
+        ("https://h/post-sitemap.xml", "<urlset><url><loc>https://h/never</loc></url></urlset>"),
+    ], "url string, xml string")
+    for base in ("https://h", "https://h/wp-sitemap.xml"):
+        assert [r.url for r in readers.all_sitemap_urls(spark, lambda u: store.where(F.col("url").isin(u)), base).collect()] == ["https://h/a"]
+    assert readers.all_sitemap_urls(spark, lambda u: store.where(F.col("url").isin(u)), "https://none").count() == 0
+
+
+def test_checkpoints(spark, tmp_path):
+    path = str(tmp_path / "cp")
+    known = readers.checkpoint(spark, path)
+    done = spark.createDataFrame([("u", "ok", "h", None), ("v", "error", None, "x")], readers.CHECKPOINT)
+    sinks.save_checkpoint(readers.after_page(known, done), path)
+    later = readers.after_page(readers.checkpoint(spark, path), done.where("url = 'v'").withColumn("status", F.lit("ok")))
+    assert {(r.url, r.status) for r in later.collect()} == {("u", "ok"), ("v", "ok")}
+    (tmp_path / "cp" / "broken.json").write_text("not json\n")
+    assert readers.checkpoint(spark, path).count() == 2
+    sinks.clear_checkpoint(spark, path)
+    sinks.clear_checkpoint(spark, path)
+    assert readers.checkpoint(spark, path).count() == 0
+
+
+def test_log_append(spark, sf, tmp_path):
+    logs = tables.query_logs(spark, sf)
+    for _ in range(2):
+        sinks.append_log(logs, str(tmp_path / "log"))
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert back.count() == 2 * logs.count() and set(tables.QUERY_LOGS.names) <= set(back.columns)
+
+
+def test_docx(tmp_path):
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = '<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>one </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>'
+    path = tmp_path / "x.docx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    assert readers.docx_markdown(path.read_bytes()) == "## Head\n\none two\n\n| a | b |\n| --- | --- |\n| 1 |  |"
+
+
+def test_retained_stream(spark, sf, tmp_path):
+    logs = tables.query_logs(spark, sf).select("id", F.col("created_at").cast("timestamp").alias("created_at"))
+    stream = streams.as_stream(logs.repartition(2), str(tmp_path / "in"))
+    got = streams.run_to_end(streams.retained(stream, "created_at", 7, registry.AS_OF), "kept", "append")
+    assert {r.id for r in got.collect()} == {r.id for r in ingest.retain(logs, registry.AS_OF, 7).collect()} != set()
+
+
+def test_guest_counts_stream(spark, sf, tmp_path):
+    asks = tables.query_logs(spark, sf).select(F.col("user_id").cast("string").alias("guest_token"))
+    got = streams.run_to_end(streams.cumulative_counts(streams.as_stream(asks.repartition(3), str(tmp_path / "in"))), "guests")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in asks.groupBy("guest_token").count().collect()}
+
+
 def test_conform(spark):
     df = tables.conform(spark.range(1).selectExpr("CAST(id AS string) id", "1 extra"), tables.USERS)
     assert df.columns == tables.USERS.names and df.first().email is None
@@ -128,7 +232,7 @@ def test_daily_stream_equals_batch(spark, sf, tmp_path):
 def test_limiter(spark, tmp_path):
     rows = [("k", f"2024-01-01 00:0{i}:00", False) for i in range(6)] + [("k", "2024-01-01 00:20:00", True)]
     df = spark.createDataFrame(rows, "key string, at string, ok boolean").withColumn("at", F.to_timestamp("at"))
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    df.orderBy(F.desc("at")).coalesce(1).write.parquet(str(tmp_path / "in"))
     q = streams.limiter(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "key").writeStream.format("memory").queryName("lim").outputMode("append").start()
     q.processAllAvailable()
     q.stop()

@@ -7,16 +7,18 @@ of three characters with gaps, each occurrence weighing DECAY to the power of
 the length it spans; so inserted characters cost little.  Spans are bounded,
 which makes the kernel a sum over an explicit table of character triples.
 
-An SVM over Nystrom features of landmark words is trained on labelled
-documents whose toxic words are unknown: each toxic document is represented by
-its most suspicious word so far, clean documents by frequent and by hard words,
+An SVM over Nystrom features of landmark words is trained on labelled texts, as
+multi-instance learning: the labels are of whole texts (sentences or documents),
+the kernel is of words, and which words make a text toxic is unknown.  So a text
+is the set of its words, each toxic text is represented by its most suspicious
+word so far, clean documents by frequent and by hard words,
 and the SVM is refitted a few times.  The decision function folds into one
 weight per triple, so scoring a text is a few table look-ups per character.  A
 document's score is a logistic function of its worst word.
 
 Rows: null and empty texts, and texts without letters or digits, score as texts
 without any suspicious word; repeated rows score alike; a text of any length is
-scored whole.  Without labels of both kinds every score is the share of toxic
+scored whole (training reads the first 39 characters of a word).  Without labels of both kinds every score is the share of toxic
 labels, or 0.  Labels of held-out rows are never read; labels, lang, source and
 doc_id are no inputs of a score.
 """

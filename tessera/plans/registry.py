@@ -435,9 +435,9 @@ _JSON = '<script type="application/json">{"columns": [{"title": "A"}, {"data": "
 
 
 @query(
-    f"""SELECT page_id, array_to_string(list_concat(t, ['No | Kind', page_id || ' | page', 'A: x | B: 1', 'true']), chr(10)) AS text
-FROM (SELECT page_id, {_body_lines(_STRIP.replace('html', "replace(html, '<body>', '<body>' || replace($t$" + _TABLE + "$t$, '#', page_id::VARCHAR))", 1))} AS t FROM pages)
-WHERE strlen(array_to_string(t, chr(10))) + 50 >= 50"""
+    f"""SELECT * FROM (SELECT page_id, array_to_string(list_concat(t, ['No | Kind', page_id || ' | page', 'A: x | B: 1', 'true']), chr(10)) AS text
+FROM (SELECT page_id, {_body_lines(_STRIP.replace('html', "replace(html, '<body>', '<body>' || replace($t$" + _TABLE + "$t$, '#', page_id::VARCHAR))", 1))} AS t FROM pages))
+WHERE strlen(text) >= 50"""
 )
 def page_ingest_text(spark, sf_dir):
     """Pages with a table and a JSON table put in: their rows follow the text; pages with too little text are left out."""

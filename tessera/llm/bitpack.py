@@ -140,6 +140,20 @@ def _alphabet() -> dict[int, str]:
 #: Never part of a contraction and never joined with a letter or digit before it.
 _MARKS = b".,;:!?*#$%&|<>()"
 LINE, SPACE = 0, 1
+#: ASCII letters; and what follows the byte C3 in the letters of Latin-1.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_AFTER_C3 = np.zeros(256, bool)
+_AFTER_C3[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+
+
+def _lettered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each span is not empty and holds Latin letters only; not all spans of letters are found."""
+    fine = _LETTER[data]
+    pair = np.flatnonzero((data[:-1] == 0xC3) & _AFTER_C3[data[1:]])
+    fine[pair] = fine[pair + 1] = True
+    other = np.concatenate(([0], np.cumsum(~fine, dtype=np.int32)))
+    return (ends > starts) & (other[starts] == other[ends])
 
 
 class Encoder:
@@ -157,6 +171,8 @@ class Encoder:
         self.tokenizer, self.model, self.most = _tokenizer(name), _model(name), most
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # A byte that all of them hold, so that hardly any word is searched for them.
+        self.hint = min(set.intersection(*map(set, self.special)), default=None) if self.special else None
         alphabet = _alphabet()
         self.space, self.letters_of = alphabet[32], {b: c for b, c in alphabet.items() if b != 32}
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -239,16 +255,25 @@ class Encoder:
             ids.append(got), lengths.append(n)
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def learn(self, words: list[tuple[bytes, int]], hashes: list[int]) -> None:
-        """Remember words that follow a space or a line break (whose id is then part of their run)."""
+    def _special(self, word: bytes) -> bool:
+        return (self.hint is None or self.hint in word) and any(x in word for x in self.special)
+
+    def learn(self, words: list[tuple[bytes, int]], hashes: list[int], lettered: list[bool]) -> None:
+        """Remember words that follow a space or a line break (whose id is then part of their run).
+
+        lettered: where known, whether a word consists of letters.
+        """
         marked, bad, simple, other = [], [], {}, {}
-        for (w, k), h in zip(words, hashes):
+        for (w, k), h, letters in zip(words, hashes, lettered):
+            if letters and k:
+                simple[h] = w
+                continue
             t = w.decode("utf-8", "replace")
             if k and t.isalpha():
                 simple[h] = w
             elif not t or t[0].isspace() or t[-1].isspace():
                 bad.append(h)
-            elif w[-1] in _MARKS and (stem := w.rstrip(_MARKS)) and not any(x in w for x in self.special):
+            elif w[-1] in _MARKS and (stem := w.rstrip(_MARKS)) and not self._special(w):
                 marked.append((h, (stem, k), (w[len(stem) :], LINE)))
             else:
                 other[h] = w, k
@@ -297,7 +322,7 @@ class Encoder:
                 at[codes[::-1]] = np.arange(len(codes))[::-1]
                 raw, at = data.tobytes(), at[new]
                 hashes = unique[new].tolist()
-                self.learn([(raw[a:b], k) for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), kind[at].tolist())], hashes)
+                self.learn([(raw[a:b], k) for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), kind[at].tolist())], hashes, _lettered(data, starts[at], ends[at]).tolist())
                 for n, h in zip(new, hashes):
                     known[n] = self.slot[h]
             slot = np.array(known, np.int64)[codes]
@@ -352,8 +377,8 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     small_batches(spark)
     # Partitions grow with the documents.
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // PART_ROWS)
-    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    first = F.asc_nulls_first("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, first).sortWithinPartitions(first, F.xxhash64("text"))
     ordered = ordered.withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(lean(run), "part int, image int, before long, n_ids long, content binary").write.mode("overwrite").option("compression", "lz4_raw").parquet(path)
 

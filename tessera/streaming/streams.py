@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -81,19 +81,42 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFram
     return stream.sparkSession.table(name)
 
 
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows of one key that with the largest other columns, in their order, so that a rerun picks alike."""
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    largest = df.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_largest"))
+    return largest.select(*(F.col(c) if c in keys else F.col("_largest")[c].alias(c) for c in df.columns))
+
+
 def ingest(pages: DataFrame, store: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], keys: list[str]):
-    """Merge a stream of pages into a versioned Parquet store, exactly once per batch.
+    """Append a stream of pages to a Parquet store that ``current`` reads, exactly once per batch.
+
+    A batch writes its own rows into its own folder and reads nothing of the
+    store, so its cost does not grow with what is there; a rerun batch overwrites
+    its folder, so recovery changes nothing.
+    """
+
+    def append(batch: DataFrame, n: int) -> None:
+        one_per_key(prepare(batch), keys).write.mode("overwrite").parquet(f"{store}/v={n}")
+
+    return pages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+
+
+def current(spark: SparkSession, store: str, document: str = "document_id", version: bool = False) -> DataFrame:
+    """The rows of each document's last batch: all its earlier rows are exchanged for them.
 
-    Each batch writes a new version beside the old; a rerun batch overwrites its
-    own version, so recovery changes nothing.
+    ``version`` keeps the batch number as column v.
     """
-    from tessera.operators.ingest import replace_documents
+    rows = spark.read.option("mergeSchema", "true").parquet(store)
+    last = rows.groupBy(F.col(document).alias("_document")).agg(F.max("v").alias("_last"))
+    kept = rows.join(last, F.col(document).eqNullSafe(F.col("_document")) & (F.col("v") == F.col("_last")), "left_semi")
+    return kept if version else kept.drop("v")
 
-    def merge(batch: DataFrame, n: int) -> None:
-        new = prepare(batch).dropDuplicates(keys)
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{store}/v={n - 1}") if n else None
-        merged = replace_documents(old, new) if old is not None else new
-        merged.write.mode("overwrite").parquet(f"{store}/v={n}")
 
-    return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+def compact(spark: SparkSession, store: str, target: str, document: str = "document_id") -> None:
+    """Write what ``current`` gives as the store's last batch into a new store, which the stream can go on with."""
+    n = spark.read.option("mergeSchema", "true").parquet(store).agg(F.max("v")).first()[0]
+    if n is not None:
+        current(spark, store, document).write.mode("overwrite").parquet(f"{target}/v={n}")

@@ -240,9 +240,36 @@ def test_limiter(spark, tmp_path):
 
 
 def test_stream_ingest(spark, tmp_path):
-    pages = spark.createDataFrame([("a", "1"), ("b", "2")], "document_id string, content string")
-    pages.write.parquet(str(tmp_path / "in"))
-    q = streams.ingest(spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "cp"), lambda d: d, ["document_id"]).start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.read.parquet(str(tmp_path / "store" / "v=0")).count() == 2
+    batches = [
+        [("a", 0, "1"), ("a", 1, "2"), ("b", 0, "3"), ("b", 0, "4")],
+        [("a", 0, "5"), ("c", 0, "6"), (None, 0, "7")],
+        [("c", 0, "8"), ("c", 1, "9"), (None, 0, "0")],
+    ]
+    schema, store, merged = "document_id string, idx int, content string", str(tmp_path / "store"), None
+    for rows in batches:
+        pages = spark.createDataFrame(rows, schema)
+        pages.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        # The stream starts again from its checkpoint for each batch.
+        q = streams.ingest(spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "cp"), lambda d: d, ["document_id", "idx"]).start()
+        q.processAllAvailable()
+        q.stop()
+    assert spark.read.parquet(f"{store}/v=1").count() == 3
+    want = {("a", 0, "5"), ("b", 0, "4"), ("c", 0, "8"), ("c", 1, "9"), (None, 0, "0")}
+    got = [tuple(r) for r in streams.current(spark, store).collect()]
+    assert len(got) == len(want) and set(got) == want
+    streams.compact(spark, store, str(tmp_path / "new"))
+    new = streams.current(spark, str(tmp_path / "new"), version=True).collect()
+    assert {tuple(r)[:3] for r in new} == want and {r.v for r in new} == {2}
+
+
+def test_stream_ingest_like_batch_replacement(spark, tmp_path):
+    schema = "document_id string, idx int, content string"
+    first = spark.createDataFrame([("a", 0, "1"), ("a", 1, "2"), ("b", 0, "3")], schema)
+    second = spark.createDataFrame([("a", 0, "4"), ("c", 0, "5")], schema)
+    for n, df in enumerate((first, second)):
+        df.write.parquet(str(tmp_path / f"v={n}"))
+    want = ingest.replace_documents(first, second).collect()
+    assert sorted(map(tuple, streams.current(spark, str(tmp_path)).collect())) == sorted(map(tuple, want))
+    keyed = streams.one_per_key(spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, None)], "k int, x string"), ["k"])
+    assert {tuple(r) for r in keyed.collect()} == {(1, "b"), (None, "c")}
+    assert streams.one_per_key(keyed.select("k"), ["k"]).count() == 2

@@ -18,8 +18,9 @@ document's score is a logistic function of its worst word.
 
 Rows: null and empty texts, and texts without letters or digits, score as texts
 without any suspicious word; repeated rows score alike; a text of any length is
-scored whole (training reads the first 39 characters of a word).  Without labels of both kinds every score is the share of toxic
-labels, or 0.  Labels of held-out rows are never read; labels, lang, source and
+scored whole (training reads the first 39 characters of a word).  Of several
+texts under one doc_id training reads the first in order.  Without labels of both
+kinds every score is the share of toxic labels, or 0.  Labels of held-out rows are never read; labels, lang, source and
 doc_id are no inputs of a score.
 """
 
@@ -277,6 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     order = [F.xxhash64(F.lit(3), "_id"), F.col("_id")]
     some = marks.where("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(marks.where("toxic = 0").orderBy(*order).limit(CLEAN_ROWS))
     texts = docs.where(F.octet_length("text") <= TEXT_BYTES).select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(some), "_id")
+    # Rows of one doc_id give one text, so that what is collected is bounded in rows, too.
+    texts = texts.groupBy("_id", "toxic").agg(F.min("text").alias("text"))
     rows = sorted(((r._id, r.text, r.toxic) for r in texts.collect()), key=lambda r: (hash_order(str(r[0]).encode()), r[0], r[1]))
     return train([r[1] for r in rows], [r[2] for r in rows], counts.get(1, 0) / max(1, sum(counts.values())))
 

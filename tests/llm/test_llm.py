@@ -308,6 +308,16 @@ def test_toxicity(spark, awkward):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_trains_on_one_text_of_a_repeated_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 6 + 1, f"text {i % 6} {i // 6 % 2}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 7)] * 3, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, share: seen.append((texts, toxic)) or {"table": np.zeros(toxicity.CLASSES**3), "bias": -1.0, "slope": 0.0, "offset": 0.0})
+    toxicity.fit(docs, labels)
+    used = [i for i in range(1, 7) if zlib.crc32(str(i).encode()) % 5]
+    assert used and sorted(zip(*seen[0])) == [(f"text {i - 1} 0", i % 2) for i in used]
+
+
 def test_toxicity_tolerates_inserted_characters():
     cls = [toxicity.words([t])[0].tolist() for t in ("idiot", "i.d-i*o_t", "i d i o t")]
     assert cls[0] == cls[1] and sorted(cls[0]) == sorted(cls[2])

@@ -43,8 +43,9 @@ MAGIC = b"TBP2"
 BLOCK = 4096
 #: Ids of one file image; a longer document has an image of its own.
 IMAGE_IDS = 1 << 20
-#: Documents in one partition of the sort.
+#: Documents, and bytes of texts, in one partition of the sort, on average.
 PART_ROWS = 1 << 15
+PART_BYTES = 1 << 27
 #: Bytes of texts that are encoded together.
 TEXT_BYTES = 1 << 21
 _HEAD = struct.Struct("<4sIIQQQ")
@@ -274,6 +275,14 @@ class Encoder:
             elif not t or t[0].isspace() or t[-1].isspace():
                 bad.append(h)
             elif w[-1] in _MARKS and (stem := w.rstrip(_MARKS)) and not self._special(w):
+                # Marks stand alone only behind a letter or digit; other characters join them, white space parts the word.
+                last = stem.decode("utf-8", "replace")[-1]
+                if last.isspace():
+                    bad.append(h)
+                    continue
+                if not (last.isalpha() or last.isnumeric()):
+                    other[h] = w, k
+                    continue
                 marked.append((h, (stem, k), (w[len(stem) :], LINE)))
             else:
                 other[h] = w, k
@@ -291,8 +300,9 @@ class Encoder:
         if marked:
             a, b = (np.array([self.slot[of[m[x]]] for m in marked]) for x in (1, 2))
             first = np.stack((self.first[a], self.first[b] + 1), 1).ravel()
-            length = np.stack((np.maximum(self.length[a], 0), self.length[b] - 1), 1)
-            self._keep([m[0] for m in marked], self._runs(first, length.ravel()), length.sum(1))
+            plain = (self.length[a] >= 0) & (self.length[b] >= 1)
+            length = np.where(plain[:, None], np.stack((self.length[a], self.length[b] - 1), 1), 0)
+            self._keep([m[0] for m in marked], self._runs(first, length.ravel()), np.where(plain, length.sum(1), -1))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
@@ -375,10 +385,11 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     schema = pa.schema([("part", pa.int32()), ("image", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("content", pa.binary())])
     spark = docs.sparkSession
     small_batches(spark)
-    # Partitions grow with the documents.
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // PART_ROWS)
-    first = F.asc_nulls_first("doc_id")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, first).sortWithinPartitions(first, F.xxhash64("text"))
+    # Partitions grow with the documents and their texts; rows of one doc_id, or of none, are split by a hash of the text.
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PART_ROWS, size // PART_BYTES)
+    order = F.asc_nulls_first("doc_id"), F.xxhash64("text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered = ordered.withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(lean(run), "part int, image int, before long, n_ids long, content binary").write.mode("overwrite").option("compression", "lz4_raw").parquet(path)
 

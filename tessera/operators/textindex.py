@@ -7,7 +7,8 @@ term, its postings; a question reads only the buckets of its terms.
   and numbered within them in key order.
 * A posting block is a row: term, segment, and for up to 2**``BLOCK_BITS``
   consecutive numbers the chunks that hold the term, how often, their lengths in
-  tokens, and the block's best contribution to a score.
+  tokens (packed arrays), and the block's best contribution to a score.  A
+  segment's blocks are made in one pass over its chunks, as arrays.
 * Rows lie in a folder for each bucket of terms, sorted by term, so a question's
   terms prune folders and row groups.
 * A batch of chunks is appended as segments of its own.  Chunks that came again
@@ -46,7 +47,8 @@ SENT_TERMS = 200_000
 #: Scores closer than this may be equal once they are rounded.
 CLOSE = 1e-6
 
-_BLOCKS = "category string, batch int, segment long, term string, numbers array<int>, times array<int>, sizes array<int>"
+#: A posting block; places, times and sizes are unsigned numbers of 16, 16 and 32 bits, times of 32 where 16 do not hold them.
+_ROW = "category string, segment long, term string, block int, places binary, times binary, sizes binary, best double"
 
 
 class TextIndex:
@@ -74,47 +76,37 @@ class TextIndex:
         known = self.batches()
         n = known[-1] + 1 if known else 0
         category = F.col("category").cast("string") if "category" in corpus.columns else F.lit(None).cast("string")
-        rows = corpus.select(*KEY, category.alias("category"), "content").groupBy(*KEY).agg(F.max(F.struct("content", "category")).alias("c")).select(*KEY, "c.content", "c.category")
+        rows = corpus.select(*KEY, category.alias("category"), "content")
         counted = rows.groupBy("category").agg(F.ceil(F.count("*") / self.segment).alias("_parts")).withColumnRenamed("category", "_category")
         dealt = rows.join(counted, F.col("category").eqNullSafe(F.col("_category")))
-        dealt = dealt.withColumn("segment", F.xxhash64("category", F.pmod(F.xxhash64(*KEY), F.col("_parts"))))
-        # One shuffle of the texts; numbers, counts and blocks all follow the segments' partitioning.
-        numbered = dealt.drop("_category", "_parts").repartition("segment").withColumn("number", F.row_number().over(Window.partitionBy("segment").orderBy(*KEY)) - 1)
-        held = self._written(numbered.withColumn("tokens", tx.tokens(F.col("content"))).drop("content"), "tokens", n)
-        chunks = self._written(held.select(*KEY, "category", "segment", "number", F.size("tokens").alias("size")), "chunks", n)
-
-        each = held.select("category", "segment", "number", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).repartition("segment")
-        times = each.groupBy("segment", "number", "term").agg(F.count("*").cast("int").alias("times"), F.first("size").alias("size"), F.first("category").alias("category"))
-        part = 1 - 1 / (1 + F.col("times").cast("double"))
-        gain = part / (1 + F.log(F.greatest("size", F.lit(1)).cast("double")))
-        post = F.struct("number", "times", "size")
-        blocks = times.groupBy("segment", "term", F.shiftright("number", BLOCK_BITS).alias("block")).agg(F.first("category").alias("category"), F.sort_array(F.collect_list(post)).alias("posts"), F.max(gain).alias("best"))
-        fields = (F.col("posts")[f].alias(name) for f, name in (("number", "numbers"), ("times", "times"), ("size", "sizes")))
-        rows = blocks.select("category", "segment", "term", "block", *fields, "best", self._bucket().alias("bucket"))
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "segment", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={n}")
-
+        dealt = dealt.withColumn("segment", F.xxhash64("category", F.pmod(F.xxhash64(*KEY), F.col("_parts")))).drop("_category", "_parts")
+        # One shuffle of the texts; a segment's chunks then stand together in key order, equal keys side by side.
+        ordered = dealt.repartition("segment").sortWithinPartitions("segment", *KEY, F.desc_nulls_last("content"))
+        counted = ordered.select("segment", "category", *KEY, tx.tokens(F.col("content")).alias("tokens"))
+        types = dict(rows.dtypes)
+        built = counted.mapInArrow(_blocks_of_segments, f"{_ROW}, document_id {types['document_id']}, chunk_index {types['chunk_index']}, number int, size int")
+        # Chunks go to a folder beside those of the buckets.
+        placed = built.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(self._bucket()))
+        placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "segment", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/batch={n}")
+
+        chunks = self._chunks([n])
         if known:
-            older = self._chunks().select(*KEY, "segment", "number", F.col("batch").alias("of"))
+            older = self._chunks(known).select(*KEY, "segment", "number", F.col("batch").alias("of"))
             stale = older.join(chunks.select(*KEY), [older[c].eqNullSafe(chunks[c]) for c in KEY], "left_semi").select("of", "segment", "number")
         else:
             stale = self.spark.createDataFrame([], "of int, segment long, number int")
         stale.write.mode("overwrite").parquet(f"{self.path}/stale/batch={n}")
-        workspace.remove(self.spark, f"{self.path}/tokens/batch={n}")
         self.spark.range(1).select(F.lit(chunks.count()).cast("long").alias("chunks")).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={n}")
         return n
 
-    def _written(self, df: DataFrame, name: str, n: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}/batch={n}")
-
     def _bucket(self):
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
 
-    def _chunks(self) -> DataFrame:
-        """All chunks of complete batches, stale ones among them."""
-        known = self.batches()
-        schema = self.spark.read.parquet(f"{self.path}/chunks/batch={known[-1]}").schema.add("batch", T.IntegerType())
-        return self.spark.read.schema(schema).parquet(f"{self.path}/chunks").where(F.col("batch").isin(known))
+    def _chunks(self, batches: list[int] | None = None) -> DataFrame:
+        """All chunks of complete batches (or of these), stale ones among them."""
+        batches = self.batches() if batches is None else batches
+        rows = self.spark.read.option("basePath", f"{self.path}/rows").parquet(*[f"{self.path}/rows/batch={n}/bucket=-1" for n in batches])
+        return rows.select(*KEY, "category", "segment", "number", "size", "batch")
 
     def chunks(self) -> DataFrame:
         """The chunks that are searched: keys, category and size in tokens."""
@@ -125,7 +117,7 @@ class TextIndex:
 
     def postings(self, terms: DataFrame | list[str], category: str | None = None) -> DataFrame:
         """Blocks of the terms: of a list by pruned folders and pushed filters, of a table by a join."""
-        blocks = self._table("postings", "category string, segment long, term string, block int, numbers array<int>, times array<int>, sizes array<int>, best double, batch int, bucket int")
+        blocks = self._table("rows", f"{_ROW}, batch int, bucket int").where(F.col("bucket") >= 0)
         if category is not None:
             blocks = blocks.where(F.col("category") == category)
         if isinstance(terms, list):
@@ -147,7 +139,7 @@ class TextIndex:
         group = F.pmod(F.xxhash64("question_id"), F.lit(max(1, math.ceil(asked.count() / QUESTIONS)))).cast("int")
         wanted = of.groupBy("term", group.alias("questions")).agg(F.collect_list(F.struct("question_id", "weight", "length", "distinct")).alias("asks"))
         wanted = F.broadcast(wanted) if wanted.count() <= SENT_TERMS else wanted
-        blocks = self.postings(wanted, category).select("questions", "batch", "segment", "term", "block", "numbers", "times", "sizes", "best", "asks")
+        blocks = self.postings(wanted, category).select("questions", "batch", "segment", "term", "block", "places", "times", "sizes", "best", "asks")
         gone = self._table("stale", "of int, segment long, number int, batch int").groupBy(F.col("of").alias("batch"), "segment").agg(F.collect_set("number").alias("gone"))
         rows = blocks.join(gone, ["batch", "segment"], "left")
         found = rows.groupBy("questions", "batch", "segment").applyInArrow(_segment_search(k, every), "question_id long, batch int, segment long, number int, score double")
@@ -161,7 +153,69 @@ class TextIndex:
         return self.search(one, k, category=category).drop("question_id")
 
 
-# One segment --------------------------------------------------------------------
+# Building a segment ---------------------------------------------------------------
+
+
+def _packed(values: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
+    """Runs of an array as binary values."""
+    data = values.astype(f"<u{width}").tobytes()
+    offsets = np.concatenate(([0], ends)) * width
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _blocks_of_segments(batches):
+    """Chunk rows, and the posting blocks of each segment, of rows (segment, category, document_id, chunk_index, tokens) in order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        segments = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(segments[1:] != segments[:-1]) + 1).tolist(), len(segments)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and a < b and held[-1].column(0)[0] != batch.column(0)[a]:
+                yield from _segment_rows(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from _segment_rows(held)
+
+
+def _segment_rows(held: list[pa.RecordBatch]):
+    table = pa.Table.from_batches(held).combine_chunks()
+    keys = [table[c].combine_chunks() for c in KEY]
+    # Of rows with one key the first counts.
+    codes = [k.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys]
+    first = np.ones(len(table), bool)
+    first[1:] = np.logical_or(*(c[1:] != c[:-1] for c in codes))
+    table = table.filter(pa.array(first))
+    n, segment, category = len(table), table["segment"][0].as_py(), table["category"][0].as_py()
+    tokens = table["tokens"].combine_chunks()
+    sizes = tokens.value_lengths().to_numpy().astype(np.int64)
+    words = tokens.flatten().dictionary_encode()
+    terms, of = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    key, times = np.unique(of * n + np.repeat(np.arange(n), sizes), return_counts=True)
+    term, number = key // max(n, 1), key % max(n, 1)
+    gain = (1 - 1 / (1 + times)) / (1 + np.log(np.maximum(sizes[number], 1)))
+    block = number >> BLOCK_BITS
+    starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(key)) if len(starts) else starts
+    for i in range(0, n, 50_000):
+        part = table.slice(i, 50_000).combine_chunks()
+        m = len(part)
+        none = [pa.nulls(m, t) for t in (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64())]
+        yield pa.RecordBatch.from_arrays([part["category"].combine_chunks(), part["segment"].combine_chunks(), *none, *(part[c].combine_chunks() for c in KEY), pa.array(np.arange(i, i + m), pa.int32()), pa.array(sizes[i : i + m], pa.int32())], names=_NAMES)
+    wide = 4 if len(times) and times.max() > 65_535 else 2
+    for i in range(0, len(starts), 50_000):
+        a, b = starts[i], ends[min(i + 50_000, len(ends)) - 1]
+        upto, m = ends[i : i + 50_000] - a, len(starts[i : i + 50_000])
+        columns = [pa.array([category] * m, pa.string()), pa.array(np.full(m, segment), pa.int64()), terms.take(pa.array(term[starts[i : i + 50_000]])), pa.array(block[starts[i : i + 50_000]], pa.int32())]
+        columns += [_packed(number[a:b] & ((1 << BLOCK_BITS) - 1), upto, 2), _packed(times[a:b], upto, wide), _packed(sizes[number[a:b]], upto, 4), pa.array(np.maximum.reduceat(gain[a:b], starts[i : i + 50_000] - a))]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(m, table.schema.field(c).type) for c in KEY), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=_NAMES)
+
+
+_NAMES = ["category", "segment", "term", "block", "places", "times", "sizes", "best", *KEY, "number", "size"]
+
+
+# Searching a segment ----------------------------------------------------------------
 
 
 def _segment_search(k: int, every: bool):
@@ -193,15 +247,16 @@ def _postings(table: pa.Table):
     postings, asks = {}, {}
     table = table.combine_chunks().sort_by([("term", "ascending"), ("block", "ascending")])
     terms, bests, blocks = table["term"].to_pylist(), table["best"].to_numpy(), table["block"].to_numpy()
-    lists = {c: table[c].combine_chunks() for c in ("numbers", "times", "sizes")}
-    ends = lists["numbers"].offsets.to_numpy()
-    flat = {c: a.values.to_numpy() for c, a in lists.items()}
+    places = [np.frombuffer(x, "<u2") for x in table["places"].to_pylist()]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in places], dtype=np.int64)))
+    numbers = np.concatenate([x.astype(np.int64) + (b << BLOCK_BITS) for x, b in zip(places, blocks.tolist())])
+    times = np.concatenate([np.frombuffer(x, f"<u{len(x) // len(p)}") for x, p in zip(table["times"].to_pylist(), places)]).astype(np.float64)
+    sizes = np.concatenate([np.frombuffer(x, "<u4") for x in table["sizes"].to_pylist()]).astype(np.float64)
+    gain = (1 - 1 / (1 + times)) / (1 + np.log(np.maximum(sizes, 1)))
     cuts = [i for i, t in enumerate(terms) if i == 0 or t != terms[i - 1]] + [len(terms)]
     for a, b in zip(cuts, cuts[1:]):
         span = slice(ends[a], ends[b])
-        times, sizes = (flat[c][span].astype(np.float64) for c in ("times", "sizes"))
-        gain = (1 - 1 / (1 + times)) / (1 + np.log(np.maximum(sizes, 1)))
-        postings[terms[a]] = blocks[a:b], bests[a:b], ends[a : b + 1] - ends[a], flat["numbers"][span].astype(np.int64), gain
+        postings[terms[a]] = blocks[a:b], bests[a:b], ends[a : b + 1] - ends[a], numbers[span], gain[span]
         for x in table["asks"][a].as_py():
             mine = asks.setdefault(x["question_id"], {None: (x["length"], x["distinct"])})
             mine[terms[a]] = x["weight"]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tessera.sources import tables
+from tessera.sources import tables, upserts
 from tessera.sources.workspace import Folder
-from tessera.streaming import stateful
+from tessera.streaming import intake, stateful
 
 from .registry import query
 
@@ -67,3 +69,57 @@ def retention_stream(spark, sf_dir):
     """What goes of each event type by day once it is a week behind the watermark."""
     folder = Folder(spark, "retention").path
     return stateful.written(stateful.stateful(_events(spark, sf_dir, folder), "event_type", stateful.Retention(7), LATE), folder)
+
+
+# Page intake that goes on when a page fails ---------------------------------------------------
+
+#: Pages whose checksum starts with one of these cannot be prepared at first.
+_BROKEN = "012"
+
+
+def _paragraphs(page: str) -> list[str]:
+    """The page's text between tags, cut at the end of each hundred characters."""
+    told = re.sub("<[^>]*>", "", page)
+    return [told[i : i + 100] for i in range(0, len(told), 100)]
+
+
+def _fragile(page: str) -> list[str]:
+    if hashlib.md5(page.encode()).hexdigest()[0] in _BROKEN:
+        raise ValueError("cannot be read")
+    return _paragraphs(page)
+
+
+_TAKEN = f"SELECT url, md5(html)[1:1] IN ({', '.join(map(repr, _BROKEN))}) AS broken, regexp_replace(html, '<[^>]*>', '', 'g') AS told FROM pages"
+
+
+@query(
+    f"""SELECT url, CASE WHEN broken THEN 'error' ELSE 'ok' END AS first_status, CASE WHEN broken THEN 'ValueError: cannot be read' END AS error,
+  'unchanged' AS status, CASE WHEN broken THEN 1 ELSE 0 END AS failures, ceil(length(told) / 100.0)::BIGINT AS chunks, md5(told) AS told
+FROM ({_TAKEN})"""
+)
+def page_intake(spark, sf_dir):
+    """All pages as a stream, some of which fail; then those again with a better reader; then all once more."""
+    folder = Folder(spark, "intake").path
+    pages = tables.read(spark, sf_dir, "pages").select("url", "html")
+    stream = stateful.filed(pages, f"{folder}/in", F.pmod(F.xxhash64("url"), F.lit(3)))
+    first = intake.Intake(spark, f"{folder}/store", _fragile)
+    query = first.stream(stream).trigger(availableNow=True).start()
+    query.awaitTermination()
+    before = first.statuses().select("url", F.col("status").alias("first_status"), "error")
+    again = intake.Intake(spark, f"{folder}/store", _paragraphs)
+    before = Folder(spark, "intake-before").table(before, "status")
+    again.retry()
+    again.take(pages, "all")
+    told = again.chunks().groupBy("url").agg(F.count("*").alias("chunks"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))), lambda c: c["chunk"]), "")).alias("told"))
+    return before.join(again.statuses().select("url", "status", F.col("failures").cast("int").alias("failures")), "url").join(told, "url")
+
+
+@query("SELECT doc_id AS document_id, 0 AS chunk_index, CASE WHEN doc_id % 5 = 4 THEN text ELSE '! ' || text END AS content FROM documents UNION ALL SELECT doc_id, 1, text FROM documents WHERE doc_id % 2 = 0")
+def upsert_store(spark, sf_dir):
+    """Documents written three times through the upsert source: as they are, four fifths with a mark, and those with a second chunk again."""
+    path, docs = Folder(spark, "upserts").path, tables.corpus(spark, sf_dir, vectors=False).select("document_id", "chunk_index", "content")
+    loud = docs.withColumn("content", F.concat(F.lit("! "), "content"))
+    upserts.write(docs.unionByName(loud.where("document_id % 2 = 0").withColumn("chunk_index", F.lit(1))), path, ["document_id", "chunk_index"])
+    upserts.write(loud.where("document_id % 5 < 4"), path, ["document_id", "chunk_index"])
+    upserts.write(docs.where("document_id % 2 = 0").withColumn("chunk_index", F.lit(1)), path, ["document_id", "chunk_index"])
+    return upserts.read(spark, path)

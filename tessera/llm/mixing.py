@@ -22,8 +22,6 @@ gives an empty mix.  Other columns are ignored.
 
 from __future__ import annotations
 
-from heapq import heappop, heappush
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,49 +66,97 @@ def min_cost_flow(supply: dict, quotas: dict, members: dict, repeats: int) -> di
     """Tokens each pattern sends to each source: {(pattern, source): tokens}.
 
     supply: tokens of each pattern; members: its sources.  Copy r of a pattern's
-    tokens costs r.  Successive shortest paths with potentials, on a network of
-    patterns and sources only; ties are broken by name, so reruns agree.
+    tokens costs r.  The network falls apart into components; one pattern with one
+    source needs no search.  As only the first arc of a path has a cost, the
+    cheapest paths of all are those of the lowest copy that still gets through:
+    the flow grows by blocking flows, copy by copy.  Ties are broken by name, so
+    reruns agree.
     """
-    graph: dict = {}
+    root = {("source", x): ("source", x) for x in quotas}
 
-    def arc(u, v, room, cost):
-        graph.setdefault(u, []).append([v, room, cost, len(graph.setdefault(v, []))])
-        graph[v].append([u, 0, -cost, len(graph[u]) - 1])
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
 
-    start, end = ("start",), ("end",)
     for p in sorted(supply, key=repr):
-        for r in range(repeats):
-            arc(start, ("pattern", p), supply[p], r)
-        for s in sorted(members[p], key=repr):
-            arc(("pattern", p), ("source", s), repeats * supply[p], 0)
-    for s in sorted(quotas, key=repr):
-        arc(("source", s), end, quotas[s], 0)
-    graph.setdefault(start, []), graph.setdefault(end, [])
-    price = dict.fromkeys(graph, 0)
-    while True:
-        far, via, heap, n = {start: 0}, {}, [(0, 0, start)], 0
-        while heap:
-            d, _, u = heappop(heap)
-            if d > far[u]:
-                continue
-            for i, (v, room, cost, _) in enumerate(graph[u]):
-                if room > 0 and (e := d + cost + price[u] - price[v]) < far.get(v, float("inf")):
-                    far[v], via[v] = e, (u, i)
-                    heappush(heap, (e, n := n + 1, v))
-        if end not in far:
-            break
-        for u in graph:
-            price[u] += min(far.get(u, far[end]), far[end])
-        path, v = [], end
-        while v != start:
-            u, i = via[v]
-            path.append(graph[u][i])
-            v = u
-        sent = min(a[1] for a in path)
-        for a in path:
-            a[1] -= sent
-            graph[a[0]][a[3]][1] += sent
-    return {(u[1], a[0][1]): back for u in graph if u[0] == "pattern" for a in graph[u] if a[0][0] == "source" and (back := graph[a[0]][a[3]][1]) > 0}
+        own = [("source", x) for x in members[p] if x in quotas]
+        for x in own[1:]:
+            root[find(x)] = find(own[0])
+    parts: dict = {}
+    for p in sorted(supply, key=repr):
+        if own := [x for x in members[p] if x in quotas]:
+            parts.setdefault(find(("source", own[0])), []).append(p)
+    out = {}
+    for patterns in parts.values():
+        if len(patterns) == 1 and len(members[patterns[0]]) == 1:
+            (p,), (x,) = patterns, members[patterns[0]]
+            if sent := min(repeats * supply[p], quotas[x]):
+                out[p, x] = sent
+        else:
+            out |= _component_flow(patterns, supply, quotas, members, repeats)
+    return out
+
+
+def _component_flow(patterns: list, supply: dict, quotas: dict, members: dict, repeats: int) -> dict:
+    """The flow of patterns that share sources."""
+    sources = sorted({x for p in patterns for x in members[p] if x in quotas}, key=repr)
+    number = {x: len(patterns) + i for i, x in enumerate(sources)}
+    end = len(patterns) + len(sources)
+    # Arcs by number: head and room; arc i's reverse is i ^ 1.
+    head, room, out = [], [], [[] for _ in range(end + 1)]
+
+    def arc(u: int, v: int, size: int) -> None:
+        for a, b, r in ((u, v, size), (v, u, 0)):
+            out[a].append(len(head))
+            head.append(b), room.append(r)
+
+    for i, p in enumerate(patterns):
+        for x in sorted((x for x in members[p] if x in quotas), key=repr):
+            arc(i, number[x], repeats * supply[p])
+    for x in sources:
+        arc(number[x], end, quotas[x])
+    offer = [0] * len(patterns)
+    for _ in range(repeats):
+        # The next copy of every pattern; what is left of earlier ones finds no way through.
+        offer = [supply[p] for p in patterns]
+        while True:
+            far = [-1] * (end + 1)
+            queue = [i for i, n in enumerate(offer) if n > 0]
+            for i in queue:
+                far[i] = 0
+            for u in queue:
+                for a in out[u]:
+                    if room[a] > 0 and far[head[a]] < 0:
+                        far[head[a]] = far[u] + 1
+                        queue.append(head[a])
+            if far[end] < 0:
+                break
+            at = [0] * (end + 1)
+            for i in range(len(patterns)):
+                while offer[i] > 0 and far[i] == 0:
+                    path, u = [], i
+                    while u != end:
+                        if at[u] < len(out[u]):
+                            a = out[u][at[u]]
+                            if room[a] > 0 and far[head[a]] == far[u] + 1:
+                                path.append(a)
+                                u = head[a]
+                            else:
+                                at[u] += 1
+                        elif path:
+                            u = head[path.pop() ^ 1]
+                            at[u] += 1
+                        else:
+                            break
+                    if u != end:
+                        break
+                    sent = min(offer[i], *(room[a] for a in path))
+                    for a in path:
+                        room[a] -= sent
+                        room[a ^ 1] += sent
+                    offer[i] -= sent
+    return {(p, sources[head[a] - len(patterns)]): room[a ^ 1] for i, p in enumerate(patterns) for a in out[i] if a % 2 == 0 and room[a ^ 1] > 0}
 
 
 def _near(df: DataFrame, rows: int) -> DataFrame:
@@ -190,14 +236,18 @@ def _mixed_rows(docs: DataFrame, sources: F.Column, weights: tuple[float, ...] =
         raise ValueError(f"more than {MOST_PATTERNS} distinct sets of sources")
     supply, members = {r._pattern: r.size for r in found}, {r._pattern: tuple(r.sources or ()) for r in found}
     names = sorted({x for m in members.values() for x in m}, key=lambda x: (x is None, (x or "").encode("utf-8", "surrogatepass")))
-    sizes = [sum(supply[p] for p in supply if x in members[p]) for x in names]
+    place = {x: i for i, x in enumerate(names)}
+    sizes = [0] * len(names)
+    for p, m in members.items():
+        for x in m:
+            sizes[place[x]] += supply[p]
     targets = dict(zip(names, reshared_targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share, repeats)))
     flow = min_cost_flow(supply, {x: round(t) for x, t in targets.items()}, members, repeats)
     sent = dict.fromkeys(supply, 0)
     for (p, _), tokens in flow.items():
         sent[p] += tokens
     whole = {p: min(repeats, sent[p] // n) if n else 0 for p, n in supply.items()}
-    rows = [(p, whole[p], sent[p] - whole[p] * supply[p], sizes[names.index(m[0])] if m else 0, float(targets[m[0]]) if m else 0.0) for p, m in members.items()]
+    rows = [(p, whole[p], sent[p] - whole[p] * supply[p], sizes[place[m[0]]] if m else 0, float(targets[m[0]]) if m else 0.0) for p, m in members.items()]
     plan = s.table(spark.createDataFrame(rows, "_pattern string, _whole long, _want long, source_size long, target double").coalesce(1), "plan")
 
     cut, added = _cuts(base, plan.where("_want > 0").select("_pattern", "_want"), len(rows), s)

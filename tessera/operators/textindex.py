@@ -87,7 +87,8 @@ class TextIndex:
         built = counted.mapInArrow(_blocks_of_segments, f"{_ROW}, document_id {types['document_id']}, chunk_index {types['chunk_index']}, number int, size int")
         # Chunks go to a folder beside those of the buckets.
         placed = built.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(self._bucket()))
-        placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "segment", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/batch={n}")
+        with workspace.batches(self.spark, 500):
+            placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "segment", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/batch={n}")
 
         chunks = self._chunks([n])
         if known:
@@ -165,51 +166,77 @@ def _packed(values: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
 
 def _blocks_of_segments(batches):
     """Chunk rows, and the posting blocks of each segment, of rows (segment, category, document_id, chunk_index, tokens) in order."""
-    held: list[pa.RecordBatch] = []
+    now = None
     for batch in batches:
         segments = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(segments[1:] != segments[:-1]) + 1).tolist(), len(segments)]
+        cuts = [0, *(np.flatnonzero(segments[1:] != segments[:-1]) + 1).tolist(), len(segments)] if len(segments) else []
         for a, b in zip(cuts, cuts[1:]):
-            if held and a < b and held[-1].column(0)[0] != batch.column(0)[a]:
-                yield from _segment_rows(held)
-                held = []
-            if a < b:
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield from _segment_rows(held)
-
-
-def _segment_rows(held: list[pa.RecordBatch]):
-    table = pa.Table.from_batches(held).combine_chunks()
-    keys = [table[c].combine_chunks() for c in KEY]
-    # Of rows with one key the first counts.
-    codes = [k.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys]
-    first = np.ones(len(table), bool)
-    first[1:] = np.logical_or(*(c[1:] != c[:-1] for c in codes))
-    table = table.filter(pa.array(first))
-    n, segment, category = len(table), table["segment"][0].as_py(), table["category"][0].as_py()
-    tokens = table["tokens"].combine_chunks()
-    sizes = tokens.value_lengths().to_numpy().astype(np.int64)
-    words = tokens.flatten().dictionary_encode()
-    terms, of = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    key, times = np.unique(of * n + np.repeat(np.arange(n), sizes), return_counts=True)
-    term, number = key // max(n, 1), key % max(n, 1)
-    gain = (1 - 1 / (1 + times)) / (1 + np.log(np.maximum(sizes[number], 1)))
-    block = number >> BLOCK_BITS
-    starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(key) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(key)) if len(starts) else starts
-    for i in range(0, n, 50_000):
-        part = table.slice(i, 50_000).combine_chunks()
-        m = len(part)
-        none = [pa.nulls(m, t) for t in (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64())]
-        yield pa.RecordBatch.from_arrays([part["category"].combine_chunks(), part["segment"].combine_chunks(), *none, *(part[c].combine_chunks() for c in KEY), pa.array(np.arange(i, i + m), pa.int32()), pa.array(sizes[i : i + m], pa.int32())], names=_NAMES)
-    wide = 4 if len(times) and times.max() > 65_535 else 2
-    for i in range(0, len(starts), 50_000):
-        a, b = starts[i], ends[min(i + 50_000, len(ends)) - 1]
-        upto, m = ends[i : i + 50_000] - a, len(starts[i : i + 50_000])
-        columns = [pa.array([category] * m, pa.string()), pa.array(np.full(m, segment), pa.int64()), terms.take(pa.array(term[starts[i : i + 50_000]])), pa.array(block[starts[i : i + 50_000]], pa.int32())]
-        columns += [_packed(number[a:b] & ((1 << BLOCK_BITS) - 1), upto, 2), _packed(times[a:b], upto, wide), _packed(sizes[number[a:b]], upto, 4), pa.array(np.maximum.reduceat(gain[a:b], starts[i : i + 50_000] - a))]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(m, table.schema.field(c).type) for c in KEY), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=_NAMES)
+            if now is None or now.segment != int(segments[a]):
+                if now is not None:
+                    yield from now.blocks()
+                now = _Segment(int(segments[a]), batch.column(1)[a].as_py())
+            yield from now.add(batch.slice(a, b - a))
+    if now is not None:
+        yield from now.blocks()
+    pa.default_memory_pool().release_unused()
+
+
+class _Segment:
+    """Postings of one segment, gathered batch by batch; tokens are let go as soon as they are counted."""
+
+    def __init__(self, segment: int, category: str | None):
+        self.segment, self.category, self.size, self.last = segment, category, 0, None
+        self.terms, self.codes, self.numbers, self.times, self.sizes = [], [], [], [], []
+        self.types: list[pa.DataType] = []
+
+    def add(self, rows: pa.RecordBatch):
+        """Count a batch's tokens; gives its chunk rows."""
+        keys = [rows.column(c) for c in KEY]
+        self.types = [k.type for k in keys]
+        # Of rows with one key the first counts.
+        first = np.ones(len(rows), bool)
+        codes = [k.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys]
+        first[1:] = np.logical_or(*(c[1:] != c[:-1] for c in codes))
+        first[0] = self.last != [k[0].as_py() for k in keys]
+        self.last = [k[len(rows) - 1].as_py() for k in keys]
+        rows = rows.filter(pa.array(first))
+        n = len(rows)
+        if not n:
+            return
+        tokens = rows.column("tokens")
+        sizes = tokens.value_lengths().to_numpy().astype(np.int64)
+        words = tokens.flatten().dictionary_encode()
+        key, times = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
+        for held, values in ((self.terms, words.dictionary), (self.codes, (key // n).astype(np.int32)), (self.numbers, (key % n + self.size).astype(np.int32)), (self.times, times.astype(np.int32)), (self.sizes, sizes.astype(np.int32))):
+            held.append(values)
+        none = [pa.nulls(n, t) for t in (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64())]
+        yield pa.RecordBatch.from_arrays([rows.column("category"), rows.column("segment"), *none, *(rows.column(c) for c in KEY), pa.array(np.arange(self.size, self.size + n), pa.int32()), pa.array(sizes, pa.int32())], names=_NAMES)
+        self.size += n
+
+    def blocks(self):
+        every = pa.chunked_array(self.terms, pa.string()).combine_chunks()
+        every = (every.combine_chunks() if isinstance(every, pa.ChunkedArray) else every).dictionary_encode()
+        terms, known = every.dictionary, every.indices.to_numpy(zero_copy_only=False)
+        shift = np.cumsum([0, *(len(t) for t in self.terms)])
+        term = np.concatenate([known[c + o] for c, o in zip(self.codes, shift)])
+        number, times, sizes = (np.concatenate(x) for x in (self.numbers, self.times, self.sizes))
+        self.codes = self.numbers = self.times = self.terms = None
+        # Batches come in order, so a stable sort by term keeps the numbers in order.
+        order = np.argsort(term, kind="stable")
+        term, number, times = term[order], number[order], times[order]
+        size = sizes[number]
+        gain = (1 - 1 / (1 + times)) / (1 + np.log(np.maximum(size, 1)))
+        block = number >> BLOCK_BITS
+        starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(term)) if len(starts) else starts
+        wide = 4 if len(times) and times.max() > 65_535 else 2
+        for i in range(0, len(starts), 20_000):
+            some = starts[i : i + 20_000]
+            a, b, m = some[0], ends[min(i + 20_000, len(ends)) - 1], len(some)
+            upto = ends[i : i + 20_000] - a
+            columns = [pa.array([self.category] * m, pa.string()), pa.array(np.full(m, self.segment), pa.int64()), terms.take(pa.array(term[some])), pa.array(block[some], pa.int32())]
+            columns += [_packed(number[a:b] & ((1 << BLOCK_BITS) - 1), upto, 2), _packed(times[a:b], upto, wide), _packed(size[a:b], upto, 4), pa.array(np.maximum.reduceat(gain[a:b], some - a))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(m, t) for t in self.types), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=_NAMES)
 
 
 _NAMES = ["category", "segment", "term", "block", "places", "times", "sizes", "best", *KEY, "number", "size"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import batchsearch
+from tessera.operators import batchsearch, ordered
 from tessera.operators.textindex import TextIndex
 from tessera.sources import tables
 from tessera.sources.workspace import Folder
@@ -121,3 +121,22 @@ def ask_many(spark, sf_dir):
     index.append(chunks)
     hits = index.search(asked.select("question_id", text.tokens(F.col("query")).alias("terms")), K, every=False)
     return batchsearch.ask_many(chunks, hits, asked, min_score=0.1)
+
+
+# Orders over range partitions ---------------------------------------------------------------
+
+
+@query("SELECT event_id AS id, event_type, ts AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 9000")
+def deep_log_page(spark, sf_dir):
+    """A page far behind in the log; one partition of the sorted log is read for it."""
+    logs = tables.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", F.col("ts").alias("created_at"))
+    return ordered.Pages(spark, Folder(spark, "log-pages").path, [F.desc("created_at"), F.desc("id")]).build(logs).page(50, 9000)
+
+
+@query(
+    f"""WITH n AS (SELECT vec_id, label, round({_COS.format('lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)', 'embedding')}, 6) AS near FROM embeddings)
+SELECT vec_id, label, sum(CASE WHEN near < 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM n"""
+)
+def island_segments(spark, sf_dir):
+    """As semantic_segments; a label's rows are spread over partitions."""
+    return ordered.islands(tables.read(spark, sf_dir, "embeddings"), "label", "vec_id", threshold=0.1).select("vec_id", "label", "segment")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.sources import tables, upserts
 from tessera.sources.workspace import Folder
-from tessera.streaming import intake, stateful
+from tessera.streaming import intake, rollups, stateful
 
-from .registry import query
+from .registry import _LOGS, query
 
 #: The streams' last row, and what an event may be late; the watermark ends at the difference.
 END, LATE = datetime(2024, 2, 2), "2 days"
@@ -123,3 +123,30 @@ def upsert_store(spark, sf_dir):
     upserts.write(loud.where("document_id % 5 < 4"), path, ["document_id", "chunk_index"])
     upserts.write(docs.where("document_id % 2 = 0").withColumn("chunk_index", F.lit(1)), path, ["document_id", "chunk_index"])
     return upserts.read(spark, path)
+
+
+# Log statistics from sketches --------------------------------------------------------------------
+
+
+def _rollups(spark, sf_dir):
+    """The log as a stream of files in no order, rolled up batch by batch."""
+    folder = Folder(spark, "rollups").path
+    logs = tables.query_logs(spark, sf_dir).select("query_text", "num_results", "search_time_ms", "created_at")
+    stream = stateful.filed(logs, f"{folder}/in", F.pmod(F.xxhash64("created_at"), F.lit(4)))
+    rolled = rollups.Rollups(spark, f"{folder}/rows")
+    rolled.stream(stream, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return rolled
+
+
+_RANGE = "created_at >= DATE '2024-01-05' AND created_at < DATE '2024-01-21'"
+
+
+@query(f"WITH {_LOGS} SELECT count(*) AS total, count(DISTINCT query_text) AS distinct_queries, round(coalesce(avg(num_results), 0), 6) AS avg_results, round(coalesce(avg(search_time_ms), 0), 6) AS avg_time_ms, count(*) FILTER (num_results = 0) AS zero_results FROM logs WHERE {_RANGE}")
+def rollup_summary(spark, sf_dir):
+    """Sixteen days' statistics from merged sketches."""
+    return _rollups(spark, sf_dir).summary("2024-01-05", "2024-01-20")
+
+
+@query(f"WITH {_LOGS} SELECT query_text, count(*) AS n FROM logs WHERE {_RANGE} GROUP BY 1 ORDER BY n DESC, query_text LIMIT 20")
+def rollup_top(spark, sf_dir):
+    return _rollups(spark, sf_dir).top(20, "2024-01-05", "2024-01-20")

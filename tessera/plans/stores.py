@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import tablefunctions, text
 from tessera.operators import batchsearch, ordered
 from tessera.operators.textindex import TextIndex
 from tessera.sources import tables
 from tessera.sources.workspace import Folder
 
-from .registry import _CHUNKS, _CORPUS, _COS, _KEYWORD, TERMS, K, query
+from .registry import _CHUNKS, _CORPUS, _COS, _KEYWORD, ORACLES, TERMS, K, query
 
 _WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
 
@@ -140,3 +140,21 @@ SELECT vec_id, label, sum(CASE WHEN near < 0.1 THEN 1 ELSE 0 END) OVER (PARTITIO
 def island_segments(spark, sf_dir):
     """As semantic_segments; a label's rows are spread over partitions."""
     return ordered.islands(tables.read(spark, sf_dir, "embeddings"), "label", "vec_id", threshold=0.1).select("vec_id", "label", "segment")
+
+
+# Chunkers as table functions ------------------------------------------------------------------
+
+
+@query(ORACLES["chunk_auto"])
+def chunk_lateral(spark, sf_dir):
+    """As chunk_auto, by a lateral join with a table function."""
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tablefunctions.lateral_chunks(docs).select("doc_id", "chunk_index", "chunk")
+
+
+@query(ORACLES["chunk_sentence"])
+def chunk_lateral_sql(spark, sf_dir):
+    """As chunk_sentence, in SQL."""
+    tablefunctions.register(spark)
+    docs = tables.read(spark, sf_dir, "documents")
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.chunk FROM {docs} d, LATERAL chunks(d.text, 'sentence') c", docs=docs)

@@ -47,8 +47,8 @@ SENT_TERMS = 200_000
 #: Scores closer than this may be equal once they are rounded.
 CLOSE = 1e-6
 
-#: A posting block; places, times and sizes are unsigned numbers of 16, 16 and 32 bits, times of 32 where 16 do not hold them.
-_ROW = "category string, segment long, term string, block int, places binary, times binary, sizes binary, best double"
+#: A posting block; posts: a byte w (2 or 4), then the chunks' places in the block, how often (w bytes each), and sizes, as little-endian numbers of 2, w and 4 bytes.
+_ROW = "category string, segment long, term string, block int, posts binary, best double"
 
 
 class TextIndex:
@@ -140,7 +140,7 @@ class TextIndex:
         group = F.pmod(F.xxhash64("question_id"), F.lit(max(1, math.ceil(asked.count() / QUESTIONS)))).cast("int")
         wanted = of.groupBy("term", group.alias("questions")).agg(F.collect_list(F.struct("question_id", "weight", "length", "distinct")).alias("asks"))
         wanted = F.broadcast(wanted) if wanted.count() <= SENT_TERMS else wanted
-        blocks = self.postings(wanted, category).select("questions", "batch", "segment", "term", "block", "places", "times", "sizes", "best", "asks")
+        blocks = self.postings(wanted, category).select("questions", "batch", "segment", "term", "block", "posts", "best", "asks")
         gone = self._table("stale", "of int, segment long, number int, batch int").groupBy(F.col("of").alias("batch"), "segment").agg(F.collect_set("number").alias("gone"))
         rows = blocks.join(gone, ["batch", "segment"], "left")
         found = rows.groupBy("questions", "batch", "segment").applyInArrow(_segment_search(k, every), "question_id long, batch int, segment long, number int, score double")
@@ -157,11 +157,26 @@ class TextIndex:
 # Building a segment ---------------------------------------------------------------
 
 
-def _packed(values: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
-    """Runs of an array as binary values."""
-    data = values.astype(f"<u{width}").tobytes()
-    offsets = np.concatenate(([0], ends)) * width
-    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+def _packed(places: np.ndarray, times: np.ndarray, sizes: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
+    """The posts of blocks that end at ``ends``, as binary values."""
+    counts = np.diff(np.append(0, ends))
+    lengths = 1 + counts * (6 + width)
+    offsets = np.append(0, np.cumsum(lengths))
+    out = np.zeros(offsets[-1], np.uint8)
+    out[offsets[:-1]] = width
+    rank = np.arange(len(places)) - np.repeat(ends - counts, counts)
+    start, n = np.repeat(offsets[:-1] + 1, counts), np.repeat(counts, counts)
+    for values, size, before in ((places, 2, 0), (times, width, 2), (sizes, 4, 2 + width)):
+        at = start + n * before + rank * size
+        out[at[:, None] + np.arange(size)] = np.ascontiguousarray(values.astype(f"<u{size}")).view(np.uint8).reshape(-1, size)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+
+def _unpacked(posts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, times and sizes of a block."""
+    width = posts[0]
+    n = (len(posts) - 1) // (6 + width)
+    return np.frombuffer(posts, "<u2", n, 1), np.frombuffer(posts, f"<u{width}", n, 1 + 2 * n), np.frombuffer(posts, "<u4", n, 1 + (2 + width) * n)
 
 
 def _blocks_of_segments(batches):
@@ -209,7 +224,7 @@ class _Segment:
         key, times = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
         for held, values in ((self.terms, words.dictionary), (self.codes, (key // n).astype(np.int32)), (self.numbers, (key % n + self.size).astype(np.int32)), (self.times, times.astype(np.int32)), (self.sizes, sizes.astype(np.int32))):
             held.append(values)
-        none = [pa.nulls(n, t) for t in (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64())]
+        none = [pa.nulls(n, t) for t in (pa.string(), pa.int32(), pa.binary(), pa.float64())]
         yield pa.RecordBatch.from_arrays([rows.column("category"), rows.column("segment"), *none, *(rows.column(c) for c in KEY), pa.array(np.arange(self.size, self.size + n), pa.int32()), pa.array(sizes, pa.int32())], names=_NAMES)
         self.size += n
 
@@ -235,11 +250,11 @@ class _Segment:
             a, b, m = some[0], ends[min(i + 20_000, len(ends)) - 1], len(some)
             upto = ends[i : i + 20_000] - a
             columns = [pa.array([self.category] * m, pa.string()), pa.array(np.full(m, self.segment), pa.int64()), terms.take(pa.array(term[some])), pa.array(block[some], pa.int32())]
-            columns += [_packed(number[a:b] & ((1 << BLOCK_BITS) - 1), upto, 2), _packed(times[a:b], upto, wide), _packed(size[a:b], upto, 4), pa.array(np.maximum.reduceat(gain[a:b], some - a))]
+            columns += [_packed(number[a:b] & ((1 << BLOCK_BITS) - 1), times[a:b], size[a:b], upto, wide), pa.array(np.maximum.reduceat(gain[a:b], some - a))]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(m, t) for t in self.types), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=_NAMES)
 
 
-_NAMES = ["category", "segment", "term", "block", "places", "times", "sizes", "best", *KEY, "number", "size"]
+_NAMES = ["category", "segment", "term", "block", "posts", "best", *KEY, "number", "size"]
 
 
 # Searching a segment ----------------------------------------------------------------
@@ -274,11 +289,10 @@ def _postings(table: pa.Table):
     postings, asks = {}, {}
     table = table.combine_chunks().sort_by([("term", "ascending"), ("block", "ascending")])
     terms, bests, blocks = table["term"].to_pylist(), table["best"].to_numpy(), table["block"].to_numpy()
-    places = [np.frombuffer(x, "<u2") for x in table["places"].to_pylist()]
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in places], dtype=np.int64)))
-    numbers = np.concatenate([x.astype(np.int64) + (b << BLOCK_BITS) for x, b in zip(places, blocks.tolist())])
-    times = np.concatenate([np.frombuffer(x, f"<u{len(x) // len(p)}") for x, p in zip(table["times"].to_pylist(), places)]).astype(np.float64)
-    sizes = np.concatenate([np.frombuffer(x, "<u4") for x in table["sizes"].to_pylist()]).astype(np.float64)
+    posts = [_unpacked(x) for x in table["posts"].to_pylist()]
+    ends = np.concatenate(([0], np.cumsum([len(p) for p, _, _ in posts], dtype=np.int64)))
+    numbers = np.concatenate([p.astype(np.int64) + (b << BLOCK_BITS) for (p, _, _), b in zip(posts, blocks.tolist())])
+    times, sizes = (np.concatenate([x[k] for x in posts]).astype(np.float64) for k in (1, 2))
     gain = (1 - 1 / (1 + times)) / (1 + np.log(np.maximum(sizes, 1)))
     cuts = [i for i, t in enumerate(terms) if i == 0 or t != terms[i - 1]] + [len(terms)]
     for a, b in zip(cuts, cuts[1:]):

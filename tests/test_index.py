@@ -169,3 +169,18 @@ def test_ask_many_is_ask_for_each(spark, corpus, index, floor):
         want = [(r.document_id, r.chunk_index, r.score, r.pos, r.source_url, r.category) for r in search.filter_sources(wide, kind, floor).collect()]
         mine = [(r.document_id, r.chunk_index, r.score, r.pos, r.source_url, r.category) for r in got if r.question_id == i]
         assert sorted(mine, key=lambda r: r[3]) == sorted(want, key=lambda r: r[3]), q
+
+
+def test_packed_blocks():
+    from tessera.operators import textindex
+
+    rng = np.random.default_rng(2)
+    counts = rng.integers(1, 40, 50)
+    ends = np.cumsum(counts)
+    places, sizes = rng.integers(0, 1024, ends[-1]), rng.integers(0, 2**32, ends[-1])
+    for width, most in ((2, 2**16), (4, 2**32)):
+        times = rng.integers(1, most, ends[-1])
+        blobs = textindex._packed(places, times, sizes, ends, width).to_pylist()
+        for a, b, blob in zip(ends - counts, ends, blobs):
+            for got, want in zip(textindex._unpacked(blob), (places, times, sizes)):
+                assert got.tolist() == want[a:b].tolist()

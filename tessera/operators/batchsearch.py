@@ -66,6 +66,18 @@ class _Best:
         if self.size > HELD:
             self.cut()
 
+    def offer(self, question: int, scores: np.ndarray, keys: pd.DataFrame, rows: np.ndarray) -> None:
+        """Some rows for one question."""
+        kept = scores >= self.least[question]
+        if not kept.any():
+            return
+        part = keys.iloc[rows[kept]].reset_index(drop=True)
+        part["q"], part["score"] = question, scores[kept]
+        self.parts.append(part)
+        self.size += len(part)
+        if self.size > HELD or len(self.parts) > 2_000:
+            self.cut()
+
     def cut(self) -> pd.DataFrame:
         every = pd.concat(self.parts, ignore_index=True)
         every = every[every["score"].to_numpy() >= self.least[every["q"].to_numpy()]]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import tablefunctions, text
 from tessera.operators import batchsearch, ordered
 from tessera.operators.textindex import TextIndex
+from tessera.operators.vectorindex import VectorIndex
 from tessera.sources import tables
 from tessera.sources.workspace import Folder
 
@@ -73,6 +74,18 @@ def vector_topk_many(spark, sf_dir):
     return batchsearch.vector_topk_many(rows.select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding"), asked, K)
 
 
+@query()
+def indexed_vector_topk_many(spark, sf_dir):
+    """As vector_topk_many, approximately, from an inverted file that got the vectors in two batches; tests measure its recall."""
+    rows = tables.read(spark, sf_dir, "embeddings")
+    corpus = rows.select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding")
+    index = VectorIndex(spark, Folder(spark, "vector-index").path)
+    index.fit(corpus, K, 0.95)
+    for part in (0, 1):
+        index.append(corpus.where(F.pmod("document_id", F.lit(2)) == part))
+    return index.search(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")), K)
+
+
 # Words that make a passage a question of each class.
 _OPENINGS = ("sebutkan semua", "bagaimana cara", "bandingkan", "")
 

@@ -47,8 +47,9 @@ SENT_TERMS = 200_000
 #: Scores closer than this may be equal once they are rounded.
 CLOSE = 1e-6
 
-#: A posting block; posts: a byte w (2 or 4), then the chunks' places in the block, how often (w bytes each), and sizes, as little-endian numbers of 2, w and 4 bytes.
-_ROW = "category string, segment long, term string, block int, posts binary, best double"
+#: A posting block; posts: a byte w (2, or 4 where that does not hold the numbers), then the chunks' places in the block, how
+#: often, and sizes, as little-endian numbers of 2, w and w bytes; best is rounded up.
+_ROW = "category string, segment long, term string, block int, posts binary, best float"
 
 
 class TextIndex:
@@ -160,13 +161,13 @@ class TextIndex:
 def _packed(places: np.ndarray, times: np.ndarray, sizes: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
     """The posts of blocks that end at ``ends``, as binary values."""
     counts = np.diff(np.append(0, ends))
-    lengths = 1 + counts * (6 + width)
+    lengths = 1 + counts * (2 + 2 * width)
     offsets = np.append(0, np.cumsum(lengths))
     out = np.zeros(offsets[-1], np.uint8)
     out[offsets[:-1]] = width
     rank = np.arange(len(places)) - np.repeat(ends - counts, counts)
     start, n = np.repeat(offsets[:-1] + 1, counts), np.repeat(counts, counts)
-    for values, size, before in ((places, 2, 0), (times, width, 2), (sizes, 4, 2 + width)):
+    for values, size, before in ((places, 2, 0), (times, width, 2), (sizes, width, 2 + width)):
         at = start + n * before + rank * size
         out[at[:, None] + np.arange(size)] = np.ascontiguousarray(values.astype(f"<u{size}")).view(np.uint8).reshape(-1, size)
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
@@ -175,8 +176,8 @@ def _packed(places: np.ndarray, times: np.ndarray, sizes: np.ndarray, ends: np.n
 def _unpacked(posts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, times and sizes of a block."""
     width = posts[0]
-    n = (len(posts) - 1) // (6 + width)
-    return np.frombuffer(posts, "<u2", n, 1), np.frombuffer(posts, f"<u{width}", n, 1 + 2 * n), np.frombuffer(posts, "<u4", n, 1 + (2 + width) * n)
+    n = (len(posts) - 1) // (2 + 2 * width)
+    return np.frombuffer(posts, "<u2", n, 1), np.frombuffer(posts, f"<u{width}", n, 1 + 2 * n), np.frombuffer(posts, f"<u{width}", n, 1 + (2 + width) * n)
 
 
 def _blocks_of_segments(batches):
@@ -224,7 +225,7 @@ class _Segment:
         key, times = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
         for held, values in ((self.terms, words.dictionary), (self.codes, (key // n).astype(np.int32)), (self.numbers, (key % n + self.size).astype(np.int32)), (self.times, times.astype(np.int32)), (self.sizes, sizes.astype(np.int32))):
             held.append(values)
-        none = [pa.nulls(n, t) for t in (pa.string(), pa.int32(), pa.binary(), pa.float64())]
+        none = [pa.nulls(n, t) for t in (pa.string(), pa.int32(), pa.binary(), pa.float32())]
         yield pa.RecordBatch.from_arrays([rows.column("category"), rows.column("segment"), *none, *(rows.column(c) for c in KEY), pa.array(np.arange(self.size, self.size + n), pa.int32()), pa.array(sizes, pa.int32())], names=_NAMES)
         self.size += n
 
@@ -244,13 +245,13 @@ class _Segment:
         block = number >> BLOCK_BITS
         starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(term)) if len(starts) else starts
-        wide = 4 if len(times) and times.max() > 65_535 else 2
+        wide = 4 if len(times) and max(times.max(), size.max()) > 65_535 else 2
         for i in range(0, len(starts), 20_000):
             some = starts[i : i + 20_000]
             a, b, m = some[0], ends[min(i + 20_000, len(ends)) - 1], len(some)
             upto = ends[i : i + 20_000] - a
             columns = [pa.array([self.category] * m, pa.string()), pa.array(np.full(m, self.segment), pa.int64()), terms.take(pa.array(term[some])), pa.array(block[some], pa.int32())]
-            columns += [_packed(number[a:b] & ((1 << BLOCK_BITS) - 1), times[a:b], size[a:b], upto, wide), pa.array(np.maximum.reduceat(gain[a:b], some - a))]
+            columns += [_packed(number[a:b] & ((1 << BLOCK_BITS) - 1), times[a:b], size[a:b], upto, wide), pa.array(np.nextafter(np.maximum.reduceat(gain[a:b], some - a).astype(np.float32), np.float32(np.inf)))]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(m, t) for t in self.types), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=_NAMES)
 
 
@@ -288,7 +289,7 @@ def _postings(table: pa.Table):
     """By term: block numbers, bounds, starts and the postings in order; by question: its terms' weights and lengths."""
     postings, asks = {}, {}
     table = table.combine_chunks().sort_by([("term", "ascending"), ("block", "ascending")])
-    terms, bests, blocks = table["term"].to_pylist(), table["best"].to_numpy(), table["block"].to_numpy()
+    terms, bests, blocks = table["term"].to_pylist(), table["best"].to_numpy().astype(np.float64), table["block"].to_numpy()
     posts = [_unpacked(x) for x in table["posts"].to_pylist()]
     ends = np.concatenate(([0], np.cumsum([len(p) for p, _, _ in posts], dtype=np.int64)))
     numbers = np.concatenate([p.astype(np.int64) + (b << BLOCK_BITS) for (p, _, _), b in zip(posts, blocks.tolist())])

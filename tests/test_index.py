@@ -177,10 +177,23 @@ def test_packed_blocks():
     rng = np.random.default_rng(2)
     counts = rng.integers(1, 40, 50)
     ends = np.cumsum(counts)
-    places, sizes = rng.integers(0, 1024, ends[-1]), rng.integers(0, 2**32, ends[-1])
+    places = rng.integers(0, 1024, ends[-1])
     for width, most in ((2, 2**16), (4, 2**32)):
-        times = rng.integers(1, most, ends[-1])
+        times, sizes = rng.integers(1, most, ends[-1]), rng.integers(0, most, ends[-1])
         blobs = textindex._packed(places, times, sizes, ends, width).to_pylist()
         for a, b, blob in zip(ends - counts, ends, blobs):
             for got, want in zip(textindex._unpacked(blob), (places, times, sizes)):
                 assert got.tolist() == want[a:b].tolist()
+
+
+def test_long_texts_in_the_index(spark, tmp_path):
+    """More tokens, and more of one, than 16 bits hold."""
+    rows = [(1, 0, "a b " * 70_000, "x", "u", None), (2, 0, "a b", "x", "u", None), (3, 0, "a " * 10, "x", "u", None)]
+    docs = spark.createDataFrame(rows, CORPUS)
+    found = TextIndex(spark, str(tmp_path / "long"))
+    found.append(docs)
+    assert rows_of_three(found.topk(["a"], 3)) == rows_of_three(search.fulltext_topk(docs, ["a"], 3))
+
+
+def rows_of_three(df):
+    return rows(df, *KEYED)

@@ -38,8 +38,8 @@ columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
-from math import comb
+from functools import lru_cache, reduce
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,8 @@ MISS = 1e-6
 COUNT_BITS = 16
 #: Rows of ids, a few machine words each, that are broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Broadcasts of so many rows that one step makes at most, before texts are shuffled.
+BROADCASTS = 8
 #: Partners of one set that are compared with it in one task.
 SPREAD = 4_000
 
@@ -183,7 +185,7 @@ def _side_by_side(pairs: DataFrame, docs: DataFrame, s: Scratch) -> DataFrame:
     firsts = spread.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
     ends = s.table(ends.unionByName(firsts), f"ends-{len(s.made)}")
     texts = docs.select(F.col("doc_id").alias("node"), "text")
-    both = texts.join(_few(ends), "node").select("a", "part", "b", "text", F.xxhash64("text").alias("h"))
+    both = reduce(DataFrame.unionByName, (texts.join(few, "node") for few in _parts(ends, "node"))).select("a", "part", "b", "text", F.xxhash64("text").alias("h"))
     return both.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"), "h")
 
 
@@ -192,6 +194,12 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _parts(df: DataFrame, key: str) -> list[DataFrame]:
+    """A written table cut by ``key`` into parts of few rows, to be broadcast one by one; beyond ``BROADCASTS`` of them whole."""
+    n = max(1, ceil(df.count() / BROADCAST_ROWS))
+    return [F.broadcast(df.where(F.pmod(F.xxhash64(F.lit(47), key), F.lit(n)) == i)) for i in range(n)] if n <= BROADCASTS else [df]
+
+
 def _set_pairs(batches, width: int):
     """(a, b, set of a, set of b) of the rows of ``_side_by_side``; one set of an a is held at a time.
 
@@ -371,8 +379,10 @@ def one_per_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     out, s = _classed(docs, width, num, den)
     name, print_ = fresh("_name", docs), fresh("_print", docs)
     keyed = docs.withColumns({name: _name(docs), print_: F.xxhash64(F.lit(43), F.coalesce("text", F.lit("")))})
-    kept = out.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    keyed = keyed.join(kept, name, "left_semi")
+    # Those that go are named, as they are fewer: no text is shuffled for that.
+    gone = s.table(out.groupBy(F.col("doc_id").alias(name)).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays").select(name), "gone")
+    for few in _parts(gone, name):
+        keyed = keyed.join(few, name, "left_anti")
     again = s.table(keyed.groupBy(name, print_).agg(F.count("*").alias("n")).where("n > 1").select(name, print_), "again")
     if again.isEmpty():
         return keyed.drop(name, print_)

@@ -15,6 +15,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.workspace import tidied
+
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -41,8 +43,9 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write ``df`` and read it back; what was shuffled for it leaves the disk at once."""
+        with tidied(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, keep: tuple[str, ...] = ()) -> None:

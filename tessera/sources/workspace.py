@@ -43,6 +43,18 @@ def batches(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def tidied(spark: SparkSession):
+    """Shuffle files of what is written here are removed as soon as it is written; the session's setting comes back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Folder:
     """A folder of one caller, until ``release`` or the end of the program."""
 
@@ -52,7 +64,8 @@ class Folder:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: later plans start here."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        with tidied(self.spark):
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def release(self) -> None:

@@ -277,3 +277,18 @@ def test_codec_in_one_worker(spark, odd):
     both = {(r.doc_id, r.text): (r.piece_ids, r.lossless) for r in lattice_codec.coded(docs).collect()}
     apart = {(r.doc_id, r.text): (r.piece_ids, r.decoded == r.text) for r in lattice_codec.decode(lattice_codec.encode(docs)).collect()}
     assert both == apart
+
+
+def test_one_per_group_shuffles_no_text(spark, monkeypatch):
+    """However many documents stay or go, and however many broadcasts that takes."""
+    rows = [(i if i % 7 else None, " ".join(f"w{i % 30 if i % 3 else i}x{j}" for j in range(40)), i) for i in range(300)] + [(5, "another text of one name", 5), (5, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more long")
+    want = sorted(map(str, minhash_dedup.one_per_group(docs).select("doc_id", "text").collect()))
+    monkeypatch.setattr(minhash_dedup, "BROADCAST_ROWS", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = minhash_dedup.one_per_group(docs)
+        assert sorted(map(str, kept.select("doc_id", "text").collect())) == want and len(want) < 300
+        assert "SortMergeJoin" not in kept.where("doc_id > 10")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

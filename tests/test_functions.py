@@ -118,6 +118,14 @@ def test_clean_markdown(spark):
     assert one(spark, text.clean_markdown(F.col("t")), t="menu\na\nmenu\nb\nmenu\nhy-\nphen\n\n\n\nend​ ") == "a\nb\nhyphen\n\nend"
 
 
+def test_reference_without_its_semicolon_stays(spark):
+    page = "<title>a &amp b&amp</title><body><h1>a &amp b&amp</h1><p>c&lt</p>&amp;lt; &#65; &#65 &notit; &ouml;&constructor;</body>"
+    assert one(spark, html.page_title(F.col("h"), F.lit("u")), h=page) == html.site_title_text(page, "u") == "a &amp b&amp"
+    assert one(spark, html.page_text(F.col("h")), h=page) == "a &amp b&amp\nc&lt\n&lt; A &#65 &notit; \xf6&constructor;"
+    assert html.table_row_lines("<table><tr><td>R&D &amp x &lt; y</td></tr></table>") == ["R&D &amp x < y"]
+    assert html.json_row_lines('<script type="application/json">{"data": [["a & b", "c&amp d"]]}</script>') == ["a & b | c&amp d"]
+
+
 def test_html(spark):
     page = "<html><head><title> T &amp; U </title></head><body class='x'><nav>n</nav><p>one &lt; 2</p><!-- a > b --><script>x</script><p> two&nbsp;</p>3 < 4<br></body></html>"
     assert one(spark, html.page_text(F.col("h")), h=page) == "one < 2\ntwo\n3 < 4"

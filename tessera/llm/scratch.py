@@ -8,14 +8,12 @@ the session is local (as in tests) a local one is made.
 from __future__ import annotations
 
 import atexit
-import ctypes
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.workspace import tidied
+from tessera.sources.workspace import give_back, tidied
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -80,22 +78,6 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-_libc = None
-
-
-def give_back() -> None:
-    """Hand freed memory back to the system: Python workers are reused by whatever runs next."""
-    global _libc
-    pa.default_memory_pool().release_unused()
-    if _libc is None:
-        try:
-            _libc = ctypes.CDLL("libc.so.6")
-        except OSError:
-            _libc = False
-    if _libc:
-        _libc.malloc_trim(0)
-
-
 def lean(run):
     """A function over Arrow batches that gives back what it has freed when its task ends."""
 

@@ -3,8 +3,8 @@
 ``fulltext_topk`` reads every text for every question.  The index keeps, for each
 term, its postings; a question reads only the buckets of its terms.
 
-* Chunks are dealt into segments of one category (about ``SEGMENT`` chunks each)
-  and numbered within them in key order.
+* Chunks are dealt into segments of one category (about ``SEGMENT`` chunks or
+  ``SEGMENT_BYTES`` of text each) and numbered within them in key order.
 * A posting block is a row: term, segment, and for up to 2**``BLOCK_BITS``
   consecutive numbers the chunks that hold the term, how often, their lengths in
   tokens (packed arrays), and the block's best contribution to a score.  A
@@ -20,7 +20,8 @@ A question is answered segment by segment: blocks that cannot reach the k-th bes
 score found so far are left out, which the terms' block maxima tell without
 reading further; only each segment's best chunks are ranked together.  Scores and
 ties are those of ``fulltext_topk``.  Any number of questions share one scan; they
-are grouped by ``QUESTIONS`` so that no task holds more than that.
+are grouped by ``QUESTIONS`` so that no task holds more than that.  What is asked
+and which chunks are stale go to each segment once, beside the blocks.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ from .search import KEY
 
 BUCKETS = 32
 SEGMENT = 1 << 14
+SEGMENT_BYTES = 16 << 20
 BLOCK_BITS = 10
 QUESTIONS = 500
 #: Terms of all questions that are broadcast, at most.
@@ -78,7 +80,8 @@ class TextIndex:
         n = known[-1] + 1 if known else 0
         category = F.col("category").cast("string") if "category" in corpus.columns else F.lit(None).cast("string")
         rows = corpus.select(*KEY, category.alias("category"), "content")
-        counted = rows.groupBy("category").agg(F.ceil(F.count("*") / self.segment).alias("_parts")).withColumnRenamed("category", "_category")
+        parts = F.greatest(F.ceil(F.count("*") / self.segment), F.ceil(F.coalesce(F.sum(F.octet_length("content").cast("long")), F.lit(0)) / SEGMENT_BYTES))
+        counted = rows.groupBy("category").agg(parts.alias("_parts")).withColumnRenamed("category", "_category")
         dealt = rows.join(counted, F.col("category").eqNullSafe(F.col("_category")))
         dealt = dealt.withColumn("segment", F.xxhash64("category", F.pmod(F.xxhash64(*KEY), F.col("_parts")))).drop("_category", "_parts")
         # One shuffle of the texts; a segment's chunks then stand together in key order, equal keys side by side.
@@ -88,7 +91,7 @@ class TextIndex:
         built = counted.mapInArrow(_blocks_of_segments, f"{_ROW}, document_id {types['document_id']}, chunk_index {types['chunk_index']}, number int, size int")
         # Chunks go to a folder beside those of the buckets.
         placed = built.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(self._bucket()))
-        with workspace.batches(self.spark, 500):
+        with workspace.batches(self.spark, 500), workspace.tidied(self.spark):
             placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "segment", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/batch={n}")
 
         chunks = self._chunks([n])
@@ -97,7 +100,8 @@ class TextIndex:
             stale = older.join(chunks.select(*KEY), [older[c].eqNullSafe(chunks[c]) for c in KEY], "left_semi").select("of", "segment", "number")
         else:
             stale = self.spark.createDataFrame([], "of int, segment long, number int")
-        stale.write.mode("overwrite").parquet(f"{self.path}/stale/batch={n}")
+        with workspace.tidied(self.spark):
+            stale.write.mode("overwrite").parquet(f"{self.path}/stale/batch={n}")
         self.spark.range(1).select(F.lit(chunks.count()).cast("long").alias("chunks")).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={n}")
         return n
 
@@ -140,10 +144,15 @@ class TextIndex:
         of = of.groupBy("question_id", "term").agg(F.count("*").cast("int").alias("weight"), F.first("length").alias("length"), F.first("distinct").alias("distinct"))
         group = F.pmod(F.xxhash64("question_id"), F.lit(max(1, math.ceil(asked.count() / QUESTIONS)))).cast("int")
         wanted = of.groupBy("term", group.alias("questions")).agg(F.collect_list(F.struct("question_id", "weight", "length", "distinct")).alias("asks"))
-        wanted = F.broadcast(wanted) if wanted.count() <= SENT_TERMS else wanted
-        blocks = self.postings(wanted, category).select("questions", "batch", "segment", "term", "block", "posts", "best", "asks")
+        few = wanted.count() <= SENT_TERMS
+        names = wanted.select("term", "questions")
+        blocks = self.postings(F.broadcast(names) if few else names, category).select("questions", "batch", "segment", "term", "block", "posts", "best")
+        segments = self._chunks().select("batch", "segment", "category").distinct()
+        segments = (segments if category is None else segments.where(F.col("category") == category)).drop("category")
         gone = self._table("stale", "of int, segment long, number int, batch int").groupBy(F.col("of").alias("batch"), "segment").agg(F.collect_set("number").alias("gone"))
-        rows = blocks.join(gone, ["batch", "segment"], "left")
+        # A segment's blocks, and beside them, once, what is asked and which of its chunks are stale.
+        rows = blocks.unionByName(F.broadcast(segments).crossJoin(wanted), allowMissingColumns=True)
+        rows = rows.unionByName(gone.crossJoin(F.broadcast(wanted.select("questions").distinct())), allowMissingColumns=True)
         found = rows.groupBy("questions", "batch", "segment").applyInArrow(_segment_search(k, every), "question_id long, batch int, segment long, number int, score double")
         keyed = found.join(self._chunks().select("batch", "segment", "number", *KEY), ["batch", "segment", "number"]).withColumn("score", F.round("score", 6))
         place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), *KEY))
@@ -194,7 +203,7 @@ def _blocks_of_segments(batches):
             yield from now.add(batch.slice(a, b - a))
     if now is not None:
         yield from now.blocks()
-    pa.default_memory_pool().release_unused()
+    workspace.give_back()
 
 
 class _Segment:
@@ -234,24 +243,25 @@ class _Segment:
         every = (every.combine_chunks() if isinstance(every, pa.ChunkedArray) else every).dictionary_encode()
         terms, known = every.dictionary, every.indices.to_numpy(zero_copy_only=False)
         shift = np.cumsum([0, *(len(t) for t in self.terms)])
-        term = np.concatenate([known[c + o] for c, o in zip(self.codes, shift)])
-        number, times, sizes = (np.concatenate(x) for x in (self.numbers, self.times, self.sizes))
-        self.codes = self.numbers = self.times = self.terms = None
+        term = np.concatenate([known[c + o] for c, o in zip(self.codes, shift)]) if self.codes else np.zeros(0, np.int32)
         # Batches come in order, so a stable sort by term keeps the numbers in order.
-        order = np.argsort(term, kind="stable")
-        term, number, times = term[order], number[order], times[order]
-        size = sizes[number]
-        gain = (1 - 1 / (1 + times)) / (1 + np.log(np.maximum(size, 1)))
-        block = number >> BLOCK_BITS
-        starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        term, self.codes, known, every = term[order], None, None, None
+        number = np.concatenate(self.numbers)[order]
+        self.numbers = None
+        times = np.concatenate(self.times)[order]
+        self.times, order, sizes = None, None, np.concatenate(self.sizes)
+        starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (number[1:] >> BLOCK_BITS != number[:-1] >> BLOCK_BITS))) if len(term) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(term)) if len(starts) else starts
-        wide = 4 if len(times) and max(times.max(), size.max()) > 65_535 else 2
+        wide = 4 if len(times) and max(times.max(), sizes.max()) > 65_535 else 2
         for i in range(0, len(starts), 20_000):
             some = starts[i : i + 20_000]
             a, b, m = some[0], ends[min(i + 20_000, len(ends)) - 1], len(some)
             upto = ends[i : i + 20_000] - a
-            columns = [pa.array([self.category] * m, pa.string()), pa.array(np.full(m, self.segment), pa.int64()), terms.take(pa.array(term[some])), pa.array(block[some], pa.int32())]
-            columns += [_packed(number[a:b] & ((1 << BLOCK_BITS) - 1), times[a:b], size[a:b], upto, wide), pa.array(np.nextafter(np.maximum.reduceat(gain[a:b], some - a).astype(np.float32), np.float32(np.inf)))]
+            size = sizes[number[a:b]]
+            gain = (1 - 1 / (1 + times[a:b])) / (1 + np.log(np.maximum(size, 1)))
+            columns = [pa.array([self.category] * m, pa.string()), pa.array(np.full(m, self.segment), pa.int64()), terms.take(pa.array(term[some])), pa.array(number[some] >> BLOCK_BITS, pa.int32())]
+            columns += [_packed(number[a:b] & ((1 << BLOCK_BITS) - 1), times[a:b], size, upto, wide), pa.array(np.nextafter(np.maximum.reduceat(gain, some - a).astype(np.float32), np.float32(np.inf)))]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(m, t) for t in self.types), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=_NAMES)
 
 
@@ -266,7 +276,8 @@ def _segment_search(k: int, every: bool):
 
     def run(table: pa.Table) -> pa.Table:
         batch, segment = table["batch"][0].as_py(), table["segment"][0].as_py()
-        gone = np.array(table["gone"][0].as_py() or [], np.int64)
+        gone = table["gone"].drop_null()
+        gone = np.asarray(gone[0].values).astype(np.int64) if len(gone) else np.zeros(0, np.int64)
         postings, asks = _postings(table)
         out: dict[str, list] = {"question_id": [], "number": [], "score": []}
         for question, terms in asks.items():
@@ -288,6 +299,10 @@ def _segment_search(k: int, every: bool):
 def _postings(table: pa.Table):
     """By term: block numbers, bounds, starts and the postings in order; by question: its terms' weights and lengths."""
     postings, asks = {}, {}
+    asked = table.filter(table["asks"].is_valid()).select(["term", "asks"])
+    table = table.filter(table["posts"].is_valid()).drop_columns(["asks", "gone"])
+    if not len(table):
+        return postings, asks
     table = table.combine_chunks().sort_by([("term", "ascending"), ("block", "ascending")])
     terms, bests, blocks = table["term"].to_pylist(), table["best"].to_numpy().astype(np.float64), table["block"].to_numpy()
     posts = [_unpacked(x) for x in table["posts"].to_pylist()]
@@ -299,9 +314,10 @@ def _postings(table: pa.Table):
     for a, b in zip(cuts, cuts[1:]):
         span = slice(ends[a], ends[b])
         postings[terms[a]] = blocks[a:b], bests[a:b], ends[a : b + 1] - ends[a], numbers[span], gain[span]
-        for x in table["asks"][a].as_py():
+    for term, asking in zip(asked["term"].to_pylist(), asked["asks"]):
+        for x in asking.as_py() if term in postings else ():
             mine = asks.setdefault(x["question_id"], {None: (x["length"], x["distinct"])})
-            mine[terms[a]] = x["weight"]
+            mine[term] = x["weight"]
     return postings, asks
 
 

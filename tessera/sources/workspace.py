@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,6 +57,22 @@ def tidied(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+_libc = None
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers are reused by whatever runs next."""
+    global _libc
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+        except OSError:
+            _libc = False
+    if _libc:
+        _libc.malloc_trim(0)
+
+
 class Folder:
     """A folder of one caller, until ``release`` or the end of the program."""
 

@@ -81,7 +81,11 @@ class TextIndex:
         category = F.col("category").cast("string") if "category" in corpus.columns else F.lit(None).cast("string")
         rows = corpus.select(*KEY, category.alias("category"), "content")
         parts = F.greatest(F.ceil(F.count("*") / self.segment), F.ceil(F.coalesce(F.sum(F.octet_length("content").cast("long")), F.lit(0)) / SEGMENT_BYTES))
-        counted = rows.groupBy("category").agg(parts.alias("_parts")).withColumnRenamed("category", "_category")
+        with workspace.tidied(self.spark):
+            rows.groupBy(F.col("category").alias("_category")).agg(parts.alias("_parts")).write.mode("overwrite").parquet(f"{self.path}/parts/batch={n}")
+        counted = self.spark.read.schema("_category string, _parts long").parquet(f"{self.path}/parts/batch={n}")
+        # A join by category would send a category's texts to one task.
+        counted = F.broadcast(counted) if counted.count() <= SENT_TERMS else counted
         dealt = rows.join(counted, F.col("category").eqNullSafe(F.col("_category")))
         dealt = dealt.withColumn("segment", F.xxhash64("category", F.pmod(F.xxhash64(*KEY), F.col("_parts")))).drop("_category", "_parts")
         # One shuffle of the texts; a segment's chunks then stand together in key order, equal keys side by side.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import batchsearch, search
+from tessera.operators import batchsearch, search, textindex
 from tessera.operators.textindex import TextIndex
 from tessera.sources import tables
 
@@ -197,3 +197,20 @@ def test_long_texts_in_the_index(spark, tmp_path):
 
 def rows_of_three(df):
     return rows(df, *KEYED)
+
+
+def test_what_is_asked_goes_to_a_segment_once(spark, tmp_path, monkeypatch):
+    """Neither the questions nor the stale chunks travel with every block, and segments are bounded in bytes."""
+    monkeypatch.setattr(textindex, "SEGMENT_BYTES", 500)
+    docs = spark.range(400).selectExpr("CAST(id AS string) document_id", "0 chunk_index", "concat('a b w', id % 7, ' v', id % 50) content", "CAST(id % 2 AS string) category")
+    index = TextIndex(spark, str(tmp_path))
+    index.append(docs)
+    index.append(docs.where("document_id % 3 = 0"))
+    assert index._chunks([0]).select("segment").distinct().count() > 2
+    seen = []
+    search = textindex._segment_search
+    monkeypatch.setattr(textindex, "_segment_search", lambda *a: seen.append(a) or search(*a))
+    asked = spark.createDataFrame([(i, ["a", f"w{i % 7}", "b"]) for i in range(60)], "question_id long, terms array<string>")
+    found = index.search(asked, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and seen and found.groupBy("question_id").count().where("count = 5").count() == 60

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.workspace import give_back, small_batches
+
 from .text import detect_strategy
 
 MIN, MAX, SIMILARITY = 150, 1200, 0.75
@@ -233,13 +235,17 @@ def chunked(text: Column, strategy: str | Column = "auto", least: int = MIN, mos
         def one(t, name):
             return semantic(t, embed, threshold, least, most) if name == "semantic" and embed else STRATEGIES.get(name, by_sentence)(t, least, most)
 
-        return pa.array([None if t is None else one(t, n) for t, n in zip(texts.to_pylist(), names.to_pylist())], pa.list_(pa.string()))
+        out = pa.array([one(t.as_py(), n.as_py()) if t.is_valid else None for t, n in zip(texts, names)], pa.list_(pa.string()))
+        give_back()
+        return out
 
     return run(text, strategy)
 
 
 def explode_chunks(docs: DataFrame, chunks: Column, min_chars: int = 0) -> DataFrame:
     """A row per chunk with chunk_index; chunks under ``min_chars`` characters go, and leave a gap in the index."""
+    # Texts and their chunks stand side by side in a worker, so a batch holds few of them.
+    small_batches(docs.sparkSession, 500, 8 << 20)
     out = docs.select("*", F.posexplode(chunks).alias("chunk_index", "chunk"))
     return out.where(F.char_length(F.trim("chunk")) >= min_chars) if min_chars else out
 

@@ -27,9 +27,22 @@ ACRONYMS = {
 }
 
 
+_FOLDED = str.maketrans("\u017f\u0131\u0130", "sii")
+
+
+def _words(text: str) -> list[str]:
+    """The text's words, in lower case as matching without case sees them."""
+    return re.findall(r"\w+", text.translate(_FOLDED).lower())
+
+
 def expand_text(text: str, most: int = 2, acronyms: dict[str, str] = ACRONYMS) -> str:
     """Put the meaning before the first ``most`` stand-alone uses of each acronym that has no bracket behind it, in the use's case."""
+    held = set(_words(text))
     for short, meaning in acronyms.items():
+        # Most acronyms are not in a text, nor put in by the meaning of another.
+        if re.fullmatch(r"\w+", short) and short.lower() not in held:
+            continue
+        held.update(_words(meaning))
 
         def spell(m: re.Match, meaning=meaning) -> str:
             use = m[0]

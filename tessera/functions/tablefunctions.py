@@ -17,6 +17,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.workspace import small_batches
+
 from .chunking import STRATEGIES, by_sentence
 from .text import detect_strategy
 
@@ -45,13 +47,15 @@ def _function(kind: type):
 
 
 def register(spark: SparkSession) -> None:
-    """chunks and chunks_after for SQL."""
+    """chunks and chunks_after for SQL; batches are kept small, as each row's chunks are a table of their own in a worker."""
+    small_batches(spark, 500, 8 << 20)
     spark.udtf.register("chunks", _function(Chunks))
     spark.udtf.register("chunks_after", _function(ChunksAfter))
 
 
 def lateral_chunks(docs: DataFrame, text: str = "text", strategy: str | None = None) -> DataFrame:
     """docs with a row for each chunk; the strategy is that of each text unless one is named."""
+    small_batches(docs.sparkSession, 500, 8 << 20)
     name = detect_strategy(F.col(text)) if strategy is None else F.lit(strategy)
     named = docs.withColumn("_strategy", name)
     made = _function(Chunks)(F.col(text).outer(), F.col("_strategy").outer())

@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.workspace import give_back, tidied
+from tessera.sources.workspace import give_back, small_batches, tidied
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -69,15 +69,6 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep the batches sent to Python bounded in bytes as well as in rows; smaller bounds of the session stay."""
-    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 32 << 20)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key) or "0"
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 def lean(run):
     """A function over Arrow batches that gives back what it has freed when its task ends."""
 

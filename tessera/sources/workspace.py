@@ -45,6 +45,15 @@ def batches(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 32 << 20) -> None:
+    """Keep the batches sent to Python bounded in bytes as well as in rows; smaller bounds of the session stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key) or "0"
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 @contextmanager
 def tidied(spark: SparkSession):
     """Shuffle files of what is written here are removed as soon as it is written; the session's setting comes back."""

@@ -1,10 +1,12 @@
 """Hand-derived cases of the text, URL, HTML, enrichment and chunking functions."""
 
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import chunking, enrich, html, prompts, text, urls, vectors
+from tessera.functions import chunking, enrich, html, prompts, tablefunctions, text, urls, vectors
 
 
 def one(spark, column, **values):
@@ -189,3 +191,32 @@ def test_chunks_keep_content(body):
         assert all(len(c) <= 121 for c in got)
         assert len(squeezed(body)) - len(squeezed("".join(got))) < 40 * (1 + len(body) // 40) and all(squeezed(c) in squeezed(body) for c in got)
     assert squeezed("".join(chunking.fixed(body, 30))) == squeezed(body)
+
+
+def test_acronyms_absent_from_a_text_are_not_searched(monkeypatch):
+    """The same as searching for each of them, also where case folds to other letters or a meaning brings one in."""
+    known = enrich.ACRONYMS | {"Akhir": "the end", "A.B": "a b", "SKS": "s"}
+
+    def plainly(text):
+        for short, meaning in known.items():
+            text = re.sub(rf"(?i)\b{re.escape(short)}\b(?!\s*[(\[])", lambda m, meaning=meaning: f"{meaning if m[0].isupper() else meaning.capitalize() if m[0][0].isupper() else meaning.lower()} ({m[0]})", text, count=2)
+        return text
+
+    for t in ("", "none here", "TA ta Ta TA", "\u017f\u212a\u017f S\u212aS s\u0131 \u0130p ip_ IP. a.b A.B", "sks-ai iot(IoT) IoT [x] x\nAPI akhir"):
+        assert enrich.expand_text(t, acronyms=known) == plainly(t)
+    searched = []
+    sub = re.sub
+    monkeypatch.setattr(enrich.re, "sub", lambda p, *a, **k: searched.append(p) or sub(p, *a, **k))
+    assert enrich.expand_text("plain words and an api") == "plain words and an application programming interface (api)" and len(searched) == 1
+
+
+def test_chunkers_get_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for made in (lambda d: chunking.explode_chunks(d, chunking.chunked(F.col("text"), "fixed")), lambda d: tablefunctions.lateral_chunks(d, strategy="fixed"), lambda d: tablefunctions.register(spark)):
+            spark.conf.set(key, "10000")
+            made(spark.createDataFrame([("a b",), (None,)], "text string"))
+            assert int(spark.conf.get(key)) <= 500
+    finally:
+        spark.conf.set(key, before)

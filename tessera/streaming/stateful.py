@@ -1,8 +1,10 @@
 """Streams that keep typed state for a key and let it expire: quotas, limiters, chat sessions, retention.
 
-Each processor keeps value, list or map state in the state store; timers on event
+Each processor keeps list or map state in the state store; timers on event
 time clear what is no longer needed, so a store holds the keys of the recent past
-and not of all time.  Where the order of events matters,
+and not of all time.  Keys share a fixed number of buckets, each of which reads
+and writes its state in a few calls a batch, however many keys it has: a call for
+each key would cost more than all the rest.  Where the order of events matters,
 they wait in state until the watermark has passed them and are then judged in
 order, so results don't depend on the order in which files arrive, as long as no
 event is later than the watermark's delay; events that are later are dropped.
@@ -10,7 +12,7 @@ event is later than the watermark's delay; events that are later are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -19,11 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
+_PARTS = "spark.sql.shuffle.partitions"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Buckets of keys, and the rows that go into one entry of a bucket's state and into one file of a stream.
+BUCKETS, _CHUNK, _FILE = 512, 10_000, 200_000
+
+
 class _Due:
-    """One timer of a key, moved as the earliest thing it waits for changes."""
+    """One timer of a key or bucket, moved as the earliest thing it waits for changes."""
 
     def __init__(self, handle: StatefulProcessorHandle):
         self.handle = handle
@@ -37,6 +44,55 @@ class _Due:
         if ms is not None:
             self.handle.registerTimer(ms)
 
+    def soonest(self, ms: int) -> None:
+        """Not later than this."""
+        due = list(self.handle.listTimers())
+        if not due or ms < min(due):
+            self.at(ms)
+
+
+class _Rows:
+    """A bucket's rows in list state, packed by column: an entry holds many rows."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, columns: str):
+        kinds = [c.split() for c in columns.split(", ")]
+        self.names = [c for c, _ in kinds]
+        self.state = handle.getListState(name, ", ".join(f"{c} array<{kind}>" for c, kind in kinds))
+
+    def _packed(self, columns: Iterable) -> list[tuple]:
+        lists = [list(c) for c in columns]
+        return [tuple(c[i : i + _CHUNK] for c in lists) for i in range(0, len(lists[0]), _CHUNK)]
+
+    def add(self, *columns) -> None:
+        if chunks := self._packed(columns):
+            self.state.appendList(chunks)
+
+    def put(self, *columns) -> None:
+        if chunks := self._packed(columns):
+            self.state.put(chunks)
+        else:
+            self.state.clear()
+
+    def get(self) -> list[list]:
+        """The columns."""
+        columns: list[list] = [[] for _ in self.names]
+        for chunk in self.state.get():
+            for column, more in zip(columns, chunk):
+                column += more
+        return columns
+
+
+class _Bucketed(StatefulProcessor):
+    """Takes the rows of a bucket of keys, of which it reads COLUMNS; rows without a key only move the watermark."""
+
+    COLUMNS: tuple[str, ...] = ()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        keyed = (part[part["key"].notna()] for part in rows)
+        yield from self.take((part for part in keyed if len(part)), timerValues)
+
+    def close(self) -> None: ...
+
 
 class _Keyed(StatefulProcessor):
     """Rows without a key only move the watermark."""
@@ -79,64 +135,62 @@ class Quota(_Keyed):
         yield from ()
 
 
-class Limiter(_Keyed):
+class Limiter(_Bucketed):
     """key, us, blocked of each attempt (us: its time in microseconds, ok): after ``most`` failures within ``minutes`` of the first, until they are over; a success starts anew.
 
     Attempts of one time are judged failures first.
     """
 
     SCHEMA = "key string, us long, blocked boolean"
+    COLUMNS = ("us", "ok")
 
     def __init__(self, minutes: int = 15, most: int = 5):
         self.length, self.most = minutes * 60_000_000, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getListState("waiting", "us long, ok boolean")
-        self.window = handle.getValueState("window", "count int, start long")
+        self.waiting = _Rows(handle, "waiting", "key string, us long, ok boolean")
+        self.windows = _Rows(handle, "windows", "key string, count int, start long")
         self.due = _Due(handle)
 
-    def take(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        new = [(int(us), bool(ok)) for part in rows for us, ok in zip(part["us"], part["ok"]) if us // 1000 >= passed]
-        if new:
-            self.waiting.appendList(new)
-            self._wait(passed)
+    def take(self, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed, first = timerValues.getCurrentWatermarkInMs(), None
+        for part in rows:
+            part = part[part["us"] // 1000 >= passed]
+            if len(part):
+                us = part["us"].astype("int64")
+                self.waiting.add(part["key"], us.tolist(), part["ok"].eq(True).tolist())
+                first = int(us.min()) if first is None else min(first, int(us.min()))
+        if first is not None:
+            self.due.soonest(max(first // 1000, passed) + 1)
         yield from ()
 
-    def _held(self) -> list[tuple[int, bool]]:
-        return [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-
-    def _wait(self, passed: int) -> None:
-        """Wake up for the first attempt that waits, else when the window is over."""
-        times = [us // 1000 for us, _ in self._held()]
-        over = (self.window.get()[1] + self.length) // 1000 + 1 if self.window.exists() else None
-        self.due.at(max(min(times), passed) + 1 if times else over)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = self._held()
-        ripe, left = sorted(x for x in held if x[0] // 1000 < passed), [x for x in held if x[0] // 1000 >= passed]
-        count, start = self.window.get() if self.window.exists() else (0, 0)
-        out = []
-        for us, ok in ripe:
+        held = list(zip(*self.waiting.get()))
+        ripe, left = sorted(x for x in held if x[1] // 1000 < passed), [x for x in held if x[1] // 1000 >= passed]
+        windows = {k: (count, start) for k, count, start in zip(*self.windows.get())}
+        blocks = []
+        for k, us, ok in ripe:
+            count, start = windows.get(k, (0, 0))
             if count == 0 or us - start >= self.length:
                 count, start = 0, us
             blocked = count >= self.most
             if not blocked:
                 count = 0 if ok else count + 1
-            out.append((key[0], us, blocked))
-        if left:
-            self.waiting.put(left)
-        elif held:
-            self.waiting.clear()
+            windows[k] = count, start
+            blocks.append(blocked)
+        if ripe:
+            self.waiting.put(*zip(*left)) if left else self.waiting.put([])
         # A window that the watermark has passed says nothing about later attempts.
-        if count == 0 or (start + self.length) // 1000 < passed:
-            self.window.clear()
+        windows = {k: (count, start) for k, (count, start) in windows.items() if count and (start + self.length) // 1000 >= passed}
+        self.windows.put(windows, (count for count, _ in windows.values()), (start for _, start in windows.values()))
+        # Wake up for the first attempt that waits, else when a window is over.
+        if left:
+            self.due.at(max(min(us for _, us, _ in left) // 1000, passed) + 1)
         else:
-            self.window.update((count, start))
-        self._wait(passed)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "us", "blocked"])
+            self.due.at(min((start + self.length) // 1000 for _, start in windows.values()) + 1 if windows else None)
+        if ripe:
+            yield pd.DataFrame({"key": [k for k, _, _ in ripe], "us": [us for _, us, _ in ripe], "blocked": blocks})
 
 
 class Sessions(_Keyed):
@@ -213,22 +267,30 @@ class Retention(_Keyed):
 
 def stateful(stream: DataFrame, key: str, processor: StatefulProcessor, late: str | None = None) -> DataFrame:
     """A processor's rows for each key; with ``late`` on event time (column at), else without time."""
-    rows = stream.withColumn("key", F.col(key).cast("string"))
+    rows, group = stream.withColumn("key", F.col(key).cast("string")), "key"
     if late is not None:
         # Python gets times as numbers, whatever the session's time zone.
         rows = rows.withWatermark("at", late).withColumn("us", F.unix_micros("at"))
-    return rows.groupBy("key").transformWithStateInPandas(processor, processor.SCHEMA, "append", "none" if late is None else "eventTime")
+    if isinstance(processor, _Bucketed):
+        group = "bucket"
+        rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias(group), "key", *processor.COLUMNS, *([] if late is None else ["at"]))
+    return rows.groupBy(group).transformWithStateInPandas(processor, processor.SCHEMA, "append", "none" if late is None else "eventTime")
 
 
 @contextmanager
 def state_store(spark: SparkSession):
-    """Queries started here keep their state in a store that holds it on disk; the session's setting comes back."""
-    before = spark.conf.get(_STORE)
+    """Queries started here keep their state in a store that holds it on disk, two partitions a core at most; the session's settings come back.
+
+    Each partition opens and commits its store in every batch, whatever it holds.
+    """
+    before, parts = spark.conf.get(_STORE), spark.conf.get(_PARTS)
     spark.conf.set(_STORE, _ROCKS)
+    spark.conf.set(_PARTS, str(min(int(parts), 2 * spark.sparkContext.defaultParallelism)))
     try:
         yield
     finally:
         spark.conf.set(_STORE, before)
+        spark.conf.set(_PARTS, parts)
 
 
 def written(stream: DataFrame, folder: str, progress: list | None = None) -> DataFrame:
@@ -249,15 +311,20 @@ def written(stream: DataFrame, folder: str, progress: list | None = None) -> Dat
 
 
 def filed(df: DataFrame, folder: str, number, end=None) -> DataFrame:
-    """A stream of a table's rows, a file for each value of ``number`` (a few, in order), rows shuffled inside.
+    """A stream of a table's rows, a batch for each value of ``number`` (a few, in order), rows shuffled inside.
 
+    A batch has as many files as the largest needs, empty ones among them, so that each takes those of its number alone.
     ``end``: a last row without a key whose time moves the watermark past everything.
     """
     spark = df.sparkSession
     rows = df.withColumn("_file", number)
-    for r in rows.select("_file").distinct().orderBy("_file").collect():
-        rows.where(F.col("_file") == r[0]).drop("_file").orderBy(F.rand(7)).coalesce(1).write.mode("append").parquet(folder)
+    sizes = sorted(((r[0], r[1]) for r in rows.groupBy("_file").count().collect()), key=lambda r: (r[0] is not None, r[0]))
+    files = max([1, *(-(-n // _FILE) for _, n in sizes)])
+    for i, (file, _) in enumerate(sizes, 1):
+        rows.where(F.col("_file").eqNullSafe(F.lit(file))).drop("_file").repartition(files).sortWithinPartitions(F.rand(7)).write.mode("append").parquet(folder)
+        for _ in range(i * files - len(spark.read.schema(df.schema).parquet(folder).inputFiles()) if files > 1 else 0):
+            spark.range(0).select(*(F.lit(None).cast(t).alias(c) for c, t in df.dtypes)).coalesce(1).write.mode("append").parquet(folder)
     if end is not None:
         last = spark.range(1).select(*(F.lit(end).cast("timestamp").alias(c) if c == "at" else F.lit(None).cast(t).alias(c) for c, t in df.dtypes))
         last.write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)

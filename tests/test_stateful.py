@@ -87,3 +87,38 @@ def test_setting_of_the_store_comes_back(spark):
     with stateful.state_store(spark):
         assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_limiter_keeps_many_keys_in_few_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 8)
+    monkeypatch.setattr(stateful, "_CHUNK", 100)
+    rng = random.Random(2)
+    rows = [(f"k{rng.randrange(300)}", START + timedelta(seconds=rng.randrange(0, 3 * 3600)), rng.random() < 0.2) for _ in range(2000)] + [(None, START, True), ("k1", None, True)]
+    got, progress = ran(spark, tmp_path, rows, "key string, at timestamp, ok boolean", F.floor(F.rand(2) * 3), "key", stateful.Limiter(60, 2), "4 hours", START + timedelta(days=2))
+    times = sorted((k, START + timedelta(microseconds=us - int((START - datetime(1970, 1, 1)).total_seconds() * 1e6)), b) for k, us, b in got)
+    assert times == brute_limit([r for r in rows if None not in r], 60, 2)
+    # Of each bucket, a few entries in two lists; a state of its own for each key would be 300 at least.
+    assert 0 < max(progress) < 150 and progress[-1] < max(progress)
+
+
+def test_a_large_batch_is_several_files_and_no_batch_takes_rows_of_the_next(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "_FILE", 50)
+    sizes = {0: 200, 1: 3, 2: 120, None: 7}
+    rows = [(n, i) for n, size in sizes.items() for i in range(size)]
+    stream = stateful.filed(spark.createDataFrame(rows, "n int, i int"), f"{tmp_path}/in", F.col("n"))
+    files = spark.read.schema("n int, i int").parquet(f"{tmp_path}/in").groupBy(F.input_file_name()).count().collect()
+    assert max(r[1] for r in files) <= 60 and len(files) >= 8
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p.numInputRows for p in query.recentProgress if p.numInputRows] == [7, 200, 3, 120]
+
+
+def test_state_has_no_more_partitions_than_cores_can_use(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        with stateful.state_store(spark):
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) <= 2 * spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "600"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -104,34 +104,47 @@ class _Keyed(StatefulProcessor):
     def close(self) -> None: ...
 
 
-class Quota(_Keyed):
+class Quota(_Bucketed):
     """key, ask_count, allowed of each ask: the first ``most`` are allowed; with ``minutes`` a key that has not asked for so long (in event time) is forgotten."""
 
     SCHEMA = "key string, ask_count int, allowed boolean"
 
     def __init__(self, most: int = 5, minutes: int | None = None):
         self.most, self.idle = most, minutes and minutes * 60_000
+        self.COLUMNS = ("us",) if self.idle else ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n int, last long")
+        self.counts = _Rows(handle, "counts", "key string, n int, last long")
         self.due = _Due(handle)
 
-    def take(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, last = self.count.get() if self.count.exists() else (0, 0)
-        for part in rows:
+    def _put(self, known: dict[str, tuple[int, int]], passed: int) -> None:
+        self.counts.put(known, (n for n, _ in known.values()), (last for _, last in known.values()))
+        if self.idle:
+            self.due.at(max(min(last for _, last in known.values()) + self.idle, passed + 1) if known else None)
+
+    def _known(self) -> dict[str, tuple[int, int]]:
+        return {k: (n, last) for k, n, last in zip(*self.counts.get())}
+
+    def take(self, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = None
+        # A key's asks go by their time, so those of a batch are taken together; without time they come as they are.
+        parts = [pd.concat(found).sort_values("us", kind="stable")] if self.idle and (found := list(rows)) else rows
+        for part in parts:
+            known = self._known() if known is None else known
             counts = []
-            for ms in sorted(int(us) // 1000 for us in part["us"]) if self.idle else [0] * len(part):
+            for key, ms in zip(part["key"], part["us"] // 1000 if self.idle else [0] * len(part)):
+                n, last = known.get(key, (0, 0))
                 # The timer may not have come yet when the key asks again.
                 n = 1 if self.idle and ms - last >= self.idle else n + 1
-                last = max(last, ms)
+                known[key] = n, max(last, int(ms))
                 counts.append(n)
-            yield pd.DataFrame({"key": key[0], "ask_count": counts, "allowed": [c <= self.most for c in counts]})
-        self.count.update((n, last))
-        if self.idle:
-            self.due.at(max(last + self.idle, timerValues.getCurrentWatermarkInMs() + 1))
+            yield pd.DataFrame({"key": part["key"].to_numpy(), "ask_count": counts, "allowed": [c <= self.most for c in counts]})
+        if known is not None:
+            self._put(known, timerValues.getCurrentWatermarkInMs() if self.idle else 0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.count.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        self._put({k: (n, last) for k, (n, last) in self._known().items() if last + self.idle > passed}, passed)
         yield from ()
 
 

@@ -101,6 +101,27 @@ def test_limiter_keeps_many_keys_in_few_buckets(spark, tmp_path, monkeypatch):
     assert 0 < max(progress) < 150 and progress[-1] < max(progress)
 
 
+def test_quota_keeps_many_keys_in_few_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 8)
+    rows = [(f"g{i % 300}",) for i in range(1000)] + [(None,)]
+    got, progress = ran(spark, tmp_path, rows, "guest string", F.floor(F.rand(1) * 4), "guest", stateful.Quota(2), None)
+    want = [(f"g{g}", n, n <= 2) for g in range(300) for n in range(1, sum(i % 300 == g for i in range(1000)) + 1)]
+    assert sorted(got) == sorted(want)
+    assert 0 < max(progress) <= 8
+
+
+def test_quota_takes_a_batch_in_order_of_time(spark, tmp_path):
+    """A batch comes in parts of so many rows; an ask of a later part may be an earlier one."""
+    at = [START + timedelta(minutes=m) for m in (0, 1, 2, 200, 201, 400)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got, _ = ran(spark, tmp_path, [("g", t) for t in at], "guest string, at timestamp", F.lit(0), "guest", stateful.Quota(2, 60), "1 day", START + timedelta(days=9))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(n for _, n, _ in got) == [1, 1, 1, 2, 2, 3]
+
+
 def test_a_large_batch_is_several_files_and_no_batch_takes_rows_of_the_next(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stateful, "_FILE", 50)
     sizes = {0: 200, 1: 3, 2: 120, None: 7}

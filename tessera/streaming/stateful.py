@@ -1,6 +1,6 @@
 """Streams that keep typed state for a key and let it expire: quotas, limiters, chat sessions, retention.
 
-Each processor keeps list or map state in the state store; timers on event
+Each processor keeps list state in the state store; timers on event
 time clear what is no longer needed, so a store holds the keys of the recent past
 and not of all time.  Keys share a fixed number of buckets, each of which reads
 and writes its state in a few calls a batch, however many keys it has: a call for
@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,7 +30,7 @@ BUCKETS, _CHUNK, _FILE = 512, 10_000, 200_000
 
 
 class _Due:
-    """One timer of a key or bucket, moved as the earliest thing it waits for changes."""
+    """One timer of a bucket, moved as the earliest thing it waits for changes."""
 
     def __init__(self, handle: StatefulProcessorHandle):
         self.handle = handle
@@ -54,14 +54,15 @@ class _Due:
 class _Rows:
     """A bucket's rows in list state, packed by column: an entry holds many rows."""
 
-    def __init__(self, handle: StatefulProcessorHandle, name: str, columns: str):
+    def __init__(self, handle: StatefulProcessorHandle, name: str, columns: str, chunk: int | None = None):
+        self.chunk = chunk or _CHUNK
         kinds = [c.split() for c in columns.split(", ")]
         self.names = [c for c, _ in kinds]
         self.state = handle.getListState(name, ", ".join(f"{c} array<{kind}>" for c, kind in kinds))
 
     def _packed(self, columns: Iterable) -> list[tuple]:
         lists = [list(c) for c in columns]
-        return [tuple(c[i : i + _CHUNK] for c in lists) for i in range(0, len(lists[0]), _CHUNK)]
+        return [tuple(c[i : i + self.chunk] for c in lists) for i in range(0, len(lists[0]), self.chunk)]
 
     def add(self, *columns) -> None:
         if chunks := self._packed(columns):
@@ -91,15 +92,9 @@ class _Bucketed(StatefulProcessor):
         keyed = (part[part["key"].notna()] for part in rows)
         yield from self.take((part for part in keyed if len(part)), timerValues)
 
-    def close(self) -> None: ...
-
-
-class _Keyed(StatefulProcessor):
-    """Rows without a key only move the watermark."""
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] is not None:
-            yield from self.take(key, rows, timerValues)
+    def spread(self) -> Column:
+        """What decides a row's bucket: all rows that belong together must have it in common."""
+        return F.xxhash64("key")
 
     def close(self) -> None: ...
 
@@ -193,7 +188,7 @@ class Limiter(_Bucketed):
             windows[k] = count, start
             blocks.append(blocked)
         if ripe:
-            self.waiting.put(*zip(*left)) if left else self.waiting.put([])
+            self.waiting.put(*(zip(*left) if left else [[]]))
         # A window that the watermark has passed says nothing about later attempts.
         windows = {k: (count, start) for k, (count, start) in windows.items() if count and (start + self.length) // 1000 >= passed}
         self.windows.put(windows, (count for count, _ in windows.values()), (start for _, start in windows.values()))
@@ -206,88 +201,113 @@ class Limiter(_Bucketed):
             yield pd.DataFrame({"key": [k for k, _, _ in ripe], "us": [us for _, us, _ in ripe], "blocked": blocks})
 
 
-class Sessions(_Keyed):
+class Sessions(_Bucketed):
     """key, message_count, messages of a chat session once no turn has come for ``minutes``; a turn that comes again replaces the earlier one."""
 
     SCHEMA = "key string, message_count int, messages array<struct<turn: bigint, role: string, content: string>>"
+    COLUMNS = ("turn", "role", "content", "us")
 
     def __init__(self, minutes: int = 30):
         self.idle = minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turns = handle.getMapState("turns", "turn long", "role string, content string")
-        self.last = handle.getValueState("last", "at long")
+        self.turns = _Rows(handle, "turns", "key string, turn long, role string, content string", 500)
+        self.open = _Rows(handle, "open", "key string, last long, due long")
         self.due = _Due(handle)
 
-    def take(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else 0
+    def _known(self) -> dict[str, tuple[int, int]]:
+        return {k: (last, due) for k, last, due in zip(*self.open.get())}
+
+    def _put(self, known: dict[str, tuple[int, int]]) -> None:
+        self.open.put(known, (last for last, _ in known.values()), (due for _, due in known.values()))
+        self.due.at(min(due for _, due in known.values()) if known else None)
+
+    def take(self, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed, known = timerValues.getCurrentWatermarkInMs(), None
         for part in rows:
-            for r in part.itertuples():
-                self.turns.updateValue((int(r.turn),), (r.role, r.content))
-                last = max(last, r.us // 1000)
-        self.last.update((int(last),))
-        self.due.at(max(int(last + self.idle), timerValues.getCurrentWatermarkInMs() + 1))
+            known = self._known() if known is None else known
+            self.turns.add(part["key"], part["turn"].astype("int64").tolist(), part["role"], part["content"])
+            for key, ms in zip(part["key"], part["us"] // 1000):
+                last = int(max(known.get(key, (0, 0))[0], ms))
+                known[key] = last, max(last + self.idle, passed + 1)
+        if known is not None:
+            self._put(known)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        turns = sorted((t[0], *said) for t, said in self.turns.iterator())
-        self.turns.clear()
-        self.last.clear()
-        messages = [{"turn": t, "role": role, "content": content} for t, role, content in turns]
-        yield pd.DataFrame({"key": [key[0]], "message_count": [len(turns)], "messages": [messages]})
-
-
-class Retention(_Keyed):
+        passed, known = timerValues.getCurrentWatermarkInMs(), self._known()
+        told: dict[str, dict[int, tuple]] = {k: {} for k, (_, due) in known.items() if due <= passed}
+        left = []
+        for k, turn, role, content in zip(*self.turns.get()):
+            if k in told:
+                told[k][turn] = role, content
+            else:
+                left.append((k, turn, role, content))
+        self.turns.put(*(zip(*left) if left else [[]]))
+        self._put({k: x for k, x in known.items() if k not in told})
+        for i in range(0, len(told), 500):
+            some = list(told.items())[i : i + 500]
+            messages = [[{"turn": t, "role": role, "content": content} for t, (role, content) in sorted(turns.items())] for _, turns in some]
+            yield pd.DataFrame({"key": [k for k, _ in some], "message_count": [len(turns) for _, turns in some], "messages": messages})
+
+
+class Retention(_Bucketed):
     """key, day, removed: how many rows of a day (UTC) go when it is more than ``days`` before the watermark; state holds a count for each later day."""
 
     SCHEMA = "key string, day date, removed long"
+    COLUMNS = ("us",)
     _DAY = 86_400_000
 
     def __init__(self, days: int):
         self.days = days
 
+    def spread(self) -> Column:
+        """The days of a key go to different buckets, so that a few large keys do not wait for each other."""
+        return F.xxhash64("key", F.col("us") - F.pmod("us", F.lit(1000 * self._DAY)))
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "day long", "n long")
+        self.counts = _Rows(handle, "counts", "key string, day long, n long")
         self.due = _Due(handle)
 
+    def _known(self) -> dict[tuple[str, int], int]:
+        return {(k, day): n for k, day, n in zip(*self.counts.get())}
+
     def _ends(self, day: int) -> int:
         return (day + 1 + self.days) * self._DAY
 
-    def take(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _put(self, known: dict[tuple[str, int], int], passed: int) -> None:
+        self.counts.put((k for k, _ in known), (day for _, day in known), known.values())
+        self.due.at(max(self._ends(min(day for _, day in known)), passed + 1) if known else None)
+
+    def take(self, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = None
         for part in rows:
-            for day, n in (part["us"] // (1000 * self._DAY)).value_counts().items():
-                had = self.counts.getValue((int(day),))[0] if self.counts.containsKey((int(day),)) else 0
-                self.counts.updateValue((int(day),), (int(had + n),))
-        self._wait(timerValues.getCurrentWatermarkInMs())
+            known = self._known() if known is None else known
+            for (key, day), n in part.groupby(["key", part["us"] // (1000 * self._DAY)]).size().items():
+                known[key, int(day)] = known.get((key, int(day)), 0) + int(n)
+        if known is not None:
+            self._put(known, timerValues.getCurrentWatermarkInMs())
         yield from ()
 
-    def _wait(self, passed: int) -> None:
-        left = [d[0] for d in self.counts.keys()]
-        self.due.at(max(self._ends(min(left)), passed + 1) if left else None)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        gone = sorted((d[0], n[0]) for d, n in self.counts.iterator() if self._ends(d[0]) <= passed)
-        for day, _ in gone:
-            self.counts.removeKey((day,))
-        self._wait(passed)
+        passed, known = timerValues.getCurrentWatermarkInMs(), self._known()
+        gone = sorted((k, day, n) for (k, day), n in known.items() if self._ends(day) <= passed)
+        self._put({(k, day): n for (k, day), n in known.items() if self._ends(day) > passed}, passed)
         if gone:
-            yield pd.DataFrame({"key": key[0], "day": [pd.Timestamp(d * self._DAY, unit="ms").date() for d, _ in gone], "removed": [n for _, n in gone]})
+            yield pd.DataFrame({"key": [k for k, _, _ in gone], "day": [pd.Timestamp(day * self._DAY, unit="ms").date() for _, day, _ in gone], "removed": [n for _, _, n in gone]})
 
 
 # Running ------------------------------------------------------------------------
 
 
-def stateful(stream: DataFrame, key: str, processor: StatefulProcessor, late: str | None = None) -> DataFrame:
+def stateful(stream: DataFrame, key: str, processor: _Bucketed, late: str | None = None) -> DataFrame:
     """A processor's rows for each key; with ``late`` on event time (column at), else without time."""
-    rows, group = stream.withColumn("key", F.col(key).cast("string")), "key"
+    rows = stream.withColumn("key", F.col(key).cast("string"))
     if late is not None:
         # Python gets times as numbers, whatever the session's time zone.
         rows = rows.withWatermark("at", late).withColumn("us", F.unix_micros("at"))
-    if isinstance(processor, _Bucketed):
-        group = "bucket"
-        rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias(group), "key", *processor.COLUMNS, *([] if late is None else ["at"]))
-    return rows.groupBy(group).transformWithStateInPandas(processor, processor.SCHEMA, "append", "none" if late is None else "eventTime")
+    rows = rows.select(F.pmod(processor.spread(), F.lit(BUCKETS)).cast("int").alias("bucket"), "key", *processor.COLUMNS, *([] if late is None else ["at"]))
+    return rows.groupBy("bucket").transformWithStateInPandas(processor, processor.SCHEMA, "append", "none" if late is None else "eventTime")
 
 
 @contextmanager

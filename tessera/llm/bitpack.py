@@ -139,109 +139,152 @@ def _alphabet() -> dict[int, str]:
 
 
 #: Never part of a contraction and never joined with a letter or digit before it.
-_MARKS = b".,;:!?*#$%&|<>()"
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?*#$%&|<>()")] = True
 LINE, SPACE = 0, 1
-#: ASCII letters; and what follows the byte C3 in the letters of Latin-1.
+#: ASCII letters, and digits; first bytes of letters of two bytes: Latin, Cyrillic.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-_AFTER_C3 = np.zeros(256, bool)
-_AFTER_C3[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+_PAIR = np.zeros(256, bool)
+_PAIR[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
+
+
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether two bytes are a letter; not all letters of two bytes are found."""
+    return _PAIR[first] & ((first != 0xC3) | ((second != 0x97) & (second != 0xB7)))  # the signs of product and quotient
 
 
 def _lettered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether each span is not empty and holds Latin letters only; not all spans of letters are found."""
+    """Whether each span is not empty and holds letters only; not all spans of letters are found."""
     fine = _LETTER[data]
-    pair = np.flatnonzero((data[:-1] == 0xC3) & _AFTER_C3[data[1:]])
+    pair = np.flatnonzero(_pairs(data[:-1], data[1:]))
     fine[pair] = fine[pair + 1] = True
     other = np.concatenate(([0], np.cumsum(~fine, dtype=np.int32)))
     return (ends > starts) & (other[starts] == other[ends])
 
 
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all members of runs, one run after another."""
+    total = np.cumsum(sizes)
+    return np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, with a memory of words.
 
     A byte-level vocabulary never joins a word with what precedes the single
     space or line break before it, nor a word with marks behind it.  So a text
     whose words are parted by single spaces or line breaks is the sequence of
-    its words' ids.  Words are found and hashed as arrays; new ones go to the
-    library together and are then remembered, up to ``most`` of them, as runs
-    of one array of ids.  A text of any other form goes to the library whole.
+    the ids of its words and of the marks behind them.  Both are found, hashed
+    and looked up as arrays; new ones go to the library together and are then
+    remembered, about ``most`` of them, as runs of one array of ids.  A text of
+    any other form goes to the library whole.
     """
 
-    def __init__(self, name: str, most: int = 1_000_000):
+    def __init__(self, name: str, most: int = 2_000_000):
         self.tokenizer, self.model, self.most = _tokenizer(name), _model(name), most
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        # A byte that all of them hold, so that hardly any word is searched for them.
-        self.hint = min(set.intersection(*map(set, self.special)), default=None) if self.special else None
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         alphabet = _alphabet()
-        self.space, self.letters_of = alphabet[32], {b: c for b, c in alphabet.items() if b != 32}
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.spaced[[i for w, i in self.tokenizer.get_vocab().items() if w.startswith(self.space)]] = True
+        self.codes = np.array([ord(alphabet[b]) for b in range(256)], "<u4")
+        #: Ids that start with a space, and that of the line break.
+        self.leads = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.leads[[self.line, *(i for w, i in self.tokenizer.get_vocab().items() if w.startswith(alphabet[32]))]] = True
         self.forget()
 
     def forget(self) -> None:
-        """slot: place of each word by its hash; first, length: its run in ids (length -1: no plain word)."""
-        self.slot: dict[int, int] = {}
-        self.first, self.length, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
+        """keys, slots: an open table of hashes (0: free place) and their words' numbers; a word's run in pool ends where the next one's starts (empty: no plain word)."""
+        self.keys, self.slots = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32)
+        self.starts, self.pool, self.known = np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _keep(self, hashes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Remember words whose runs stand one after another in ids."""
-        n = len(self.slot)
-        while len(self.first) < n + len(hashes):
-            self.first, self.length = np.resize(self.first, 2 * len(self.first)), np.resize(self.length, 2 * len(self.length))
-        full = np.maximum(lengths, 0)
-        while len(self.pool) < self.used + len(ids):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.first[n : n + len(hashes)] = self.used + np.cumsum(full) - full
-        self.length[n : n + len(hashes)] = lengths
-        self.used += len(ids)
-        self.slot.update(zip(hashes, range(n, n + len(hashes))))
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The words' numbers; -1: unknown."""
+        last = np.uint64(len(self.keys) - 1)
+        at = (hashes & last).astype(np.int64)
+        keys = self.keys[at]
+        out = np.where(keys == hashes, self.slots[at], -1)
+        left = np.flatnonzero((keys != hashes) & (keys != 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & int(last)
+            keys = self.keys[at]
+            hit = keys == hashes[left]
+            out[left[hit]] = self.slots[at[hit]]
+            on = ~hit & (keys != 0)
+            left, at = left[on], at[on]
+        return out
 
-    def _runs(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The remembered ids of runs, one after another."""
-        total = np.cumsum(length)
-        return self.pool[np.repeat(first - (total - length), length) + np.arange(total[-1] if len(total) else 0)]
+    def _enter(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        last = np.uint64(len(self.keys) - 1)
+        at = (hashes & last).astype(np.int64)
+        while len(hashes):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[free]  # of those that meet at one place, one stays
+            on = self.keys[at] != hashes
+            self.slots[at[~on]] = slots[~on]
+            hashes, slots, at = hashes[on], slots[on], (at[on] + 1) & int(last)
+
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember new words whose runs stand one after another in ids."""
+        n, m = self.known, self.known + len(hashes)
+        used = int(self.starts[n])
+        while len(self.starts) <= m:
+            self.starts = np.resize(self.starts, 2 * len(self.starts))
+        while len(self.pool) < used + len(ids):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.pool[used : used + len(ids)] = ids
+        self.starts[n + 1 : m + 1] = used + np.cumsum(lengths)
+        self.known = m
+        if 2 * m > len(self.keys):
+            full = np.flatnonzero(self.keys)
+            keys, slots, size = self.keys[full], self.slots[full], len(self.keys)
+            while 2 * m > size:
+                size *= 2
+            self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._enter(keys, slots)
+        self._enter(hashes, np.arange(n, m))
 
     @staticmethod
     def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        return mix(span_hashes(data, starts, ends) + kind.astype(np.uint64), 7)
+        return np.maximum(mix(span_hashes(data, starts, ends) + kind.astype(np.uint64), 7), np.uint64(1))
 
-    def _of(self, words: list[tuple[bytes, int]]) -> list[int]:
-        data = np.frombuffer(b"".join(w for w, _ in words), np.uint8)
-        ends = np.cumsum([len(w) for w, _ in words])
-        return self.hashes(data, ends - [len(w) for w, _ in words], ends, np.array([k for _, k in words])).tolist()
+    def _letters(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their numbers, of words of letters only.
 
-    def _letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and their numbers, of words of letters only that follow a space.
-
-        The library's pre-tokenizer takes such a word whole, with the space, so
-        its model gets it directly, in the byte alphabet; the space then shows
-        where each word's ids start.
+        The library's pre-tokenizer takes such a word whole, with a space before
+        it, so its model gets it directly, in the byte alphabet; the space, or
+        the line break as a word of its own, then shows where each word's ids start.
         """
         ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for i in range(0, len(words), 20_000):
-            part = b" ".join(words[i : i + 20_000]).decode("latin-1").translate(self.letters_of).split(" ")
-            (e,) = self.model.encode_batch_fast([[self.space + w for w in part]], is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(e.ids, np.uint32))
-            starts = np.flatnonzero(self.spaced[ids[-1]])
-            lengths.append(np.diff(np.append(starts, len(ids[-1]))))
-            if len(starts) != len(part):
-                each = [self.whole(" " + w.decode()) for w in words[i : i + 20_000]]
-                ids[-1], lengths[-1] = np.concatenate(each), np.array([len(x) for x in each])
+        for i in range(0, len(starts), 20_000):
+            a, n, k = starts[i : i + 20_000], sizes[i : i + 20_000], kind[i : i + 20_000]
+            lead = np.where(k == SPACE, 2, 3)
+            ends = np.cumsum(lead + n)
+            text = np.full(ends[-1], 32, "<u4")
+            text[ends - n - lead + 1] = self.codes[np.where(k == SPACE, 32, 10)]
+            text[_places(ends - n, n)] = self.codes[raw[_places(a, n)]]
+            (e,) = self.model.encode_batch_fast([text[1:].tobytes().decode("utf-32-le").split(" ")], is_pretokenized=True, add_special_tokens=False)
+            got = np.array(e.ids, np.uint32)
+            first = np.flatnonzero(self.leads[got])
+            if len(first) == len(a):
+                ids.append(got), lengths.append(np.diff(np.append(first, len(got))))
+            else:
+                each = [self.whole((" " if s else "\n") + raw[x : x + y].tobytes().decode()) for x, y, s in zip(a.tolist(), n.tolist(), k.tolist())]
+                ids.append(np.concatenate(each)), lengths.append(np.array([len(x) for x in each]))
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def _lines(self, words: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+    def _lines(self, words: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and their numbers, of any words, given with what they follow; one a line for the library."""
         ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
             # After a space a word's line break is behind it, else in front.
-            (e,) = self.tokenizer.encode_batch_fast(["".join([f" {w.decode()}\n" if k else f"\n{w.decode()}\n" for w, k in part])], add_special_tokens=False)
+            (e,) = self.tokenizer.encode_batch_fast(["".join([f" {w}\n" if k else f"\n{w}\n" for w, k in part])], add_special_tokens=False)
             got, lead = np.array(e.ids, np.uint32), np.array([1 - k for _, k in part])
             ends = np.flatnonzero(got == self.line)
             if len(ends) == len(part) + lead.sum():
@@ -251,58 +294,53 @@ class Encoder:
                 keep[last] = False
                 got = got[keep]
             else:
-                each = [self.whole((" " if k else "\n") + w.decode()) for w, k in part]
+                each = [self.whole((" " if k else "\n") + w) for w, k in part]
                 got, n = np.concatenate(each), np.array([len(x) for x in each])
             ids.append(got), lengths.append(n)
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def _special(self, word: bytes) -> bool:
-        return (self.hint is None or self.hint in word) and any(x in word for x in self.special)
-
-    def learn(self, words: list[tuple[bytes, int]], hashes: list[int], lettered: list[bool]) -> None:
-        """Remember words that follow a space or a line break (whose id is then part of their run).
-
-        lettered: where known, whether a word consists of letters.
-        """
-        marked, bad, simple, other = [], [], {}, {}
-        for (w, k), h, letters in zip(words, hashes, lettered):
-            if letters and k:
-                simple[h] = w
-                continue
-            t = w.decode("utf-8", "replace")
-            if k and t.isalpha():
-                simple[h] = w
-            elif not t or t[0].isspace() or t[-1].isspace():
-                bad.append(h)
-            elif w[-1] in _MARKS and (stem := w.rstrip(_MARKS)) and not self._special(w):
-                # Marks stand alone only behind a letter or digit; other characters join them, white space parts the word.
-                last = stem.decode("utf-8", "replace")[-1]
-                if last.isspace():
-                    bad.append(h)
-                    continue
-                if not (last.isalpha() or last.isnumeric()):
-                    other[h] = w, k
-                    continue
-                marked.append((h, (stem, k), (w[len(stem) :], LINE)))
+    def learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> None:
+        """Remember new words that follow a space or a line break (whose id is then part of their run)."""
+        sizes = ends - starts
+        raw = data[_places(starts, sizes)]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        letters = _lettered(raw, starts, ends)
+        other, words, bad = [], [], []
+        for n in np.flatnonzero(~letters).tolist():
+            w = raw[starts[n] : ends[n]].tobytes().decode()
+            if w.isalpha():
+                letters[n] = True
+            elif w[0].isspace() or w[-1].isspace():
+                bad.append(n)
             else:
-                other[h] = w, k
-        parts = list({x for _, *both in marked for x in both})
-        of = dict(zip(parts, self._of(parts))) if parts else {}
-        for x, h in of.items():
-            if h not in self.slot:
-                if x[1] and x[0].decode("utf-8", "replace").isalpha():
-                    simple[h] = x[0]
-                else:
-                    other[h] = x
-        self._keep(list(simple), *self._letters(list(simple.values())))
-        self._keep(list(other), *self._lines(list(other.values())))
-        self._keep(bad, np.zeros(0, np.uint32), np.full(len(bad), -1))
-        if marked:
-            a, b = (np.array([self.slot[of[m[x]]] for m in marked]) for x in (1, 2))
-            first = np.stack((self.first[a], self.first[b] + 1), 1).ravel()
-            plain = (self.length[a] >= 0) & (self.length[b] >= 1)
-            length = np.where(plain[:, None], np.stack((self.length[a], self.length[b] - 1), 1), 0)
-            self._keep([m[0] for m in marked], self._runs(first, length.ravel()), np.where(plain, length.sum(1), -1))
+                other.append(n), words.append((w, int(kind[n])))
+        self._keep(hashes[letters], *self._letters(raw, starts[letters], sizes[letters], kind[letters]))
+        self._keep(hashes[other], *self._lines(words))
+        self._keep(hashes[bad], np.zeros(0, np.uint32), np.zeros(len(bad), np.int64))
+
+    def _parts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where the marks behind each word start; its end, if it has none or they may not stand alone."""
+        at = ends.copy()
+        left = np.flatnonzero(_MARK[data[at - 1]])
+        marked = left
+        while len(left):
+            at[left] -= 1
+            left = left[at[left] > starts[left]]
+            left = left[_MARK[data[at[left] - 1]]]
+        # Marks stand alone only behind a letter or digit; other characters join them, white space parts the word.
+        a = at[marked]
+        last = data[a - 1]
+        apart = (a > starts[marked]) & (_LETTER[last] | _DIGIT[last] | ((last >= 0x80) & _pairs(data[a - 2], last)))
+        at[marked[~apart]] = ends[marked[~apart]]
+        raw = data.tobytes() if self.special else b""
+        for x in self.special:
+            k = raw.find(x)
+            while k >= 0:
+                n = max(0, int(np.searchsorted(starts, k, "right")) - 1)
+                at[n] = ends[n]
+                k = raw.find(x, k + 1)
+        return at
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
@@ -310,38 +348,55 @@ class Encoder:
 
         out: list[np.ndarray] = []
         for i, j, data, offs in blocks(texts, TEXT_BYTES):
-            if len(self.slot) > self.most:
+            if self.known > self.most:
                 self.forget()
-            # A text counts as following a line break, whose id is then taken off.
-            parted = (data == 32) | (data == 10)
-            cut = np.flatnonzero(parted)
-            starts = np.concatenate((offs[:-1], cut + 1))
-            kind = np.concatenate((np.full(len(offs) - 1, LINE), (data[cut] == 32).astype(np.int64)))
-            owner = np.concatenate((np.arange(len(offs) - 1), np.searchsorted(offs, cut, "right") - 1))
-            # At one place, the mark that ends a text comes before the start of the next text.
-            order = np.argsort(2 * starts + (np.arange(len(starts)) < len(offs) - 1), kind="stable")
-            starts, kind, owner = starts[order], kind[order], owner[order]
-            firsts = np.searchsorted(owner, np.arange(len(offs)))
-            ends = np.append(starts[1:] - 1, len(data))
-            ends[firsts[1:] - 1] = offs[1:]
-            codes, unique = pd.factorize(self.hashes(data, starts, ends, kind))
-            known = list(map(self.slot.get, unique.tolist()))
-            new = [n for n, k in enumerate(known) if k is None]
-            if new:
-                at = np.zeros(len(unique), np.int64)
-                at[codes[::-1]] = np.arange(len(codes))[::-1]
-                raw, at = data.tobytes(), at[new]
-                hashes = unique[new].tolist()
-                self.learn([(raw[a:b], k) for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), kind[at].tolist())], hashes, _lettered(data, starts[at], ends[at]).tolist())
-                for n, h in zip(new, hashes):
-                    known[n] = self.slot[h]
-            slot = np.array(known, np.int64)[codes]
-            first, length = self.first[slot], self.length[slot]
-            odd = np.minimum.reduceat(length, firsts[:-1]) < 0
-            length = np.where(odd[owner], 0, length)
-            first[firsts[:-1]] += 1
-            length[firsts[:-1]] = np.maximum(length[firsts[:-1]] - 1, 0)
-            rows = np.split(self._runs(first, length), np.append(0, np.cumsum(length))[firsts[1:-1]])
+            rows = [np.zeros(0, np.uint32)] * (j - i)
+            cut = np.flatnonzero((data == 32) | (data == 10))
+            counts = np.diff(np.searchsorted(cut, offs))
+            owner = np.repeat(np.arange(j - i), counts)
+            # Texts with a space or line break at an end, or two side by side.
+            odd = np.zeros(j - i, bool)
+            odd[owner[(cut == offs[owner]) | (cut == offs[owner + 1] - 1)]] = True
+            odd[owner[1:][np.diff(cut) == 1]] = True
+            plain = ~odd & (offs[1:] > offs[:-1])
+            cut, at, counts = cut[plain[owner]], np.flatnonzero(plain), counts[plain]
+            if len(at):
+                # A text counts as following a line break, whose id is then taken off.
+                firsts = np.cumsum(counts + 1) - counts - 1
+                later = np.ones(len(cut) + len(at), bool)
+                later[firsts] = False
+                starts, kind = np.empty(len(later), np.int64), np.full(len(later), LINE, np.int8)
+                starts[firsts], starts[later], kind[later] = offs[at], cut + 1, data[cut] == 32
+                ends = np.append(starts[1:] - 1, 0)
+                ends[firsts + counts] = offs[at + 1]
+                # Marks apart from their word count as following a line break, too.
+                marks = self._parts(data, starts, ends)
+                apart = np.flatnonzero(marks < ends)
+                place = np.arange(len(starts)) + np.cumsum(marks < ends) - (marks < ends)
+                behind, firsts = place[apart] + 1, place[firsts]
+                units = np.zeros((2, len(starts) + len(apart)), np.int64)
+                units[0, place], units[1, place], units[0, behind], units[1, behind] = starts, marks, marks[apart], ends[apart]
+                (starts, ends), kinds = units, np.full(units.shape[1], LINE, np.int8)
+                kinds[place] = kind
+                hashes = self.hashes(data, starts, ends, kinds)
+                slot = self._find(hashes)
+                new = np.flatnonzero(slot < 0)
+                if len(new):
+                    codes, unique = pd.factorize(hashes[new])
+                    one = np.zeros(len(unique), np.int64)
+                    one[codes[::-1]] = new[::-1]
+                    self.learn(unique, data, starts[one], ends[one], kinds[one])
+                    slot[new] = self._find(unique)[codes]
+                first = self.starts[slot]
+                length = self.starts[slot + 1] - first
+                odd[at[np.searchsorted(firsts, np.flatnonzero(length == 0), "right") - 1]] = True
+                for x in (firsts, behind):
+                    first[x] += 1
+                    length[x] = np.maximum(length[x] - 1, 0)
+                ids = self.pool[_places(first, length)]
+                bounds = np.append(0, np.cumsum(length))[np.append(firsts, len(length))].tolist()
+                for n, a, b in zip(at.tolist(), bounds[:-1], bounds[1:]):
+                    rows[n] = ids[a:b]
             for n in np.flatnonzero(odd).tolist():
                 rows[n] = self.whole(data[offs[n] : offs[n + 1]].tobytes().decode())
             out += rows
